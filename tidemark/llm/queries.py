@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, isomedia, langid, mixing, neardup, pii, topk, warczip
+from . import bpe, isomedia, langid, lm, mixing, neardup, pii, suffixdedup, topk, warczip
 from .common import table
 
 
@@ -34,6 +34,12 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("first")
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.corpus_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warczip.archive_roundtrip(table(spark, sf_dir, "pages"))
 
@@ -49,10 +55,14 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("spans")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(vectors.where(F.col("id") % 20 == 0), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_langid, langid_pages, op4_neardup, op6_warc, op7_bpe, op8_mix, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_langid, langid_pages, op4_neardup, op5_lm, op6_warc, op7_bpe, op8_mix, op9_repeats, op10_topk)}
 ORACLE: dict[str, str] = {}
