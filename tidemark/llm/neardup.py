@@ -1,14 +1,14 @@
 """Near-duplicate documents: MinHash, banding, signature verification, exact links, components.
 
 1. Each text becomes a set of word-shingle hashes (64 bits), its MinHash signature (128 universal
-   hash minima; a byte of each is stored) and 26 band keys of 5 minima. Texts with equal sets form a class.
+   hash minima; a byte of each is stored) and band keys: 26 of 5 minima at a threshold of 0.85. Texts with equal sets form a class.
 2. In each band bucket with two or more classes, signatures are compared and a spanning forest of the pairs
    that could reach the threshold (5 standard deviations below it) goes on. Components
    of these forests are clusters: no link crosses them.
 3. In each cluster, intersections of whole sets are counted with posting lists, and the links at or
    above the threshold leave as a spanning forest. Their components are the result.
 
-A pair at the threshold shares no bucket with probability 2e-7. Buckets and clusters above a block's size are
+A pair at the threshold shares no bucket with a probability below 1e-6. Buckets and clusters above a block's size are
 dealt as pairs of blocks, so no task holds a group and no pair leaves a task but forest edges.
 
 Null, empty or blank texts have empty sets and are linked with nothing. A text with fewer words than a
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .components import connected
 
-BANDS, ROWS, HASHES = 26, 5, 130
+HASHES = 130
 SIGNATURE = 128
 BUCKET_BLOCK, CLUSTER_BLOCK = 512, 128
 _M = np.random.default_rng(20240229).integers(1, 1 << 63, size=HASHES + 8, dtype=np.uint64) | np.uint64(1)
@@ -90,10 +90,19 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(minima: np.ndarray) -> np.ndarray:
-    rows = minima[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.zeros(BANDS, dtype=np.uint64)
-    for i in range(ROWS):
+def banding(threshold: float, miss: float = 1e-6) -> int:
+    """The most minima a band may hold for a pair at the threshold to be missed less often than ``miss``."""
+    rows = 1
+    while (1 - threshold ** (rows + 1)) ** (HASHES // (rows + 1)) < miss:
+        rows += 1
+    return rows
+
+
+def band_keys(minima: np.ndarray, per_band: int) -> np.ndarray:
+    bands = HASHES // per_band
+    rows = minima[: bands * per_band].reshape(bands, per_band).astype(np.uint64)
+    key = np.zeros(bands, dtype=np.uint64)
+    for i in range(per_band):
         key = _mix(key * _M[2] + rows[:, i])
     return key.astype(np.int64)
 
@@ -145,10 +154,11 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return edges
 
 
-def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: float = 0.85, carry: tuple[str, ...] = ()) -> DataFrame:
     """(uid, id, n, fp, sig, bands, *carry) of each row; fp identifies the set, null if it is empty."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"c_{c}") for c in carry])
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
+    per_band = banding(threshold)
 
     def run(batches):
         for batch in batches:
@@ -162,7 +172,7 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     minima = signature(s)
                     fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sig.append((minima[:SIGNATURE] & 255).astype(np.uint8).tobytes())
-                    bands.append(band_keys(minima))
+                    bands.append(band_keys(minima, per_band))
             kept = [name for name in batch.schema.names if name != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[*kept, "n", "fp", "sig", "bands"])
 
@@ -267,7 +277,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: float = 0.85, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_shingles, component_id, kept, first, *carry) of each row. ``kept``: the id is its component's;
     ``first``: the one row of the component that stays when rows share ids."""
-    rows = staged(sketched(docs, id_col, text_col, width, carry))
+    rows = staged(sketched(docs, id_col, text_col, width, threshold, carry))
     # the sets of a class are equal, so any row's signature is the class's; hot classes combine map-side
     low = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     classes = staged(rows.where("fp is not null").groupBy("fp").agg(F.min(low).alias("low"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("node", F.col("low.uid")))

@@ -41,7 +41,7 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warczip.archive_roundtrip(table(spark, sf_dir, "pages"))
+    return warczip.archive_roundtrip(table(spark, sf_dir, "pages")).drop("record_offset", "record_bytes")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,29 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_langid, langid_pages, op4_neardup, op5_lm, op6_warc, op7_bpe, op8_mix, op9_repeats, op10_topk)}
-ORACLE: dict[str, str] = {}
+
+_BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * b + 1}, 5))::bigint // {32 ** (3 - i)})::bigint % 32 + 1, 1)" for b in range(8) for i in range(4))
+
+ORACLE: dict[str, str] = {
+    "op4_neardup": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS p FROM w WHERE len(w) > 0),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] END AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (WITH RECURSIVE r(a, b) AS (SELECT DISTINCT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b) SELECT a, min(b) AS root FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, coalesce(r.root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id""",
+    "op6_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+t AS (SELECT h AS th, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM p JOIN t ON h = th""",
+    "op10_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+}
