@@ -2,5 +2,501 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import stats
+from .operators import clock, lookups, measures, quality
+from .params import DAY, MINUTE, MONTH
+from .plans import study
+from .session import ship
+from .sources import driver_tables as src
+from .storage import staged
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+P = MONTH
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places, counts to long: the form both engines agree on."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(F.col(c), 6).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("bigint").alias(c) if kinds[c] in ("int", "smallint") else F.col(c) for c in df.columns])
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        @functools.wraps(f)
+        def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return rounded(f(ship(spark), sf_dir))
+
+        QUERIES[name] = call
+        if sql is not None:
+            ORACLE[name] = ("WITH " + sql) if not sql.lstrip().upper().startswith(("WITH", "SELECT")) else sql
+        return f
+
+    return add
+
+
+W, D = 5 * MINUTE, DAY
+FILLS = """fills AS (SELECT event_id AS ingest_idx, epoch_us(ts) AS t, CASE WHEN user_id % 2 = 0 THEN 'BTC' ELSE 'ETH' END AS symbol,
+ CASE WHEN event_type IN ('view', 'click', 'error') THEN 'sell' ELSE 'buy' END AS side,
+ CASE event_type WHEN 'view' THEN 'Close Long' WHEN 'click' THEN 'Liquidated Cross Long' WHEN 'error' THEN 'Liquidated Isolated Long' WHEN 'purchase' THEN 'Close Short' ELSE 'Liquidated Cross Short' END AS direction,
+ 100.0::double AS px, value / 100 AS sz, value AS notional, 100 + value / 50 AS spx, 1000 + 10 * value AS oi, (value - 50) / 1e6 AS funding FROM events)"""
+COV = f"{FILLS}, cov AS (SELECT symbol, min(t) // {D} * {D} AS c0, max(t) // {D} * {D} + {D} AS c1 FROM fills GROUP BY symbol)"
+
+
+def bins_sql(label: str = "right", side: str = "side = 'sell'") -> str:
+    s = W if label == "right" else 0
+    return f"{COV}, grid AS (SELECT symbol, unnest(range(c0 + {s}, c1 + {s}, {W})) AS e FROM cov), bins AS (SELECT g.symbol, g.e, coalesce(v, 0.0) AS notional, coalesce(n, 0) AS n FROM grid g LEFT JOIN (SELECT symbol, t // {W} * {W} + {s} AS e, sum(notional) AS v, count(*) AS n FROM fills WHERE {side} GROUP BY 1, 2) x ON x.symbol = g.symbol AND x.e = g.e)"
+
+
+def trig_sql(q: float = 0.99, quiet: int = 120) -> str:
+    return f"""{bins_sql()}, roll AS (SELECT *, CASE WHEN count(notional) OVER w = 3 THEN sum(notional) OVER w END AS r FROM bins WINDOW w AS (PARTITION BY symbol ORDER BY e ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+thr AS (SELECT *, quantile_cont(r, {q}) OVER (PARTITION BY symbol ORDER BY e RANGE BETWEEN {7 * D} PRECEDING AND 1 PRECEDING) AS thr, min(e) OVER (PARTITION BY symbol) + {2 * W + 7 * D} AS from_e FROM roll),
+trig AS (SELECT symbol, e, notional, r, thr, e >= from_e AS eligible, coalesce(e >= from_e AND r > 0 AND r >= thr, false) AS trigger FROM thr),
+ch0 AS (SELECT *, CASE WHEN e - lag(e) OVER w > {quiet * MINUTE} OR lag(e) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM trig WHERE trigger WINDOW w AS (PARTITION BY symbol ORDER BY e)),
+ch AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY e) - 1 AS chain FROM ch0),
+ons AS (SELECT symbol, chain, min(e) AS e0, max(e) AS chain_end, count(*) AS n_triggers_chain, arg_min(r, e) AS r_onset, arg_min(thr, e) AS thr_onset FROM ch GROUP BY 1, 2)"""
+
+
+TRIG = trig_sql()
+DENSE = f"{COV}, mins AS (SELECT symbol, unnest(range(c0, c1, {MINUTE})) AS t FROM cov), dense AS (SELECT m.symbol, m.t, f.spx AS px, f.oi, f.funding FROM mins m ASOF JOIN (SELECT symbol, t, arg_max(spx, ingest_idx) AS spx, arg_max(oi, ingest_idx) AS oi, arg_max(funding, ingest_idx) AS funding FROM fills GROUP BY 1, 2) f ON m.symbol = f.symbol AND m.t >= f.t)"
+BARS = f"bars AS (SELECT symbol, t // {W} * {W} AS bar, arg_min(px, t) AS open, max(px) AS high, min(px) AS low, arg_max(px, t) AS close, t // {W} * {W} + {W} AS bar_end FROM dense GROUP BY symbol, t // {W})"
+
+
+def both_sql(q: float = 0.99) -> str:
+    return trig_sql(q) + ", " + DENSE[len(COV) + 2 :] + ", " + BARS
+
+
+M = MINUTE
+MEAS = f"""{both_sql()},
+ref AS (SELECT o.symbol, o.e0, count(b.close) AS ref_bars, CASE WHEN count(b.close) >= 4 THEN avg(b.close) END AS p_ref FROM ons o LEFT JOIN bars b ON b.symbol = o.symbol AND b.bar BETWEEN o.e0 - {45 * M} AND o.e0 - {20 * M} GROUP BY 1, 2),
+ends AS (SELECT symbol, max(bar_end) AS data_end FROM bars GROUP BY symbol),
+win AS (SELECT o.symbol, o.e0, count(b.low) AS w_bars, min(b.low) AS low, arg_min(b.bar, (b.low, b.bar)) AS trough FROM ons o LEFT JOIN bars b ON b.symbol = o.symbol AND b.bar BETWEEN o.e0 - {15 * M} AND o.e0 + {115 * M} GROUP BY 1, 2),
+m2 AS (SELECT r.symbol, r.e0, ref_bars, p_ref, w_bars, data_end, w_bars >= 25 AND r.e0 + {120 * M} <= data_end AS w_ok, CASE WHEN w_bars >= 25 AND r.e0 + {120 * M} <= data_end AND p_ref IS NOT NULL THEN trough END AS trough, CASE WHEN w_bars >= 25 AND r.e0 + {120 * M} <= data_end AND p_ref IS NOT NULL THEN ln(low / p_ref) END AS disp FROM ref r JOIN win w ON w.symbol = r.symbol AND w.e0 = r.e0 JOIN ends x ON x.symbol = r.symbol),
+og AS (SELECT symbol, e0, 'base' AS part, unnest(range(e0 - {75 * M}, e0 - {15 * M} + 1, {W})) AS g FROM ons UNION ALL SELECT symbol, e0, 'trough', unnest(range(e0 - {10 * M}, e0 + {120 * M} + 1, {W})) FROM ons),
+oa AS (SELECT og.*, CASE WHEN og.g - d.t <= {2 * M} THEN d.oi END AS oi FROM og ASOF LEFT JOIN dense d ON d.symbol = og.symbol AND og.g >= d.t),
+m3a AS (SELECT symbol, e0, count(oi) FILTER (part = 'base') AS oi_base_n, count(oi) FILTER (part = 'trough') AS oi_trough_n, avg(oi) FILTER (part = 'base') AS b, min(oi) FILTER (part = 'trough') AS l FROM oa GROUP BY 1, 2),
+m3 AS (SELECT symbol, e0, oi_base_n, oi_trough_n, CASE WHEN oi_base_n >= 11 AND oi_trough_n >= 24 THEN (l - b) / b END AS doi FROM m3a),
+pg AS (SELECT symbol, e0, p_ref, data_end, h, e0 + h * {60 * M} AS g FROM m2, (VALUES (6), (24)) v(h)),
+pa AS (SELECT pg.*, CASE WHEN pg.g - b.bar_end <= {10 * M} AND pg.g <= data_end THEN ln(b.close / p_ref) END AS v FROM pg ASOF LEFT JOIN bars b ON b.symbol = pg.symbol AND pg.g >= b.bar_end),
+m4 AS (SELECT symbol, e0, max(v) FILTER (h = 6) AS p6h, max(v) FILTER (h = 24) AS p24h FROM pa GROUP BY 1, 2),
+fs AS (SELECT m.symbol, m.e0, m.p_ref, m.e0 + {120 * M} AS s, b.bar_end, b.close, b.bar_end - coalesce(lag(b.bar_end) OVER (PARTITION BY m.symbol, m.e0 ORDER BY b.bar_end), m.e0 + {120 * M}) AS gap FROM m2 m JOIN bars b ON b.symbol = m.symbol AND b.bar_end > m.e0 + {120 * M} AND b.bar_end <= m.e0 + {1440 * M}),
+fk AS (SELECT *, sum(CASE WHEN gap > {15 * M} THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, e0 ORDER BY bar_end) AS broken FROM fs),
+fa AS (SELECT symbol, e0, min(bar_end) FILTER (close >= p_ref * 0.999) AS hit, max(bar_end) AS fu FROM fk WHERE broken = 0 GROUP BY 1, 2),
+m6 AS (SELECT m.symbol, m.e0, CASE WHEN p_ref IS NOT NULL THEN greatest(0.0, (coalesce(hit, fu, m.e0 + {120 * M}) - m.e0 - {120 * M}) / {M}.0) END AS rec_min, CASE WHEN p_ref IS NOT NULL THEN hit IS NOT NULL END AS rec_event, CASE WHEN p_ref IS NOT NULL THEN hit IS NOT NULL OR coalesce(fu, 0) >= m.e0 + {1440 * M} END AS rec_complete FROM m2 m LEFT JOIN fa ON fa.symbol = m.symbol AND fa.e0 = m.e0),
+cl0 AS (SELECT m2.*, oi_base_n, oi_trough_n, doi, p6h, p24h, rec_min, rec_event, rec_complete, count(doi) OVER w AS n_prior, quantile_cont(doi, 0.1) OVER w AS q FROM m2 JOIN m3 USING (symbol, e0) JOIN m4 USING (symbol, e0) JOIN m6 USING (symbol, e0) WINDOW w AS (PARTITION BY symbol ORDER BY e0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cl1 AS (SELECT *, CASE WHEN doi IS NOT NULL THEN CASE WHEN n_prior >= 20 THEN q ELSE -0.025 END END AS contraction_cut FROM cl0),
+cls AS (SELECT c.*, r_onset, concat_ws(';', CASE WHEN p_ref IS NULL THEN 'reference_bars' END, CASE WHEN NOT w_ok THEN 'window_bars_or_beyond_data' END, CASE WHEN oi_base_n < 11 THEN 'oi_baseline' END, CASE WHEN oi_trough_n < 24 THEN 'oi_trough' END) AS reason, CASE WHEN doi IS NULL THEN 'unknown' WHEN doi <= contraction_cut THEN 'contraction' WHEN doi > -0.005 THEN 'limited' ELSE 'intermediate' END AS klass, CASE WHEN p6h IS NOT NULL AND disp <> 0 THEN least(1.0, greatest(0.0, 1 - p6h / disp)) END AS reversion FROM cl1 c JOIN ons o ON o.symbol = c.symbol AND o.e0 = c.e0),
+fin AS (SELECT *, reason = '' AND klass <> 'unknown' AS analysable FROM cls)"""
+
+
+def r6(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+# ---- sources and quality
+
+
+@query("s4_snapshot_dedup", f"{FILLS} SELECT symbol, t, round(arg_min(spx, ingest_idx), 6) AS px, round(arg_min(oi, ingest_idx), 6) AS oi FROM fills GROUP BY 1, 2")
+def s4(spark, d):
+    return src.first_of(src.snapshots(spark, d), ["symbol", "t"]).select("symbol", "t", "px", "oi")
+
+
+@query("s5_funding", f"{FILLS} SELECT symbol, t, round(funding * 1e6, 6) AS funding_ppm FROM fills WHERE funding IS NOT NULL")
+def s5(spark, d):
+    return src.snapshots(spark, d).na.drop(subset=["funding"]).select("symbol", "t", (F.col("funding") * 1e6).alias("funding_ppm"))
+
+
+@query("s7_full_row_dedup", f"{FILLS} SELECT symbol, count(*) - (SELECT count(*) FROM (SELECT DISTINCT symbol, t, side, direction, px, sz FROM fills) x WHERE x.symbol = f.symbol) AS removed FROM fills f GROUP BY symbol")
+def s7(spark, d):
+    f = src.fills(spark, d).select("symbol", "t", "side", "direction", "px", "sz")
+    return f.groupBy("symbol").count().join(f.dropDuplicates().groupBy("symbol").agg(F.count("*").alias("k")), "symbol").select("symbol", (F.col("count") - F.col("k")).alias("removed"))
+
+
+@query("s11_missing_days", f"SELECT o_orderpriority AS symbol, d FROM (SELECT o_orderpriority, unnest(range(min(k), max(k) + 1)) AS d FROM (SELECT o_orderpriority, epoch_us(o_orderdate) // {D} AS k FROM orders) GROUP BY 1) x WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderpriority = x.o_orderpriority AND epoch_us(o.o_orderdate) // {D} = x.d)")
+def s11(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("symbol"), src.micros("o_orderdate").alias("t"))
+    return quality.missing_days(o)
+
+
+@query("s12_coverage", f"{FILLS} SELECT symbol, count(*) AS n_rows, min(t) AS first_t, max(t) AS last_t FROM fills GROUP BY symbol")
+def s12(spark, d):
+    return src.fills(spark, d).groupBy("symbol").agg(F.count("*").alias("n_rows"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+@query("s13_rows_per_day", f"{FILLS} SELECT t // {D} AS d, count(*) AS n_rows, count(DISTINCT symbol) AS symbols, count(DISTINCT direction) AS directions FROM fills GROUP BY 1")
+def s13(spark, d):
+    return src.fills(spark, d).groupBy(F.floor(F.col("t") / D).alias("d")).agg(F.count("*").alias("n_rows"), F.countDistinct("symbol").alias("symbols"), F.countDistinct("direction").alias("directions"))
+
+
+@query("f1_sells", f"{FILLS} SELECT ingest_idx, symbol, round(notional, 6) AS notional FROM fills WHERE side = 'sell'")
+def f1(spark, d):
+    return src.fills(spark, d).where("side = 'sell'").select("ingest_idx", "symbol", "notional")
+
+
+@query("f2_permissive_sells", f"{FILLS} SELECT symbol, count(*) AS n FROM fills WHERE lower(side) IN ('sell', 'a', 'ask') GROUP BY symbol")
+def f2(spark, d):
+    return quality.permissive_sells(src.fills(spark, d)).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("f3_side_check", f"{FILLS} SELECT symbol, count(*) FILTER (side NOT IN ('sell', 'buy')) AS bad_side, count(*) FILTER (side = 'sell' AND direction NOT IN ('Close Long', 'Liquidated Cross Long', 'Liquidated Isolated Long')) AS bad_sell, count(*) FILTER (side = 'buy' AND NOT contains(direction, 'Short')) AS bad_buy, count(*) FILTER (side = 'sell') AS sell_rows, count(*) FILTER (side = 'buy') AS buy_rows FROM fills GROUP BY symbol")
+def f3(spark, d):
+    return quality.side_check(src.fills(spark, d))
+
+
+@query("f4_coverage_bounds", f"{COV} SELECT * FROM cov")
+def f4(spark, d):
+    return src.coverage(src.fills(spark, d))
+
+
+@query("o7_dropped_rows", f"{FILLS}, k AS (SELECT * FROM fills WHERE ingest_idx % 7 <> 3), g AS (SELECT symbol, ingest_idx, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n_dropped FROM k) SELECT * FROM g WHERE n_dropped > 0")
+def o7(spark, d):
+    # a stored table in which one row in seven was lost
+    return quality.dropped(src.fills(spark, d).where("ingest_idx % 7 <> 3")).select("symbol", "ingest_idx", "n_dropped")
+
+
+@query("o6_reinstated", f"{FILLS}, k AS (SELECT * FROM fills WHERE ingest_idx % 7 <> 3), g AS (SELECT *, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n FROM k) SELECT symbol, side, count(*) + coalesce(sum(n) FILTER (n > 0), 0)::bigint AS n_rows, round(sum(notional) + coalesce(sum(n * notional) FILTER (n > 0), 0), 4) AS notional FROM g GROUP BY 1, 2")
+def o6(spark, d):
+    f = src.fills(spark, d).where("ingest_idx % 7 <> 3")
+    return quality.reinstated(f, quality.dropped(f)).groupBy("symbol", "side").agg(F.count("*").alias("n_rows"), F.round(F.sum("notional"), 4).alias("notional"))
+
+
+@query("q2_grid_gaps", f"{FILLS}, g AS (SELECT symbol, t, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS gap FROM fills) SELECT symbol, max(t // {M}) - min(t // {M}) + 1 AS grid_points, max(t // {M}) - min(t // {M}) + 1 - count(DISTINCT t // {M}) AS missing, count(*) FILTER (t % {M} <> 0) AS off_grid, round(max(gap) / {M}.0, 6) AS max_gap_min FROM g GROUP BY symbol")
+def q2(spark, d):
+    return quality.grid_gaps(src.fills(spark, d))
+
+
+@query("a6_duplicate_profile", f"{FILLS}, p AS (SELECT symbol, t, count(*) AS n FROM fills GROUP BY 1, 2), x AS (SELECT symbol, count(*) AS n FROM fills GROUP BY symbol, t, side, px, sz) SELECT symbol, sum(n)::bigint AS n_rows, count(*) AS distinct_times, coalesce(sum(n) FILTER (n > 1), 0)::bigint AS shared_rows, (SELECT sum(n) - count(*) FROM x WHERE x.symbol = p.symbol)::bigint AS exact_repeats FROM p GROUP BY symbol")
+def a6(spark, d):
+    return quality.duplicates(src.fills(spark, d))
+
+
+@query("q3_side_ambiguity", f"{FILLS}, k AS (SELECT * REPLACE (t // {W} * {W} AS t) FROM fills WHERE ingest_idx % 7 <> 3), g AS (SELECT *, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n FROM k), b AS (SELECT symbol, t, min(side) <> max(side) AS two FROM k GROUP BY 1, 2) SELECT g.symbol, sum(n)::bigint AS n_dropped, round(sum(n * two::int) / sum(n), 6) AS ambiguous_share FROM g JOIN b ON b.symbol = g.symbol AND b.t = g.t WHERE n > 0 GROUP BY 1")
+def q3(spark, d):
+    f = src.fills(spark, d).where("ingest_idx % 7 <> 3").withColumn("t", (F.floor(F.col("t") / W) * W).cast("bigint"))
+    return quality.side_ambiguity(f, quality.dropped(f))
+
+
+@query("q4_empty_bins", f"{bins_sql('right', 'true')} SELECT symbol, round(avg((n = 0)::int), 6) AS empty_share FROM bins GROUP BY symbol")
+def q4(spark, d):
+    return clock.bins(src.fills(spark, d), P, None).groupBy("symbol").agg(F.avg((F.col("n") == 0).cast("int")).alias("empty_share"))
+
+
+ZERO = f"{bins_sql('right', 'true')}, z AS (SELECT symbol, e, e - row_number() OVER (PARTITION BY symbol ORDER BY e) * {W} AS g FROM bins WHERE n = 0), runs AS (SELECT symbol, min(e) - {W} AS run_start, max(e) AS run_end, count(*) * 5 / 60.0 AS hours FROM z GROUP BY symbol, g)"
+
+
+@query("b8_zero_runs", f"{ZERO} SELECT symbol, run_start, run_end, round(hours, 6)::double AS hours FROM runs WHERE hours >= 0.25")
+def b8(spark, d):
+    return clock.zero_runs(src.fills(spark, d), P, 0.25)
+
+
+@query("q5_zero_run_counts", f"{ZERO} SELECT symbol, count(*) FILTER (hours >= 0.5) AS n_half, count(*) FILTER (hours >= 1) AS n_one, round(coalesce(max(hours) FILTER (hours >= 0.5), 0), 6)::double AS longest FROM runs GROUP BY symbol")
+def q5(spark, d):
+    r = clock.zero_runs(src.fills(spark, d), P, 0)
+    return r.groupBy("symbol").agg(F.count_if(F.col("hours") >= 0.5).alias("n_half"), F.count_if(F.col("hours") >= 1).alias("n_one"), F.coalesce(F.max(F.when(F.col("hours") >= 0.5, F.col("hours"))), F.lit(0.0)).alias("longest"))
+
+
+@query("b9_masked_bins", f"{ZERO}, s AS (SELECT * FROM runs WHERE hours >= 0.5) SELECT b.symbol, count(*) AS n_masked FROM bins b JOIN s ON s.symbol = b.symbol AND b.e > s.run_start AND b.e <= s.run_end GROUP BY 1")
+def b9(spark, d):
+    f = src.fills(spark, d)
+    return clock.mask_runs(clock.bins(f, P), clock.zero_runs(f, P, 0.5)).where("notional is null").groupBy("symbol").agg(F.count("*").alias("n_masked"))
+
+
+@query("a4_side_direction", f"{FILLS} SELECT direction, count(*) FILTER (side = 'buy') AS buy, count(*) FILTER (side = 'sell') AS sell FROM fills GROUP BY 1")
+def a4(spark, d):
+    return src.fills(spark, d).groupBy("direction").pivot("side", ["buy", "sell"]).count().na.fill(0)
+
+
+@query("a8_notional_by_side", f"{FILLS} SELECT symbol, round(sum(notional) FILTER (side = 'sell'), 4) AS sell, round(sum(notional) FILTER (side = 'buy'), 4) AS buy FROM fills GROUP BY symbol")
+def a8(spark, d):
+    return src.fills(spark, d).groupBy("symbol").agg(*[F.round(F.sum(F.when(F.col("side") == s, F.col("notional"))), 4).alias(s) for s in ("sell", "buy")])
+
+
+@query("a9_by_month", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
+def a9(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.expr("substr(cast(o_orderdate as string), 1, 7)").alias("month")).agg(F.count("*").alias("n"))
+
+
+# ---- the clock
+
+
+@query("b1_right_bins", f"{bins_sql()} SELECT symbol, e, round(notional, 6) AS notional, n FROM bins")
+def b1(spark, d):
+    return clock.bins(src.fills(spark, d), P)
+
+
+@query("b1_left_bins", f"{bins_sql('left')} SELECT symbol, e, round(notional, 6) AS notional, n FROM bins")
+def b1_left(spark, d):
+    return clock.bins(src.fills(spark, d), P.with_(bin_label="left"))
+
+
+@query("b2_rolling", f"{TRIG} SELECT symbol, e, round(r, 6) AS r FROM roll")
+def b2(spark, d):
+    return clock.rolled(clock.bins(src.fills(spark, d), P), P).select("symbol", "e", "r")
+
+
+@query("b3_rolling_partial", f"{bins_sql('left')} SELECT symbol, e, round(sum(notional) OVER (PARTITION BY symbol ORDER BY e RANGE BETWEEN {15 * M - 1} PRECEDING AND CURRENT ROW), 6) AS r FROM bins")
+def b3(spark, d):
+    return clock.rolled_partial(clock.bins(src.fills(spark, d), P.with_(bin_label="left"))).select("symbol", "e", "r")
+
+
+@query("b4_prior_quantile", f"{TRIG} SELECT symbol, e, {r6('r', 'thr')} FROM thr")
+def b4(spark, d):
+    return clock.thresholds(clock.rolled(clock.bins(src.fills(spark, d), P), P), P).select("symbol", "e", "r", "thr")
+
+
+LEGACY = f"{bins_sql('left')}, lr AS (SELECT symbol, e, sum(notional) OVER (PARTITION BY symbol ORDER BY e RANGE BETWEEN {15 * M - 1} PRECEDING AND CURRENT ROW) AS r FROM bins), lt AS (SELECT *, CASE WHEN count(r) OVER w >= 2016 THEN quantile_cont(r, 0.99) OVER w END AS thr FROM lr WINDOW w AS (PARTITION BY symbol ORDER BY e RANGE BETWEEN {7 * D - 1} PRECEDING AND CURRENT ROW)), lg AS (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY symbol ORDER BY e) <= {120 * M} THEN 0 ELSE 1 END AS new FROM lt WHERE r >= thr AND r > 0), lc AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY e) AS chain FROM lg)"
+
+
+@query("b5_legacy_threshold", f"{LEGACY} SELECT symbol, e, {r6('r', 'thr')} FROM lt")
+def b5(spark, d):
+    return study.legacy_threshold(src.fills(spark, d), P).select("symbol", "e", "r", "thr")
+
+
+@query("c4_legacy_events", f"{LEGACY}, lo AS (SELECT symbol, min(e) AS t0, max(e) AS t1 FROM lc GROUP BY symbol, chain) SELECT lo.symbol, t0, t1, round(max(r), 6) AS liq_notional FROM lo JOIN lr ON lr.symbol = lo.symbol AND lr.e BETWEEN t0 AND t1 GROUP BY 1, 2, 3")
+def c4(spark, d):
+    return study.legacy_events(src.fills(spark, d), P)
+
+
+@query("b7_trigger_table", f"{TRIG} SELECT symbol, e, {r6('notional', 'r', 'thr')}, eligible, trigger FROM trig WHERE eligible")
+def b7(spark, d):
+    return clock.triggers(src.fills(spark, d), P).where("eligible")
+
+
+@query("b11_bars", f"{DENSE}, {BARS} SELECT symbol, bar, {r6('open', 'high', 'low', 'close')} FROM bars")
+def b11(spark, d):
+    return src.bars(src.dense(spark, d)).select("symbol", "bar", "open", "high", "low", "close")
+
+
+@query("b12_lagged_changes", f"{DENSE}, {BARS}, l AS (SELECT symbol, bar, close, lag(close, 12) OVER (PARTITION BY symbol ORDER BY bar) AS b FROM bars) SELECT symbol, bar, round(close / b - 1, 6) AS pct, round(ln(close / b), 6) AS logret FROM l")
+def b12(spark, d):
+    return study.lagged_changes(src.bars(src.dense(spark, d)), 12)
+
+
+@query("b14_daily_close", f"{DENSE}, {BARS} SELECT symbol, bar // {D} AS d, round(arg_max(close, bar), 6) AS close FROM bars GROUP BY 1, 2")
+def b14(spark, d):
+    return src.bars(src.dense(spark, d)).groupBy("symbol", F.floor(F.col("bar") / D).alias("d")).agg(F.max_by("close", "bar").alias("close"))
+
+
+@query("c1_onsets", f"""{TRIG} SELECT o.symbol, e0, chain_end, n_triggers_chain, (SELECT count(*) FROM ch WHERE ch.symbol = o.symbol AND ch.chain = o.chain AND ch.e <= o.e0 + {120 * M}) AS n_triggers_in_window, {r6('r_onset', 'thr_onset')}, round((chain_end - e0) / {M}.0, 6) AS chain_span_min, (chain_end - e0) > {120 * M} AS cascade_continues,
+ round((SELECT sum(notional) FROM trig t WHERE t.symbol = o.symbol AND t.e > o.e0 - {15 * M} AND t.e <= o.e0 + {120 * M}), 6) AS notional_w, round((SELECT max(r) FROM trig t WHERE t.symbol = o.symbol AND t.e BETWEEN o.e0 AND o.chain_end), 6) AS r_max_chain FROM ons o""")
+def c1(spark, d):
+    return clock.onsets(clock.triggers(src.fills(spark, d), P), P)
+
+
+ISL = "SELECT symbol, e0, sum(new) OVER (ORDER BY e0, symbol) - 1 AS {n} FROM (SELECT symbol, e0, CASE WHEN e0 - lag(e0) OVER (ORDER BY e0, symbol) > {g} THEN 1 WHEN lag(e0) OVER (ORDER BY e0, symbol) IS NULL THEN 1 ELSE 0 END AS new FROM ons)"
+
+
+@query("c7_episodes", f"{TRIG} SELECT symbol, e0, episode::bigint AS episode FROM ({ISL.format(n='episode', g=405 * M)})")
+def c7(spark, d):
+    return clock.islands(clock.onsets(clock.triggers(src.fills(spark, d), P), P).select("symbol", "e0"), 405)
+
+
+@query("c8_calendar_clusters", f"{TRIG} SELECT symbol, e0, strftime(make_timestamp(e0), '%Y-%m-%d') AS day, strftime(make_timestamp(e0), '%G-W%V') AS week FROM ons")
+def c8(spark, d):
+    return study.calendar(clock.onsets(clock.triggers(src.fills(spark, d), P), P).select("symbol", "e0"))
+
+
+# ---- lookups
+
+
+@query("j1_asof_max_age", f"{bins_sql()} SELECT b.symbol, b.e, round(CASE WHEN b.e - f.t <= {2 * M} THEN f.spx END, 6) AS px FROM bins b ASOF LEFT JOIN (SELECT symbol, t, arg_max(spx, ingest_idx) AS spx FROM fills GROUP BY 1, 2) f ON f.symbol = b.symbol AND b.e >= f.t")
+def j1(spark, d):
+    probes = clock.bins(src.fills(spark, d), P).select("symbol", "e")
+    return lookups.asof(probes, src.snapshots(spark, d), ["px"], 2, at="e").select("symbol", "e", "px")
+
+
+@query("j2_limited_fill", f"{bins_sql()}, v AS (SELECT symbol, e, CASE WHEN n > 0 THEN notional END AS x FROM bins), w AS (SELECT *, count(x) OVER (PARTITION BY symbol ORDER BY e) AS run FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY e) AS i, first_value(x) OVER (PARTITION BY symbol, run ORDER BY e) AS f FROM w) SELECT symbol, e, round(CASE WHEN run > 0 AND i <= 4 THEN f END, 6) AS x FROM k")
+def j2(spark, d):
+    v = clock.bins(src.fills(spark, d), P).select("symbol", "e", F.when(F.col("n") > 0, F.col("notional")).alias("x"))
+    return lookups.fill_limited(v, "x", 3, time="e")
+
+
+@query("j4_sell_buy_matches", f"{FILLS} SELECT count(*) AS n FROM fills a JOIN fills b ON a.symbol = b.symbol AND a.t // {60 * M} = b.t // {60 * M} AND a.px = b.px AND round(a.sz, 2) = round(b.sz, 2) WHERE a.side = 'sell' AND b.side = 'buy'")
+def j4(spark, d):
+    f = src.fills(spark, d).select("symbol", F.floor(F.col("t") / (60 * M)).alias("h"), "px", F.round("sz", 2).alias("z"), "side")
+    return f.where("side = 'sell'").drop("side").join(f.where("side = 'buy'").drop("side"), ["symbol", "h", "px", "z"]).agg(F.count("*").alias("n"))
+
+
+@query("j5_window_join", f"{TRIG} SELECT o.symbol, o.e0, count(*) AS n, round(sum(f.notional), 6) AS v FROM ons o JOIN fills f ON f.symbol = o.symbol AND f.t BETWEEN o.e0 - {60 * M} AND o.e0 + {60 * M} GROUP BY 1, 2")
+def j5(spark, d):
+    f = src.fills(spark, d)
+    o = clock.onsets(clock.triggers(f, P), P).select("symbol", "e0")
+    return lookups.in_range(o, f.select("symbol", "t", "notional"), F.col("e0") - 60 * M, F.col("e0") + 60 * M).groupBy("symbol", "e0").agg(F.count("*").alias("n"), F.sum("notional").alias("v"))
+
+
+@query("j6_overlaps", f"{TRIG}, {ZERO[len(COV) + 2:].replace('grid AS', 'grid2 AS').replace('FROM grid g', 'FROM grid2 g').replace('bins AS', 'bins2 AS').replace('FROM bins', 'FROM bins2')} SELECT symbol, e0, EXISTS (SELECT 1 FROM runs r WHERE r.symbol = o.symbol AND r.hours >= 0.5 AND r.run_start < o.e0 + {120 * M} AND r.run_end > o.e0 - {15 * M}) AS overlaps FROM ons o")
+def j6(spark, d):
+    f = src.fills(spark, d)
+    return study.overlapping(clock.onsets(clock.triggers(f, P), P).select("symbol", "e0"), clock.zero_runs(f, P, 0.5), P)
+
+
+@query("j11_first_at_or_after", f"{both_sql()} SELECT o.symbol, o.e0, round((SELECT arg_min(close, bar) FROM bars b WHERE b.symbol = o.symbol AND b.bar >= o.e0 + {360 * M}), 6) AS close FROM ons o")
+def j11(spark, d):
+    o = clock.onsets(clock.triggers(src.fills(spark, d), P), P).select("symbol", "e0").withColumn("at", F.col("e0") + 360 * M)
+    b = src.bars(src.dense(spark, d)).select("symbol", F.col("bar").alias("t"), "close")
+    return lookups.forward(o, b, "close", "at").select("symbol", "e0", "close")
+
+
+# ---- measures and study
+
+study_columns = "ref_bars w_bars oi_base_n oi_trough_n".split()
+
+
+def _study(spark, d) -> DataFrame:
+    return study.build(spark, d, P)
+
+
+def study_query(name: str, columns: list[str], doubles: list[str]) -> None:
+    plain = [c for c in columns if c not in doubles]
+    sql = f"{MEAS} SELECT symbol, e0, {', '.join(plain + [f'round({c}, 6) AS {c}' for c in doubles])} FROM fin"
+    query(name, sql)(lambda spark, d: _study(spark, d).select("symbol", "e0", *columns))
+
+
+study_query("m1_reference", ["ref_bars", "p_ref"], ["p_ref"])
+study_query("m2_displacement", ["w_bars", "trough", "disp"], ["disp"])
+study_query("m3_oi_response", ["oi_base_n", "oi_trough_n", "doi"], ["doi"])
+study_query("m4_persistence", ["p6h", "p24h"], ["p6h", "p24h"])
+study_query("m6_first_passage", ["rec_min", "rec_event", "rec_complete"], ["rec_min"])
+study_query("m8_reversion", ["reversion"], ["reversion"])
+study_query("m9_classify", ["contraction_cut", "klass"], ["contraction_cut"])
+study_query("f9_reasons", ["reason", "analysable"], [])
+
+
+@query("m7_other_passages")
+def m7(spark, d):
+    return _study(spark, d).select("symbol", "e0", *[f"rec_trough_{k}_{x}" for k in ("close", "high") for x in ("min", "event", "complete")])
+
+
+@query("m12_study")
+def m12(spark, d):
+    return _study(spark, d)
+
+
+@query("a1_class_table", f"{MEAS} SELECT klass, count(*) AS n, count(*) FILTER (symbol = 'BTC') AS n_btc, count(*) FILTER (symbol = 'ETH') AS n_eth, round(quantile_cont(disp, 0.5), 6) AS med_disp, round(quantile_cont(doi, 0.5), 6) AS med_doi, round(quantile_cont(reversion, 0.5), 6) AS med_reversion, round(avg(rec_event::int), 6) AS recovered, round(avg((NOT rec_complete)::int), 6) AS incomplete FROM fin WHERE analysable GROUP BY 1")
+def a1(spark, d):
+    return study.class_table(_study(spark, d))
+
+
+@query("a3_cluster_summary", f"{MEAS}, ep AS ({ISL.format(n='ep', g=405 * M)}), c AS (SELECT ep, count(*) AS n, count(*) FILTER (klass = 'contraction') AS a, count(*) FILTER (klass = 'limited') AS b FROM fin JOIN ep USING (symbol, e0) WHERE analysable AND klass IN ('contraction', 'limited') GROUP BY 1) SELECT coalesce(sum(n), 0)::bigint AS n, count(*) AS g, count(*) FILTER (a > 0 AND b > 0) AS g_mixed, count(*) FILTER (a > 0) AS g_contraction, count(*) FILTER (b > 0) AS g_limited, max(n) AS max_size, quantile_cont(n, 0.5) AS median_size FROM c")
+def a3(spark, d):
+    return study.cluster_summary(study.clustered(_study(spark, d)))
+
+
+@query("a11_waterfall", f"{TRIG} SELECT symbol, count(*) FILTER (trigger) AS triggers, (SELECT count(*) FROM ons WHERE ons.symbol = t.symbol) AS onsets FROM trig t GROUP BY 1")
+def a11(spark, d):
+    t = staged(clock.triggers(src.fills(spark, d), P))
+    n = clock.onsets(t, P).groupBy("symbol").agg(F.count("*").alias("onsets"))
+    return t.groupBy("symbol").agg(F.count_if(F.col("trigger")).alias("triggers")).join(n, "symbol")
+
+
+@query("g1_quantile_grid", " UNION ALL ".join(f"SELECT * FROM (WITH {trig_sql(q, quiet)} SELECT '{name}' AS spec, symbol, count(*) AS onsets FROM ons GROUP BY symbol)" for name, q, quiet in (("Primary", 0.99, 120), ("S2", 0.95, 120), ("S13a", 0.99, 60), ("S13b", 0.99, 180))))
+def g1(spark, d):
+    return study.grid(src.fills(spark, d), P, {"Primary": {}, "S2": {"trig_q": 0.95}, "S13a": {"quiet_min": 60}, "S13b": {"quiet_min": 180}})
+
+
+@query("o4_trigger_differences", f"{TRIG}, {trig_sql(0.95)[len(FILLS) + 2:].replace('cov AS', 'cov2 AS').replace('FROM cov', 'FROM cov2').replace('grid AS', 'grid2 AS').replace('FROM grid g', 'FROM grid2 g').replace('bins AS', 'bins2 AS').replace('FROM bins', 'FROM bins2').replace('roll AS', 'roll2 AS').replace('FROM roll', 'FROM roll2').replace('thr AS (', 'thr2 AS (').replace('FROM thr)', 'FROM thr2)').replace('trig AS', 'trig2 AS').replace('FROM trig', 'FROM trig2').replace('ch0 AS', 'ch20 AS').replace('FROM ch0', 'FROM ch20').replace('ch AS', 'ch2 AS').replace('FROM ch ', 'FROM ch2 ').replace('ons AS', 'ons2 AS')} SELECT coalesce(a.symbol, b.symbol) AS symbol, count(*) FILTER (b.e IS NULL) AS only_a, count(*) FILTER (a.e IS NULL) AS only_b FROM (SELECT symbol, e FROM trig WHERE trigger) a FULL JOIN (SELECT symbol, e FROM trig2 WHERE trigger) b ON a.symbol = b.symbol AND a.e = b.e GROUP BY 1")
+def o4(spark, d):
+    f = src.fills(spark, d)
+    a, b = (clock.triggers(f, P.with_(trig_q=q)).where("trigger").select("symbol", "e") for q in (0.99, 0.95))
+    only = a.join(b, ["symbol", "e"], "left_anti").select("symbol", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.join(a, ["symbol", "e"], "left_anti").select("symbol", F.lit(0), F.lit(1)))
+    return a.union(b).select("symbol").distinct().join(only.groupBy("symbol").agg(F.sum("x").alias("only_a"), F.sum("y").alias("only_b")), "symbol", "left").na.fill(0)
+
+
+# ---- statistics, over orders and line items where many groups are wanted
+
+SURV = "rows_ AS (SELECT l_returnflag AS grp, (l_orderkey % 97) AS cl, l_quantity AS d, l_linestatus = 'F' AS ev FROM lineitem WHERE l_returnflag IN ('A', 'N'))"
+
+
+def survival(spark, d) -> DataFrame:
+    li = spark.read.parquet(f"{d}/lineitem.parquet").where(F.col("l_returnflag").isin("A", "N"))
+    return li.select(F.col("l_returnflag").alias("grp"), (F.col("l_orderkey") % 97).alias("cl"), F.col("l_quantity").alias("d"), (F.col("l_linestatus") == "F").alias("ev"))
+
+
+KM = f"{SURV}, per AS (SELECT grp, d, count(*) AS n, count(*) FILTER (ev) AS deaths FROM rows_ GROUP BY 1, 2), ar AS (SELECT *, sum(n) OVER (PARTITION BY grp ORDER BY d DESC) AS at_risk FROM per), km AS (SELECT grp, d, at_risk::bigint AS at_risk, deaths, product(1 - deaths / at_risk) OVER (PARTITION BY grp ORDER BY d) AS s FROM ar WHERE deaths > 0)"
+
+
+@query("k1_kaplan_meier", f"{KM} SELECT grp, d, at_risk, deaths, round(s, 6) AS s FROM km")
+def k1(spark, d):
+    return stats.kaplan_meier(survival(spark, d))
+
+
+@query("k2_rmst", f"{KM}, st AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY grp ORDER BY d), 40.0) AS nx FROM km WHERE d < 40) SELECT grp, round(min(d) + sum(s * (nx - d)), 6) AS rmst FROM st GROUP BY grp")
+def k2(spark, d):
+    s = survival(spark, d)
+    return stats.rmst(stats.kaplan_meier(s), s.select("grp").distinct(), 40.0)
+
+
+LR = f"{SURV}, per AS (SELECT d, count(*) AS c, count(*) FILTER (grp = 'A') AS c1, count(*) FILTER (ev) AS dd, count(*) FILTER (ev AND grp = 'A') AS d1 FROM rows_ GROUP BY 1), t AS (SELECT d, dd, d1, sum(c) OVER (ORDER BY d DESC) AS n, sum(c1) OVER (ORDER BY d DESC) AS n1 FROM per)"
+
+
+@query("k4_logrank", f"{LR}, x AS (SELECT sum(d1 - dd * n1 / n) AS u, sum(CASE WHEN n > 1 THEN dd * (n1 / n) * (1 - n1 / n) * (n - dd) / (n - 1) ELSE 0 END) AS v FROM t WHERE dd > 0) SELECT round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chi2 FROM x")
+def k4(spark, d):
+    return stats.log_rank(survival(spark, d), "A")
+
+
+@query("k4_robust_logrank", f"{LR}, h AS (SELECT d, n1 / n AS zbar, sum(dd / n) OVER (ORDER BY d) AS h, sum(dd / n * (n1 / n)) OVER (ORDER BY d) AS hz FROM t), w AS (SELECT cl, sum(CASE WHEN ev THEN (grp = 'A')::int - zbar ELSE 0 END - ((grp = 'A')::int * h - hz)) AS w FROM rows_ JOIN h USING (d) GROUP BY cl) SELECT round(sum(w), 4) AS u, round(sum(w * w), 4) AS v, round(sum(w) * sum(w) / sum(w * w), 4) AS chi2 FROM w")
+def k4r(spark, d):
+    return stats.robust_log_rank(survival(spark, d), "A", "cl").select(*[F.round(c, 4).alias(c) for c in ("u", "v", "chi2")])
+
+
+def regression(spark, d) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1e5).alias("y"), (F.col("o_custkey") % 13 / 13.0).alias("x"), (F.col("o_orderkey") % 41).alias("cl"), (F.col("o_orderstatus") == "F").alias("flag"))
+
+
+REG = "reg AS (SELECT o_orderkey AS id, o_totalprice / 1e5 AS y, (o_custkey % 13) / 13.0::double AS x, o_orderkey % 41 AS cl, o_orderstatus = 'F' AS flag FROM orders)"
+
+
+@query("r1_ols", f"{REG} SELECT round(regr_intercept(y, x), 6) AS b0, round(regr_slope(y, x), 6) AS b1 FROM reg")
+def r1(spark, d):
+    b, _ = stats.ols(regression(spark, d), "y", ["x"])
+    return spark.createDataFrame([tuple(b)], "b0 double, b1 double")
+
+
+@query("r2_cr1", f"{REG}, f AS (SELECT regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1, avg(x) AS mx, var_pop(x) * count(*) AS sxx, count(*) AS n FROM reg), c AS (SELECT cl, sum((x - mx) / sxx * (y - b0 - b1 * x)) AS s, sum((x - mx) / sxx) AS w FROM reg, f GROUP BY cl), a AS (SELECT sum(s * s) AS ss, count(*) AS g, var_pop(w * w) AS gv, avg(w * w) AS gm FROM c) SELECT round(b1, 6) AS coef, round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - 2.0) * ss), 6) AS se, g, round(g / (1 + gv / (gm * gm)), 4) AS g_eff, n FROM a, f")
+def r2(spark, d):
+    return stats.cr1(regression(spark, d), "y", ["x"], "cl").withColumn("g_eff", F.round("g_eff", 4))
+
+
+@query("r4_wild_bootstrap")
+def r4(spark, d):
+    return stats.wild_bootstrap(spark, regression(spark, d), "y", ["x"], "cl", 199)
+
+
+@query("r5_bootstrap_interval")
+def r5(spark, d):
+    return stats.wild_bootstrap(spark, regression(spark, d), "y", ["x"], "cl", 99, nulls=(-0.4, -0.2, -0.1, 0.0, 0.1, 0.2, 0.4))
+
+
+def digest_sql(*parts: str) -> str:
+    return "concat('0x', substr(md5(" + " || ':' || ".join(f"({p})::varchar" for p in parts) + "), 1, 8))::bigint"
+
+
+BOOT = f"{REG}, s AS (SELECT b, ({digest_sql('11', 'b', 'slot')}) % 41 AS cl FROM range(1, 100) x(b), range(0, 41) z(slot)), q AS (SELECT b, cl, count(*) AS freq FROM s GROUP BY 1, 2), e AS (SELECT b, y, flag FROM reg JOIN q ON q.cl = reg.cl, range(0, freq))"
+
+
+@query("r8_median_diff", f"{BOOT}, d AS (SELECT b, quantile_cont(y, 0.5) FILTER (flag) - quantile_cont(y, 0.5) FILTER (NOT flag) AS d FROM e GROUP BY b) SELECT (SELECT count(*) FROM reg WHERE flag) AS n1, (SELECT count(*) FROM reg WHERE NOT flag) AS n2, round((SELECT quantile_cont(y, 0.5) FILTER (flag) - quantile_cont(y, 0.5) FILTER (NOT flag) FROM reg), 6) AS est, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, count(d) AS used FROM d")
+def r8(spark, d):
+    r = regression(spark, d).withColumn("g", F.when(F.col("flag"), "a").otherwise("b"))
+    return stats.median_difference(spark, r, "y", "g", "a", "b", "cl", 99)
+
+
+@query("r9_permutation", f"{REG}, k AS (SELECT id, y, flag FROM reg WHERE id % 20 = 0), n AS (SELECT count(*) FILTER (flag) AS n1, avg(y) FILTER (flag) - avg(y) FILTER (NOT flag) AS est FROM k), o AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY {digest_sql('3', 'b', 'id')}, id) AS o FROM k, range(1, 100) x(b)), r AS (SELECT b, avg(y) FILTER (o <= n1) - avg(y) FILTER (o > n1) AS d FROM o, n GROUP BY b) SELECT round(max(est), 6) AS est, round((count(*) FILTER (abs(d) >= abs(est)) + 1) / (count(*) + 1), 6) AS p FROM r, n")
+def r9(spark, d):
+    return stats.permutation(spark, regression(spark, d).where("id % 20 = 0"), "y", "flag", 99)
+
+
+@query("r11_spearman", f"{REG}, k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM reg) SELECT round(corr(rx, ry), 6) AS rho FROM k")
+def r11(spark, d):
+    return study.spearman(regression(spark, d), "x", "y")
+
+
+@query("m20_economic", f"{DENSE}, {BARS}, c AS (SELECT symbol, bar // {D} AS d, arg_max(close, bar) AS close FROM bars GROUP BY 1, 2), r AS (SELECT symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY d)) AS r FROM c) SELECT symbol, round(stddev_samp(r), 6) AS vol, round(quantile_cont(abs(r), 0.5), 6) AS median_abs FROM r GROUP BY 1")
+def m20(spark, d):
+    return study.economic(src.bars(src.dense(spark, d)))
