@@ -249,34 +249,36 @@ def corpus_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
         words, known, base, marginal = hot.value
         place = {w.encode(): i for i, w in enumerate(words)}
-        known, base, marginal = known.tolist(), base.tolist(), marginal.tolist()
+        known = known.astype(np.int64)
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            heads: list[tuple] = []
+            tails: tuple[list, list, list] = ([], [], [])
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rid += 1
                 found = Counter(_words(text))
                 found[b"\n"] += 1
-                n = n_known = 0
-                b = s = 0.0
-                tail = []
-                for w, tf in found.items():
-                    n += tf
-                    at = place.get(w)
-                    if at is None:
-                        tail.append((w, tf))
-                        continue
-                    b += tf * base[at]
-                    s += tf * marginal[at]
-                    n_known += tf * known[at]
-                for column, value in zip(out, (rid, f"\n{rid}", 0, i, held_out(i), n, n_known, b - n * denominator, s)):
-                    column.append(value)
-                for w, tf in tail:
-                    for column, value in zip(out, (rid, w, tf, None, None, 0, 0, 0.0, 0.0)):
-                        column.append(value)
+                at = [place.get(w, -1) for w in found]
+                tf = list(found.values())
+                far = [(w, c) for w, c, k in zip(found, tf, at) if k < 0]
+                near, times = np.array(at), np.array(tf)
+                near, times = (near[near >= 0], times[near >= 0]) if far else (near, times)
+                n = sum(tf)
+                heads.append((rid, f"\n{rid}", i, held_out(i), n, int(times @ known[near]), float(times @ base[near]) - n * denominator, float(times @ marginal[near])))
+                if far:
+                    words_, counts_ = zip(*far)
+                    tails[0].extend([rid] * len(far))
+                    tails[1].extend(words_)
+                    tails[2].extend(counts_)
+            names = ["rid", "word", "tf", "id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+            kinds = [pa.int64(), pa.string(), batch.schema.field(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*heads) if heads else [()] * 8, kinds)]
+            yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(np.zeros(len(heads), dtype=np.int64)), *columns[2:]], names=names)
+            m = len(tails[0])
+            zero, none = np.zeros(m, dtype=np.int64), np.zeros(m)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], batch.schema.field(0).type), pa.array(out[4], pa.bool_()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.int64()), pa.array(out[7], pa.float64()), pa.array(out[8], pa.float64())],
-                names=["rid", "word", "tf", "id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                [pa.array(tails[0], pa.int64()), pa.array(tails[1], pa.string()), pa.array(tails[2], pa.int64()), pa.nulls(m, kinds[2]), pa.nulls(m, pa.bool_()), pa.array(zero), pa.array(zero), pa.array(none), pa.array(none)],
+                names=names,
             )
 
     rows = docs.select(id_col, text_col).mapInArrow(weigh, f"rid bigint, word string, tf bigint, id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
