@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _INF = np.int64(1) << 62
 _POS = 40  # bits for the position below the rank
-_CACHE_ENTRIES = 600_000
+_CACHE_ENTRIES = 400_000
 
 
 def load_ranks(path: str) -> bytes:
@@ -188,7 +188,7 @@ class Codec:
     def __init__(self, raw: bytes, pattern: str):
         self.tables, self.find, self.cache = tables(raw), splitter(pattern).findall, {}
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text; pieces not met before are encoded together."""
         split = [self.find(text) for text in texts]
         cache = self.cache
@@ -198,7 +198,7 @@ class Codec:
         for piece, ids in zip(new, self.tables.encode([p.encode() for p in new])):
             cache[piece] = np.array(ids, dtype=np.int32).tobytes()
         for pieces in split:
-            yield np.frombuffer(b"".join(map(cache.__getitem__, pieces)), dtype=np.int32).tolist()
+            yield np.frombuffer(b"".join(map(cache.__getitem__, pieces)), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tables.tokens.__getitem__, ids))
@@ -230,25 +230,28 @@ def bpe_encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_i
         codec = Codec(held.value, pattern)
         decimal = codec.tables.decimal.__getitem__
         for batch in batches:
-            found: list[list] = [[] for _ in range(5)]
+            at = 0
+            # a record batch a group of texts: ids stay packed and few at a time
             for group in groups(batch.column(1).to_pylist()):
-                for got in codec.encode(group):
-                    whole = codec.decode(got)
-                    found[0].append(len(got))
+                coded = list(codec.encode(group))
+                sizes = np.array([len(c) for c in coded], dtype=np.int64)
+                columns, names = [batch.column(0).slice(at, len(group)), pa.array(sizes)], [id_col, "n_tokens"]
+                at += len(group)
+                whole, marks = [], []
+                for got in coded:
+                    listed = got.tolist()
+                    text = codec.decode(listed)
                     if ids:
-                        found[1].append(got)
-                        found[2].append(whole)
+                        whole.append(text)
                     if digests:
-                        found[3].append(hashlib.sha256(" ".join(map(decimal, got)).encode()).hexdigest())
-                        found[4].append(hashlib.sha256(whole).hexdigest())
-            columns = [batch.column(0), pa.array(found[0], pa.int64())]
-            names = [id_col, "n_tokens"]
-            if ids:
-                columns += [pa.array(found[1], pa.list_(pa.int32())), pa.array(found[2], pa.binary())]
-                names += ["ids", "decoded"]
-            if digests:
-                columns += [pa.array(found[3], pa.string()), pa.array(found[4], pa.string())]
-                names += ["ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                        marks.append((hashlib.sha256(" ".join(map(decimal, listed)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
+                if ids:
+                    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded))), pa.array(whole, pa.binary())]
+                    names += ["ids", "decoded"]
+                if digests:
+                    columns += [pa.array([m[i] for m in marks], pa.string()) for i in (0, 1)]
+                    names += ["ids_sha256", "decoded_sha256"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
