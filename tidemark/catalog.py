@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .operators import clock, lookups, measures, quality
 from .params import DAY, MINUTE, MONTH
-from .plans import study
+from .plans import study, superseded
 from .session import ship
 from .sources import driver_tables as src
 from .storage import staged
+from .streaming import clock as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -487,9 +488,9 @@ def r8(spark, d):
     return stats.median_difference(spark, r, "y", "g", "a", "b", "cl", 99)
 
 
-@query("r9_permutation", f"{REG}, k AS (SELECT id, y, flag FROM reg WHERE id % 20 = 0), n AS (SELECT count(*) FILTER (flag) AS n1, avg(y) FILTER (flag) - avg(y) FILTER (NOT flag) AS est FROM k), o AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY {digest_sql('3', 'b', 'id')}, id) AS o FROM k, range(1, 100) x(b)), r AS (SELECT b, avg(y) FILTER (o <= n1) - avg(y) FILTER (o > n1) AS d FROM o, n GROUP BY b) SELECT round(max(est), 6) AS est, round((count(*) FILTER (abs(d) >= abs(est)) + 1) / (count(*) + 1), 6) AS p FROM r, n")
+@query("r9_permutation", f"{REG}, k AS (SELECT id, y, flag FROM reg), n AS (SELECT count(*) FILTER (flag) AS n1, avg(y) FILTER (flag) - avg(y) FILTER (NOT flag) AS est FROM k), o AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY {digest_sql('3', 'b', 'id')}, id) AS o FROM k, range(1, 100) x(b)), r AS (SELECT b, avg(y) FILTER (o <= n1) - avg(y) FILTER (o > n1) AS d FROM o, n GROUP BY b) SELECT round(max(est), 6) AS est, round((count(*) FILTER (abs(d) >= abs(est)) + 1) / (count(*) + 1), 6) AS p FROM r, n")
 def r9(spark, d):
-    return stats.permutation(spark, regression(spark, d).where("id % 20 = 0"), "y", "flag", 99)
+    return stats.permutation(spark, regression(spark, d), "y", "flag", 99)
 
 
 @query("r11_spearman", f"{REG}, k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM reg) SELECT round(corr(rx, ry), 6) AS rho FROM k")
@@ -500,3 +501,142 @@ def r11(spark, d):
 @query("m20_economic", f"{DENSE}, {BARS}, c AS (SELECT symbol, bar // {D} AS d, arg_max(close, bar) AS close FROM bars GROUP BY 1, 2), r AS (SELECT symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY d)) AS r FROM c) SELECT symbol, round(stddev_samp(r), 6) AS vol, round(quantile_cont(abs(r), 0.5), 6) AS median_abs FROM r GROUP BY 1")
 def m20(spark, d):
     return study.economic(src.bars(src.dense(spark, d)))
+
+
+# ---- the superseded track
+
+LOUT = f"""{LEGACY}, {DENSE[len(COV) + 2:]}, {BARS}, lo AS (SELECT symbol, min(e) AS t0, max(e) AS t1 FROM lc GROUP BY symbol, chain),
+og AS (SELECT b.*, d.oi FROM bars b LEFT JOIN dense d ON d.symbol = b.symbol AND d.t = b.bar),
+o1 AS (SELECT lo.symbol, t0, t1, avg(close) FILTER (bar BETWEEN t0 - {30 * M} AND t0 - {5 * M}) AS p0, min(low) FILTER (bar >= t0) AS low, arg_min(bar, (low, bar)) FILTER (bar >= t0) AS trough, avg(oi) FILTER (bar <= t0) AS b, min(oi) FILTER (bar >= t0) AS l FROM lo JOIN og ON og.symbol = lo.symbol AND og.bar BETWEEN t0 - {60 * M} AND t0 + {120 * M} GROUP BY 1, 2, 3),
+o2 AS (SELECT o.*, (l - b) / nullif(b, 0) AS doi, ln(low / p0) AS peak_disloc, (SELECT min(bar) FROM bars x WHERE x.symbol = o.symbol AND x.bar BETWEEN coalesce(o.trough, o.t0) AND o.t0 + {1440 * M} AND x.high >= o.p0 * 0.999) AS hit, ln((SELECT arg_min(close, bar) FROM bars x WHERE x.symbol = o.symbol AND x.bar >= o.t0 + {360 * M}) / p0) AS perm_6h, ln((SELECT arg_min(close, bar) FROM bars x WHERE x.symbol = o.symbol AND x.bar >= o.t0 + {1440 * M}) / p0) AS perm_24h FROM o1 o WHERE p0 IS NOT NULL),
+o3 AS (SELECT *, count(doi) OVER w AS n_prior, quantile_cont(doi, 0.1) OVER w AS q FROM o2 WINDOW w AS (PARTITION BY symbol ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lout AS (SELECT *, CASE WHEN doi IS NULL THEN 'unknown' WHEN doi <= CASE WHEN n_prior >= 20 THEN q ELSE -0.025 END THEN 'deleverage' WHEN doi > -0.005 THEN 'churn' ELSE 'middle' END AS klass FROM o3)"""
+HOUR = f"t0 % {D} // {60 * M}"
+
+
+def _grid(spark, d) -> tuple[DataFrame, DataFrame]:
+    snaps = staged(src.dense(spark, d))
+    bars = staged(src.bars(snaps))
+    return bars, superseded.bars_with_oi(bars, snaps)
+
+
+def _old(spark, d, p=P) -> DataFrame:
+    return superseded.outcomes(study.legacy_events(src.fills(spark, d), p), _grid(spark, d)[1], p)
+
+
+@query("m13_legacy_outcomes", f"{LOUT} SELECT symbol, t0, round(p0, 6) AS p0, round(doi, 6) AS doi_event, round(peak_disloc, 6) AS peak_disloc, round(coalesce((hit - t0) / {M}.0, 1440.0), 6)::double AS ttr_min, hit IS NULL AS censored, {r6('perm_6h', 'perm_24h')}, round(CASE WHEN perm_6h IS NOT NULL AND peak_disloc <> 0 THEN least(1.0, greatest(0.0, 1 - perm_6h / peak_disloc)) END, 6) AS transitory_share, CASE WHEN {HOUR} < 8 THEN 'asia' WHEN {HOUR} < 13 THEN 'eu' WHEN {HOUR} < 17 THEN 'eu_us_overlap' ELSE 'us' END AS session FROM lout")
+def m13(spark, d):
+    return _old(spark, d).select("symbol", "t0", "p0", "doi_event", "peak_disloc", "ttr_min", "censored", "perm_6h", "perm_24h", "transitory_share", "session")
+
+
+@query("m15_legacy_classes", f"{LOUT} SELECT symbol, t0, klass FROM lout")
+def m15(spark, d):
+    return _old(spark, d).select("symbol", "t0", "klass")
+
+
+@query("m10_fixed_classes", f"{LOUT} SELECT symbol, t0, CASE WHEN doi IS NULL THEN 'unknown' WHEN doi <= -0.025 THEN 'deleverage' WHEN doi > -0.005 THEN 'churn' ELSE 'middle' END AS klass FROM lout")
+def m10(spark, d):
+    return _old(spark, d, P.with_(classify="fixed")).select("symbol", "t0", "klass")
+
+
+@query("a2_legacy_summary", f"{LOUT} SELECT klass, count(*) AS n, round(quantile_cont(peak_disloc, 0.5), 6) AS med_peak, round(quantile_cont(doi, 0.5), 6) AS med_doi, round(avg((hit IS NULL)::int), 6) AS censored FROM lout GROUP BY 1")
+def a2(spark, d):
+    med = lambda c, name: F.expr(f"percentile({c}, 0.5D)").alias(name)
+    return _old(spark, d).groupBy("klass").agg(F.count("*").alias("n"), med("peak_disloc", "med_peak"), med("doi_event", "med_doi"), F.avg(F.col("censored").cast("int")).alias("censored"))
+
+
+PROTO = f"""{DENSE}, {BARS}, pg AS (SELECT b.symbol, b.bar AS e, oi / lag(oi, 12) OVER w - 1 AS doi, ln(close / lag(close, 12) OVER w) AS ret FROM bars b LEFT JOIN dense d ON d.symbol = b.symbol AND d.t = b.bar WINDOW w AS (PARTITION BY b.symbol ORDER BY b.bar)),
+pt AS (SELECT *, CASE WHEN count(doi) OVER w >= 2000 THEN quantile_cont(doi, 0.05) OVER w END AS a, CASE WHEN count(ret) OVER w >= 2000 THEN quantile_cont(ret, 0.2) OVER w END AS b FROM pg WINDOW w AS (PARTITION BY symbol ORDER BY e RANGE BETWEEN {7 * D - 1} PRECEDING AND CURRENT ROW)),
+pn AS (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY symbol ORDER BY e) <= {120 * M} THEN 0 ELSE 1 END AS new FROM pt WHERE doi <= a AND ret <= b), pc AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY e) AS chain FROM pn), ps AS (SELECT symbol, min(e) AS t0, max(e) AS t1 FROM pc GROUP BY symbol, chain)"""
+
+
+@query("c5_prototype_events", f"{PROTO} SELECT ps.symbol, t0, t1, round(min(doi), 6) AS doi_trigger, round(min(ret), 6) AS ret_trigger FROM ps JOIN pg ON pg.symbol = ps.symbol AND pg.e BETWEEN t0 AND t1 GROUP BY 1, 2, 3")
+def c5(spark, d):
+    # a month of sparse snapshots: wider tails than the prototype's 1 % and 5 %, and a trail that may lack its first bars
+    return superseded.prototype_events(_grid(spark, d)[1], P, oi_q=0.05, ret_q=0.2, least=2000)
+
+
+@query("m16_validators", f"{LEGACY}, {DENSE[len(COV) + 2:]}, {BARS}, lo AS (SELECT symbol, min(e) AS t0 FROM lc GROUP BY symbol, chain), pv AS (SELECT lo.symbol, t0, ln(close / lag(close) OVER (PARTITION BY lo.symbol, t0 ORDER BY bar)) AS r FROM lo JOIN bars b ON b.symbol = lo.symbol AND b.bar BETWEEN t0 + {120 * M} AND t0 + {720 * M}), vol AS (SELECT symbol, t0, CASE WHEN count(r) > 3 THEN stddev_samp(r) END AS v FROM pv GROUP BY 1, 2) SELECT lo.symbol, lo.t0, coalesce((SELECT sum(notional) > 0 FROM fills f WHERE f.symbol = lo.symbol AND f.side = 'buy' AND f.t BETWEEN lo.t0 AND lo.t0 + {120 * M}), false) AS adl, round(1e6 * ((SELECT avg(funding) FROM fills f WHERE f.symbol = lo.symbol AND f.t BETWEEN lo.t0 AND lo.t0 + {120 * M}) - (SELECT avg(funding) FROM fills f WHERE f.symbol = lo.symbol AND f.t BETWEEN lo.t0 - {60 * M} AND lo.t0)), 6) AS funding_swing_ppm, round(v, 6) AS post_vol FROM lo LEFT JOIN vol ON vol.symbol = lo.symbol AND vol.t0 = lo.t0")
+def m16(spark, d):
+    f = src.fills(spark, d)
+    v = superseded.validators(study.legacy_events(f, P), f.where("side = 'buy'"), src.snapshots(spark, d), _grid(spark, d)[0])
+    return v.select("symbol", "t0", "adl", (F.col("funding_swing") * 1e6).alias("funding_swing_ppm"), "post_vol")
+
+
+MEMBER = f"""WITH leg AS (WITH {LOUT} SELECT symbol, t0, t1, klass FROM lout), cor AS (WITH {MEAS} SELECT symbol, e0, klass, analysable, reason FROM fin), tt AS (WITH {TRIG} SELECT symbol, e, eligible, trigger FROM trig),
+best AS (SELECT l.symbol, l.t0, arg_min(c.e0, (c.e0 <> l.t0 + {5 * M}, c.e0)) AS e0 FROM leg l JOIN cor c ON c.symbol = l.symbol AND c.e0 BETWEEN l.t0 - {120 * M} AND l.t1 + {10 * M} GROUP BY 1, 2),
+why AS (SELECT l.symbol, l.t0, bool_or(eligible) AS el, bool_or(trigger) AS tr FROM leg l JOIN tt ON tt.symbol = l.symbol AND tt.e BETWEEN l.t0 + {5 * M} AND l.t1 + {5 * M} GROUP BY 1, 2),
+mem AS (SELECT l.symbol, l.t0 AS legacy_t0, l.klass AS legacy_class, CASE WHEN b.e0 IS NULL THEN 'dropped' WHEN b.e0 = l.t0 + {5 * M} THEN 'same onset bin' ELSE 'onset shifted' END AS status, b.e0, c.klass AS corrected_class, coalesce(c.analysable, false) AS analysable, CASE WHEN b.e0 IS NOT NULL THEN c.reason WHEN NOT coalesce(el, false) THEN 'before full warm-up' WHEN NOT tr THEN 'no bin exceeds prior-only threshold' ELSE 'absorbed into an earlier corrected chain' END AS exclusion, CASE WHEN b.e0 <> l.t0 + {5 * M} THEN round((b.e0 - l.t0 - {5 * M}) / {M}.0, 6) END::double AS shift_min
+FROM leg l LEFT JOIN best b ON b.symbol = l.symbol AND b.t0 = l.t0 LEFT JOIN cor c ON c.symbol = b.symbol AND c.e0 = b.e0 LEFT JOIN why w ON w.symbol = l.symbol AND w.t0 = l.t0
+UNION ALL SELECT symbol, NULL, NULL, 'new in corrected', e0, klass, analysable, reason, NULL FROM cor c WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.symbol = c.symbol AND b.e0 = c.e0))"""
+
+
+def _members(spark, d) -> DataFrame:
+    table = staged(clock.triggers(src.fills(spark, d), P))
+    return superseded.membership(_old(spark, d).select("symbol", "t0", "t1", "klass"), _study(spark, d), table, P)
+
+
+@query("g6_membership", f"{MEMBER} SELECT * FROM mem")
+def g6(spark, d):
+    return _members(spark, d)
+
+
+@query("a7_membership_summary", f"{MEMBER} SELECT status, exclusion, count(*) AS n FROM mem GROUP BY 1, 2")
+def a7(spark, d):
+    return _members(spark, d).groupBy("status", "exclusion").agg(F.count("*").alias("n"))
+
+
+@query("c9_clusters", f"{TRIG}, e6 AS ({ISL.format(n='ep6', g=405 * M)}), e24 AS ({ISL.format(n='ep24', g=1485 * M)}) SELECT symbol, e0, ep6::bigint AS ep6, ep24::bigint AS ep24, strftime(make_timestamp(e0), '%Y-%m-%d') AS day, strftime(make_timestamp(e0), '%G-W%V') AS week, symbol || ':' || e0 AS \"none\" FROM e6 JOIN e24 USING (symbol, e0)")
+def c9(spark, d):
+    return study.clustered(clock.onsets(clock.triggers(src.fills(spark, d), P), P).select("symbol", "e0"))
+
+
+# ---- streams, drained over what is there
+
+
+@query("t1s_stream_bins", f"{FILLS}, w AS (SELECT symbol, t // {W} * {W} + {W} AS e, sum(notional) AS notional, count(*) AS n FROM fills WHERE side = 'sell' GROUP BY 1, 2) SELECT symbol, e, round(notional, 6) AS notional, n FROM w WHERE e <= (SELECT max(t) // 1000 * 1000 - {10 * M} FROM fills WHERE side = 'sell')")
+def t1s(spark, d):
+    return live.drained(live.right_bins(src.fill_stream(spark, d), P))
+
+
+@query("t2s_stream_chains", f"{TRIG} SELECT symbol, e0, chain_end, n_triggers_chain FROM ons WHERE chain_end + {120 * M} <= (SELECT max(e) - {10 * M} FROM trig WHERE trigger)")
+def t2s(spark, d):
+    t = clock.triggers(src.fills(spark, d), P).where("trigger").select("symbol", "e")
+    return live.drained(live.onset_sessions(live.as_stream(t), P))
+
+
+@query("t3s_stream_triggers", f"{TRIG} SELECT symbol, e, {r6('r', 'thr')}, trigger FROM trig WHERE r IS NOT NULL")
+def t3s(spark, d):
+    rolled = clock.rolled(clock.bins(src.fills(spark, d), P), P).select("symbol", "e", "r")
+    return live.drained(live.trailing_triggers(live.as_stream(rolled), P))
+
+
+# ---- replicates of survival and regression
+
+
+KB = f"{SURV}, s AS (SELECT b, ({digest_sql('11', 'b', 'slot')}) % 97 AS cl FROM range(1, 50) x(b), range(0, 97) z(slot)), q AS (SELECT b, cl, count(*) AS freq FROM s GROUP BY 1, 2 UNION ALL SELECT 0, cl, 1 FROM (SELECT DISTINCT cl FROM rows_)), per AS (SELECT b, grp, d, sum(freq) AS n, coalesce(sum(freq) FILTER (ev), 0) AS deaths FROM rows_ JOIN q USING (cl) GROUP BY 1, 2, 3), ar AS (SELECT *, sum(n) OVER (PARTITION BY b, grp ORDER BY d DESC) AS at_risk FROM per), km AS (SELECT b, grp, d, product(1 - deaths / at_risk) OVER (PARTITION BY b, grp ORDER BY d) AS s FROM ar WHERE deaths > 0), st AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY b, grp ORDER BY d), 40.0) AS nx FROM km WHERE d < 40), rm AS (SELECT b, grp, min(d) + sum(s * (nx - d)) AS rmst FROM st GROUP BY 1, 2), df AS (SELECT b, max(rmst) FILTER (grp = 'A') - max(rmst) FILTER (grp = 'N') AS d FROM rm GROUP BY b)"
+
+
+@query("k3_rmst_difference", f"{KB} SELECT round(max(d) FILTER (b = 0), 6) AS est, round(quantile_cont(d, 0.025) FILTER (b > 0), 6) AS lo, round(quantile_cont(d, 0.975) FILTER (b > 0), 6) AS hi FROM df")
+def k3(spark, d):
+    return stats.rmst_difference(spark, survival(spark, d), "A", "N", "cl", 40.0, 49)
+
+
+@query("k5_stratified_logrank", "r0 AS (SELECT l_returnflag AS grp, l_quantity AS d, l_linestatus = 'F' AS ev, l_extendedprice AS size FROM lineitem WHERE l_returnflag IN ('A', 'N')), r1 AS (SELECT *, CASE WHEN size <= (SELECT quantile_cont(size, 0.5) FROM r0) THEN 'small' ELSE 'large' END AS stratum FROM r0), per AS (SELECT stratum, d, count(*) AS c, count(*) FILTER (grp = 'A') AS c1, count(*) FILTER (ev) AS dd, count(*) FILTER (ev AND grp = 'A') AS d1 FROM r1 GROUP BY 1, 2), t AS (SELECT stratum, d, dd, d1, sum(c) OVER w AS n, sum(c1) OVER w AS n1 FROM per WINDOW w AS (PARTITION BY stratum ORDER BY d DESC)), x AS (SELECT stratum, sum(d1 - dd * n1 / n) AS u, sum(CASE WHEN n > 1 THEN dd * (n1 / n) * (1 - n1 / n) * (n - dd) / (n - 1) ELSE 0 END) AS v FROM t WHERE dd > 0 GROUP BY 1) SELECT stratum, round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chi2 FROM x")
+def k5(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet").where(F.col("l_returnflag").isin("A", "N"))
+    return stats.stratified_log_rank(li.select(F.col("l_returnflag").alias("grp"), F.col("l_quantity").alias("d"), (F.col("l_linestatus") == "F").alias("ev"), F.col("l_extendedprice").alias("size")), "A", "size")
+
+
+COEF = "(covar_pop({x}, y) * var_pop(c) - covar_pop({x}, c) * covar_pop(c, y)) / (var_pop({x}) * var_pop(c) - covar_pop({x}, c) * covar_pop({x}, c))"
+
+
+@query("r10_ols_permutation", f"{REG}, k AS (SELECT id, y, x AS c, flag::int::double AS f FROM reg), n AS (SELECT sum(f) AS n1, {COEF.format(x='f')} AS est FROM k), o AS (SELECT b, y, c, row_number() OVER (PARTITION BY b ORDER BY {digest_sql('3', 'b', 'id')}, id) AS o FROM k, range(1, 50) x(b)), l AS (SELECT b, y, c, (o <= n1)::int::double AS z FROM o, n), r AS (SELECT b, {COEF.format(x='z')} AS d FROM l GROUP BY b) SELECT round(max(est), 6) AS est, round((count(*) FILTER (abs(d) >= abs(est)) + 1) / (count(*) + 1), 6) AS p FROM r, n")
+def r10(spark, d):
+    return stats.ols_permutation(regression(spark, d), "y", "flag", "x", 49)
+
+
+@query("f6_date_exclusion", "SELECT count(*) AS n, count(*) FILTER (o_orderdate >= '1995-10-10' AND o_orderdate < '1995-10-18') AS excluded, count(*) FILTER (NOT (o_orderdate >= '1995-10-10' AND o_orderdate < '1995-10-18')) AS kept FROM orders")
+def f6(spark, d):
+    inside = F.expr("o_orderdate >= timestamp_ntz'1995-10-10' and o_orderdate < timestamp_ntz'1995-10-18'")
+    return spark.read.parquet(f"{d}/orders.parquet").agg(F.count("*").alias("n"), F.count_if(inside).alias("excluded"), F.count_if(~inside).alias("kept"))

@@ -155,13 +155,68 @@ def average_rank(column: str, by: list[str] | None = None) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2.0
 
 
+def relabelled(rows: DataFrame, n1: int, draws: int, seed: int) -> DataFrame:
+    """``rows`` once a draw, with ``one``: whether the draw's shuffle gives the row one of ``n1`` labels.
+
+    The labels go to the smallest digests of a draw. Counts of digest buckets name the bucket that holds the last
+    of them, and only that bucket's rows are ordered: no task holds a whole draw."""
+    dealt = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_h", draw(seed, F.col("b"), F.col("id"))).withColumn("_k", F.shiftright("_h", 16))
+    w = Window.partitionBy("b").orderBy("_k")
+    counts = dealt.groupBy("b", "_k").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(w))
+    cut = counts.where((F.col("_upto") >= n1) & (F.col("_upto") - F.col("_n") < n1)).select("b", F.col("_k").alias("_cut"), (n1 - F.col("_upto") + F.col("_n")).alias("_rest"))
+    j = dealt.join(cut, "b")
+    sure = j.where("_k <> _cut").withColumn("one", F.col("_k") < F.col("_cut"))
+    edge = j.where("_k = _cut").withColumn("one", F.row_number().over(Window.partitionBy("b").orderBy("_h", "id")) <= F.col("_rest"))
+    return sure.unionByName(edge).drop("_h", "_k", "_cut", "_rest")
+
+
 def permutation(spark: SparkSession, rows: DataFrame, value: str, flag: str, draws: int, seed: int = 3, stat: str = "avg") -> DataFrame:
-    """One row: difference of means or medians between flagged rows and the rest, and its two-sided p."""
-    r = rows.where(F.col(value).isNotNull()).select("id", F.col(value).alias("v"), F.col(flag).cast("int").alias("f"))
-    n1 = r.agg(F.sum("f").alias("n")).first()["n"] or 0
+    """One row: difference of means or medians between flagged rows and the rest, and its two-sided p;
+    null below three rows a side."""
+    r = rows.where(F.col(value).isNotNull()).select("id", F.col(value).alias("v"), F.col(flag).alias("one"))
     f = (lambda c: f"avg(case when {c} then v end)") if stat == "avg" else (lambda c: f"percentile(case when {c} then v end, 0.5D)")
-    est = r.agg(F.expr(f"{f('f = 1')} - {f('f = 0')}").alias("est"))
-    dealt = r.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("o", F.row_number().over(Window.partitionBy("b").orderBy(draw(seed, F.col("b"), F.col("id")), "id")))
-    reps = dealt.groupBy("b").agg(F.expr(f"{f(f'o <= {n1}')} - {f(f'o > {n1}')}").alias("d"))
-    e = F.lit(est.first()["est"]).cast("double")
-    return reps.agg(F.max(e).alias("est"), ((F.count_if(F.abs("d") >= F.abs(e)) + 1) / (F.count("*") + 1)).alias("p"))
+    diff = F.expr(f"{f('one')} - {f('not one')}")
+    e = r.agg(diff.alias("est"), F.count_if(F.col("one")).alias("n1"), F.count_if(~F.col("one")).alias("n2")).first()
+    reps = relabelled(r.drop("one"), e["n1"], draws, seed).groupBy("b").agg(diff.alias("d"))
+    est, ok = F.lit(e["est"]).cast("double"), F.lit(e["n1"] >= 3 and e["n2"] >= 3)
+    return reps.agg(F.when(ok, F.max(est)).alias("est"), F.when(ok, (F.count_if(F.abs("d") >= F.abs(est)) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def ols_permutation(rows: DataFrame, y: str, flag: str, control: str, draws: int, seed: int = 3) -> DataFrame:
+    """One row: coefficient of a dummy beside one control, and its p under shuffles of the dummy.
+
+    Each draw is one aggregate of sums; the control is partialled out of both sides."""
+    r = rows.select("id", F.col(y).alias("y"), F.col(control).alias("c"), F.col(flag).alias("one")).na.drop()
+    x = F.col("one").cast("double")
+    cov = lambda a, b: F.covar_pop(a, b)
+    c, v = F.col("c"), F.col("y")
+    coef = (cov(x, v) * F.var_pop(c) - cov(x, c) * cov(c, v)) / (F.var_pop(x) * F.var_pop(c) - cov(x, c) * cov(x, c))
+    e = r.agg(coef.alias("est"), F.count_if(F.col("one")).alias("n1")).first()
+    reps = relabelled(r.drop("one"), e["n1"], draws, seed).groupBy("b").agg(coef.alias("d"))
+    est = F.lit(e["est"]).cast("double")
+    return reps.agg(F.max(est).alias("est"), ((F.count_if(F.abs("d") >= F.abs(est)) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def rmst_difference(spark: SparkSession, rows: DataFrame, one: str, other: str, cluster: str, tau: float, draws: int, seed: int = 11, group: str = "grp", time: str = "d", event: str = "ev") -> DataFrame:
+    """One row: difference of restricted means with cluster-bootstrap percentiles.
+
+    Rows become counts by cluster, group, time and outcome before they meet the draws."""
+    r = rows.where(F.col(group).isin(one, other))
+    per = r.groupBy(cluster, group, time, event).agg(F.count("*").alias("n"))
+    again = per.join(cluster_draws(spark, r, cluster, draws, seed), cluster).withColumn("n", F.col("n") * F.col("freq"))
+    both = per.withColumn("b", F.lit(0)).unionByName(again.drop("freq")).withColumn("_key", F.concat_ws(":", F.col("b").cast("string"), F.col(group)))
+    means = rmst(kaplan_meier(both, "_key", time, event, "n"), both.select("_key", "b", group).distinct(), tau, "_key", time)
+    side = lambda g: F.max(F.when(F.col(group) == g, F.col("rmst")))
+    d = means.groupBy("b").agg((side(one) - side(other)).alias("d"))
+    boot = F.when(F.col("b") > 0, F.col("d"))
+    return d.agg(F.max(F.when(F.col("b") == 0, F.col("d"))).alias("est"), F.percentile(boot, F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("est", F.element_at("q", 1).alias("lo"), F.element_at("q", 2).alias("hi"))
+
+
+def stratified_log_rank(rows: DataFrame, one: str, size: str, group: str = "grp", time: str = "d", event: str = "ev") -> DataFrame:
+    """(stratum, u, v, chi2): the log-rank test below or at the exact median size, and above it."""
+    median = rows.agg(F.expr(f"percentile({size}, 0.5D)").alias("m")).first()["m"]
+    out = None
+    for name, kept in (("small", F.col(size) <= F.lit(median)), ("large", F.col(size) > F.lit(median))):
+        part = log_rank(rows.where(kept), one, group, time, event).select(F.lit(name).alias("stratum"), "u", "v", "chi2")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -17,15 +17,29 @@ def micros(column: str):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_events(raw: DataFrame) -> DataFrame:
     symbol = F.when(F.col("user_id") % 2 == 0, "BTC").otherwise("ETH")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("ingest_idx"), micros("ts").alias("t"), symbol.alias("symbol"), "event_type", "value", "user_id")
+    return raw.select(F.col("event_id").alias("ingest_idx"), micros("ts").alias("t"), symbol.alias("symbol"), "event_type", "value", "user_id")
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_fills(events(spark, sf_dir))
+
+
+def fill_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fills as a stream of the table's files. A stream takes a single file only by a pattern."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return as_fills(as_events(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")))
+
+
+def as_fills(rows: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     direction = F.when(kind == "view", "Close Long").when(kind == "click", "Liquidated Cross Long").when(kind == "error", "Liquidated Isolated Long").when(kind == "purchase", "Close Short").otherwise("Liquidated Cross Short")
     side = F.when(kind.isin("view", "click", "error"), "sell").otherwise("buy")
-    return events(spark, sf_dir).select("ingest_idx", "t", "symbol", side.alias("side"), direction.alias("direction"), F.lit(100.0).alias("px"), (F.col("value") / 100).alias("sz"), F.lit(True).alias("is_liquidation"), F.col("value").alias("notional"))
+    return rows.select("ingest_idx", "t", "symbol", side.alias("side"), direction.alias("direction"), F.lit(100.0).alias("px"), (F.col("value") / 100).alias("sz"), F.lit(True).alias("is_liquidation"), F.col("value").alias("notional"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
