@@ -23,9 +23,22 @@ P = MONTH
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, counts to long: the form both engines agree on."""
+    """Doubles to six places without negative zeros, counts to long: the form both engines agree on."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(F.col(c), 6).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("bigint").alias(c) if kinds[c] in ("int", "smallint") else F.col(c) for c in df.columns])
+    return df.select(*[(F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("bigint").alias(c) if kinds[c] in ("int", "smallint") else F.col(c) for c in df.columns])
+
+
+def unsigned_zero(sql: str) -> str:
+    """``sql`` with 0.0 added to each ``round(...)``, so that no negative zero is left."""
+    at = 0
+    while (at := sql.find("round(", at)) >= 0:
+        end, depth = at + 6, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}({sql[at:end]} + 0.0){sql[end:]}"
+        at += 7
+    return sql
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -36,7 +49,8 @@ def query(name: str, sql: str | None = None) -> Callable:
 
         QUERIES[name] = call
         if sql is not None:
-            ORACLE[name] = ("WITH " + sql) if not sql.lstrip().upper().startswith(("WITH", "SELECT")) else sql
+            whole = sql if sql.lstrip().upper().startswith(("WITH", "SELECT")) else "WITH " + sql
+            ORACLE[name] = unsigned_zero(whole)
         return f
 
     return add
@@ -92,7 +106,7 @@ fa AS (SELECT symbol, e0, min(bar_end) FILTER (close >= p_ref * 0.999) AS hit, m
 m6 AS (SELECT m.symbol, m.e0, CASE WHEN p_ref IS NOT NULL THEN greatest(0.0, (coalesce(hit, fu, m.e0 + {120 * M}) - m.e0 - {120 * M}) / {M}.0) END AS rec_min, CASE WHEN p_ref IS NOT NULL THEN hit IS NOT NULL END AS rec_event, CASE WHEN p_ref IS NOT NULL THEN hit IS NOT NULL OR coalesce(fu, 0) >= m.e0 + {1440 * M} END AS rec_complete FROM m2 m LEFT JOIN fa ON fa.symbol = m.symbol AND fa.e0 = m.e0),
 cl0 AS (SELECT m2.*, oi_base_n, oi_trough_n, doi, p6h, p24h, rec_min, rec_event, rec_complete, count(doi) OVER w AS n_prior, quantile_cont(doi, 0.1) OVER w AS q FROM m2 JOIN m3 USING (symbol, e0) JOIN m4 USING (symbol, e0) JOIN m6 USING (symbol, e0) WINDOW w AS (PARTITION BY symbol ORDER BY e0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cl1 AS (SELECT *, CASE WHEN doi IS NOT NULL THEN CASE WHEN n_prior >= 20 THEN q ELSE -0.025 END END AS contraction_cut FROM cl0),
-cls AS (SELECT c.*, r_onset, concat_ws(';', CASE WHEN p_ref IS NULL THEN 'reference_bars' END, CASE WHEN NOT w_ok THEN 'window_bars_or_beyond_data' END, CASE WHEN oi_base_n < 11 THEN 'oi_baseline' END, CASE WHEN oi_trough_n < 24 THEN 'oi_trough' END) AS reason, CASE WHEN doi IS NULL THEN 'unknown' WHEN doi <= contraction_cut THEN 'contraction' WHEN doi > -0.005 THEN 'limited' ELSE 'intermediate' END AS klass, CASE WHEN p6h IS NOT NULL AND disp <> 0 THEN least(1.0, greatest(0.0, 1 - p6h / disp)) END AS reversion FROM cl1 c JOIN ons o ON o.symbol = c.symbol AND o.e0 = c.e0),
+cls AS (SELECT c.*, r_onset, concat_ws(';', CASE WHEN p_ref IS NULL THEN 'reference_bars' END, CASE WHEN NOT w_ok THEN 'window_bars_or_beyond_data' END, CASE WHEN oi_base_n < 11 THEN 'oi_baseline' END, CASE WHEN oi_trough_n < 24 THEN 'oi_trough' END) AS reason, CASE WHEN doi IS NULL THEN 'unknown' WHEN doi <= contraction_cut THEN 'contraction' WHEN doi > -0.005 THEN 'limited' ELSE 'intermediate' END AS klass, CASE WHEN p6h IS NOT NULL AND abs(disp) > 1e-12 THEN least(1.0, greatest(0.0, 1 - p6h / disp)) END AS reversion FROM cl1 c JOIN ons o ON o.symbol = c.symbol AND o.e0 = c.e0),
 fin AS (SELECT *, reason = '' AND klass <> 'unknown' AS analysable FROM cls)"""
 
 
@@ -524,7 +538,7 @@ def _old(spark, d, p=P) -> DataFrame:
     return superseded.outcomes(study.legacy_events(src.fills(spark, d), p), _grid(spark, d)[1], p)
 
 
-@query("m13_legacy_outcomes", f"{LOUT} SELECT symbol, t0, round(p0, 6) AS p0, round(doi, 6) AS doi_event, round(peak_disloc, 6) AS peak_disloc, round(coalesce((hit - t0) / {M}.0, 1440.0), 6)::double AS ttr_min, hit IS NULL AS censored, {r6('perm_6h', 'perm_24h')}, round(CASE WHEN perm_6h IS NOT NULL AND peak_disloc <> 0 THEN least(1.0, greatest(0.0, 1 - perm_6h / peak_disloc)) END, 6) AS transitory_share, CASE WHEN {HOUR} < 8 THEN 'asia' WHEN {HOUR} < 13 THEN 'eu' WHEN {HOUR} < 17 THEN 'eu_us_overlap' ELSE 'us' END AS session FROM lout")
+@query("m13_legacy_outcomes", f"{LOUT} SELECT symbol, t0, round(p0, 6) AS p0, round(doi, 6) AS doi_event, round(peak_disloc, 6) AS peak_disloc, round(coalesce((hit - t0) / {M}.0, 1440.0), 6)::double AS ttr_min, hit IS NULL AS censored, {r6('perm_6h', 'perm_24h')}, round(CASE WHEN perm_6h IS NOT NULL AND abs(peak_disloc) > 1e-12 THEN least(1.0, greatest(0.0, 1 - perm_6h / peak_disloc)) END, 6) AS transitory_share, CASE WHEN {HOUR} < 8 THEN 'asia' WHEN {HOUR} < 13 THEN 'eu' WHEN {HOUR} < 17 THEN 'eu_us_overlap' ELSE 'us' END AS session FROM lout")
 def m13(spark, d):
     return _old(spark, d).select("symbol", "t0", "p0", "doi_event", "peak_disloc", "ttr_min", "censored", "perm_6h", "perm_24h", "transitory_share", "session")
 

@@ -99,7 +99,8 @@ def classify(ev: DataFrame, p: Params, labels: tuple[str, str, str, str] = ("con
 
 
 def reversion(ev: DataFrame) -> DataFrame:
-    ok = F.col("p6h").isNotNull() & (F.col("disp") != 0)
+    # a displacement of rounding size alone has no index
+    ok = F.col("p6h").isNotNull() & (F.abs("disp") > 1e-12)
     return ev.withColumn("reversion", F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("p6h") / F.col("disp")))))
 
 

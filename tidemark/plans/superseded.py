@@ -49,9 +49,10 @@ def outcomes(ev: DataFrame, grid: DataFrame, p: Params, censor_h: int = 24, trou
     for h in (6, 24):
         out = lookups.forward(staged(out).withColumn("_at", t0 + h * 60 * M), closes, "close", "_at").withColumn(f"perm_{h}h", F.log(F.col("close") / F.col("p0"))).drop("close", "_at")
     out = out.withColumn("peak_disloc", F.log(F.col("_low") / F.col("p0"))).withColumn("doi", F.when(F.col("_b") != 0, (F.col("_l") - F.col("_b")) / F.col("_b")))
+    # a displacement of rounding size alone has no share
     out = out.withColumn("ttr_min", F.coalesce((F.col("_hit") - t0) / M, F.lit(float(censor_h * 60)))).withColumn("censored", F.col("_hit").isNull())
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("perm_6h") / F.col("peak_disloc")))
-    out = out.withColumn("transitory_share", F.when(F.col("perm_6h").isNotNull() & (F.col("peak_disloc") != 0), share)).withColumn("session", session(t0))
+    out = out.withColumn("transitory_share", F.when(F.col("perm_6h").isNotNull() & (F.abs("peak_disloc") > 1e-12), share)).withColumn("session", session(t0))
     out = measures.classify(out.withColumnRenamed("t0", "e0"), p, LABELS).withColumnRenamed("e0", "t0")
     return out.withColumnRenamed("doi", "doi_event").drop("_low", "_trough", "_b", "_l", "_hit", "contraction_cut")
 
