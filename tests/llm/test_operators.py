@@ -86,6 +86,27 @@ def test_language_keeps_clean_text_and_reads_pages(spark, docs, empty):
     assert (r.l, r.s, r.t.strip()) == ("fr", "fr", "x")
 
 
+HELD_OUT = [
+    ("el", "Η γάτα και ο σκύλος ζουν μαζί στο παλιό σπίτι δίπλα στη θάλασσα."),
+    ("el", "Το παλιό σπίτι στη θάλασσα είναι μικρό και η γάτα ζει μαζί με τον σκύλο."),
+    ("ko", "오늘 아침에는 비가 많이 와서 학교에 늦게 도착했습니다."),
+    ("pl", "W zeszłym roku żółte liście spadały z drzew aż do późnej jesieni."),
+    ("en", "Yesterday my neighbour borrowed a wheelbarrow and never brought it back."),
+]
+
+
+def test_language_keeps_held_out_sentences(spark):
+    prose = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    r = random.Random(5)
+    noise = ["".join(chr(r.randrange(33, 0x2FF)) for _ in range(300)) for _ in range(3)]
+    rows = [(-1 - i, t, lang, None) for i, (lang, t) in enumerate(HELD_OUT)] + [(-100 - i, t, None, None) for i, t in enumerate([HELD_OUT[1][1] + HELD_OUT[0][1], *noise])]
+    d = prose.unionByName(spark.createDataFrame(rows, prose.schema))
+    got = {x.doc_id: x for x in langid.identify(d, F.col("text"), F.col("lang"), F.col("source")).where("doc_id < 0").collect()}
+    assert len(got) == len(rows) and not any(got[-1 - i].rejected for i in range(len(HELD_OUT)))
+    assert [got[i].text_lang for i in (-1, -2, -100)] == ["el"] * 3 and got[-1].lang_pred == "el" and not got[-100].rejected
+    assert all(got[-101 - i].rejected for i in range(len(noise)))
+
+
 def shingles(text, width):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])

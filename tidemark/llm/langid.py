@@ -4,11 +4,14 @@ Text gives log P(byte trigrams | language) under smoothed models trained on the
 declared markup language and the address suffix give P(value | language) from grouped counts of
 text-only decisions. The host gives a prior smoothed in levels: host towards registered domain
 towards all rows, each level one grouped aggregation; a row's own count is left out. The
-posterior is the normalised product. A row is rejected when uniform noise explains its text better
-than every language, or when the text holds too few letters to carry a language and nothing else does.
-
-Languages are the declared values that hold at least ``min_share`` of the rows (so at most 1/min_share: the
-model is at most 1/min_share * 2^14 floats). Null or blank declarations, suffixes and hosts are no evidence.
+posterior is the normalised product. A row is rejected when its text holds no letters, or when uniform noise
+explains its text better than every language and no language code is declared.
+
+Declared values that hold at least ``min_share`` of the rows have a model in every task (at most 1/min_share *
+2^14 floats). All others, however rare, share one slot: their counts stay a table keyed by language and bucket,
+which is joined with the rows that declare one of them, that their pooled model explains best, or that noise
+explains better than every common language; a row's own counts are left out, and the best of them fills the slot.
+Null or blank declarations, suffixes and hosts are no evidence.
 Null or empty texts have no text evidence and are rejected. Tables without a declaration give no language.
 """
 
@@ -25,6 +28,10 @@ BITS = 14
 GROUP_BYTES = 1 << 20
 #: Bytes of text after which more text adds no certainty: neighbours in a text are not independent.
 ENOUGH = 200.0
+#: Weight of the uniform distribution in each model: no trigram costs more than log(2^BITS / FLOOR), however large the corpus.
+FLOOR = 0.1
+#: The slot of the languages below ``min_share``.
+RARE = "\0rare"
 
 
 def markup_language(html: Column) -> Column:
@@ -81,10 +88,11 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def languages(declared: DataFrame, min_share: float) -> list[str]:
-    """Declared values with at least ``min_share`` of the non-null rows."""
+    """Declared values with at least ``min_share`` of the non-null rows, and ``RARE`` if there are others."""
     counts = declared.where(F.col("declared").isNotNull()).groupBy("declared").count()
     total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0
-    return sorted(r["declared"] for r in counts.where(F.col("count") >= max(1, min_share * total)).collect())
+    common = sorted(r["declared"] for r in counts.where(F.col("count") >= max(1, min_share * total)).collect())
+    return common + [RARE] * (not counts.where(F.col("count") < max(1, min_share * total)).isEmpty())
 
 
 def train(rows: DataFrame, langs: list[str]) -> np.ndarray:
@@ -105,13 +113,50 @@ def train(rows: DataFrame, langs: list[str]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums.ravel()[at])], names=["cell", "n"])
 
     counts = np.zeros(len(langs) << BITS)
-    got = rows.where(F.col("declared").isin(langs)).select("declared", "text").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    slot = F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNotNull(), F.lit(RARE))
+    got = rows.select(slot.alias("declared"), "text").where(F.col("declared").isNotNull()).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts[got["cell"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
     counts = counts.reshape(len(langs), -1)
     share = (counts.sum(axis=0) + 1) / (counts.sum() + (1 << BITS))
     # each language backs off to all of them together
     model = (counts + 0.02 * (1 << BITS) * share) / (counts.sum(axis=1, keepdims=True) + 0.02 * (1 << BITS))
-    return np.log(model).T.astype(np.float32)
+    return np.log((1 - FLOOR) * model + FLOOR / (1 << BITS)).T.astype(np.float32)
+
+
+def rare_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """(lang, cell, n, total): trigram counts of the languages that share the slot, as a table."""
+
+    def run(batches):
+        for batch in batches:
+            declared, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang in sorted(set(declared)):
+                for group in _groups([t for t, d in zip(texts, declared) if d == lang]):
+                    bucket, start, n = trigrams(group)
+                    at, times = np.unique(np.concatenate([bucket[s : s + k] for s, k in zip(start, n)]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(times.astype(np.int64))], names=["lang", "cell", "n"])
+
+    rare = rows.where(F.col("declared").isNotNull() & ~F.col("declared").isin(langs)).select("declared", "text")
+    counts = staged(rare.mapInArrow(run, "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")))
+    return counts.join(counts.groupBy("lang").agg(F.sum("n").alias("total")), "lang")
+
+
+def fill_rare(weighed: DataFrame, counts: DataFrame, langs: list[str]) -> DataFrame:
+    """``weighed`` with the best rare language and its weight in the slot; rows that asked for none cannot be in it."""
+    cells = weighed.where(F.col("cells").isNotNull()).select("_row", "declared", "n_grams", F.explode(F.arrays_zip("cells", "times")).alias("c"))
+    cells = cells.select("_row", "declared", "n_grams", F.col("c.cells").alias("cell"), F.col("c.times").alias("times")).join(counts, "cell")
+    mine = F.coalesce(F.col("declared") == F.col("lang"), F.lit(False)).cast("bigint")
+    floor = FLOOR / (1 << BITS)
+    p = (1 - FLOOR) * F.greatest(F.col("n") - mine * F.col("times"), F.lit(0)) / F.greatest(F.col("total") - mine * F.col("n_grams"), F.lit(1)) + floor
+    gain = cells.groupBy("_row", "n_grams", "lang").agg(F.sum(F.col("times") * F.log(p / floor)).alias("g"))
+    ll = (F.col("g") / F.col("n_grams") + float(np.log(floor))) * F.least(F.col("n_grams"), F.lit(ENOUGH))
+    best = gain.groupBy("_row").agg(F.max(F.struct(F.round(ll, 6).alias("ll"), "lang")).alias("best"))
+    n = len(langs) - 1
+    out = weighed.join(best, "_row", "left").withColumn("rare_lang", F.col("best.lang"))
+    out = out.withColumn("ll", F.concat(F.slice("ll", 1, n), F.array(F.coalesce("best.ll", F.lit(-1e9))), F.slice("ll", n + 2, 1)))
+    names = F.array(*map(F.lit, langs))
+    text = F.slice("ll", 1, n + 1)
+    out = out.withColumn("text_lang", F.when(F.col("n_bytes") > 0, F.element_at(names, F.array_position(text, F.array_max(text)).cast("int"))))
+    return out.drop("_row", "cells", "times", "n_grams", "best")
 
 
 def identify(docs: DataFrame, text: Column | None = None, declared: Column | None = None, host: Column | None = None, id_col: str = "doc_id", carry: tuple[str, ...] = (), min_share: float = 0.005, host_weight: float = 4.0) -> DataFrame:
@@ -125,31 +170,41 @@ def identify(docs: DataFrame, text: Column | None = None, declared: Column | Non
     if not langs:
         return rows.select(F.col("id").alias(id_col), blank.alias("lang_pred"), F.lit(None).cast("double").alias("posterior"), blank.alias("text_lang"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), (F.coalesce(F.octet_length("text"), F.lit(0)) == 0).alias("rejected"), *[F.col(f"c_{c}").alias(c) for c in carry])
     model = docs.sparkSession.sparkContext.broadcast(train(rows, langs))
-    n_lang = len(langs)
+    n_lang, named = len(langs), set(langs)
     noise = np.float32(-BITS * np.log(2))
 
     def weigh(batches):
         table = np.concatenate((model.value, np.full((1 << BITS, 1), noise, dtype=np.float32)), axis=1)
         for batch in batches:
-            parts, sizes, letters = [], [], []
+            parts, sizes, letters, held, grams = [], [], [], [], []
             for group in _groups(batch.column(3).to_pylist()):
                 bucket, start, n = trigrams(group)
                 ends = np.cumsum(table[bucket], axis=0, dtype=np.float64)
                 ends = np.vstack((np.zeros(n_lang + 1), ends))
                 parts.append((ends[start + n] - ends[start]) / n[:, None] * np.minimum(n, ENOUGH)[:, None])
                 sizes += [len(t) for t in group]
+                if langs[-1] == RARE:
+                    declared = batch.column(1).slice(len(held), len(group)).to_pylist()
+                    asks = (parts[-1].argmax(axis=1) >= n_lang - 1) | np.array([d is not None and d not in named for d in declared])
+                    held += [np.unique(bucket[s : s + k], return_counts=True) if ask else (None, None) for s, k, ask in zip(start, n, asks)]
+                    grams += n.tolist()
                 letters += [sum(map(len, t.translate(None, b"\t\n\r !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~").split())) for t in group]
             ll = np.concatenate(parts) if parts else np.zeros((0, n_lang + 1))
             best = ll[:, :n_lang].argmax(axis=1)
             sizes = np.array(sizes, dtype=np.int64)
+            more = [pa.array([x[0] for x in held], pa.list_(pa.int32())), pa.array([x[1] for x in held], pa.list_(pa.int64())), pa.array(grams, pa.int64())] if langs[-1] == RARE else []
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(list(ll), pa.list_(pa.float64())), pa.array([langs[i] if s else None for i, s in zip(best, sizes)], pa.string()), pa.array(sizes), pa.array(np.array(letters, dtype=np.int64))],
-                names=[*batch.schema.names, "ll", "text_lang", "n_bytes", "letters"],
+                [*batch.columns, pa.array(list(ll), pa.list_(pa.float64())), pa.array([langs[i] if s else None for i, s in zip(best, sizes)], pa.string()), pa.array(sizes), pa.array(np.array(letters, dtype=np.int64)), *more],
+                names=[*batch.schema.names, "ll", "text_lang", "n_bytes", "letters", *("cells", "times", "n_grams")[: len(more)]],
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    weighed = rows.mapInArrow(weigh, f"{kinds}, ll array<double>, text_lang string, n_bytes bigint, letters bigint")
-    weighed = staged(weighed if any(c == "text" for c in carry) else weighed.drop("text"))
+    weighed = rows.mapInArrow(weigh, f"{kinds}, ll array<double>, text_lang string, n_bytes bigint, letters bigint" + ", cells array<int>, times array<bigint>, n_grams bigint" * (langs[-1] == RARE)).drop("text")
+    if langs[-1] == RARE:
+        weighed = fill_rare(staged(weighed.withColumn("_row", F.monotonically_increasing_id())), rare_counts(rows, langs), langs)
+    else:
+        weighed = weighed.withColumn("rare_lang", blank)
+    weighed = staged(weighed)
     return fuse(weighed, langs, id_col, carry, host_weight, min_share)
 
 
@@ -195,7 +250,9 @@ def fuse(rows: DataFrame, langs: list[str], id_col: str, carry: tuple[str, ...],
     logs = add(add(F.transform(prior, lambda x: F.log(x)), F.when(F.col("n_bytes") > 0, text).otherwise(F.array(*[F.lit(0.0)] * len(langs)))), add(_given(rows, "declared", langs, min_share), _given(rows, "suffix", langs, min_share)))
     rows = rows.withColumn("logs", logs).withColumn("most", F.array_max("logs"))
     rows = rows.withColumn("posterior", 1 / F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("most"))), F.lit(0.0), lambda a, x: a + x))
-    best = F.element_at(F.array(*map(F.lit, langs)), F.array_position("logs", F.col("most")).cast("int"))
+    plain = lambda c: F.when(c == RARE, F.col("rare_lang")).otherwise(c)
+    best = plain(F.element_at(F.array(*map(F.lit, langs)), F.array_position("logs", F.col("most")).cast("int")))
+    code = F.coalesce(F.col("declared").rlike("^[a-z]{2,3}([-_]|$)"), F.lit(False))
     noise = F.element_at("ll", len(langs) + 1) > F.array_max(text)
-    rejected = (F.col("n_bytes") == 0) | (F.col("letters") == 0) | noise
-    return rows.select(F.col("id").alias(id_col), best.alias("lang_pred"), "posterior", "text_lang", "n_bytes", rejected.alias("rejected"), *[F.col(f"c_{c}").alias(c) for c in carry])
+    rejected = (F.col("n_bytes") == 0) | (F.col("letters") == 0) | (noise & ~code)
+    return rows.select(F.col("id").alias(id_col), best.alias("lang_pred"), "posterior", plain(F.col("text_lang")).alias("text_lang"), "n_bytes", rejected.alias("rejected"), *[F.col(f"c_{c}").alias(c) for c in carry])
