@@ -43,3 +43,13 @@ def test_table_equality_counts_cells(spark):
 def test_reinstated_rows(spark):
     f = spark.createDataFrame([(0, "A", 1), (3, "A", 2), (4, "A", 3)], "ingest_idx bigint, symbol string, t bigint").withColumn("side", F.lit("sell")).withColumn("notional", F.lit(1.0))
     assert quality.reinstated(f, quality.dropped(f)).count() == 5
+
+
+def test_bootstrap_interval_ends_where_p_crosses(spark):
+    # a slope of 0.009 that a fixed grid of nulls, a tenth apart, cannot bracket
+    rows = spark.range(2000).selectExpr("id % 23 as cl", "id % 13 / 13.0D as x", "0.009D * (id % 13) / 13.0D + ((id * 7919) % 101 - 50) / 2000.0D + (id % 23 - 11) / 900.0D * (id % 13) / 13.0D as y")
+    r = stats.wild_interval(spark, rows, "y", ["x"], "cl", 199).first()
+    assert r.lo < r.coef < r.hi < r.coef + 6 * r.se and r.lo > r.coef - 6 * r.se
+    near = [r.lo - 0.1 * r.se, r.lo + 0.1 * r.se, r.hi - 0.1 * r.se, r.hi + 0.1 * r.se, 0.0]
+    p = {x.beta0: x.p for x in stats.wild_bootstrap(spark, rows, "y", ["x"], "cl", 199, nulls=tuple(near)).collect()}
+    assert p[near[0]] <= 0.05 < p[near[1]] and p[near[3]] <= 0.05 < p[near[2]] and p[0.0] == r.p
