@@ -53,3 +53,15 @@ def test_bootstrap_interval_ends_where_p_crosses(spark):
     near = [r.lo - 0.1 * r.se, r.lo + 0.1 * r.se, r.hi - 0.1 * r.se, r.hi + 0.1 * r.se, 0.0]
     p = {x.beta0: x.p for x in stats.wild_bootstrap(spark, rows, "y", ["x"], "cl", 199, nulls=tuple(near)).collect()}
     assert p[near[0]] <= 0.05 < p[near[1]] and p[near[3]] <= 0.05 < p[near[2]] and p[0.0] == r.p
+
+
+def test_quantiles_are_exact_and_no_task_holds_a_group(spark):
+    # ties, outliers of a wide range, one value that holds half of a group, a group of one
+    rows = spark.range(4000).selectExpr("case when id = 7 then 'c' when id % 3 = 0 then 'a' else 'b' end as g", "id % 11 as cl", "case when id % 3 = 1 and id % 2 = 0 then 5.0D when id % 401 = 0 then 1e12D * id else (id * 7919) % 1009 / 7.0D end as v")
+    draws = stats.cluster_draws(spark, rows, "cl", 5)
+    for q in (0.0, 0.31, 0.5, 1.0):
+        want = {r.g: r.m for r in rows.groupBy("g").agg(F.expr(f"percentile(v, {q}D)").alias("m")).collect()}
+        assert {r.g: r.q for r in stats.quantile(rows, "v", "g", q).collect()} == want
+    want = {(r.b, r.g): r.m for r in rows.join(draws, "cl").groupBy("b", "g").agg(F.expr("percentile(v, 0.5D, freq)").alias("m")).collect()}
+    found = stats.quantile(rows, "v", "g", 0.5, "cl", draws)
+    assert {(r.b, r.g): r.q for r in found.collect()} == want

@@ -200,14 +200,52 @@ def cluster_draws(spark: SparkSession, clusters: DataFrame, cluster: str, draws:
     return picked.join(names, "_i").select("b", F.col("_c").alias(cluster), "freq")
 
 
+def bucketed(rows: DataFrame, column: str, buckets: int = 1024) -> DataFrame:
+    """``rows`` with ``_k``, the bucket of ``column``: ascending, about equal in rows and bounded by its values."""
+    from pyspark.ml.feature import Bucketizer
+
+    marks = rows.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] or []
+    splits = [-math.inf, *sorted({x for x in marks if not math.isnan(x) and not math.isinf(x)}), math.inf]
+    if len(splits) == 2:
+        splits.insert(1, 0.0)
+    return Bucketizer(splits=splits, inputCol=column, outputCol="_k", handleInvalid="keep").transform(rows)
+
+
+def quantile(rows: DataFrame, value: str, group: str, q: float, cluster: str | None = None, draws: DataFrame | None = None) -> DataFrame:
+    """(b?, group, q): exact linear quantile of each group, and of each draw of (b, cluster, freq) if given.
+
+    Bucket counts, summed by cluster before they meet the draws, name the one or two buckets that hold the
+    quantile; only their values are ordered, so no task holds a group's values."""
+    parts = [group] if draws is None else [cluster, group]
+    keys = [group] if draws is None else ["b", group]
+    dealt = staged(bucketed(rows.where(F.col(value).isNotNull()).select(*parts, F.col(value).cast("double").alias("_v")), "_v"))
+
+    def counted(at: DataFrame, by: list[str]) -> DataFrame:
+        n = at.groupBy(*parts, *by).agg(F.count("*").alias("_n"))
+        return n if draws is None else n.join(draws, cluster).groupBy(*keys, *by).agg(F.sum(F.col("_n") * F.col("freq")).alias("_n"))
+
+    pos = F.lit(q) * (F.col("_all") - 1)
+    low, high = F.floor(pos), F.ceil(pos)
+    holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
+    w = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    whole = counted(dealt, ["_k"]).withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    cut = staged(whole.where(holds(low) | holds(high)).select(*keys, "_k", (F.col("_upto") - F.col("_n")).alias("_before"), "_all"))
+    edge = counted(dealt.join(cut.select(group, "_k").distinct(), [group, "_k"]), ["_k", "_v"]).join(cut, [*keys, "_k"])
+    w = Window.partitionBy(*keys, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("_upto", F.col("_before") + F.sum("_n").over(w))
+    ends = edge.groupBy(*keys).agg(F.max("_all").alias("_all"), F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_b"))
+    return ends.select(*keys, F.when(low == high, F.col("_a")).otherwise((high - pos) * F.col("_a") + (pos - low) * F.col("_b")).alias("q"))
+
+
 def median_difference(spark: SparkSession, rows: DataFrame, value: str, group: str, one: str, other: str, cluster: str, draws: int, seed: int = 11) -> DataFrame:
     """One row: difference of exact medians with cluster-bootstrap percentiles; null below three a group."""
     r = rows.where(F.col(value).isNotNull() & F.col(group).isin(one, other))
-    med = lambda g, freq: F.expr(f"percentile(case when `{group}` = '{g}' then `{value}` end, 0.5D{freq})")
-    est = r.agg(F.count_if(F.col(group) == one).alias("n1"), F.count_if(F.col(group) == other).alias("n2"), (med(one, "") - med(other, "")).alias("est"))
-    reps = r.join(cluster_draws(spark, r, cluster, draws, seed), cluster).groupBy("b").agg((med(one, ", freq") - med(other, ", freq")).alias("d"))
+    side = lambda g: F.max(F.when(F.col(group) == g, F.col("q")))
+    d = (side(one) - side(other)).alias("d")
+    e = r.agg(F.count_if(F.col(group) == one).alias("n1"), F.count_if(F.col(group) == other).alias("n2")).first().asDict()
+    e["est"] = quantile(r, value, group, 0.5).agg(d).first()["d"]
+    reps = quantile(r, value, group, 0.5, cluster, cluster_draws(spark, r, cluster, draws, seed)).groupBy("b").agg(d)
     ci = reps.agg(F.expr("percentile(d, array(0.025D, 0.975D))").alias("c"), F.count("d").alias("used"))
-    e = est.first()
     ok = F.lit(e["n1"] >= 3 and e["n2"] >= 3)
     return ci.select(F.lit(e["n1"]).cast("bigint").alias("n1"), F.lit(e["n2"]).cast("bigint").alias("n2"), F.when(ok, F.lit(e["est"]).cast("double")).alias("est"), F.when(ok, F.element_at("c", 1)).alias("lo"), F.when(ok, F.element_at("c", 2)).alias("hi"), "used")
 
@@ -276,7 +314,8 @@ def rmst_difference(spark: SparkSession, rows: DataFrame, one: str, other: str,
 
 def stratified_log_rank(rows: DataFrame, one: str, size: str, group: str = "grp", time: str = "d", event: str = "ev") -> DataFrame:
     """(stratum, u, v, chi2): the log-rank test below or at the exact median size, and above it."""
-    median = rows.agg(F.expr(f"percentile({size}, 0.5D)").alias("m")).first()["m"]
+    found = quantile(rows.withColumn("_all_rows", F.lit(0)), size, "_all_rows", 0.5).first()
+    median = found["q"] if found else None
     out = None
     for name, kept in (("small", F.col(size) <= F.lit(median)), ("large", F.col(size) > F.lit(median))):
         part = log_rank(rows.where(kept), one, group, time, event).select(F.lit(name).alias("stratum"), "u", "v", "chi2")
