@@ -65,3 +65,12 @@ def test_quantiles_are_exact_and_no_task_holds_a_group(spark):
     want = {(r.b, r.g): r.m for r in rows.join(draws, "cl").groupBy("b", "g").agg(F.expr("percentile(v, 0.5D, freq)").alias("m")).collect()}
     found = stats.quantile(rows, "v", "g", 0.5, "cl", draws)
     assert {(r.b, r.g): r.q for r in found.collect()} == want
+
+
+def test_average_ranks_are_exact_and_keyless_windows_stay_small(spark):
+    values = [None if i % 97 == 0 else float(i * 7919 % 701 if i % 3 else 4) for i in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    kept = sorted(v for v in values if v is not None)
+    first, last = {v: i for i, v in reversed(list(enumerate(kept)))}, {v: i for i, v in enumerate(kept)}
+    got = stats.average_ranks(rows, "v", "r")
+    assert all(r.r == (first[r.v] + last[r.v]) / 2 + 1 for r in got.collect()) and got.count() == len(kept)

@@ -250,9 +250,16 @@ def median_difference(spark: SparkSession, rows: DataFrame, value: str, group: s
     return ci.select(F.lit(e["n1"]).cast("bigint").alias("n1"), F.lit(e["n2"]).cast("bigint").alias("n2"), F.when(ok, F.lit(e["est"]).cast("double")).alias("est"), F.when(ok, F.element_at("c", 1)).alias("lo"), F.when(ok, F.element_at("c", 2)).alias("hi"), "used")
 
 
-def average_rank(column: str, by: list[str] | None = None) -> Column:
-    keys = by or []
-    return F.rank().over(Window.partitionBy(*keys).orderBy(column)) + (F.count("*").over(Window.partitionBy(*keys, column)) - 1) / 2.0
+def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the average rank of a double column as ``name``; nulls go.
+
+    Distinct values are counted, dealt to buckets that start at the rows before them, and joined back."""
+    per = staged(bucketed(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n")), "_v"))
+    # at most 1,025 rows in one task
+    starts = per.groupBy("_k").agg(F.sum("_n").alias("_sum")).withColumn("_start", F.sum("_sum").over(Window.orderBy("_k")) - F.col("_sum"))
+    w = Window.partitionBy("_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = per.join(starts.select("_k", "_start"), "_k").select("_v", (F.col("_start") + F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).alias(name))
+    return rows.join(ranks, F.col(column) == F.col("_v")).drop("_v")
 
 
 def relabelled(rows: DataFrame, n1: int, draws: int, seed: int) -> DataFrame:

@@ -101,7 +101,8 @@ def lagged_changes(bars: DataFrame, rows: int) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    return rows.select(stats.average_rank(x).alias("rx"), stats.average_rank(y).alias("ry")).agg(F.corr("rx", "ry").alias("rho"))
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return stats.average_ranks(stats.average_ranks(pairs, "x", "rx"), "y", "ry").agg(F.corr("rx", "ry").alias("rho"))
 
 
 def economic(bars: DataFrame) -> DataFrame:
