@@ -9,15 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint directory; only where none is set (local runs), a temporary one."""
+    """The session's checkpoint directory. Where none is set, a local session gets a temporary one; on a
+    cluster, whose executors cannot read such a folder, this raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` in the shared folder and read it back: the lineage ends at stored files."""
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Cuts the lineage with replicated storage: a lost executor costs only its running tasks."""
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _filesystem(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables whose last reader has finished."""
+    for table in tables:
+        fs, where = _filesystem(table.sparkSession, table.staged_path)
+        fs.delete(where, True)
+
+
+def staged_bytes(table: DataFrame) -> int:
+    """Size of a staged table's files."""
+    fs, where = _filesystem(table.sparkSession, table.staged_path)
+    return fs.getContentSummary(where).getLength()
