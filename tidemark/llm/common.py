@@ -2,34 +2,62 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.storage import discard, shared_dir, staged, staged_bytes
+
+__all__ = ["LOWER", "SPACE", "UPPER", "discard", "fresh", "keyed", "keep_rows", "shared_dir", "staged", "staged_bytes", "table"]
 
 #: ASCII white space that separates words; the same six bytes ``bytes.split()`` uses.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Staged keys of at most this many bytes are broadcast; more are shuffled with the rows they select.
+BROADCAST_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint directory.
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _is_scan(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1:
+        if plan.nodeName() not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
+
+
+def keyed(docs: DataFrame, name: str = "row") -> tuple[DataFrame, str]:
+    """(``docs`` with a key column, its name): a struct of two longs that names a row alike in every read.
+
+    Rows of a Parquet scan are named by their file (64-bit hash of its path) and their place in it, so no copy of the
+    table is needed. Any other frame is staged with row numbers first, since Spark may deal its
+    rows differently each time."""
+    key = fresh(docs, name)
+    if "_metadata" not in docs.columns and _is_scan(docs):
+        try:
+            return docs.withColumn(key, F.struct(F.xxhash64(F.col("_metadata.file_path")).alias("f"), F.col("_metadata.row_index").alias("i"))), key
+        except Exception as error:  # a source without row positions
+            if "FIELD_NOT_FOUND" not in str(error) and "UNRESOLVED" not in str(error):
+                raise
+    return staged(docs.withColumn(key, F.struct(F.lit(0).cast("bigint").alias("f"), F.monotonically_increasing_id().alias("i")))), key
 
-    Only where none is configured (local tests) is a temporary folder set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir()
 
+def keep_rows(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is not in ``gone`` (staged; its one column is ``f``, ``i`` in a struct named k)."""
+    small = staged_bytes(gone) <= BROADCAST_BYTES
+    keys = gone.select(F.col("k").alias(fresh(docs, "gone")))
+    right = F.broadcast(keys) if small else keys
+    return docs.join(right, F.col(key) == F.col(keys.columns[0]), "left_anti")
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage with replicated storage: a lost executor costs only its running tasks."""
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,18 +1,20 @@
 """Language identification by Bayesian fusion of text, declared language, address suffix and host.
 
-Text gives log P(byte trigrams | language) under smoothed models trained on the declared languages. The
-declared markup language and the address suffix give P(value | language) from grouped counts of
-text-only decisions. The host gives a prior smoothed in levels: host towards registered domain
-towards all rows, each level one grouped aggregation; a row's own count is left out. The
-posterior is the normalised product. A row is rejected when its text holds no letters, or when uniform noise
-explains its text better than every language and no language code is declared.
+Classes are the declared languages and noise. Text gives log P(byte trigrams | class): smoothed models trained on the
+declared languages, and the uniform distribution for noise. The declared markup language and the address suffix give
+P(value | class) from grouped counts of text-only decisions, one row a value, joined. The host gives a prior
+smoothed in levels: host towards registered domain towards all rows, each level one grouped
+aggregation; a row's own count is left out. The posterior is the normalised product; a usable language code as
+declaration excludes noise. A row is rejected when its text holds no letters, whatever else is known, or
+when noise is the most probable class.
 
 Declared values that hold at least ``min_share`` of the rows have a model in every task (at most 1/min_share *
 2^14 floats). All others, however rare, share one slot: their counts stay a table keyed by language and bucket,
 which is joined with the rows that declare one of them, that their pooled model explains best, or that noise
 explains better than every common language; a row's own counts are left out, and the best of them fills the slot.
-Null or blank declarations, suffixes and hosts are no evidence.
-Null or empty texts have no text evidence and are rejected. Tables without a declaration give no language.
+Null or blank declarations, suffixes and hosts are no evidence. Null or empty texts have no text evidence and are
+rejected. Tables without a declaration give no language; there only texts without letters are rejected. Repeated
+rows and ids are rows of their own. Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -22,21 +24,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, keep_rows, keyed, staged
 
 BITS = 14
 GROUP_BYTES = 1 << 20
+#: Cells of a table of trigrams by classes that a task weighs at once.
+CELLS = 1 << 21
 #: Bytes of text after which more text adds no certainty: neighbours in a text are not independent.
 ENOUGH = 200.0
 #: Weight of the uniform distribution in each model: no trigram costs more than log(2^BITS / FLOOR), however large the corpus.
 FLOOR = 0.1
 #: The slot of the languages below ``min_share``.
 RARE = "\0rare"
+#: The class of texts that uniform noise explains best.
+NOISE = "\0noise"
+#: Characters that are not letters; a text of these alone has none.
+NOT_LETTERS = b"\t\n\x0b\x0c\r !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 
 
 def markup_language(html: Column) -> Column:
-    """The language declared by the first ``html`` tag, lower case, without region; null if none."""
-    found = F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]{0,400}?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    """The language declared by the first ``html`` tag, however long, lower case, without region; null if none."""
+    tag = F.regexp_extract(html, r"(?i)<html\b([^>]*+)", 1)
+    found = F.lower(F.regexp_extract(tag, r"(?i)\slang\s*+=\s*+[\"']?([A-Za-z]{2,3})", 1))
     return F.when(found != "", found)
 
 
@@ -87,6 +96,22 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.append(bucket, np.zeros(2, dtype=np.uint32)), start, size - 2
 
 
+def summed(table: np.ndarray, bucket: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sum over each text's trigrams of their rows of ``table``; memory is bounded however long a text is."""
+    # the two trigrams that run into the next text meet a row of zeros
+    where = bucket.astype(np.int64)
+    where[np.concatenate((start + n, start + n + 1))] = len(table) - 1
+    out = np.zeros((len(start), table.shape[1]))
+    step = max(1 << 12, CELLS // table.shape[1])
+    for a in range(0, len(where), step):
+        b = min(len(where), a + step)
+        first = np.searchsorted(start, a, side="right") - 1
+        stop = np.searchsorted(start, b, side="left")
+        cuts = np.maximum(start[first:stop], a) - a
+        out[first:stop] += np.add.reduceat(table[where[a:b]], cuts, axis=0, dtype=np.float64)
+    return out
+
+
 def languages(declared: DataFrame, min_share: float) -> list[str]:
     """Declared values with at least ``min_share`` of the non-null rows, and ``RARE`` if there are others."""
     counts = declared.where(F.col("declared").isNotNull()).groupBy("declared").count()
@@ -154,105 +179,122 @@ def fill_rare(weighed: DataFrame, counts: DataFrame, langs: list[str]) -> DataFr
     out = weighed.join(best, "_row", "left").withColumn("rare_lang", F.col("best.lang"))
     out = out.withColumn("ll", F.concat(F.slice("ll", 1, n), F.array(F.coalesce("best.ll", F.lit(-1e9))), F.slice("ll", n + 2, 1)))
     names = F.array(*map(F.lit, langs))
-    text = F.slice("ll", 1, n + 1)
-    out = out.withColumn("text_lang", F.when(F.col("n_bytes") > 0, F.element_at(names, F.array_position(text, F.array_max(text)).cast("int"))))
-    return out.drop("_row", "cells", "times", "n_grams", "best")
+    return _decided(out, langs).drop("_row", "cells", "times", "n_grams", "best")
+
+
+def _decided(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """Adds ``text_lang``, the language that explains the text best, and ``text_class``, noise among the choices."""
+    names = F.array(*map(F.lit, [*langs, NOISE]))
+    pick = lambda v: F.when(F.col("n_bytes") > 0, F.element_at(names, F.array_position(v, F.array_max(v)).cast("int")))
+    return rows.withColumn("text_lang", pick(F.slice("ll", 1, len(langs)))).withColumn("text_class", pick(F.col("ll")))
 
 
-def identify(docs: DataFrame, text: Column | None = None, declared: Column | None = None, host: Column | None = None, id_col: str = "doc_id", carry: tuple[str, ...] = (), min_share: float = 0.005, host_weight: float = 4.0) -> DataFrame:
-    """(id, lang_pred, posterior, text_lang, n_bytes, rejected, *carry) of every row."""
+def identify(docs: DataFrame, text: Column | None = None, declared: Column | None = None, host: Column | None = None, id_col: str = "doc_id", key: str | None = None, min_share: float = 0.005, host_weight: float = 4.0) -> DataFrame:
+    """(id, lang_pred, posterior, text_lang, n_bytes, rejected) of every row, and ``k``: the column named by ``key``."""
     text = F.col("text") if text is None else text
     blank = F.lit(None).cast("string")
     host = blank if host is None else host
     declared = blank if declared is None else F.when(F.trim(declared) != "", F.lower(F.trim(declared)))
-    rows = docs.select(F.col(id_col).alias("id"), declared.alias("declared"), host.alias("host"), text.alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    more = [] if key is None else ["k"]
+    rows = docs.select(F.col(id_col).alias("id"), declared.alias("declared"), host.alias("host"), text.alias("text"), *[F.col(key).alias("k") for _ in more])
     langs = languages(rows, min_share)
     if not langs:
-        return rows.select(F.col("id").alias(id_col), blank.alias("lang_pred"), F.lit(None).cast("double").alias("posterior"), blank.alias("text_lang"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), (F.coalesce(F.octet_length("text"), F.lit(0)) == 0).alias("rejected"), *[F.col(f"c_{c}").alias(c) for c in carry])
+        letters = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-@\[-`{-~]+", ""))
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+        return rows.select(F.col("id").alias(id_col), blank.alias("lang_pred"), F.lit(None).cast("double").alias("posterior"), blank.alias("text_lang"), size.alias("n_bytes"), (letters == 0).alias("rejected"), *more)
     model = docs.sparkSession.sparkContext.broadcast(train(rows, langs))
     n_lang, named = len(langs), set(langs)
-    noise = np.float32(-BITS * np.log(2))
+    noise, kept = np.float32(-BITS * np.log(2)), [c for c in rows.columns if c != "text"]
 
     def weigh(batches):
         table = np.concatenate((model.value, np.full((1 << BITS, 1), noise, dtype=np.float32)), axis=1)
+        table = np.concatenate((table, np.zeros((1, n_lang + 1), dtype=np.float32)))
         for batch in batches:
             parts, sizes, letters, held, grams = [], [], [], [], []
             for group in _groups(batch.column(3).to_pylist()):
                 bucket, start, n = trigrams(group)
-                ends = np.cumsum(table[bucket], axis=0, dtype=np.float64)
-                ends = np.vstack((np.zeros(n_lang + 1), ends))
-                parts.append((ends[start + n] - ends[start]) / n[:, None] * np.minimum(n, ENOUGH)[:, None])
+                parts.append(summed(table, bucket, start, n) / n[:, None] * np.minimum(n, ENOUGH)[:, None])
                 sizes += [len(t) for t in group]
                 if langs[-1] == RARE:
                     declared = batch.column(1).slice(len(held), len(group)).to_pylist()
                     asks = (parts[-1].argmax(axis=1) >= n_lang - 1) | np.array([d is not None and d not in named for d in declared])
                     held += [np.unique(bucket[s : s + k], return_counts=True) if ask else (None, None) for s, k, ask in zip(start, n, asks)]
                     grams += n.tolist()
-                letters += [sum(map(len, t.translate(None, b"\t\n\r !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~").split())) for t in group]
+                letters += [sum(map(len, t.translate(None, NOT_LETTERS).split())) for t in group]
             ll = np.concatenate(parts) if parts else np.zeros((0, n_lang + 1))
-            best = ll[:, :n_lang].argmax(axis=1)
             sizes = np.array(sizes, dtype=np.int64)
             more = [pa.array([x[0] for x in held], pa.list_(pa.int32())), pa.array([x[1] for x in held], pa.list_(pa.int64())), pa.array(grams, pa.int64())] if langs[-1] == RARE else []
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(list(ll), pa.list_(pa.float64())), pa.array([langs[i] if s else None for i, s in zip(best, sizes)], pa.string()), pa.array(sizes), pa.array(np.array(letters, dtype=np.int64)), *more],
-                names=[*batch.schema.names, "ll", "text_lang", "n_bytes", "letters", *("cells", "times", "n_grams")[: len(more)]],
+                [*batch.select(kept).columns, pa.array(list(ll), pa.list_(pa.float64())), pa.array(sizes), pa.array(np.array(letters, dtype=np.int64)), *more],
+                names=[*kept, "ll", "n_bytes", "letters", *("cells", "times", "n_grams")[: len(more)]],
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    weighed = rows.mapInArrow(weigh, f"{kinds}, ll array<double>, text_lang string, n_bytes bigint, letters bigint" + ", cells array<int>, times array<bigint>, n_grams bigint" * (langs[-1] == RARE)).drop("text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    weighed = rows.mapInArrow(weigh, f"{kinds}, ll array<double>, n_bytes bigint, letters bigint" + ", cells array<int>, times array<bigint>, n_grams bigint" * (langs[-1] == RARE))
     if langs[-1] == RARE:
-        weighed = fill_rare(staged(weighed.withColumn("_row", F.monotonically_increasing_id())), rare_counts(rows, langs), langs)
+        first = staged(weighed.withColumn("_row", F.monotonically_increasing_id()))
+        weighed = staged(fill_rare(first, rare_counts(rows, langs), langs))
+        discard(first)
     else:
-        weighed = weighed.withColumn("rare_lang", blank)
-    weighed = staged(weighed)
-    return fuse(weighed, langs, id_col, carry, host_weight, min_share)
-
-
-def _given(rows: DataFrame, column: str, langs: list[str], min_share: float) -> Column:
-    """Array over languages of log P(value | language): grouped counts of text-only decisions. Values below
-    ``min_share`` are one value, so the table is bounded; a null value is no evidence."""
-    counts = rows.where(F.col(column).isNotNull() & F.col("text_lang").isNotNull()).groupBy(column, "text_lang").count()
-    by_value = counts.groupBy(column).agg(F.sum("count").alias("n"))
-    total = by_value.agg(F.sum("n").alias("n")).first()["n"] or 0
-    if not total:
-        return F.array(*[F.lit(0.0)] * len(langs))
-    common = sorted(r[column] for r in by_value.where(F.col("n") >= max(1, min_share * total)).collect())
-    value = F.when(F.col(column).isin(common), F.col(column))
-    grid = {(r["value"], r["text_lang"]): r["n"] for r in counts.groupBy(value.alias("value"), "text_lang").agg(F.sum("count").alias("n")).collect()}
-    of = {lang: sum(n for (_, x), n in grid.items() if x == lang) for lang in langs}
-    row = lambda v: F.array(*[F.lit(float(np.log((grid.get((v, x), 0) + 1.0) / (of[x] + len(common) + 1)))) for x in langs])
-    table = F.create_map(*[y for v in common for y in (F.lit(v), row(v))])
-    return F.when(F.col(column).isNull(), F.array(*[F.lit(0.0)] * len(langs))).otherwise(F.coalesce(F.element_at(table, F.col(column)), row(None)))
-
-
-def fuse(rows: DataFrame, langs: list[str], id_col: str, carry: tuple[str, ...], host_weight: float, min_share: float) -> DataFrame:
+        weighed = staged(_decided(weighed.withColumn("rare_lang", blank), langs))
+    return fuse(weighed, langs, id_col, more, host_weight)
+
+
+def accepted(docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, all columns as they were.
+
+    Texts are read twice and never written or shuffled: what is staged is the class weights of each row and the
+    keys of the rejected ones, which come back as an anti-join (broadcast only below a checked size)."""
+    rows, key = keyed(docs)
+    found = identify(rows, F.col(text_col), F.col(declared_col), F.col(host_col), id_col, key)
+    return keep_rows(rows, key, staged(found.where("rejected").select("k"))).select(*docs.columns)
+
+
+def _given_from(met: DataFrame, rows: DataFrame, column: str, names: list[str], per: list[Column]) -> DataFrame:
+    """``met`` with an array ``g_<column>`` of log P(value | class) from grouped counts of text-only decisions.
+
+    One row a value is joined: Spark broadcasts the table if it is small, else adaptive execution splits hot
+    values. A null value is no evidence and meets nothing."""
+    counts = staged(rows.where(F.col(column).isNotNull()).groupBy(column).agg(*per).withColumnRenamed(column, "_v"))
+    whole = counts.agg(F.count("*").alias("n"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    logs = F.array(*[F.log((F.col(f"n{i}") + 1.0) / ((whole[f"n{i}"] or 0.0) + whole["n"] + 1.0)) for i in range(len(names))])
+    spread = F.coalesce(F.col(column), F.concat(F.lit("\0"), F.xxhash64("id", "ll").cast("string")))
+    out = met.withColumn("_k", spread).join(counts.select("_v", logs.alias(f"g_{column}")), F.col("_k") == F.col("_v"), "left")
+    return out.withColumn(f"g_{column}", F.coalesce(f"g_{column}", F.array(*[F.lit(0.0)] * len(names)))).drop("_k", "_v")
+
+
+def fuse(rows: DataFrame, langs: list[str], id_col: str, more: list[str], host_weight: float) -> DataFrame:
     suffix = suffix_of(F.col("host"))
     domain = F.coalesce(F.nullif(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")), F.col("host"))
     rows = rows.withColumn("suffix", suffix).withColumn("domain", domain)
-    per = [F.sum(F.when(F.col("text_lang") == x, 1.0).otherwise(0.0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    vector = lambda prefix: F.array(*[F.col(f"{prefix}{i}") for i in range(len(langs))])
+    names = [*langs, NOISE]
+    size = len(names)
+    per = [F.sum(F.when(F.col("text_class") == x, 1.0).otherwise(0.0)).alias(f"n{i}") for i, x in enumerate(names)]
+    vector = lambda prefix: F.array(*[F.col(f"{prefix}{i}") for i in range(size)])
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
     smooth = lambda v, prior: F.zip_with(v, prior, lambda n, p: (n + host_weight * p) / (total(v) + host_weight))
     whole = rows.agg(*per).first()
-    everywhere = np.array([whole[f"n{i}"] or 0.0 for i in range(len(langs))]) + 1
+    everywhere = np.array([whole[f"n{i}"] or 0.0 for i in range(size)]) + 1
     top = F.array(*[F.lit(float(x)) for x in everywhere / everywhere.sum()])
     hosts = rows.where(F.col("host").isNotNull()).groupBy("domain", "host").agg(*per).select("domain", "host", vector("n").alias("h"))
-    domains = hosts.groupBy("domain").agg(*[F.sum(F.element_at("h", i + 1)).alias(f"n{i}") for i in range(len(langs))]).select(F.col("domain").alias("_d"), vector("n").alias("d"))
+    domains = hosts.groupBy("domain").agg(*[F.sum(F.element_at("h", i + 1)).alias(f"n{i}") for i in range(size)]).select(F.col("domain").alias("_d"), vector("n").alias("d"))
     priors = staged(hosts.join(domains, F.col("domain") == F.col("_d")).select(F.col("host").alias("_h"), "h", "d"))
     # a host that holds much of the rows: small sides are broadcast by Spark, else the skewed join is split
-    spread = F.coalesce(F.col("host"), F.concat(F.lit("\0"), F.xxhash64("id").cast("string")))
-    rows = rows.withColumn("_k", spread).join(priors, F.col("_k") == F.col("_h"), "left").drop("_k", "_h")
-    own = F.array(*[F.when(F.col("text_lang") == x, 1.0).otherwise(0.0) for x in langs])
+    spread = F.coalesce(F.col("host"), F.concat(F.lit("\0"), F.xxhash64("id", "ll").cast("string")))
+    met = rows.withColumn("_k", spread).join(priors, F.col("_k") == F.col("_h"), "left").drop("_k", "_h")
+    for column in ("declared", "suffix"):
+        met = _given_from(met, rows, column, names, per)
+    own = F.array(*[F.when(F.col("text_class") == x, 1.0).otherwise(0.0) for x in names])
     others = lambda v: F.zip_with(v, own, lambda n, o: F.greatest(n - o, F.lit(0.0)))
     prior = F.coalesce(smooth(others(F.col("h")), smooth(others(F.col("d")), top)), top)
-    text = F.slice("ll", 1, len(langs))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    logs = add(add(F.transform(prior, lambda x: F.log(x)), F.when(F.col("n_bytes") > 0, text).otherwise(F.array(*[F.lit(0.0)] * len(langs)))), add(_given(rows, "declared", langs, min_share), _given(rows, "suffix", langs, min_share)))
-    rows = rows.withColumn("logs", logs).withColumn("most", F.array_max("logs"))
-    rows = rows.withColumn("posterior", 1 / F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("most"))), F.lit(0.0), lambda a, x: a + x))
-    plain = lambda c: F.when(c == RARE, F.col("rare_lang")).otherwise(c)
-    best = plain(F.element_at(F.array(*map(F.lit, langs)), F.array_position("logs", F.col("most")).cast("int")))
+    text = F.when(F.col("n_bytes") > 0, F.col("ll")).otherwise(F.array(*[F.lit(0.0)] * size))
+    logs = add(add(F.transform(prior, lambda x: F.log(x)), text), add(F.col("g_declared"), F.col("g_suffix")))
     code = F.coalesce(F.col("declared").rlike("^[a-z]{2,3}([-_]|$)"), F.lit(False))
-    noise = F.element_at("ll", len(langs) + 1) > F.array_max(text)
-    rejected = (F.col("n_bytes") == 0) | (F.col("letters") == 0) | (noise & ~code)
-    return rows.select(F.col("id").alias(id_col), best.alias("lang_pred"), "posterior", plain(F.col("text_lang")).alias("text_lang"), "n_bytes", rejected.alias("rejected"), *[F.col(f"c_{c}").alias(c) for c in carry])
+    met = met.withColumn("logs", logs).withColumn("logs", F.concat(F.slice("logs", 1, size - 1), F.array(F.when(code, -1e9).otherwise(F.element_at("logs", size)))))
+    met = met.withColumn("spoken", F.slice("logs", 1, size - 1)).withColumn("most", F.array_max("spoken")).withColumn("peak", F.array_max("logs"))
+    met = met.withColumn("posterior", F.exp(F.col("most") - F.col("peak")) / F.aggregate(F.transform("logs", lambda x: F.exp(x - F.col("peak"))), F.lit(0.0), lambda a, x: a + x))
+    plain = lambda c: F.when(c == RARE, F.col("rare_lang")).otherwise(c)
+    best = plain(F.element_at(F.array(*map(F.lit, langs)), F.array_position("spoken", F.col("most")).cast("int")))
+    rejected = (F.col("n_bytes") == 0) | (F.col("letters") == 0) | (F.element_at("logs", size) > F.col("most"))
+    return met.select(F.col("id").alias(id_col), best.alias("lang_pred"), "posterior", plain(F.col("text_lang")).alias("text_lang"), "n_bytes", rejected.alias("rejected"), *more)

@@ -12,8 +12,9 @@ A pair at the threshold shares no bucket with a probability below 1e-6. Buckets
 dealt as pairs of blocks, so no task holds a group and no pair leaves a task but forest edges.
 
 Null, empty or blank texts have empty sets and are linked with nothing. A text with fewer words than a
-shingle is one shingle. Rows that share an id are separate rows; a null id sorts last in its group.
-Only id and text are read; a component's id is the smallest id in it.
+shingle is one shingle. Rows that share an id, or have none, are separate rows: they are told apart by their place
+in the table, and a null id sorts last in its group. An empty table gives no rows. Only id and text are read, so other
+columns may have any name; a component's id is the smallest id in it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, keep_rows, keyed, staged
 from .components import connected
 
 HASHES = 130
@@ -154,9 +155,9 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
     return edges
 
 
-def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: float = 0.85, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(uid, id, n, fp, sig, bands, *carry) of each row; fp identifies the set, null if it is empty."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"c_{c}") for c in carry])
+def sketched(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, key: str) -> DataFrame:
+    """(uid, id, k, n, fp, sig, bands) of each row; fp identifies the set, null if it is empty; k is the column ``key``."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(key).alias("k"), F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
     per_band = banding(threshold)
 
@@ -189,8 +190,8 @@ def _blocks(rows: DataFrame, keys: list[str], node: str, block: int) -> DataFram
     return dealt.withColumn("g", F.xxhash64(*keys, F.least("_b", "_j"), F.greatest("_b", "_j"))).drop("_n", "_b", "_j")
 
 
-def clusters(classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, cluster, m): components of signature forests over band buckets; m is the cluster's size."""
+def clusters(classes: DataFrame, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """((node, cluster, m), staged tables to discard after use): components of signature forests over band buckets; m is the cluster's size."""
     spread = 5.2 * (threshold * (1 - threshold) / SIGNATURE) ** 0.5
     least = int(max(1, np.floor((threshold + (1 - threshold) / 256 - spread) * SIGNATURE)))
     rows = classes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -214,17 +215,16 @@ def clusters(classes: DataFrame, threshold: float) -> DataFrame:
 
     edges = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint")
     found = staged(connected(edges))
+    discard(shared)
     sizes = found.groupBy("root").agg(F.count("*").alias("m")).select(F.col("root").alias("_r"), "m")
-    return found.join(sizes, F.col("root") == F.col("_r")).select("node", F.col("root").alias("cluster"), "m")
+    return found.join(sizes, F.col("root") == F.col("_r")).select("node", F.col("root").alias("cluster"), "m"), [found]
 
 
-def links(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float) -> DataFrame:
+def links(members: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
     """(a, b): a spanning forest, per pair of blocks of a cluster, of the pairs whose sets reach the threshold.
 
-    ``members``: (node, id, fp, cluster, m). Sets are made again from the texts, found by id and held
-    against the fingerprint, so rows that share an id do no harm."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    joined = _blocks(members.join(texts, F.col("id").eqNullSafe(F.col("_id"))).select("node", "fp", "cluster", "m", "_text").transform(lambda d: _sets(d, width)), ["cluster"], "node", CLUSTER_BLOCK).select("g", "node", "hashes")
+    ``members``: (node, k, fp, cluster, m). Sets are made again from ``texts`` (_k, _text), found by the row's key."""
+    joined = _blocks(members.join(texts, F.col("k") == F.col("_k")).select("node", "fp", "cluster", "m", "_text").transform(lambda d: _sets(d, width)), ["cluster"], "node", CLUSTER_BLOCK).select("g", "node", "hashes")
     top, whole = round(threshold * 100), 100
 
     def run(batches):
@@ -274,22 +274,38 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, cluster bigint, m bigint, hashes binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: float = 0.85, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, n_shingles, component_id, kept, first, *carry) of each row. ``kept``: the id is its component's;
-    ``first``: the one row of the component that stays when rows share ids."""
-    rows = staged(sketched(docs, id_col, text_col, width, threshold, carry))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: float = 0.85, key: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id, kept, first) of each row, and ``k``, its key. ``kept``: the id is its component's;
+    ``first``: the one row of the component that stays when rows share ids. ``key``: a column that names rows, if there is one.
+
+    Texts cross a shuffle once, to those that may be linked; all else moves ids, signatures and figures."""
+    if key is None:
+        docs, key = keyed(docs)
+    rows = staged(sketched(docs, id_col, text_col, width, threshold, key))
     # the sets of a class are equal, so any row's signature is the class's; hot classes combine map-side
-    low = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("uid").alias("uid"))
+    low = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("uid").alias("uid"), F.col("k").alias("k"))
     classes = staged(rows.where("fp is not null").groupBy("fp").agg(F.min(low).alias("low"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("node", F.col("low.uid")))
-    cluster = staged(clusters(classes, threshold))
-    members = cluster.join(classes.select(F.col("node").alias("_node"), "fp", F.col("low.id").alias("id")), F.col("node") == F.col("_node")).drop("_node")
-    roots = staged(connected(links(members, docs, id_col, text_col, width, threshold)))
+    cluster, spent = clusters(classes, threshold)
+    members = cluster.join(classes.select(F.col("node").alias("_node"), "fp", F.col("low.k").alias("k")), F.col("node") == F.col("_node")).drop("_node")
+    texts = docs.select(F.col(key).alias("_k"), F.col(text_col).alias("_text"))
+    roots = staged(connected(links(members, texts, width, threshold)))
     placed = classes.select("fp", "low", "node").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     placed = staged(placed.select("fp", "low", F.coalesce("root", "node").alias("root")))
+    discard(classes, roots, *spent)
     lowest = placed.groupBy("root").agg(F.min("low").alias("least")).withColumnRenamed("root", "_root")
-    placed = staged(placed.join(lowest, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "least"))
+    least = staged(placed.join(lowest, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "least"))
+    discard(placed)
     # empty sets have keys of their own, so that they don't meet in one task
-    key = F.coalesce(F.col("fp"), F.col("uid").cast("string").cast("binary"))
-    out = rows.drop("sig", "bands").withColumn("_key", key).join(placed, F.col("_key") == F.col("_fp"), "left")
+    own = F.coalesce(F.col("fp"), F.col("uid").cast("string").cast("binary"))
+    out = rows.drop("sig", "bands").withColumn("_key", own).join(least, F.col("_key") == F.col("_fp"), "left")
     component = F.when(F.col("least").isNull(), F.col("id")).otherwise(F.col("least.id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce(F.col("least.uid") == F.col("uid"), F.lit(True)).alias("first"), *[F.col(f"c_{c}").alias(c) for c in carry])
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.coalesce(F.col("least.uid") == F.col("uid"), F.lit(True)).alias("first"), "k")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row of each component, all columns as they were: the one with the smallest id, the earlier one of equal ids.
+
+    What comes back to the texts is the keys of the rows that go, as an anti-join (broadcast only below a checked size)."""
+    rows, key = keyed(docs)
+    found = near_duplicates(rows, id_col, text_col, width, threshold, key)
+    return keep_rows(rows, key, staged(found.where(~F.col("first")).select("k"))).select(*docs.columns)

@@ -31,7 +31,7 @@ def langid_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("first")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("first", "k")
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
