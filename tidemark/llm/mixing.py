@@ -1,14 +1,20 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target over its size is the expected number of copies of each of its documents. The whole
-part is certain; the fraction f is sampled: documents are ranked by their random odds u/(1-u) over
-their inclusion odds f/(1-f), and the first ones in that order are taken once more until their words come
-nearest to what the target still lacks. Odds are a hash of the id, so reruns agree.
-
-The order is cut without sorting a source in one task: words are first summed per (source, slice of the
-order) with map-side combine, the slice that the cut falls in is sliced again, and only that last sliver is
-ordered by a window. Null text has size 0; null sources form one source, last in order; rows that
-share an id and text are interchangeable. Empty input gives an empty mix.
+A source's target over its size is the mean number of copies of its words. The whole part is certain for each
+document; what is lacking is sampled: documents have their own inclusion probabilities p, smaller the longer a
+document is against its source's mean, so that no long document carries a source's repeats. Their odds are
+p/(1-p) = t * (mean/size)^(1/2), and t is what makes the sizes times p sum to what is lacking. Documents are ranked by
+their random odds u/(1-u) over their inclusion odds; the first in that order are taken as long as their words fit. Of
+the document that does not fit and all after it, the one whose words come nearest to what is still lacking closes
+the gap, if any comes nearer than none. u is a hash of the id and the seed, so reruns agree.
+
+A sample's size is a number of words, not of documents: that is what targets are in. The order is cut without sorting a source in one task:
+the ratio r becomes the slice of r/(1+r); words are first summed per (source, slice) with map-side combine, the
+slice that the cut falls in is sliced again, and only that last sliver is ordered by a window.
+
+Null text has size 0 and is never taken; null sources form one source, last in order. Rows that share an id and a
+size share their u and so stand together in the order; the place in the table breaks their tie. Sources without words have
+target 0. An empty table gives an empty mix. Only id, text and source are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -16,10 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, staged
+from .common import SPACE, discard, fresh, keyed, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLICES = 4096
+#: Sizes are told apart by powers of 2^(1/4) when inclusion odds are set, so a source has at most 4 * 63 of them.
+SIZE_STEPS = 4
+ROUNDS = 60
 
 
 def words(text: Column) -> Column:
@@ -62,23 +71,57 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     return s.select("source", "place", "source_size", F.least("cap", F.lit(max(level, 0.0)) * F.col("w")).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 42, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, size, source_size, target, copies, taken, *carry) for every row. ``copies`` is at most ceil(target/size)."""
+def _step(size: Column) -> Column:
+    """The power of 2^(1/SIZE_STEPS) next to a size."""
+    return F.round(F.log2(F.greatest(size, F.lit(1)).cast("double")) * SIZE_STEPS).cast("int")
+
+
+def inclusion(goal: DataFrame, steps: DataFrame) -> DataFrame:
+    """``goal`` (source, lack, mean, ...) with ``odds``: a map from a size's step to inclusion odds, null if nothing is lacking.
+
+    ``steps``: (source, step, n) with the words of all documents of a size. t is found by halving an interval of its
+    logarithm, in one SQL expression a source; the largest t leaves a source short by less than its rounding."""
+    bins = steps.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("step", F.col("n").cast("double").alias("n")))).alias("bins")).withColumnRenamed("source", "_s")
+    met = goal.join(bins, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    factor = lambda b: F.sqrt(F.col("mean") / F.pow(F.lit(2.0), b["step"] / F.lit(float(SIZE_STEPS))))
+    met = met.withColumn("bins", F.transform("bins", lambda b: F.struct(b["step"].alias("step"), b["n"].alias("n"), factor(b).alias("m"))))
+    def narrower(span: Column, _: Column) -> Column:
+        middle = (span["lo"] + span["hi"]) / 2
+        words = F.aggregate("bins", F.lit(0.0), lambda a, b: a + b["n"] / (1 + F.exp(-middle) / b["m"]))
+        return F.when(words < F.col("lack"), F.struct(middle.alias("lo"), span["hi"].alias("hi"))).otherwise(F.struct(span["lo"].alias("lo"), middle.alias("hi")))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi")), narrower, lambda span: (span["lo"] + span["hi"]) / 2)
+    met = met.withColumn("t", F.when(F.col("lack") > 0, found))
+    odds = F.map_from_arrays(F.transform("bins", lambda b: b["step"]), F.transform("bins", lambda b: F.exp("t") * b["m"]))
+    return met.withColumn("odds", F.when(F.col("t").isNotNull(), odds)).drop("bins", "t")
+
+
+def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 42, key: str | None = None) -> DataFrame:
+    """(id, size, source_size, target, copies, taken, inclusion) of every row, and ``k``, its key. ``copies`` is at most
+    ceil(target/size); ``inclusion`` is the probability of the copy that is sampled. ``key``: a column that names rows, if there is one."""
+    if key is None:
+        docs, key = keyed(docs)
     size = words(F.col(text_col)).alias("size")
     u = ((F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))).alias("u")
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size, u, F.monotonically_increasing_id().alias("uid"), *[F.col(c).alias(f"c_{c}") for c in carry]))
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
-    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
-    goal = goal.withColumn("certain", F.floor(ratio + F.lit(1e-12)).cast("bigint"))
-    goal = staged(goal.withColumn("f", F.greatest(ratio - F.col("certain"), F.lit(0.0))).withColumn("lack", F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0))))
+    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size, u, F.col(key).alias("k")))
+    steps = staged(rows.where("size > 0").groupBy("source", _step(F.col("size")).alias("step")).agg(F.sum("size").alias("n"), F.count("*").alias("docs")))
 
     def joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
         # Spark broadcasts the sources only if they are small; else adaptive execution splits hot ones
         return left.join(right.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
-    one = F.floor(F.col("u") * SLICES).cast("int")
-    two = F.floor((F.col("u") * SLICES - one) * SLICES).cast("int")
-    some = (F.col("size") > 0) & (F.col("f") > 0)
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
+    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    goal = goal.withColumn("certain", F.floor(ratio + F.lit(1e-12)).cast("bigint"))
+    goal = goal.withColumn("lack", F.floor(F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)) + 0.5).cast("bigint"))
+    means = steps.groupBy("source").agg((F.sum("n") / F.sum("docs")).alias("mean"))
+    goal = staged(inclusion(joined(goal, means, "left"), steps))
+    odds = F.element_at("odds", _step(F.col("size")))
+    r = F.col("u") / (1 - F.col("u")) / odds
+    # the ratio decides the order everywhere; v is its place in (0, 1)
+    placed = staged(joined(rows, goal).select("id", "source", "size", "k", "source_size", "target", "certain", "lack", (odds / (1 + odds)).alias("inclusion"), (r / (1 + r)).alias("v")))
+    one = F.least(F.floor(F.col("v") * SLICES), F.lit(SLICES - 1)).cast("int")
+    two = F.least(F.floor((F.col("v") * SLICES - one) * SLICES), F.lit(SLICES - 1)).cast("int")
+    some = (F.col("size") > 0) & F.col("v").isNotNull()
 
     def cut(sums: DataFrame) -> DataFrame:
         """Per source, the last slice that starts before what is lacking, and the words before it."""
@@ -86,20 +129,37 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = sums.withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0).cast("bigint")))
         return at.where(F.col("before") < F.col("lack")).groupBy("source").agg(F.max(F.struct("slice", "before")).alias("m")).select("source", F.col("m.slice").alias("slice"), F.col("m.before").alias("before"))
 
-    first = cut(joined(rows.groupBy("source", one.alias("slice")).agg(F.sum("size").alias("n")), goal.where("f > 0").select("source", "lack", F.lit(0).cast("bigint").alias("base"))))
-    marks = staged(joined(goal, first.select("source", F.col("slice").alias("s1"), F.col("before").alias("base")), "left"))
-    second = cut(joined(joined(rows, marks.select("source", "s1", "f")).where(some & (one == F.col("s1"))).groupBy("source", two.alias("slice")).agg(F.sum("size").alias("n")), marks.select("source", "lack", "base")))
-    marks = staged(joined(marks, second.select("source", F.col("slice").alias("s2"), F.col("before").alias("b2")), "left"))
-    # Only the sliver around the cut is ordered: about 2^-24 of a source. There Pareto's ratio ranks the
-    # rows; within a source all inclusion odds are equal, so slices of u are slices of that order.
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
-    sliver = joined(rows, marks.select("source", "f", "lack", "s1", "s2", "b2")).where(some & (one == F.col("s1")) & (two == F.col("s2")))
-    w = Window.partitionBy("source").orderBy("odds", "id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sliver.withColumn("odds", odds).withColumn("before", F.col("b2") + F.coalesce(F.sum("size").over(w), F.lit(0).cast("bigint")))
-    # the document that the cut falls in is taken where that comes nearer than leaving it
-    last = edge.where(F.col("before") + F.col("size") / 2 <= F.col("lack")).groupBy("source").agg(F.max(F.struct("u", "id", "size", "uid")).alias("last"))
-    final = joined(rows, staged(joined(marks, last, "left")))
+    first = cut(placed.where(some).groupBy("source", "lack", one.alias("slice")).agg(F.sum("size").alias("n")).withColumn("base", F.lit(0).cast("bigint")))
+    marks = staged(first.select("source", F.col("slice").alias("s1"), F.col("before").alias("b1")))
+    second = cut(joined(placed.where(some), marks).where(one == F.col("s1")).groupBy("source", "lack", F.col("b1").alias("base"), two.alias("slice")).agg(F.sum("size").alias("n")))
+    marks2 = staged(joined(marks, second.select("source", F.col("slice").alias("s2"), F.col("before").alias("b2"))))
+    # only the sliver around the cut is ordered: about 2^-24 of a source
+    order = F.struct("v", "id", "size", "k")
+    sliver = joined(placed.where(some), marks2).where((one == F.col("s1")) & (two == F.col("s2")))
+    w = Window.partitionBy("source").orderBy("v", "id", "size", "k")
+    edge = sliver.withColumn("upto", F.col("b2") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # sums only grow, so those that fit come first; the cut lies behind the last of them
+    last = edge.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("lack"), order)).alias("last"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("lack"), F.col("upto"))), F.min("b2")).alias("done"))
+    cuts = staged(joined(marks2, last).drop("b1", "b2"))
     place, mark = F.struct(one.alias("a"), two.alias("b")), F.struct(F.col("s1").alias("a"), F.col("s2").alias("b"))
-    more = (F.col("f") > 0) & ((place < mark) | ((place == mark) & F.col("last").isNotNull() & (F.struct("u", "id", "size", "uid") <= F.col("last"))))
-    copies = F.col("certain") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
-    return final.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), *[F.col(f"c_{c}").alias(c) for c in carry])
+    taken = some & F.col("s1").isNotNull() & ((place < mark) | ((place == mark) & F.col("last").isNotNull() & (order <= F.col("last"))))
+    # what closes the gap: the document behind the cut that brings the sum nearest, the earliest of these
+    gap = F.col("lack") - F.col("done")
+    after = joined(placed, cuts).where(some & ~taken & (F.col("size") < 2 * gap))
+    close = after.groupBy("source").agg(F.min_by(order, F.struct(F.abs(gap - F.col("size")).alias("d"), "v", "id", "k")).alias("close"))
+    final = joined(placed, joined(cuts, close, "left"), "left")
+    more = F.coalesce(taken | order.eqNullSafe(F.col("close")), F.lit(False)) & some
+    copies = F.col("certain") + F.when(more, 1).otherwise(0)
+    out = final.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), "inclusion", "k")
+    discard(rows, steps, goal, marks)
+    return out
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every row as often as the mix takes it, all columns as they were. Texts meet their number of copies by the row's key in one join."""
+    rows, key = keyed(docs)
+    counted = staged(pareto_mix(rows, id_col, text_col, source_col, key=key).select("k", "copies"))
+    times, other = fresh(docs, "times"), fresh(docs, "other")
+    right = counted.where("copies > 0").select(F.col("k").alias(other), F.col("copies").alias(times))
+    met = rows.join(right, F.col(key) == F.col(other)).withColumn(times, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))))
+    return met.select(*docs.columns)
