@@ -1,27 +1,39 @@
-"""Personal data by weak supervision, in DataFrame functions only.
-
-Candidates come from strict patterns (email, ip, card, phone) and looser ones (masked emails, national
-phone numbers, IPv6, oddly separated cards). Five labelers vote -1, 0 or 1 on each: strict regex with its
-check, shape, gazetteer (country codes, issuers, top-level domains, address blocks), words before, and
-isolation. Expectation-maximisation over the distinct vote patterns (at most 3^5 rows, whatever the
-input) estimates each labeler's reliability. Its posteriors train a naive Bayes span classifier on
-span features; the classifier decides which looser spans are added. Strict spans that pass their
-check always stay.
-
-Null text counts as empty. Null or repeated ids are kept row by row. Patterns use possessive loops, so
-that long runs neither recurse nor rescan. Only the id and the text column are read.
+"""Personal data and secrets by weak supervision, in DataFrame functions only.
+
+Candidates come from strict patterns (email, ip, card, phone), from looser ones (masked emails, national phone numbers,
+IPv6, oddly separated cards), from context (numbers behind a word for a telephone) and from gazetteers (assignments to a
+name that credentials have, account numbers behind a country code, national ids). Five labelers vote -1, 0 or 1 on
+each: strict regex with its check, shape or checksum, gazetteer (``data/``: domains, calling codes, issuers, credential
+prefixes), words before, and isolation. Expectation-maximisation over the distinct vote patterns (at most 3^5 rows,
+whatever the input) estimates each labeler's reliability. Its posteriors train a naive Bayes span classifier on
+span features; the classifier decides which of the other spans are added. Strict spans that pass their check always stay.
+
+All is narrow: the hits of a text are an array in its own row, with positions by block-wise running sums, and the model
+is literals. Only counts of feature tuples are shuffled. Null text counts as empty and has no spans; null or repeated ids
+are rows of their own, an empty table gives no rows and no model. Patterns use possessive loops, so that long runs neither
+recurse nor rescan. Only the id and the text column are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, fresh, staged
+
+KINDS = ("email", "ip", "card", "phone", "secret", "iban", "id")
+BASE_KINDS = KINDS[:4]
+
+
+def gazetteer(name: str) -> list[str]:
+    """Entries of a data file: words apart from comment lines."""
+    lines = (Path(__file__).parent / "data" / f"{name}.txt").read_text().splitlines()
+    return [word for line in lines if not line.startswith("#") for word in line.split()]
+
 
-KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: The strict patterns. Lookbehind and \G only anchor a match where the plain pattern would start it.
 STRICT = {
@@ -30,25 +42,37 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9._/])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9._/])",
-    "phone": r"(?<![0-9+.()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+_NAMES = "|".join(gazetteer("secrets"))
+#: (rule, kind) -> pattern of the candidates that only the classifier can add.
+OTHER = {
+    ("loose", "email"): r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+)++",
+    ("loose", "ip"): r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
+    ("loose", "card"): r"(?<![0-9._/])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9._/])",
+    ("loose", "phone"): r"(?<![0-9+.()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
+    ("context", "phone"): r"(?i)(?<=\b(?:tel|phone|mobile|cell|fax|telefon)[.:]{0,2} {0,2})[0-9](?:[ ./-]?[0-9]){5,13}+(?![0-9])",
+    ("named", "secret"): rf"(?i)\b(?:{_NAMES})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?[^\s\"'<>,;]{{6,200}}+[\"']?",
+    ("named", "iban"): r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    ("named", "id"): r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-NEEDS = {"email": ("@",), "phone": ("+",)}
-#: Gazetteers (fixed values): common top-level domains, card issuers' first digits, dialling codes.
-TLDS = "com|org|net|edu|gov|mil|int|info|biz|io|eu|de|fr|es|it|uk|us|ca|au|jp|cn|in|br|ru|nl|ch|at|be|se|no|dk|fi|pl|pt|mx|ar|cl|co"
-ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6(011|5))"
-DIALLING = r"^\+(1|7|20|27|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+DOMAINS = "|".join(gazetteer("domains"))
+DIALLING = rf"^\+({'|'.join(gazetteer('dialling'))})"
+ISSUERS = rf"^({'|'.join(gazetteer('issuers'))})"
+PREFIXES = rf"^({'|'.join(gazetteer('prefixes'))})"
+COUNTRY = rf"(?i)^({'|'.join(w for w in gazetteer('domains') if len(w) == 2)})"
 WORDS_BEFORE = {
     "email": r"(?i)(e-?mail|mail|contact|write to|address|courriel|correo|kontakt)\W{0,4}$",
     "ip": r"(?i)(\bip|address|host|server|client|from|login)\W{0,4}$",
     "card": r"(?i)(card|visa|mastercard|amex|credit|payment|carte|tarjeta|karte)\W{0,4}(no|number|nr)?\W{0,4}$",
     "phone": r"(?i)(tel|phone|call|mobile|cell|fax|contact|whatsapp|t[eé]l[eé]phone|tel[eé]fono|telefon)\W{0,4}$",
+    "secret": r"(?i)(export|set|env|config|header|curl|const|let|var|-H|--)\W{0,4}$",
+    "iban": r"(?i)(iban|account|konto|compte|cuenta|bank)\W{0,4}(no|number|nr)?\W{0,4}$",
+    "id": r"(?i)(ssn|social security|insurance)\W{0,4}(no|number|nr)?\W{0,4}$",
 }
 WORDS_AGAINST = r"(?i)(version|ver\.|isbn|issn|order|invoice|article|ref|serial|build|§|section|part no)\W{0,4}$"
 LABELERS, ROUNDS = 5, 25
+VOTES = [f"v{i}" for i in range(LABELERS)]
+#: Hits whose positions are summed in one go.
+BLOCK = 64
 
 
 def luhn(digits: Column) -> Column:
@@ -60,75 +84,99 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
+def mod97(account: Column) -> Column:
+    """Whether an account number without spaces passes its checksum: letters count 10 to 35, the first four come last."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+    def add(acc: Column, i: Column) -> Column:
+        c = F.ascii(F.substring(turned, i, F.lit(1)))
+        return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
+
+
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 def _parts(text: Column, pattern: str, rule: str, kind: str, gate: Column) -> Column:
-    """Array of (rule, kind, i, gap, hit, pre, post): each match with the text lengths around it."""
-    regex = F.lit(pattern)
-    hits, gaps = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<rule:string,kind:string,i:int,gap:int,hit:string,pre:string,post:string>>")
-    def pack(pair: Column, i: Column) -> Column:
-        gap, hit = pair["g"], pair["h"]
-        # what follows is looked up when the pair is formed; the last gap follows the last hit
-        return F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), i.alias("i"), F.length(gap).alias("gap"), hit.alias("hit"), F.right(gap, F.lit(40)).alias("pre"), F.left(pair["n"], F.lit(2)).alias("post"))
-    pairs = F.arrays_zip(gaps.alias("g"), hits.alias("h"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("n"))
-    return F.when(gate, F.filter(F.transform(pairs, pack), lambda p: p["hit"].isNotNull())).otherwise(none)
-
-
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per match, and one with nulls for a text without any: uid, id, rule, kind, hit, start, end,
-    valid and the five votes. One scan; positions are running sums of lengths, in code points."""
-    text = F.coalesce(F.col("_t"), F.lit(""))
+    """Array of (rule, kind, start, end, hit, pre, post): each match; positions in code points, end exclusive."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    none = F.array().cast("array<struct<rule:string,kind:string,start:bigint,end:bigint,hit:string,pre:string,post:string>>")
+    # what follows is looked up when the pair is formed; the last gap follows the last hit
+    pairs = F.filter(F.arrays_zip(gaps.alias("g"), hits.alias("h"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("n")), lambda p: p["h"].isNotNull())
+    sized = F.transform(pairs, lambda p: F.struct(p["h"].alias("hit"), F.right(p["g"], F.lit(40)).alias("pre"), F.left(p["n"], F.lit(2)).alias("post"), F.length(p["h"]).cast("bigint").alias("own"), (F.length(p["g"]) + F.length(p["h"])).cast("bigint").alias("step")))
+    total = lambda items: F.aggregate(items, F.lit(0).cast("bigint"), lambda a, p: a + p["step"])
+    # running sums: offsets of blocks first, then inside each block
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    def placed(items: Column) -> Column:
+        blocks = _blocks(items)
+        offsets = F.aggregate(blocks, start, lambda a, b: F.struct((a["at"] + total(b)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        def one(z: Column) -> Column:
+            def hit(p: Column, i: Column) -> Column:
+                end = z["o"] + total(F.slice(z["b"], F.lit(1), i + 1))
+                return F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), (end - p["own"]).alias("start"), end.alias("end"), p["hit"].alias("hit"), p["pre"].alias("pre"), p["post"].alias("post"))
+            return F.transform(z["b"], hit)
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), offsets.alias("o")), one))
+    # one evaluation of the matches: they are the single element of an outer array
+    return F.when(gate, F.flatten(F.transform(F.filter(F.array(sized), lambda items: F.size(items) > 0), placed))).otherwise(none)
+
+
+def hits_of(text: Column) -> Column:
+    """Array of all candidates of a text, with their votes: (kind, start, end, valid, added, n_digits, size, v0 to v4)."""
+    text = F.coalesce(text, F.lit(""))
     digit = text.rlike("[0-9]")
     gates = {
         ("strict", "email"): F.contains(text, F.lit("@")), ("strict", "phone"): F.contains(text, F.lit("+")) & digit, ("strict", "ip"): digit & text.rlike(r"[0-9]\.[0-9]"), ("strict", "card"): digit & text.rlike("[0-9][ -]?[0-9]"),
         ("loose", "email"): F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")), ("loose", "phone"): digit & text.rlike("[0-9]{3}[ .-][0-9]{4}"), ("loose", "ip"): text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]"), ("loose", "card"): digit & text.rlike("[0-9]{4}[._/][0-9]{4}[._/]"),
+        ("context", "phone"): digit & text.rlike("[0-9][0-9 ./-]{4,}[0-9]"), ("named", "secret"): F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), ("named", "iban"): text.rlike("[A-Z]{2}[0-9]{2}"), ("named", "id"): digit & text.rlike("[0-9]-[0-9]{2}-[0-9]"),
     }
-    parts = [_parts(text, (STRICT if rule == "strict" else LOOSE)[kind], rule, kind, gate) for (rule, kind), gate in gates.items()]
-    base = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("_t"))
-    rows = base.select("uid", "id", F.explode_outer(F.concat(*parts)).alias("p")).select("uid", "id", "p.*")
-    w = Window.partitionBy("uid", "rule", "kind").orderBy("i")
-    size = F.length("hit")
-    rows = rows.withColumn("end", F.sum(F.col("gap") + size).over(w)).withColumn("start", F.col("end") - size)
-    return voted(rows)
-
-
-def voted(rows: DataFrame) -> DataFrame:
-    hit, kind, pre = F.col("hit"), F.col("kind"), F.col("pre")
-    strict = F.col("rule") == "strict"
+    patterns = {**{("strict", kind): p for kind, p in STRICT.items()}, **OTHER}
+    return F.transform(F.concat(*[_parts(text, p, *which, gates[which]) for which, p in patterns.items()]), voted)
+
+
+def voted(h: Column) -> Column:
+    """A candidate with its five votes and its features, as literals and functions of its own fields."""
+    hit, kind, pre = h["hit"], h["kind"], h["pre"]
+    strict = h["rule"] == "strict"
     digits = F.regexp_replace(hit, "[^0-9]", "")
     n = F.length(digits)
     octets = hit.rlike(r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$")
     card = F.when((n >= 13) & (n <= 19), luhn(digits)).otherwise(False)
     passes = F.when(kind == "email", True).when(kind == "ip", octets).when(kind == "card", card).otherwise((n >= 9) & (n <= 15))
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    value = F.regexp_replace(F.regexp_replace(hit, r"^[^=:]*+(?:=>|:=|=|:)\s*+", ""), "[\"']", "")
+    account = F.regexp_replace(hit, " ", "")
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     shape = (
         F.when(kind == "email", vote(F.length(hit) <= 64, F.length(hit) > 254))
         .when(kind == "ip", vote(~hit.rlike(r"(^|\.)0[0-9]"), hit.rlike(r"[0-9]{4}")))
         .when(kind == "card", vote((n == 16) | (n == 15), (n < 13) | (n > 19)))
-        .otherwise(vote((n >= 10) & (n <= 13), (n < 9) | (n > 15)))
+        .when(kind == "phone", vote((n >= 10) & (n <= 13), (n < 9) | (n > 15)))
+        .when(kind == "secret", vote((F.length(value) >= 16) & mixed, (F.length(value) < 8) | value.rlike("^[a-z]+$|^[0-9]{1,7}$")))
+        .when(kind == "iban", vote((F.length(account) >= 15) & mod97(account), ~mod97(account)))
+        .otherwise(vote(~hit.rlike("^(000|666|9)|-00-|-0000$"), hit.rlike("^(000|666|9)|-00-|-0000$")))
     )
     known = (
-        F.when(kind == "email", vote(hit.rlike(rf"(?i)[.)\] ]({TLDS})$"), hit.rlike(r"\.[0-9]+$")))
+        F.when(kind == "email", vote(hit.rlike(rf"(?i)[.)\] ]({DOMAINS})$"), hit.rlike(r"\.[0-9]+$")))
         .when(kind == "ip", vote(hit.rlike(r"^(10|127|169\.254|172\.(1[6-9]|2[0-9]|3[01])|192\.168)\.|:"), hit.rlike(r"^(0|2[4-9][0-9])\.")))
         .when(kind == "card", vote(digits.rlike(ISSUERS), digits.rlike(r"^0|^(.)\1+$")))
-        .otherwise(vote(hit.rlike(DIALLING), digits.rlike(r"^(.)\1+$")))
+        .when(kind == "phone", vote(hit.rlike(DIALLING), digits.rlike(r"^(.)\1+$")))
+        .when(kind == "secret", vote(value.rlike(PREFIXES) | value.rlike("^[0-9a-fA-F]{32,}$"), value.rlike(r"(?i)example|change.?me|your|xxxx|test|dummy|\*\*\*|\$\{")))
+        .when(kind == "iban", vote(account.rlike(COUNTRY), ~account.rlike(COUNTRY)))
+        .otherwise(F.lit(0))
     )
     before = F.when(kind == "email", pre.rlike(WORDS_BEFORE["email"]))
     for k in KINDS[1:]:
         before = before.when(kind == k, pre.rlike(WORDS_BEFORE[k]))
-    alone = vote(~pre.rlike("[A-Za-z0-9]$") & ~F.col("post").rlike("^[A-Za-z0-9]"), pre.rlike("[A-Za-z0-9]$") & F.col("post").rlike("^[A-Za-z0-9]"))
-    some = hit.isNotNull()
-    return rows.select(
-        "uid", "id", "rule", "kind", "start", "end", F.when(some, strict & passes).alias("valid"), F.least(n, F.lit(20)).alias("n_digits"),
-        *[F.when(some, F.coalesce(v, F.lit(0))).alias(f"v{i}") for i, v in enumerate((vote(strict & passes, strict & ~passes), shape, known, vote(before, pre.rlike(WORDS_AGAINST)), alone))],
-    )
+    alone = vote(~pre.rlike("[A-Za-z0-9]$") & ~h["post"].rlike("^[A-Za-z0-9]"), pre.rlike("[A-Za-z0-9]$") & h["post"].rlike("^[A-Za-z0-9]"))
+    votes = (vote(strict & passes, strict & ~passes), shape, known, vote(before, pre.rlike(WORDS_AGAINST)), alone)
+    return F.struct(kind.alias("kind"), h["start"].alias("start"), h["end"].alias("end"), (strict & passes).alias("valid"), (~strict).alias("added"), F.least(n, F.lit(20)).alias("n_digits"), F.least(F.floor(F.length(hit) / 4), F.lit(12)).cast("int").alias("size"), *[F.coalesce(v, F.lit(0)).alias(name) for v, name in zip(votes, VOTES)])
 
 
 def reliabilities(votes: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """(class prior, flat table P(vote | class) by labeler, class, vote), from one aggregated row.
+    """(class prior, flat table P(vote | class) by labeler, class, vote) from rows v0 to v4 with a weight ``n``.
 
     All rounds of expectation-maximisation run inside one SQL expression over the pattern counts."""
-    names = [f"v{i}" for i in range(LABELERS)]
-    counts = votes.where("hit_").groupBy(*names).agg(F.count("*").cast("double").alias("n"))
+    counts = votes.groupBy(*VOTES).agg(F.sum("n").cast("double").alias("n"))
     start = []
     for _ in range(LABELERS):
         start += [0.5, 0.3, 0.2, 0.1, 0.3, 0.6]
@@ -138,53 +186,67 @@ def reliabilities(votes: DataFrame, rounds: int = ROUNDS) -> tuple[float, list[f
     cells = ", ".join(f"(1 + {mass(c, f' * if(p.v[{j}] = {v}, 1, 0)')}) / (3 + {mass(c)})" for j in range(LABELERS) for c in (0, 1) for v in (-1, 0, 1))
     step = f"transform(array({given}), ps -> struct((1 + {mass(1)}) / (2 + {mass(1)} + {mass(0)}) as pi, array({cells}) as t))[0]"
     init = f"struct(0.5D as pi, array({', '.join(f'{x}D' for x in start)}) as t)"
-    fit = counts.agg(F.collect_list(F.struct("n", F.array(*names).alias("v"))).alias("pats")).select(F.expr(f"aggregate(sequence(1, {rounds}), {init}, (s, i) -> {step})").alias("m"))
+    fit = counts.agg(F.collect_list(F.struct("n", F.array(*VOTES).alias("v"))).alias("pats")).select(F.expr(f"aggregate(sequence(1, {rounds}), {init}, (s, i) -> {step})").alias("m"))
     m = fit.first()["m"]
     return m["pi"], list(m["t"])
 
 
-def _posterior(pi: float, t: list[float]) -> Column:
+def posterior(pi: float, t: list[float], vote=F.col) -> Column:
+    """The labelers' joint posterior of a candidate."""
     table = F.array(*map(F.lit, t))
     def like(c: int) -> Column:
         out = F.lit(pi if c else 1 - pi)
         for j in range(LABELERS):
-            out = out * F.element_at(table, F.col(f"v{j}") + (j * 2 + c) * 3 + 2)
+            out = out * F.element_at(table, vote(f"v{j}") + (j * 2 + c) * 3 + 2)
         return out
     return like(1) / (like(1) + like(0))
 
 
-def _features() -> Column:
-    return F.array(F.concat(F.lit("kind="), "kind"), F.concat(F.lit("digits="), "kind", F.lit(":"), F.col("n_digits").cast("string")), F.concat(F.lit("length="), F.least(F.floor((F.col("end") - F.col("start")) / 4), F.lit(10)).cast("string")), *[F.concat(F.lit(f"v{j}="), F.col(f"v{j}").cast("string")) for j in range(LABELERS)])
+def _features(of) -> Column:
+    digits, size = of("n_digits").cast("string"), of("size").cast("string")
+    return F.array(F.concat(F.lit("kind="), of("kind")), F.concat(F.lit("digits="), of("kind"), F.lit(":"), digits), F.concat(F.lit("size="), of("kind"), F.lit(":"), size), *[F.concat(F.lit(f"v{j}="), of(f"v{j}").cast("string")) for j in range(LABELERS)])
 
 
-def classify(rows: DataFrame) -> DataFrame:
-    """Adds ``p``: the span classifier's probability that a candidate is personal data."""
-    rows = rows.withColumn("hit_", F.col("kind").isNotNull())
-    pi, t = reliabilities(rows)
-    q = _posterior(pi, t)
-    # one row a feature value: fewer than 200 by construction
-    sums = rows.where("hit_").select(q.alias("q"), F.explode(_features()).alias("f")).groupBy("f").agg(F.sum("q").alias("yes"), F.sum(1 - F.col("q")).alias("no")).collect()
+def fit(hits: DataFrame) -> dict[str, float] | None:
+    """Weights of the span classifier by feature (``""``: the prior), from rows with an array ``hits``; null without any.
+
+    Candidates become counts of feature tuples before the shuffle; labelers and classifier are fitted on that table."""
+    names = ["kind", "n_digits", "size", *VOTES]
+    tuples = staged(hits.select(F.explode("hits").alias("h")).select(*[F.col(f"h.{x}").alias(x) for x in names]).groupBy(*names).agg(F.count("*").alias("n")))
+    pi, t = reliabilities(tuples)
+    q = posterior(pi, t)
+    # one row a feature value: fewer than 300 by construction
+    sums = tuples.select((q * F.col("n")).alias("q"), "n", F.explode(_features(F.col)).alias("f")).groupBy("f").agg(F.sum("q").alias("yes"), F.sum(F.col("n") - F.col("q")).alias("no")).collect()
+    discard(tuples)
     if not sums:
-        return rows.withColumn("p", F.lit(None).cast("double")).drop("hit_")
+        return None
     yes, no = (sum(r[k] for r in sums if r["f"].startswith("kind=")) for k in ("yes", "no"))
     weight = {r["f"]: math.log((r["yes"] + 0.5) / (yes + 1)) - math.log((r["no"] + 0.5) / (no + 1)) for r in sums}
-    table = F.create_map(*[F.lit(x) for pair in sorted(weight.items()) for x in pair])
-    z = F.aggregate(_features(), F.lit(math.log((yes + 0.5) / (no + 0.5))), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
-    return rows.withColumn("p", F.when(F.col("hit_"), 1 / (1 + F.exp(-z)))).drop("hit_")
+    return weight | {"": math.log((yes + 0.5) / (no + 0.5))}
+
+
+def spans_of(hits: Column, weights: dict[str, float] | None, least: float = 0.5) -> Column:
+    """Struct (base, added): sorted arrays of (k, start, end); k is the kind's place in KINDS. ``added`` are the spans
+    that the classifier gives a probability of ``least`` and that meet no base span."""
+    kind = F.array(*map(F.lit, KINDS))
+    span = lambda h: F.struct(F.array_position(kind, h["kind"]).cast("int").alias("k"), h["start"].alias("start"), h["end"].alias("end"))
+    less = lambda s: F.struct((s["k"] - 1).alias("k"), s["start"].alias("start"), s["end"].alias("end"))
+    of = lambda which: F.sort_array(F.transform(F.transform(F.filter(hits, which), span), less))
+    base = of(lambda h: h["valid"])
+    if weights is None:
+        return F.struct(base.alias("base"), F.slice(base, 1, 0).alias("added"))
+    table = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair])
+    def likely(h: Column) -> Column:
+        z = F.aggregate(_features(lambda name: h[name]), F.lit(weights[""]), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
+        return h["added"] & (1 / (1 + F.exp(-z)) >= least)
+    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.struct(base.alias("base"), F.filter(of(likely), clear).alias("added"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(uid, id, base, added) for each row: sorted arrays of (k, start, end); k is the kind's place in KINDS."""
-    rows = classify(staged(candidates(docs, id_col, text_col)))
-    k = F.when(F.col("kind") == "email", 0).when(F.col("kind") == "ip", 1).when(F.col("kind") == "card", 2).otherwise(3)
-    span = F.struct(k.alias("k"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
-    by = rows.groupBy("uid").agg(
-        F.first("id").alias("id"),
-        F.sort_array(F.collect_list(F.when(F.col("valid"), span))).alias("base"),
-        F.sort_array(F.collect_list(F.when((F.col("rule") == "loose") & (F.col("p") >= least), span))).alias("more"),
-    )
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return by.select("uid", "id", "base", F.filter("more", clear).alias("added"))
+    """(id, base, added) for each row: sorted arrays of (k, start, end); k is the kind's place in KINDS."""
+    rows = staged(docs.select(F.col(id_col).alias("id"), hits_of(F.col(text_col)).alias("hits")))
+    return rows.select("id", spans_of(F.col("hits"), fit(rows), least).alias("s")).select("id", "s.base", "s.added")
 
 
 def joined(spans: Column) -> Column:
@@ -193,17 +255,23 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; same columns. Null text stays null."""
-    kept = staged(docs.withColumn("__uid", F.monotonically_increasing_id()))
-    # uid is stored beside the text, so both reads agree on it
-    found = find_pii(kept.select(F.col("__uid"), F.col(text_col)), "__uid", text_col).select(F.col("id").alias("__id"), F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(F.when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))).alias("__spans")).where(F.size("__spans") > 0)
+    """``docs`` with every span replaced by its kind in angle brackets; same columns. Null text stays null.
+
+    Texts are read twice, to fit and to replace, and neither written nor shuffled."""
+    weights = fit(docs.select(hits_of(F.col(text_col)).alias("hits")))
+    hits, spans = fresh(docs, "hits"), fresh(docs, "spans")
+    order = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(F.when(a["end"] > b["end"], -1).when(a["end"] < b["end"], 1).otherwise(0))
+    found = docs.withColumn(hits, hits_of(F.col(text_col))).withColumn(spans, spans_of(F.col(hits), weights))
+    found = found.withColumn(spans, F.array_sort(F.concat(F.col(spans)["base"], F.col(spans)["added"]), order))
     text = F.col(text_col)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    start = lambda at: F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
     def put(acc: Column, s: Column) -> Column:
         word = F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), s["k"] + 1), F.lit(">"))
         new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), word)).alias("out"))
         # a span that starts inside the one before only moves the end on
         inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         return F.when(s["start"] < acc["at"], inside).otherwise(new)
-    done = F.aggregate("__spans", start, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return kept.join(found, kept["__uid"] == found["__id"], "left").withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(done)).select(*docs.columns)
+    def block(acc: Column, b: Column) -> Column:
+        return F.aggregate(b, start(acc["at"]), put, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
+    done = F.aggregate(_blocks(F.col(spans)), start(F.lit(0).cast("bigint")), block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*docs.columns)

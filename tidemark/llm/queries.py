@@ -11,9 +11,11 @@ from .common import table
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
-    count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("bigint").alias(f"n_{pii.KINDS[k]}")
+    count = lambda k, of="base": F.size(F.filter(of, lambda s: s["k"] == k)).cast("bigint").alias(f"n_{pii.KINDS[k]}")
     spans = F.array_sort(F.concat("base", "added"))
-    return found.select(F.col("id").alias("doc_id"), *map(count, range(4)), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"))
+    n = len(pii.BASE_KINDS)
+    more = [count(k, "added") for k in range(n, len(pii.KINDS))]
+    return found.select(F.col("id").alias("doc_id"), *map(count, range(n)), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(spans).alias("spans"), *more, F.size(spans).cast("bigint").alias("n_spans"))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
