@@ -58,7 +58,7 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("spans")
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False, passages=True).drop("spans")
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,10 @@ share one anchor, and the bytes they span.
    offsets, keyed by the longer content that all windows of a slice share, and counted again; slices
    of one window are settled by their counts alone.
 
+Repeated passages of few long words or many short ones are told apart by words as well: ``n_passages`` counts the
+51-word windows of a text that another document also holds. Windows are anchored by the least of their 16-word
+pieces; only windows at anchors that two texts share are compared, by a hash of their words.
+
 Equal texts are one text that occurs twice. Null or empty texts keep their zero bytes. Texts shorter than the
 window are kept. Rows are told apart by content only, so null and repeated ids do no harm.
 """
@@ -28,13 +32,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-from .neardup import _mix, _powers, runs
+from .common import discard, staged
+from .neardup import _IS_SPACE, _mix, _powers, runs
 
 WINDOW, GRAM = 400, 32
 SPREAD = WINDOW - GRAM + 1
 GROUP = 96
 SHALLOW = 64
+#: Words of a passage, and of the pieces that anchor it.
+PASSAGE, PIECE = 51, 16
 #: Sizes of the aligned offset slices that crowded anchors are cut into.
 SLICES = (96, 24, 6, 1)
 
@@ -57,14 +63,7 @@ def anchored_runs(raw: bytes, power: tuple[np.ndarray, np.ndarray]) -> tuple[np.
     of = Prefix(raw, power)
     at = np.arange(n - GRAM + 1)
     gram = of(at, at + GRAM)
-    least = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    size = 1
-    while 2 * size <= SPREAD:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    rest = SPREAD - size
-    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    anchor = _window_minima(gram, SPREAD)
     first = np.concatenate(([0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1))
     last = np.concatenate((first[1:] - 1, [len(anchor) - 1]))
     p = anchor[first]
@@ -72,6 +71,33 @@ def anchored_runs(raw: bytes, power: tuple[np.ndarray, np.ndarray]) -> tuple[np.
     return gram[p].view(np.int64), content.view(np.int64), first, p, last
 
 
+def _window_minima(values: np.ndarray, spread: int) -> np.ndarray:
+    """Place of the least value (by its upper half, the leftmost of equal ones) in each window of ``spread`` values."""
+    least = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values)).astype(np.uint64)
+    size = 1
+    while 2 * size <= spread:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    rest = spread - size
+    least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def passage_windows(raw: bytes, power: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    """(anchor hash, window hash) of each window of PASSAGE words; null if the text has fewer."""
+    space = np.concatenate(([True], _IS_SPACE[np.frombuffer(raw, dtype=np.uint8)], [True]))
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, stop = edge[0::2], edge[1::2]
+    if len(start) < PASSAGE:
+        return None
+    up, down = power
+    word = Prefix(raw, power)(start, stop)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(word * up[: len(word)])))
+    piece = _mix((sums[PIECE:] - sums[:-PIECE]) * down[: len(word) - PIECE + 1])
+    window = _mix((sums[PASSAGE:] - sums[:-PASSAGE]) * down[: len(word) - PASSAGE + 1] + np.uint64(PASSAGE))
+    return piece[_window_minima(piece, PASSAGE - PIECE + 1)].view(np.int64), window.view(np.int64)
+
+
 def _common(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -351,36 +377,87 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "utf-8")))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, spans, kept_sha256[, kept]) of each row."""
+def shared_anchors(texts: DataFrame) -> DataFrame:
+    """(fp, anchors): of each distinct text, the anchors of its passages that another text has too."""
+
+    def run(batches):
+        power = _powers(1 << 16)
+        for batch in batches:
+            owner, found = [], []
+            for text in batch.column("text").to_pylist():
+                raw = text.encode()
+                if len(raw) >= len(power[0]):
+                    power = _powers(2 * len(raw))
+                windows = passage_windows(raw, power)
+                if windows:
+                    anchors = np.unique(windows[0])
+                    found.append(anchors)
+                    owner += [hashlib.md5(raw).digest()] * len(anchors)
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.binary()), pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))], names=["fp", "anchor"])
+
+    pairs = staged(texts.select("text").mapInArrow(run, "fp binary, anchor bigint").distinct())
+    often = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_a"))
+    return pairs.join(often, F.col("anchor") == F.col("_a")).groupBy("fp").agg(F.collect_list("anchor").alias("anchors"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, passages: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, spans, kept_sha256[, kept][, n_passages]) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     spans = repeated_spans(docs, text_col).groupBy("fp").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
-    twice = rows.where(F.octet_length("text") >= WINDOW).groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1")
-    info = staged(spans.join(twice, "fp", "full").withColumnRenamed("fp", "_fp"))
+    twice = rows.where(F.length("text") > 0).groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1")
+    info = spans.join(twice, "fp", "full")
+    if passages:
+        info = info.join(shared_anchors(rows), "fp", "full")
+    else:
+        info = info.withColumn("anchors", F.lit(None).cast("array<bigint>"))
+    info = staged(info.withColumnRenamed("fp", "_fp"))
 
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([pack(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "fp", "packed"])
 
-    # few texts are equal; where many are, adaptive execution splits their key
-    met = rows.mapInArrow(squeeze, f"id {kind}, fp binary, packed binary").join(info, F.col("fp") == F.col("_fp"), "left").select("id", "packed", "spans", "copies")
+    # empty texts have no fingerprint, so that they do not meet; of equal texts a hot one's key is split by adaptive execution
+    met = rows.withColumn("fp", F.when(F.length("text") > 0, F.col("fp"))).mapInArrow(squeeze, f"id {kind}, fp binary, packed binary")
+    own = F.coalesce("fp", F.xxhash64("id", F.monotonically_increasing_id()).cast("string").cast("binary"))
+    met = met.withColumn("_key", own).join(info, F.col("_key") == F.col("_fp"), "left").select("id", "packed", "spans", "copies", "fp", "anchors")
+    names = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept", "fp", "windows", "alone"]
+    chosen = names[: 6 if keep_bytes else 5] + ["fp", "windows", "alone"] * passages
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor().decompress
+        power = _powers(1 << 16)
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for packed, found, copies in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            out: dict[str, list] = {name: [] for name in names}
+            for packed, found, copies, fp, anchors in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
                 raw = unpack(packed.as_py())
-                gone = [(0, len(raw))] if copies else merged([(s["lo"], s["hi"]) for s in found.as_py() or []])
+                gone = [(0, len(raw))] if copies and len(raw) >= WINDOW else merged([(s["lo"], s["hi"]) for s in found.as_py() or []])
                 ends = [0, *(x for s in gone for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[0::2], ends[1::2]))
-                for column, value in zip(out, (len(raw), len(raw) - len(kept), len(gone), [{"lo": a, "hi": b} for a, b in gone], hashlib.sha256(kept).hexdigest(), kept)):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.string(), pa.binary()]
-            names = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"]
-            n = 6 if keep_bytes else 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out[:n], kinds))], names=[id_col, *names[:n]])
-
-    return met.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<lo:int,hi:int>>, kept_sha256 string" + ", kept binary" * keep_bytes)
+                windows, alone = None, 0
+                if passages and (anchors.is_valid or copies):
+                    if len(raw) >= len(power[0]):
+                        power = _powers(2 * len(raw))
+                    seen = passage_windows(raw, power)
+                    if seen and copies:
+                        alone = len(seen[0])
+                    if seen and anchors.is_valid:
+                        windows = seen[1][np.isin(seen[0], np.array(anchors.as_py(), dtype=np.int64))]
+                values = (len(raw), len(raw) - len(kept), len(gone), [{"lo": a, "hi": b} for a, b in gone], hashlib.sha256(kept).hexdigest(), kept, fp.as_py(), windows, alone)
+                for name, value in zip(names, values):
+                    out[name].append(value)
+            kinds = dict(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], kinds[n]) for n in chosen)], names=[id_col, *chosen])
+
+    types = dict(zip(names, ["bigint", "bigint", "bigint", "array<struct<lo:int,hi:int>>", "string", "binary", "binary", "array<bigint>", "bigint"]))
+    done = met.mapInArrow(cut, f"`{id_col}` {kind}, " + ", ".join(f"{n} {types[n]}" for n in chosen))
+    if not passages:
+        return done
+    done = staged(done.withColumn("rid", F.monotonically_increasing_id()))
+    discard(info)
+    # windows of a text count once; a text with copies is repeated as a whole
+    held = done.where(F.size("windows") > 0).select("rid", "fp", "alone", F.explode("windows").alias("w"))
+    shared = held.select("fp", "w").distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("_w"))
+    counts = held.where("alone = 0").join(shared, F.col("w") == F.col("_w")).groupBy("rid").agg(F.count("*").alias("n")).withColumnRenamed("rid", "_r")
+    return done.join(counts, F.col("rid") == F.col("_r"), "left").withColumn("n_passages", F.greatest("alone", F.coalesce("n", F.lit(0).cast("bigint")))).drop("rid", "_r", "n", "fp", "windows", "alone")
