@@ -244,15 +244,15 @@ def _find_runs(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "fp binary, key bigint, cls bigint, a int, p int, b int")
 
 
-def _settle(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(repeated runs, open runs with the size m of their anchor's group) of distinct runs with a weight n."""
+def _settle(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(repeated runs, open runs with the size m of their anchor's group, staged table) of distinct runs with a weight n."""
     kinds = items.groupBy("key", "cls").agg(F.sum("n").alias("n"), F.min(F.struct("fp", "a", "p", "b")).alias("one"))
     kinds = staged(kinds)
     crowd = kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("_k"), "m")
     often = kinds.where("n > 1").select(F.col("key").alias("_k"), F.col("cls").alias("_c"))
     whole = items.join(often, (F.col("key") == F.col("_k")) & (F.col("cls") == F.col("_c"))).select("fp", F.col("a").alias("lo"), (F.col("b") + WINDOW).alias("hi"))
     left = kinds.join(crowd, F.col("key") == F.col("_k")).select("key", "cls", "m", F.least("n", F.lit(2)).cast("int").alias("n"), "one.*")
-    return whole, left
+    return whole, left, kinds
 
 
 def _fetch(left: DataFrame, packed: DataFrame) -> DataFrame:
@@ -325,11 +325,12 @@ def _sliced(items: DataFrame, size: int) -> DataFrame:
     return items.select("fp", "key", "n", "a", "p", "b", "span").mapInArrow(run, "fp binary, key bigint, cls bigint, n int, a int, p int, b int, span binary")
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(fp, lo, hi): repeated intervals of each distinct text; fp is the md5 of its bytes. Intervals overlap."""
+def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """((fp, lo, hi), staged tables to discard once that is written): repeated intervals of each distinct text; fp is the
+    md5 of its bytes. Intervals overlap."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     items = staged(_find_runs(texts).distinct().withColumn("n", F.lit(1)))
-    whole, left = _settle(items)
+    whole, left, kinds = _settle(items)
 
     def pack(batches):
         squeeze = zstandard.ZstdCompressor(level=3).compress
@@ -341,6 +342,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # one row a text: equal texts combine before the shuffle
     packed = packed.groupBy("fp").agg(F.first("packed").alias("packed"))
     found = staged(_fetch(left, packed))
+    spent = [items, kinds, found]
     covers = [whole, _sorted_groups(found.where(F.col("m") <= GROUP))]
     crowded = found.where(F.col("m") > GROUP)
     for size in SLICES:
@@ -354,12 +356,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         covers.append(cut.where("n = 1").join(often, both).select("fp", F.col("a").alias("lo"), (F.col("b") + WINDOW).alias("hi")))
         one = cut.groupBy("key", "cls").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("fp", "a", "p", "b", "span")).alias("one")).select("key", "cls", "n", "one.*")
         found = staged(one.join(crowd, F.col("key") == F.col("_k")).drop("_k"))
+        spent += [cut, found]
         covers.append(_sorted_groups(found.where(F.col("m") <= GROUP)))
         crowded = found.where(F.col("m") > GROUP)
     out = covers[0]
     for more in covers[1:]:
         out = out.union(more)
-    return out
+    return out, spent
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -377,8 +380,9 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "utf-8")))
 
 
-def shared_anchors(texts: DataFrame) -> DataFrame:
-    """(fp, anchors): of each distinct text, the anchors of its passages that another text has too."""
+def shared_anchors(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((f, anchors), staged table to discard): the anchors of each text's passages that another row has too; f is the first
+    half of the text's fingerprint. Two texts with one f get both lists, which only makes more windows meet."""
 
     def run(batches):
         power = _powers(1 << 16)
@@ -392,26 +396,35 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
                 if windows:
                     anchors = np.unique(windows[0])
                     found.append(anchors)
-                    owner += [hashlib.md5(raw).digest()] * len(anchors)
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.binary()), pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))], names=["fp", "anchor"])
+                    owner += [half(hashlib.md5(raw).digest())] * len(anchors)
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))], names=["f", "anchor"])
 
-    pairs = staged(texts.select("text").mapInArrow(run, "fp binary, anchor bigint").distinct())
+    pairs = staged(texts.select("text").mapInArrow(run, "f bigint, anchor bigint"))
     often = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_a"))
-    return pairs.join(often, F.col("anchor") == F.col("_a")).groupBy("fp").agg(F.collect_list("anchor").alias("anchors"))
+    return pairs.join(often, F.col("anchor") == F.col("_a")).groupBy("f").agg(F.collect_set("anchor").alias("anchors")), pairs
+
+
+def half(fp: bytes) -> int:
+    return int.from_bytes(fp[:8], "big", signed=True)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, passages: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept_sha256[, kept][, n_passages]) of each row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = repeated_spans(docs, text_col).groupBy("fp").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    covers, spent = repeated_spans(docs, text_col)
+    spans = covers.groupBy("fp").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
     twice = rows.where(F.length("text") > 0).groupBy("fp").agg(F.count("*").alias("copies")).where("copies > 1")
-    info = spans.join(twice, "fp", "full")
+    f = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("bigint")
+    info = staged(spans.join(twice, "fp", "full").groupBy(f.alias("f")).agg(F.collect_list(F.struct("fp", "spans", "copies")).alias("of")))
+    discard(*spent)
     if passages:
-        info = info.join(shared_anchors(rows), "fp", "full")
+        anchors, pairs = shared_anchors(rows)
+        both = staged(info.join(anchors, "f", "full"))
+        discard(info, pairs)
+        info = both
     else:
         info = info.withColumn("anchors", F.lit(None).cast("array<bigint>"))
-    info = staged(info.withColumnRenamed("fp", "_fp"))
 
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -420,8 +433,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # empty texts have no fingerprint, so that they do not meet; of equal texts a hot one's key is split by adaptive execution
     met = rows.withColumn("fp", F.when(F.length("text") > 0, F.col("fp"))).mapInArrow(squeeze, f"id {kind}, fp binary, packed binary")
-    own = F.coalesce("fp", F.xxhash64("id", F.monotonically_increasing_id()).cast("string").cast("binary"))
-    met = met.withColumn("_key", own).join(info, F.col("_key") == F.col("_fp"), "left").select("id", "packed", "spans", "copies", "fp", "anchors")
+    # an empty text's key is its id's hash: whatever entry it may meet has another fingerprint
+    met = met.withColumn("_key", F.coalesce(f, F.xxhash64("id"))).join(info.withColumnRenamed("f", "_f"), F.col("_key") == F.col("_f"), "left").select("id", "packed", "of", "fp", "anchors")
     names = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept", "fp", "windows", "alone"]
     chosen = names[: 6 if keep_bytes else 5] + ["fp", "windows", "alone"] * passages
 
@@ -430,9 +443,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         power = _powers(1 << 16)
         for batch in batches:
             out: dict[str, list] = {name: [] for name in names}
-            for packed, found, copies, fp, anchors in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+            for packed, of, fp, anchors in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
                 raw = unpack(packed.as_py())
-                gone = [(0, len(raw))] if copies and len(raw) >= WINDOW else merged([(s["lo"], s["hi"]) for s in found.as_py() or []])
+                mine = next((x for x in of.as_py() or [] if x["fp"] == fp), {"spans": None, "copies": None})
+                copies = mine["copies"]
+                gone = [(0, len(raw))] if copies and len(raw) >= WINDOW else merged([(s["lo"], s["hi"]) for s in mine["spans"] or []])
                 ends = [0, *(x for s in gone for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[0::2], ends[1::2]))
                 windows, alone = None, 0
@@ -444,18 +459,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         alone = len(seen[0])
                     if seen and anchors.is_valid:
                         windows = seen[1][np.isin(seen[0], np.array(anchors.as_py(), dtype=np.int64))]
-                values = (len(raw), len(raw) - len(kept), len(gone), [{"lo": a, "hi": b} for a, b in gone], hashlib.sha256(kept).hexdigest(), kept, fp.as_py(), windows, alone)
+                values = (len(raw), len(raw) - len(kept), len(gone), [{"lo": a, "hi": b} for a, b in gone], hashlib.sha256(kept).hexdigest(), kept, half(fp) if fp else None, windows, alone)
                 for name, value in zip(names, values):
                     out[name].append(value)
-            kinds = dict(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]))
+            kinds = dict(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[n], kinds[n]) for n in chosen)], names=[id_col, *chosen])
 
-    types = dict(zip(names, ["bigint", "bigint", "bigint", "array<struct<lo:int,hi:int>>", "string", "binary", "binary", "array<bigint>", "bigint"]))
+    types = dict(zip(names, ["bigint", "bigint", "bigint", "array<struct<lo:int,hi:int>>", "string", "binary", "bigint", "array<bigint>", "bigint"]))
     done = met.mapInArrow(cut, f"`{id_col}` {kind}, " + ", ".join(f"{n} {types[n]}" for n in chosen))
     if not passages:
         return done
     done = staged(done.withColumn("rid", F.monotonically_increasing_id()))
     discard(info)
+    # from here on fp is the first half of the fingerprint: texts that share it count as one, with a chance of 2^-64 a pair
     # windows of a text count once; a text with copies is repeated as a whole
     held = done.where(F.size("windows") > 0).select("rid", "fp", "alone", F.explode("windows").alias("w"))
     shared = held.select("fp", "w").distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("_w"))
