@@ -7,7 +7,9 @@ score array. Partition selection keeps the k best of the pair, and a window merg
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids. Rows
 that share a query's id count as the query's own. Repeated query rows each give their k results. Ties go
-to the smaller id. Components are integers of at most 2^28, so scores fit in 64 bits.
+to the smaller id. Empty tables give no rows; only the id and the vector column are read. Components and scores are 64-bit
+integers: blocks whose scores might pass that are summed in integers of any size, and a component or score that
+does pass it is an error, never a wrapped number.
 """
 
 from __future__ import annotations
@@ -18,14 +20,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 8192
+#: Bytes of a block of vectors at most, unless a single vector is longer.
+BLOCK_BYTES = 16 << 20
+LIMIT = 1 << 63
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(id, v): floor(scale * x) of every usable vector."""
     v = F.col(vector_col)
     finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))
+    def whole(x):
+        scaled = x.cast("double") * F.lit(scale)
+        return F.when((scaled >= float(LIMIT)) | (scaled < -float(LIMIT)), F.raise_error(F.lit("a scaled component passes 64 bits")).cast("bigint")).otherwise(F.floor(scaled).cast("bigint"))
+
     usable = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite)
-    return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("bigint")).alias("v"))
+    return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, whole).alias("v"))
 
 
 def _packed(rows: DataFrame, blocks: int, side: str) -> DataFrame:
@@ -48,7 +57,7 @@ def _packed(rows: DataFrame, blocks: int, side: str) -> DataFrame:
             row = np.repeat(np.arange(len(lens)), lens)
             wide[row, np.arange(len(row)) - start[row]] = np.concatenate(values)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate(ids)[order].astype("<i8").tobytes()]), pa.array([wide.shape[1]], pa.int32()), pa.array([wide[order].astype("<i4").tobytes()])],
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate(ids)[order].astype("<i8").tobytes()]), pa.array([wide.shape[1]], pa.int32()), pa.array([wide[order].astype("<i8").tobytes()])],
                 names=[f"{side}b", f"{side}_ids", f"{side}_dims", f"{side}_values"],
             )
 
@@ -58,26 +67,45 @@ def _packed(rows: DataFrame, blocks: int, side: str) -> DataFrame:
 def block_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products of every query row with every candidate row, a term at a time."""
     dims = min(q.shape[1], c.shape[1])
+    most = lambda m: max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
+    # integers of any size where 64 bits might not do
+    kind = np.int64 if most(q) * most(c) * max(dims, 1) < LIMIT else object
+    q, c = q.astype(kind), c.astype(kind)
     postings = []
     for d in range(dims):
         at = np.flatnonzero(c[:, d])
         postings.append((slice(None), c[:, d].copy()) if 2 * len(at) > len(c) else (at, c[at, d]))
-    scores = np.zeros((len(q), len(c)), dtype=np.int64)
+    scores = np.zeros((len(q), len(c)), dtype=kind)
     for row, weights in zip(scores, q):
         for d in np.flatnonzero(weights[:dims]):
             at, values = postings[d]
             row[at] += weights[d] * values
+    if kind is object:
+        if scores.size and max(abs(scores.max()), abs(scores.min())) >= LIMIT:
+            raise OverflowError("a score passes 64 bits")
+        scores = scores.astype(np.int64)
     return scores
 
 
+def best_of(scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each row's k highest scores besides its own; of equal ones at the edge the leftmost."""
+    kept = np.where(own, np.iinfo(np.int64).min, scores)
+    n = kept.shape[1]
+    k = min(k, n)
+    edge = np.partition(kept, n - k, axis=1)[:, n - k, None]
+    above, ties = kept > edge, kept == edge
+    return (above | (ties & (np.cumsum(ties, axis=1) <= k - above.sum(axis=1, keepdims=True)))) & ~own
+
+
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query by integer inner product.
 
     ``queries`` and ``candidates`` are (id, v) as ``quantised`` returns them. Blocks have a fixed size, so a
     task's memory does not grow with the input; work is queries times candidates, as the search demands."""
     spark = queries.sparkSession
-    nq = max(1, -(-queries.count() // QUERY_BLOCK))
-    nc = max(1, -(-candidates.count() // CANDIDATE_BLOCK))
+    sized = lambda rows: rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dims")).first()
+    blocks = lambda row, most: max(1, -(-row["n"] // max(1, min(most, BLOCK_BYTES // (8 * row["dims"])))))
+    nq, nc = blocks(sized(queries), QUERY_BLOCK), blocks(sized(candidates), CANDIDATE_BLOCK)
     cores = spark.sparkContext.defaultParallelism
     nc = max(nc, -(-cores // nq)) if nc > 1 else nc
     left = _packed(queries, nq, "q").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
@@ -88,20 +116,14 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataF
         for batch in batches:
             for r in batch.to_pylist():
                 q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
-                q = np.frombuffer(r["q_values"], "<i4").reshape(len(q_ids), -1).astype(np.int64)
-                c = np.frombuffer(r["c_values"], "<i4").reshape(len(c_ids), -1).astype(np.int64)
+                q = np.frombuffer(r["q_values"], "<i8").reshape(len(q_ids), -1)
+                c = np.frombuffer(r["c_values"], "<i8").reshape(len(c_ids), -1)
                 for lo in range(0, len(q_ids), 128):
                     ids = q_ids[lo : lo + 128]
                     scores = block_scores(q[lo : lo + 128], c)
                     own = ids[:, None] == c_ids[None, :]
                     # ids are in order within a block, so the place breaks ties
-                    keyed = scores * len(c_ids) + np.arange(len(c_ids) - 1, -1, -1)
-                    keyed[own] = np.iinfo(np.int64).min
-                    n = min(k, len(c_ids))
-                    best = np.argpartition(keyed, len(c_ids) - n, axis=1)[:, len(c_ids) - n :]
-                    kept = ~np.take_along_axis(own, best, axis=1)
-                    row, _ = np.nonzero(kept)
-                    best = best[kept]
+                    row, best = np.nonzero(best_of(scores, own, k))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(row), r["qb"], dtype=np.int32)), pa.array((row + lo).astype(np.int32)), pa.array(ids[row]), pa.array(c_ids[best]), pa.array(scores[row, best])],
                         names=["qb", "place", "query_id", "vec_id", "score"],
