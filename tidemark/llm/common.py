@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import discard, shared_dir, staged, staged_bytes
 
-__all__ = ["LOWER", "SPACE", "UPPER", "discard", "fresh", "keyed", "keep_rows", "shared_dir", "staged", "staged_bytes", "table"]
+__all__ = ["BROADCAST_BYTES", "LOWER", "SPACE", "UPPER", "discard", "fresh", "keyed", "keep_rows", "shared_dir", "staged", "staged_bytes", "table"]
 
 #: ASCII white space that separates words; the same six bytes ``bytes.split()`` uses.
 SPACE = r"\x20\x09-\x0D"

@@ -1,12 +1,14 @@
 """ISO media containers: write, walk nested boxes, decode sample tables, range-read samples.
 
 ``write_media`` stores a payload as raw 8-bit samples, 64 to a frame, in a movie file: ``ftyp``, then
-``moov`` with the sample tables, then ``mdat``. ``read_media`` walks the boxes of any such file and
-takes codec, time scale, duration, sample sizes, chunk offsets and sync samples from the tables; key
-frames come out as byte ranges and no payload is decoded.
-
-Null or empty text is a payload of 64 zero bytes. Equal texts give equal files (no clock, no ids).
-A damaged file gives null features. Only the id and the named column are read.
+``moov`` with the sample tables, then ``mdat``. ``read_media`` walks the boxes of a file whose movie box holds
+its sample tables (``stsz`` or compact ``stz2`` sizes, 32- or 64-bit offsets) and takes codec, time scale, duration,
+sizes, offsets and sync samples from them; key frames come out as byte ranges and no payload is decoded. Composition
+offsets do not move bytes and are not read. Movies in fragments have empty tables: their features are null, as
+are those of a damaged file; counts are checked against the box that holds them before anything is allocated.
+
+Null or empty text is a payload of 64 zero bytes. Equal texts give equal files (no clock, no ids). Repeated rows and
+ids are rows of their own, an empty table gives no rows. Only the id and the named column are read.
 """
 
 from __future__ import annotations
@@ -105,8 +107,10 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
             stack.append((body, at + size, (*path, kind)))
 
 
-def _table(data: bytes, body: int, columns: int, wide: bool = False) -> np.ndarray:
+def _table(data: bytes, body: int, end: int, columns: int, wide: bool = False) -> np.ndarray:
     (count,) = struct.unpack_from(">I", data, body + 4)
+    if body + 8 + count * columns * (8 if wide else 4) > end:
+        raise ValueError("a table is longer than its box")
     return np.frombuffer(data, dtype=">u8" if wide else ">u4", count=count * columns, offset=body + 8).reshape(count, columns).astype(np.int64)
 
 
@@ -128,19 +132,33 @@ def read_media(data: bytes) -> list[dict]:
             track["codec"] = data[body + 12 : body + 16].decode("latin-1")
             track["bits"] = struct.unpack_from(">H", data, body + 34)[0] if body + 36 <= end else 0
         elif kind == b"stts":
-            track["times"] = _table(data, body, 2)
+            track["times"] = _table(data, body, end, 2)
         elif kind == b"stss":
-            track["keys"] = _table(data, body, 1)[:, 0] - 1
+            track["keys"] = _table(data, body, end, 1)[:, 0] - 1
         elif kind == b"stsc":
-            track["chunk_runs"] = _table(data, body, 3)
+            track["chunk_runs"] = _table(data, body, end, 3)
         elif kind == b"stsz":
             one, count = struct.unpack_from(">II", data, body + 4)
+            # samples of one size lie in the file, so their number is bounded by its length
+            if count * max(one, 1) > len(data) or not one and body + 12 + 4 * count > end:
+                raise ValueError("more samples than bytes")
             track["sizes"] = np.full(count, one, dtype=np.int64) if one else np.frombuffer(data, dtype=">u4", count=count, offset=body + 12).astype(np.int64)
+        elif kind == b"stz2":
+            bits, (count,) = data[body + 7], struct.unpack_from(">I", data, body + 8)
+            if bits not in (4, 8, 16) or body + 12 + (count * bits + 7) // 8 > end:
+                raise ValueError("bad compact sizes")
+            packed = np.frombuffer(data, dtype=np.uint8, count=(count * bits + 7) // 8, offset=body + 12)
+            if bits == 4:
+                packed = np.stack((packed >> 4, packed & 15), axis=1).ravel()[:count]
+            track["sizes"] = packed.view(">u2").astype(np.int64) if bits == 16 else packed.astype(np.int64)
         elif kind in (b"stco", b"co64"):
-            track["chunks"] = _table(data, body, 1, kind == b"co64")[:, 0]
+            track["chunks"] = _table(data, body, end, 1, kind == b"co64")[:, 0]
     for track in tracks:
         sizes, chunks, runs = track.pop("sizes"), track.pop("chunks"), track.pop("chunk_runs")
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
+        steps = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if len(runs) and (runs[0, 0] != 1 or (steps < 0).any()):
+            raise ValueError("chunk runs are out of order")
+        per_chunk = np.repeat(runs[:, 1], steps)
         if per_chunk.sum() != len(sizes):
             raise ValueError("sample tables disagree")
         first = np.cumsum(per_chunk) - per_chunk
@@ -148,6 +166,8 @@ def read_media(data: bytes) -> list[dict]:
         of = np.repeat(np.arange(len(chunks)), per_chunk)
         start = chunks[of] + before[:-1] - before[first][of]
         stop = start + sizes
+        if len(stop) and stop.max() > len(data):
+            raise ValueError("a sample lies behind the end")
         cut = np.flatnonzero(start[1:] != stop[:-1]) + 1
         track["ranges"] = list(zip(start[np.concatenate(([0], cut))].tolist(), stop[np.concatenate((cut - 1, [len(stop) - 1]))].tolist())) if len(start) else []
         keys = np.arange(len(sizes)) if track["keys"] is None else track["keys"]

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, fresh, keyed, staged
+from .common import BROADCAST_BYTES, SPACE, discard, keyed, staged, staged_bytes
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLICES = 4096
@@ -95,33 +95,52 @@ def inclusion(goal: DataFrame, steps: DataFrame) -> DataFrame:
     return met.withColumn("odds", F.when(F.col("t").isNotNull(), odds)).drop("bins", "t")
 
 
-def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 42, key: str | None = None) -> DataFrame:
-    """(id, size, source_size, target, copies, taken, inclusion) of every row, and ``k``, its key. ``copies`` is at most
-    ceil(target/size); ``inclusion`` is the probability of the copy that is sampled. ``key``: a column that names rows, if there is one."""
-    if key is None:
-        docs, key = keyed(docs)
-    size = words(F.col(text_col)).alias("size")
-    u = ((F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))).alias("u")
-    rows = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size, u, F.col(key).alias("k")))
-    steps = staged(rows.where("size > 0").groupBy("source", _step(F.col("size")).alias("step")).agg(F.sum("size").alias("n"), F.count("*").alias("docs")))
+def _by_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with a staged table of one row a source: broadcast below a checked size, else a join that adaptive
+    execution splits where a source is hot."""
+    right = sources.withColumnRenamed("source", "_s")
+    right = F.broadcast(right) if staged_bytes(sources) <= BROADCAST_BYTES else right
+    return rows.join(right, F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
-    def joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        # Spark broadcasts the sources only if they are small; else adaptive execution splits hot ones
-        return left.join(right.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
 
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights)
-    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
-    goal = goal.withColumn("certain", F.floor(ratio + F.lit(1e-12)).cast("bigint"))
-    goal = goal.withColumn("lack", F.floor(F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)) + 0.5).cast("bigint"))
-    means = steps.groupBy("source").agg((F.sum("n") / F.sum("docs")).alias("mean"))
-    goal = staged(inclusion(joined(goal, means, "left"), steps))
+def _placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` (source, size, u, ...) with their source's figures, inclusion probability and place v in the order."""
     odds = F.element_at("odds", _step(F.col("size")))
-    r = F.col("u") / (1 - F.col("u")) / odds
     # the ratio decides the order everywhere; v is its place in (0, 1)
-    placed = staged(joined(rows, goal).select("id", "source", "size", "k", "source_size", "target", "certain", "lack", (odds / (1 + odds)).alias("inclusion"), (r / (1 + r)).alias("v")))
+    r = F.col("u") / (1 - F.col("u")) / odds
+    some = F.col("size") > 0
+    return _by_source(rows, sources).withColumn("inclusion", F.when(some, odds / (1 + odds))).withColumn("v", F.when(some, r / (1 + r))).drop("odds")
+
+
+def _slices() -> tuple[Column, Column]:
     one = F.least(F.floor(F.col("v") * SLICES), F.lit(SLICES - 1)).cast("int")
-    two = F.least(F.floor((F.col("v") * SLICES - one) * SLICES), F.lit(SLICES - 1)).cast("int")
-    some = (F.col("size") > 0) & F.col("v").isNotNull()
+    return one, F.least(F.floor((F.col("v") * SLICES - one) * SLICES), F.lit(SLICES - 1)).cast("int")
+
+
+def _order() -> Column:
+    return F.struct("v", "id", "size", "k")
+
+
+def _taken() -> Column:
+    """Whether a placed row stands before its source's cut (s1, s2, last)."""
+    one, two = _slices()
+    place, mark = F.struct(one.alias("a"), two.alias("b")), F.struct(F.col("s1").alias("a"), F.col("s2").alias("b"))
+    return F.coalesce(F.col("v").isNotNull() & F.col("s1").isNotNull() & ((place < mark) | ((place == mark) & F.col("last").isNotNull() & (_order() <= F.col("last")))), F.lit(False))
+
+
+def decisions(rows: DataFrame, share: float, most: float, weights: tuple[float, ...]) -> DataFrame:
+    """One row a source (staged): its figures, inclusion odds by size, the cut of its order and the document that closes the gap.
+
+    ``rows`` is staged: (id, source, size, u, k)."""
+    steps = staged(rows.where("size > 0").groupBy("source", _step(F.col("size")).alias("step")).agg(F.sum("size").alias("n"), F.count("*").alias("docs")))
+    goal = staged(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights))
+    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(0.0)
+    lack = F.floor(F.greatest(F.col("target") - F.col("certain") * F.col("source_size"), F.lit(0.0)) + 0.5).cast("bigint")
+    means = staged(steps.groupBy("source").agg((F.sum("n") / F.sum("docs")).alias("mean")))
+    aimed = _by_source(goal.withColumn("certain", F.floor(ratio + F.lit(1e-12)).cast("bigint")).withColumn("lack", lack), means, "left")
+    sources = staged(inclusion(aimed, steps).drop("place", "mean"))
+    placed = staged(_placed(rows, sources).where("v is not null").select("source", "lack", "v", "id", "size", "k"))
+    one, two = _slices()
 
     def cut(sums: DataFrame) -> DataFrame:
         """Per source, the last slice that starts before what is lacking, and the words before it."""
@@ -129,37 +148,55 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = sums.withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0).cast("bigint")))
         return at.where(F.col("before") < F.col("lack")).groupBy("source").agg(F.max(F.struct("slice", "before")).alias("m")).select("source", F.col("m.slice").alias("slice"), F.col("m.before").alias("before"))
 
-    first = cut(placed.where(some).groupBy("source", "lack", one.alias("slice")).agg(F.sum("size").alias("n")).withColumn("base", F.lit(0).cast("bigint")))
-    marks = staged(first.select("source", F.col("slice").alias("s1"), F.col("before").alias("b1")))
-    second = cut(joined(placed.where(some), marks).where(one == F.col("s1")).groupBy("source", "lack", F.col("b1").alias("base"), two.alias("slice")).agg(F.sum("size").alias("n")))
-    marks2 = staged(joined(marks, second.select("source", F.col("slice").alias("s2"), F.col("before").alias("b2"))))
+    first = staged(cut(placed.groupBy("source", "lack", one.alias("slice")).agg(F.sum("size").alias("n")).withColumn("base", F.lit(0).cast("bigint"))).select("source", F.col("slice").alias("s1"), F.col("before").alias("b1")))
+    second = staged(cut(_by_source(placed, first).where(one == F.col("s1")).groupBy("source", "lack", F.col("b1").alias("base"), two.alias("slice")).agg(F.sum("size").alias("n"))).select("source", F.col("slice").alias("s2"), F.col("before").alias("b2")))
+    marks = staged(_by_source(first, second))
     # only the sliver around the cut is ordered: about 2^-24 of a source
-    order = F.struct("v", "id", "size", "k")
-    sliver = joined(placed.where(some), marks2).where((one == F.col("s1")) & (two == F.col("s2")))
-    w = Window.partitionBy("source").orderBy("v", "id", "size", "k")
-    edge = sliver.withColumn("upto", F.col("b2") + F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sliver = _by_source(placed, marks).where((one == F.col("s1")) & (two == F.col("s2")))
+    w = Window.partitionBy("source").orderBy("v", "id", "size", "k").rowsBetween(Window.unboundedPreceding, 0)
+    edge = sliver.withColumn("upto", F.col("b2") + F.sum("size").over(w))
     # sums only grow, so those that fit come first; the cut lies behind the last of them
-    last = edge.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("lack"), order)).alias("last"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("lack"), F.col("upto"))), F.min("b2")).alias("done"))
-    cuts = staged(joined(marks2, last).drop("b1", "b2"))
-    place, mark = F.struct(one.alias("a"), two.alias("b")), F.struct(F.col("s1").alias("a"), F.col("s2").alias("b"))
-    taken = some & F.col("s1").isNotNull() & ((place < mark) | ((place == mark) & F.col("last").isNotNull() & (order <= F.col("last"))))
+    fits = F.col("upto") <= F.col("lack")
+    last = staged(edge.groupBy("source").agg(F.max(F.when(fits, _order())).alias("last"), F.coalesce(F.max(F.when(fits, F.col("upto"))), F.min("b2")).alias("done")))
+    cuts = staged(_by_source(marks.drop("b1", "b2"), last))
     # what closes the gap: the document behind the cut that brings the sum nearest, the earliest of these
     gap = F.col("lack") - F.col("done")
-    after = joined(placed, cuts).where(some & ~taken & (F.col("size") < 2 * gap))
-    close = after.groupBy("source").agg(F.min_by(order, F.struct(F.abs(gap - F.col("size")).alias("d"), "v", "id", "k")).alias("close"))
-    final = joined(placed, joined(cuts, close, "left"), "left")
-    more = F.coalesce(taken | order.eqNullSafe(F.col("close")), F.lit(False)) & some
-    copies = F.col("certain") + F.when(more, 1).otherwise(0)
-    out = final.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("bigint").alias("copies"), (copies * F.col("size")).cast("bigint").alias("taken"), "inclusion", "k")
-    discard(rows, steps, goal, marks)
+    after = _by_source(placed, cuts).where(~_taken() & (F.col("size") < 2 * gap))
+    close = staged(after.groupBy("source").agg(F.min_by(_order(), F.struct(F.abs(gap - F.col("size")).alias("d"), "v", "id", "k")).alias("close")))
+    out = staged(_by_source(_by_source(sources, cuts, "left").drop("done"), close, "left"))
+    discard(steps, goal, means, sources, placed, first, second, marks, last, cuts, close)
     return out
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every row as often as the mix takes it, all columns as they were. Texts meet their number of copies by the row's key in one join."""
-    rows, key = keyed(docs)
-    counted = staged(pareto_mix(rows, id_col, text_col, source_col, key=key).select("k", "copies"))
-    times, other = fresh(docs, "times"), fresh(docs, "other")
-    right = counted.where("copies > 0").select(F.col("k").alias(other), F.col("copies").alias(times))
-    met = rows.join(right, F.col(key) == F.col(other)).withColumn(times, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times))))
-    return met.select(*docs.columns)
+def _figures(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, key: str) -> list[Column]:
+    u = ((F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))).alias("u")
+    return [F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), u, F.col(key).alias("k")]
+
+
+def _copied(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    more = F.coalesce(_taken() | (F.col("v").isNotNull() & _order().eqNullSafe(F.col("close"))), F.lit(False))
+    return _placed(rows, sources).withColumn("copies", F.col("certain") + F.when(more, 1).otherwise(0).cast("bigint"))
+
+
+def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
+    """(id, size, source_size, target, copies, taken, inclusion) of every row. ``copies`` is at most ceil(target/size);
+    ``inclusion`` is the probability of the copy that is sampled, null where none is."""
+    docs, key = keyed(docs)
+    rows = staged(docs.select(*_figures(docs, id_col, text_col, source_col, seed, key)))
+    out = _copied(rows, decisions(rows, share, most, weights))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "inclusion")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
+    """Every row as often as the mix takes it, all columns as they were.
+
+    Texts are read twice, to size and to copy, and neither written nor shuffled while the sources are few enough to
+    be broadcast: each row finds its copies from its own figures and its source's decisions."""
+    docs, key = keyed(docs)
+    columns = [c for c in docs.columns if c != key]
+    figures = _figures(docs, id_col, text_col, source_col, seed, key)
+    rows = staged(docs.select(*figures))
+    sources = decisions(rows, share, most, weights)
+    discard(rows)
+    whole = docs.select(F.struct(*columns).alias("doc"), *figures)
+    return _copied(whole, sources).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc.*")

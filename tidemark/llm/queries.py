@@ -20,7 +20,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = isomedia.store_media(table(spark, sf_dir, "documents"))
-    return isomedia.media_features(media).drop("key_ranges")
+    return isomedia.media_features(media)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

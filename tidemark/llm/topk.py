@@ -64,8 +64,8 @@ def _packed(rows: DataFrame, blocks: int, side: str) -> DataFrame:
     return rows.repartition(blocks).mapInArrow(run, f"{side}b int, {side}_ids binary, {side}_dims int, {side}_values binary")
 
 
-def block_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of every query row with every candidate row, a term at a time."""
+def block_scores(q: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Inner products of every query row with every candidate row, a term at a time; 0 for a query's own rows."""
     dims = min(q.shape[1], c.shape[1])
     most = lambda m: max(abs(int(m.max(initial=0))), abs(int(m.min(initial=0))))
     # integers of any size where 64 bits might not do
@@ -80,6 +80,7 @@ def block_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         for d in np.flatnonzero(weights[:dims]):
             at, values = postings[d]
             row[at] += weights[d] * values
+    scores[own] = 0
     if kind is object:
         if scores.size and max(abs(scores.max()), abs(scores.min())) >= LIMIT:
             raise OverflowError("a score passes 64 bits")
@@ -120,8 +121,8 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataF
                 c = np.frombuffer(r["c_values"], "<i8").reshape(len(c_ids), -1)
                 for lo in range(0, len(q_ids), 128):
                     ids = q_ids[lo : lo + 128]
-                    scores = block_scores(q[lo : lo + 128], c)
                     own = ids[:, None] == c_ids[None, :]
+                    scores = block_scores(q[lo : lo + 128], c, own)
                     # ids are in order within a block, so the place breaks ties
                     row, best = np.nonzero(best_of(scores, own, k))
                     yield pa.RecordBatch.from_arrays(

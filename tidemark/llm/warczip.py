@@ -1,18 +1,24 @@
 """WARC records in ZIP packages: a writer, and a reader that range-reads records without extraction.
 
-A package holds ``archive/data.warc`` and ``indexes/index.cdx`` as *stored* members, so each record is
-a byte range of the package. The reader takes the end-of-directory record (or its ZIP64 form) from the
-tail, parses the central directory with ZIP64 extra fields, finds the stored members, reads the index
-and then only the ranges it names. It works on any ``read(offset, length)`` source.
+A package is a ZIP file in the shared folder. It holds ``archive/data.warc.gz`` (each record a gzip member of its own) and
+``indexes/index.cdx`` as *stored* members, so each record is a byte range of the package. The reader opens the file, takes
+the end-of-directory record (or its ZIP64 form) from the tail, parses the central directory with ZIP64 extra
+fields, finds all stored archives (``.warc`` or ``.warc.gz``) and indexes, reads the indexes and then only the ranges
+they name; compressed members are passed over. It works on any ``read(offset, length)`` source.
+
+A retried task writes a file of its own, and only the files that the finished tasks named are read. The folder is
+reached by pyarrow's file systems from its address.
 
 Payload: the html in UTF-8, null as empty. Of records with equal payloads the one with the largest id is
 the response, the rest are revisits; repeated rows of that id are all responses. A null id is kept
-and never refers to anything unless every id of its payload is null (then it is a response).
+and never refers to anything unless every id of its payload is null (then it is a response). An empty table gives no
+packages and no rows. Only id, address and html are read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
@@ -23,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import BROADCAST_BYTES, shared_dir, staged, staged_bytes
 
-PACKAGE_BYTES = 4 << 20
+#: Bytes of records after which a package is closed.
+PACKAGE_BYTES = 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MARK64 = 0xFFFFFFFF
@@ -139,7 +146,7 @@ def read_directory(read: Read, length: int) -> dict[str, tuple[int, int, int, in
 def read_package(read: Read, length: int) -> Iterator[tuple[int, int, dict]]:
     """(offset, length, record) of each indexed record, by range reads from the package."""
     members = read_directory(read, length)
-    archives = {name: m for name, m in members.items() if name.endswith(".warc") and m[0] == 0}
+    archives = {name: m for name, m in members.items() if name.endswith((".warc", ".warc.gz")) and m[0] == 0}
     for name, (method, crc, start, size) in members.items():
         if not name.endswith(".cdx") or method:
             continue
@@ -148,32 +155,53 @@ def read_package(read: Read, length: int) -> Iterator[tuple[int, int, dict]]:
             raise ValueError("index is damaged")
         for line in index.decode().splitlines():
             archive, at, n = line.rsplit(" ", 2)
-            base = archives[archive][2]
-            yield base + int(at), int(n), parse_record(read(base + int(at), int(n)))
+            at, n = int(at), int(n)
+            if archive not in archives or at + n > archives[archive][3]:
+                raise ValueError("an index names a range that no stored archive has")
+            raw = read(archives[archive][2] + at, n)
+            yield archives[archive][2] + at, n, parse_record(gzip.decompress(raw) if archive.endswith(".gz") else raw)
+
+
+def _opened(address: str):
+    """(file system, path) of an address."""
+    from pyarrow import fs
+
+    if address.startswith("file:") or "://" not in address:
+        return fs.LocalFileSystem(), "/" + address.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(address)
 
 
 def pack_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Packages (binary) of about 4 MB with one record per row.
+    """(package, bytes): the address and length of each package written, with one record per row.
 
-    The response of a payload is found by an aggregation with map-side combine on the digest. Pages
-    rejoin it on the digest in a plain sort-merge join, whose hot keys adaptive execution splits."""
+    The response of a payload is found by an aggregation with map-side combine on the digest; only payloads that
+    occur twice come back to the pages, broadcast below a checked size, else by a join that adaptive execution splits."""
     p = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    p = p.withColumn("sha", F.sha1(F.encode("html", "utf-8")))
-    top = p.groupBy("sha").agg(F.max("page_id").alias("top"))
-    joined = p.join(top.hint("merge"), "sha").select("page_id", "url", "html", "top")
+    sha = F.unhex(F.sha1(F.encode("html", "utf-8")))
+    often = staged(p.groupBy(sha.alias("_sha")).agg(F.count("*").alias("n"), F.max("page_id").alias("top")).where("n > 1").select("_sha", "top"))
+    right = F.broadcast(often) if staged_bytes(often) <= BROADCAST_BYTES else often
+    joined = p.withColumn("sha", sha).join(right, F.col("sha") == F.col("_sha"), "left").select("page_id", "url", "html", F.coalesce("top", "page_id").alias("top"))
+    folder = f"{shared_dir(pages.sparkSession)}/packages-{uuid.uuid4().hex}"
 
     def run(batches):
+        files, path = _opened(folder)
+        files.create_dir(path, recursive=True)
         data, index, at = [], [], 0
 
         def package():
-            return pa.RecordBatch.from_pydict({"package": pa.array([write_package([("archive/data.warc", b"".join(data)), ("indexes/index.cdx", "".join(index).encode())])], pa.binary())})
+            whole = write_package([("archive/data.warc.gz", b"".join(data)), ("indexes/index.cdx", "".join(index).encode())])
+            name = f"{uuid.uuid4().hex}.zip"
+            with files.open_output_stream(f"{path}/{name}") as out:
+                out.write(whole)
+            return pa.RecordBatch.from_pydict({"package": pa.array([f"{folder}/{name}"]), "bytes": pa.array([len(whole)], pa.int64())})
 
         for batch in batches:
             for row in batch.to_pylist():
                 payload = row["html"].encode()
                 record = write_record(row["page_id"], row["url"], payload, digest(payload), row["top"], row["top"] is not None and row["page_id"] != row["top"])
+                record = gzip.compress(record, 1, mtime=0)
                 data.append(record)
-                index.append(f"archive/data.warc {at} {len(record)}\n")
+                index.append(f"archive/data.warc.gz {at} {len(record)}\n")
                 at += len(record)
                 if at >= PACKAGE_BYTES:
                     yield package()
@@ -181,23 +209,31 @@ def pack_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         if data:
             yield package()
 
-    return joined.mapInArrow(run, "package binary")
+    return joined.mapInArrow(run, "package string, bytes bigint")
 
 
 def read_pages(packages: DataFrame) -> DataFrame:
-    """Every record of each package, by range reads."""
+    """Every record of each package (package, bytes), by range reads through the file system."""
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    schema = pa.schema([*fields, ("record_offset", pa.int64()), ("record_bytes", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for raw in batch.column(0):
-                view = memoryview(raw.as_buffer())
-                rows = [r | {"record_offset": at, "record_bytes": n} for at, n, r in read_package(lambda o, k, v=view: bytes(v[o : o + k]), len(view))]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*fields, ("record_offset", pa.int64()), ("record_bytes", pa.int64())]))
+            for row in batch.to_pylist():
+                files, path = _opened(row["package"])
+                with files.open_input_file(path) as f:
+                    rows = []
+                    for at, n, r in read_package(lambda o, k, f=f: f.read_at(k, o), row["bytes"]):
+                        rows.append(r | {"record_offset": at, "record_bytes": n})
+                        if len(rows) == 10_000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows = []
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return packages.select("package").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_offset bigint, record_bytes bigint")
+    return packages.select("package", "bytes").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_offset bigint, record_bytes bigint")
 
 
 def archive_roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write all rows into packages in the shared folder, then read the packages back."""
-    return read_pages(staged(pack_pages(pages, id_col, url_col, html_col)))
+    """Write all rows into packages in the shared folder, then read the packages back, dealt over all tasks."""
+    packages = staged(pack_pages(pages, id_col, url_col, html_col))
+    return read_pages(packages.repartition(max(1, packages.count())))
