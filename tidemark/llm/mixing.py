@@ -175,7 +175,7 @@ def _figures(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
 
 def _copied(rows: DataFrame, sources: DataFrame) -> DataFrame:
     more = F.coalesce(_taken() | (F.col("v").isNotNull() & _order().eqNullSafe(F.col("close"))), F.lit(False))
-    return _placed(rows, sources).withColumn("copies", F.col("certain") + F.when(more, 1).otherwise(0).cast("bigint"))
+    return _placed(rows, sources).withColumn("copies", F.when(F.col("size") > 0, F.col("certain") + F.when(more, 1).otherwise(0)).otherwise(0).cast("bigint"))
 
 
 def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
