@@ -1,10 +1,11 @@
 """Edges that the driver tables lack: ties, ages, exact gaps, hand-checked survival."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
 from tidemark.operators import clock, lookups, quality
-from tidemark.params import DAY, MINUTE, Params
+from tidemark.params import DAY, MINUTE, Study
 
 
 def test_asof_ties_take_the_last_stored_row_and_age_is_inclusive(spark):
@@ -18,7 +19,7 @@ def test_asof_ties_take_the_last_stored_row_and_age_is_inclusive(spark):
 
 def test_quiet_gap_is_strict(spark):
     t = spark.createDataFrame([("A", 0), ("A", 120 * MINUTE), ("A", 240 * MINUTE + 1)], "symbol string, e bigint")
-    assert [r.chain for r in clock.chained(t, Params()).orderBy("e").collect()] == [0, 0, 1]
+    assert [r.chain for r in clock.chained(t, Study()).orderBy("e").collect()] == [0, 0, 1]
 
 
 def test_islands_cross_days(spark):
@@ -74,3 +75,29 @@ def test_average_ranks_are_exact_and_keyless_windows_stay_small(spark):
     first, last = {v: i for i, v in reversed(list(enumerate(kept)))}, {v: i for i, v in enumerate(kept)}
     got = stats.average_ranks(rows, "v", "r")
     assert all(r.r == (first[r.v] + last[r.v]) / 2 + 1 for r in got.collect()) and got.count() == len(kept)
+
+
+def test_settings_belong_to_one_step():
+    from tidemark.params import Study
+
+    p = Study().but(quiet_min=60, share=0.2, reference=(35, 10))
+    assert (p.clock.quiet_min, p.classes.share, p.window.reference, Study().clock.quiet_min) == (60, 0.2, (35, 10), 120)
+    for wrong in ({"nothing": 1}, {"label": "middle"}, {"rule": "none"}):
+        with pytest.raises(ValueError):
+            Study().but(**wrong)
+
+
+def test_pairs_and_fallback_sides(spark):
+    from tidemark.operators import quality
+
+    rows = [("A", 1, "sell", "Close Long"), ("A", 1, "buy", "x"), ("A", 1, "buy", "x"), ("A", 1, "sell", "x"), ("B", 1, "none", "Close Long"), ("B", 2, None, "open long"), ("B", 2, "none", "short"), ("C", 1, "Ask", None)]
+    d = spark.createDataFrame(rows, "symbol string, t bigint, side string, direction string")
+    assert quality.equal_pairs(d, ["symbol", "t"]).first().n == 4 and quality.equal_pairs(d.limit(0), ["t"]).first().n == 0
+    assert sorted((r.symbol, r.n) for r in quality.permissive_sells(d).groupBy("symbol").count().withColumnRenamed("count", "n").collect()) == [("A", 2), ("B", 2), ("C", 1)]
+
+
+def test_archive_columns_by_any_name(spark):
+    from tidemark.sources import context
+
+    raw = spark.createDataFrame([("x", "5", "7", None, "9.5"), ("x", "bad", "7", "1", "2"), ("x", "6", "n/a", "1", "2")], "Coin string, time string, openInterest string, midPx string, MARK_PX string")
+    assert [tuple(r) for r in context.asset_context(raw).collect()] == [("x", 5, 7.0, None, 9.5, None)]

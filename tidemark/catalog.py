@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .operators import clock, lookups, measures, quality
 from .params import DAY, MINUTE, MONTH
-from .plans import study, superseded
+from .plans import audit, study, superseded
 from .session import ship
+from .sources import context
 from .sources import driver_tables as src
 from .storage import staged
 from .streaming import clock as live
@@ -89,7 +90,7 @@ def both_sql(q: float = 0.99) -> str:
 
 M = MINUTE
 MEAS = f"""{both_sql()},
-ref AS (SELECT o.symbol, o.e0, count(b.close) AS ref_bars, CASE WHEN count(b.close) >= 4 THEN avg(b.close) END AS p_ref FROM ons o LEFT JOIN bars b ON b.symbol = o.symbol AND b.bar BETWEEN o.e0 - {45 * M} AND o.e0 - {20 * M} GROUP BY 1, 2),
+ref AS (SELECT o.symbol, o.e0, count(b.close) AS ref_bars, CASE WHEN count(b.close) >= 4 THEN CASE WHEN min(b.close) = max(b.close) THEN min(b.close) ELSE avg(b.close) END END AS p_ref FROM ons o LEFT JOIN bars b ON b.symbol = o.symbol AND b.bar BETWEEN o.e0 - {45 * M} AND o.e0 - {20 * M} GROUP BY 1, 2),
 ends AS (SELECT symbol, max(bar_end) AS data_end FROM bars GROUP BY symbol),
 win AS (SELECT o.symbol, o.e0, count(b.low) AS w_bars, min(b.low) AS low, arg_min(b.bar, (b.low, b.bar)) AS trough FROM ons o LEFT JOIN bars b ON b.symbol = o.symbol AND b.bar BETWEEN o.e0 - {15 * M} AND o.e0 + {115 * M} GROUP BY 1, 2),
 m2 AS (SELECT r.symbol, r.e0, ref_bars, p_ref, w_bars, data_end, w_bars >= 25 AND r.e0 + {120 * M} <= data_end AS w_ok, CASE WHEN w_bars >= 25 AND r.e0 + {120 * M} <= data_end AND p_ref IS NOT NULL THEN trough END AS trough, CASE WHEN w_bars >= 25 AND r.e0 + {120 * M} <= data_end AND p_ref IS NOT NULL THEN ln(low / p_ref) END AS disp FROM ref r JOIN win w ON w.symbol = r.symbol AND w.e0 = r.e0 JOIN ends x ON x.symbol = r.symbol),
@@ -169,15 +170,15 @@ def f4(spark, d):
     return src.coverage(src.fills(spark, d))
 
 
-@query("o7_dropped_rows", f"{FILLS}, k AS (SELECT * FROM fills WHERE ingest_idx % 7 <> 3), g AS (SELECT symbol, ingest_idx, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n_dropped FROM k) SELECT * FROM g WHERE n_dropped > 0")
+@query("o7_dropped_rows", f"{FILLS}, k AS (SELECT * FROM fills WHERE direction <> 'Close Short'), g AS (SELECT symbol, ingest_idx, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n_dropped FROM k) SELECT * FROM g WHERE n_dropped > 0")
 def o7(spark, d):
-    # a stored table in which one row in seven was lost
-    return quality.dropped(src.fills(spark, d).where("ingest_idx % 7 <> 3")).select("symbol", "ingest_idx", "n_dropped")
+    # a stored table in which the rows of one direction were lost
+    return quality.dropped(src.fills(spark, d).where("direction <> 'Close Short'")).select("symbol", "ingest_idx", "n_dropped")
 
 
-@query("o6_reinstated", f"{FILLS}, k AS (SELECT * FROM fills WHERE ingest_idx % 7 <> 3), g AS (SELECT *, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n FROM k) SELECT symbol, side, count(*) + coalesce(sum(n) FILTER (n > 0), 0)::bigint AS n_rows, round(sum(notional) + coalesce(sum(n * notional) FILTER (n > 0), 0), 4) AS notional FROM g GROUP BY 1, 2")
+@query("o6_reinstated", f"{FILLS}, k AS (SELECT * FROM fills WHERE direction <> 'Close Short'), g AS (SELECT *, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n FROM k) SELECT symbol, side, count(*) + coalesce(sum(n) FILTER (n > 0), 0)::bigint AS n_rows, round(sum(notional) + coalesce(sum(n * notional) FILTER (n > 0), 0), 4) AS notional FROM g GROUP BY 1, 2")
 def o6(spark, d):
-    f = src.fills(spark, d).where("ingest_idx % 7 <> 3")
+    f = src.fills(spark, d).where("direction <> 'Close Short'")
     return quality.reinstated(f, quality.dropped(f)).groupBy("symbol", "side").agg(F.count("*").alias("n_rows"), F.round(F.sum("notional"), 4).alias("notional"))
 
 
@@ -191,9 +192,9 @@ def a6(spark, d):
     return quality.duplicates(src.fills(spark, d))
 
 
-@query("q3_side_ambiguity", f"{FILLS}, k AS (SELECT * REPLACE (t // {W} * {W} AS t) FROM fills WHERE ingest_idx % 7 <> 3), g AS (SELECT *, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n FROM k), b AS (SELECT symbol, t, min(side) <> max(side) AS two FROM k GROUP BY 1, 2) SELECT g.symbol, sum(n)::bigint AS n_dropped, round(sum(n * two::int) / sum(n), 6) AS ambiguous_share FROM g JOIN b ON b.symbol = g.symbol AND b.t = g.t WHERE n > 0 GROUP BY 1")
+@query("q3_side_ambiguity", f"{FILLS}, k AS (SELECT * REPLACE (t // {W} * {W} AS t) FROM fills WHERE direction <> 'Close Short'), g AS (SELECT *, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n FROM k), b AS (SELECT symbol, t, min(side) <> max(side) AS two FROM k GROUP BY 1, 2) SELECT g.symbol, sum(n)::bigint AS n_dropped, round(sum(n * two::int) / sum(n), 6) AS ambiguous_share FROM g JOIN b ON b.symbol = g.symbol AND b.t = g.t WHERE n > 0 GROUP BY 1")
 def q3(spark, d):
-    f = src.fills(spark, d).where("ingest_idx % 7 <> 3").withColumn("t", (F.floor(F.col("t") / W) * W).cast("bigint"))
+    f = src.fills(spark, d).where("direction <> 'Close Short'").withColumn("t", (F.floor(F.col("t") / W) * W).cast("bigint"))
     return quality.side_ambiguity(f, quality.dropped(f))
 
 
@@ -247,7 +248,7 @@ def b1(spark, d):
 
 @query("b1_left_bins", f"{bins_sql('left')} SELECT symbol, e, round(notional, 6) AS notional, n FROM bins")
 def b1_left(spark, d):
-    return clock.bins(src.fills(spark, d), P.with_(bin_label="left"))
+    return clock.bins(src.fills(spark, d), P.but(label="left"))
 
 
 @query("b2_rolling", f"{TRIG} SELECT symbol, e, round(r, 6) AS r FROM roll")
@@ -257,7 +258,7 @@ def b2(spark, d):
 
 @query("b3_rolling_partial", f"{bins_sql('left')} SELECT symbol, e, round(sum(notional) OVER (PARTITION BY symbol ORDER BY e RANGE BETWEEN {15 * M - 1} PRECEDING AND CURRENT ROW), 6) AS r FROM bins")
 def b3(spark, d):
-    return clock.rolled_partial(clock.bins(src.fills(spark, d), P.with_(bin_label="left"))).select("symbol", "e", "r")
+    return clock.rolled_partial(clock.bins(src.fills(spark, d), P.but(label="left"))).select("symbol", "e", "r")
 
 
 @query("b4_prior_quantile", f"{TRIG} SELECT symbol, e, {r6('r', 'thr')} FROM thr")
@@ -335,7 +336,12 @@ def j2(spark, d):
 @query("j4_sell_buy_matches", f"{FILLS} SELECT count(*) AS n FROM fills a JOIN fills b ON a.symbol = b.symbol AND a.t // {60 * M} = b.t // {60 * M} AND a.px = b.px AND round(a.sz, 2) = round(b.sz, 2) WHERE a.side = 'sell' AND b.side = 'buy'")
 def j4(spark, d):
     f = src.fills(spark, d).select("symbol", F.floor(F.col("t") / (60 * M)).alias("h"), "px", F.round("sz", 2).alias("z"), "side")
-    return f.where("side = 'sell'").drop("side").join(f.where("side = 'buy'").drop("side"), ["symbol", "h", "px", "z"]).agg(F.count("*").alias("n"))
+    return quality.equal_pairs(f, ["symbol", "h", "px", "z"])
+
+
+@query("j4_exact_matches", f"{FILLS} SELECT count(*) AS n FROM fills a JOIN fills b ON a.symbol = b.symbol AND a.t = b.t AND a.px = b.px AND a.sz = b.sz WHERE a.side = 'sell' AND b.side = 'buy'")
+def j4x(spark, d):
+    return quality.equal_pairs(src.fills(spark, d), ["symbol", "t", "px", "sz"])
 
 
 @query("j5_window_join", f"{TRIG} SELECT o.symbol, o.e0, count(*) AS n, round(sum(f.notional), 6) AS v FROM ons o JOIN fills f ON f.symbol = o.symbol AND f.t BETWEEN o.e0 - {60 * M} AND o.e0 + {60 * M} GROUP BY 1, 2")
@@ -412,13 +418,40 @@ def a11(spark, d):
 
 @query("g1_quantile_grid", " UNION ALL ".join(f"SELECT * FROM (WITH {trig_sql(q, quiet)} SELECT '{name}' AS spec, symbol, count(*) AS onsets FROM ons GROUP BY symbol)" for name, q, quiet in (("Primary", 0.99, 120), ("S2", 0.95, 120), ("S13a", 0.99, 60), ("S13b", 0.99, 180))))
 def g1(spark, d):
-    return study.grid(src.fills(spark, d), P, {"Primary": {}, "S2": {"trig_q": 0.95}, "S13a": {"quiet_min": 60}, "S13b": {"quiet_min": 180}})
+    return study.grid(src.fills(spark, d), P, {"Primary": {}, "S2": {"quantile": 0.95}, "S13a": {"quiet_min": 60}, "S13b": {"quiet_min": 180}})
+
+
+def spec_sql(name: str, where: str = "true", q: float = 0.99, quiet: int = 120, warm: int = 7) -> str:
+    sql = trig_sql(q, quiet).replace(f"+ {2 * W + 7 * D} AS from_e", f"+ {2 * W + warm * D} AS from_e")
+    return f"SELECT * FROM (WITH {sql} SELECT '{name}' AS spec, symbol, count(*) AS onsets FROM ons WHERE {where} GROUP BY symbol)"
+
+
+WEEK = "(SELECT min(c0) FROM cov) + " + str(10 * D)
+
+
+@query("g1_onset_specs", " UNION ALL ".join((spec_sql("S1", warm=3), spec_sql("S10", f"NOT (e0 >= {WEEK} AND e0 < {WEEK} + {8 * D})"), spec_sql("S11a", "symbol = 'BTC'"), spec_sql("S11b", "symbol = 'ETH'"))))
+def g1o(spark, d):
+    f = src.fills(spark, d)
+    first = src.coverage(f).agg(F.min("c0")).first()[0] + 10 * D
+    keep = {"S10": ~F.col("e0").between(first, first + 8 * D - 1), "S11a": F.col("symbol") == "BTC", "S11b": F.col("symbol") == "ETH"}
+    plain = staged(clock.onsets(clock.triggers(f, P), P).select("symbol", "e0"))
+    early = clock.onsets(clock.triggers(f, P.but(warmup_days=3)), P).select(F.lit("S1").alias("spec"), "symbol")
+    for name, rule in keep.items():
+        early = early.unionByName(plain.where(rule).select(F.lit(name).alias("spec"), "symbol"))
+    return early.groupBy("spec", "symbol").agg(F.count("*").alias("onsets"))
+
+
+@query("g1_reinstated_spec", f"SELECT * FROM (WITH {trig_sql().replace(FILLS, FILLS.replace('fills AS (', 'all_fills AS (', 1) + ", kept AS (SELECT * FROM all_fills WHERE direction <> 'Close Short'), gp AS (SELECT *, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n_lost FROM kept), fills AS (SELECT * EXCLUDE (n_lost) FROM gp UNION ALL SELECT * EXCLUDE (n_lost, i) FROM (SELECT *, unnest(range(n_lost)) AS i FROM gp WHERE n_lost > 0))")} SELECT 'S9' AS spec, symbol, count(*) AS onsets FROM ons GROUP BY symbol)")
+def g1m(spark, d):
+    f = src.fills(spark, d).where("direction <> 'Close Short'")
+    again = staged(quality.reinstated(f, quality.dropped(f)))
+    return clock.onsets(clock.triggers(again, P), P).groupBy("symbol").agg(F.count("*").alias("onsets")).select(F.lit("S9").alias("spec"), "symbol", "onsets")
 
 
 @query("o4_trigger_differences", f"{TRIG}, {trig_sql(0.95)[len(FILLS) + 2:].replace('cov AS', 'cov2 AS').replace('FROM cov', 'FROM cov2').replace('grid AS', 'grid2 AS').replace('FROM grid g', 'FROM grid2 g').replace('bins AS', 'bins2 AS').replace('FROM bins', 'FROM bins2').replace('roll AS', 'roll2 AS').replace('FROM roll', 'FROM roll2').replace('thr AS (', 'thr2 AS (').replace('FROM thr)', 'FROM thr2)').replace('trig AS', 'trig2 AS').replace('FROM trig', 'FROM trig2').replace('ch0 AS', 'ch20 AS').replace('FROM ch0', 'FROM ch20').replace('ch AS', 'ch2 AS').replace('FROM ch ', 'FROM ch2 ').replace('ons AS', 'ons2 AS')} SELECT coalesce(a.symbol, b.symbol) AS symbol, count(*) FILTER (b.e IS NULL) AS only_a, count(*) FILTER (a.e IS NULL) AS only_b FROM (SELECT symbol, e FROM trig WHERE trigger) a FULL JOIN (SELECT symbol, e FROM trig2 WHERE trigger) b ON a.symbol = b.symbol AND a.e = b.e GROUP BY 1")
 def o4(spark, d):
     f = src.fills(spark, d)
-    a, b = (clock.triggers(f, P.with_(trig_q=q)).where("trigger").select("symbol", "e") for q in (0.99, 0.95))
+    a, b = (clock.triggers(f, P.but(quantile=q)).where("trigger").select("symbol", "e") for q in (0.99, 0.95))
     only = a.join(b, ["symbol", "e"], "left_anti").select("symbol", F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.join(a, ["symbol", "e"], "left_anti").select("symbol", F.lit(0), F.lit(1)))
     return a.union(b).select("symbol").distinct().join(only.groupBy("symbol").agg(F.sum("x").alias("only_a"), F.sum("y").alias("only_b")), "symbol", "left").na.fill(0)
 
@@ -521,7 +554,7 @@ def m20(spark, d):
 
 LOUT = f"""{LEGACY}, {DENSE[len(COV) + 2:]}, {BARS}, lo AS (SELECT symbol, min(e) AS t0, max(e) AS t1 FROM lc GROUP BY symbol, chain),
 og AS (SELECT b.*, d.oi FROM bars b LEFT JOIN dense d ON d.symbol = b.symbol AND d.t = b.bar),
-o1 AS (SELECT lo.symbol, t0, t1, avg(close) FILTER (bar BETWEEN t0 - {30 * M} AND t0 - {5 * M}) AS p0, min(low) FILTER (bar >= t0) AS low, arg_min(bar, (low, bar)) FILTER (bar >= t0) AS trough, avg(oi) FILTER (bar <= t0) AS b, min(oi) FILTER (bar >= t0) AS l FROM lo JOIN og ON og.symbol = lo.symbol AND og.bar BETWEEN t0 - {60 * M} AND t0 + {120 * M} GROUP BY 1, 2, 3),
+o1 AS (SELECT lo.symbol, t0, t1, CASE WHEN min(close) FILTER (bar BETWEEN t0 - {30 * M} AND t0 - {5 * M}) = max(close) FILTER (bar BETWEEN t0 - {30 * M} AND t0 - {5 * M}) THEN min(close) FILTER (bar BETWEEN t0 - {30 * M} AND t0 - {5 * M}) ELSE avg(close) FILTER (bar BETWEEN t0 - {30 * M} AND t0 - {5 * M}) END AS p0, min(low) FILTER (bar >= t0) AS low, arg_min(bar, (low, bar)) FILTER (bar >= t0) AS trough, avg(oi) FILTER (bar <= t0) AS b, min(oi) FILTER (bar >= t0) AS l FROM lo JOIN og ON og.symbol = lo.symbol AND og.bar BETWEEN t0 - {60 * M} AND t0 + {120 * M} GROUP BY 1, 2, 3),
 o2 AS (SELECT o.*, (l - b) / nullif(b, 0) AS doi, ln(low / p0) AS peak_disloc, (SELECT min(bar) FROM bars x WHERE x.symbol = o.symbol AND x.bar BETWEEN coalesce(o.trough, o.t0) AND o.t0 + {1440 * M} AND x.high >= o.p0 * 0.999) AS hit, ln((SELECT arg_min(close, bar) FROM bars x WHERE x.symbol = o.symbol AND x.bar >= o.t0 + {360 * M}) / p0) AS perm_6h, ln((SELECT arg_min(close, bar) FROM bars x WHERE x.symbol = o.symbol AND x.bar >= o.t0 + {1440 * M}) / p0) AS perm_24h FROM o1 o WHERE p0 IS NOT NULL),
 o3 AS (SELECT *, count(doi) OVER w AS n_prior, quantile_cont(doi, 0.1) OVER w AS q FROM o2 WINDOW w AS (PARTITION BY symbol ORDER BY t0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lout AS (SELECT *, CASE WHEN doi IS NULL THEN 'unknown' WHEN doi <= CASE WHEN n_prior >= 20 THEN q ELSE -0.025 END THEN 'deleverage' WHEN doi > -0.005 THEN 'churn' ELSE 'middle' END AS klass FROM o3)"""
@@ -550,7 +583,7 @@ def m15(spark, d):
 
 @query("m10_fixed_classes", f"{LOUT} SELECT symbol, t0, CASE WHEN doi IS NULL THEN 'unknown' WHEN doi <= -0.025 THEN 'deleverage' WHEN doi > -0.005 THEN 'churn' ELSE 'middle' END AS klass FROM lout")
 def m10(spark, d):
-    return _old(spark, d, P.with_(classify="fixed")).select("symbol", "t0", "klass")
+    return _old(spark, d, P.but(rule="fixed")).select("symbol", "t0", "klass")
 
 
 @query("a2_legacy_summary", f"{LOUT} SELECT klass, count(*) AS n, round(quantile_cont(peak_disloc, 0.5), 6) AS med_peak, round(quantile_cont(doi, 0.5), 6) AS med_doi, round(avg((hit IS NULL)::int), 6) AS censored FROM lout GROUP BY 1")
@@ -654,3 +687,145 @@ def r10(spark, d):
 def f6(spark, d):
     inside = F.expr("o_orderdate >= timestamp_ntz'1995-10-10' and o_orderdate < timestamp_ntz'1995-10-18'")
     return spark.read.parquet(f"{d}/orders.parquet").agg(F.count("*").alias("n"), F.count_if(inside).alias("excluded"), F.count_if(~inside).alias("kept"))
+
+
+# ---- audit and description
+
+
+@query("s3_asset_context", f"{FILLS}, r AS (SELECT symbol, t, CASE WHEN direction <> 'Liquidated Isolated Long' THEN oi END AS oi, CASE WHEN direction = 'Close Long' THEN 100 + notional / 50 END AS mid, CASE WHEN direction <> 'Liquidated Cross Long' THEN 100 + notional / 40 END AS mark, 100 + notional / 30 AS oracle FROM fills) SELECT symbol, count(*) AS n, round(sum(oi), 4) AS oi, round(sum(coalesce(mid, mark, oracle)), 4) AS px FROM r WHERE oi IS NOT NULL GROUP BY 1")
+def s3(spark, d):
+    f = src.fills(spark, d)
+    kind, v = F.col("direction"), F.col("notional")
+    raw = f.select(F.col("symbol").alias("Coin"), F.col("t").cast("string").alias("time"), F.when(kind == "Liquidated Isolated Long", "n/a").otherwise((1000 + 10 * v).cast("string")).alias("openInterest"), F.when(kind == "Close Long", (100 + v / 50).cast("string")).alias("midPx"), F.when(kind != "Liquidated Cross Long", 100 + v / 40).alias("mark_px"), (100 + v / 30).alias("oracle_px"))
+    return context.asset_context(raw).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("oi"), 4).alias("oi"), F.round(F.sum("px"), 4).alias("px"))
+
+
+@query("s6_fill_kinds", f"{FILLS}, r AS (SELECT 'liquidations' AS kind, * FROM fills UNION ALL SELECT 'adl', * FROM fills WHERE direction = 'Close Short') SELECT kind, symbol, count(*) AS n, round(sum(px * sz), 4) AS notional FROM r WHERE direction <> 'Liquidated Isolated Long' GROUP BY 1, 2")
+def s6(spark, d):
+    f = src.fills(spark, d)
+    raw = f.select(F.col("t").cast("string").alias("timestamp"), F.col("symbol").alias("coin"), "side", "direction", F.when(F.col("direction") == "Liquidated Isolated Long", "").otherwise(F.col("px").cast("string")).alias("price"), F.col("sz").cast("string").alias("size"), "is_liquidation")
+    return context.reservoir_fills(raw).groupBy("kind", "symbol").agg(F.count("*").alias("n"), F.round(F.sum("notional"), 4).alias("notional"))
+
+
+@query("s13_symbol_days", f"{FILLS} SELECT symbol, t // {D} AS d, count(*) AS n FROM fills GROUP BY 1, 2")
+def s13d(spark, d):
+    return src.fills(spark, d).groupBy("symbol", F.floor(F.col("t") / D).alias("d")).agg(F.count("*").alias("n"))
+
+
+@query("a5_value_counts", f"{FILLS} SELECT 'side' AS field, side AS value, count(*) AS n FROM fills GROUP BY side UNION ALL SELECT 'direction', direction, count(*) FROM fills GROUP BY direction UNION ALL SELECT 'symbol', symbol, count(*) FROM fills GROUP BY symbol")
+def a5(spark, d):
+    return audit.value_counts(src.fills(spark, d), ["side", "direction", "symbol"])
+
+
+@query("f2_fallback_sells", f"{FILLS}, s AS (SELECT * REPLACE (CASE WHEN symbol = 'ETH' THEN 'none' ELSE side END AS side) FROM fills), c AS (SELECT symbol, bool_or(lower(side) IN ('sell', 'a', 'ask')) AS plain FROM s GROUP BY 1) SELECT s.symbol, count(*) AS n, round(sum(notional), 4) AS notional FROM s JOIN c ON c.symbol = s.symbol WHERE CASE WHEN plain THEN lower(side) IN ('sell', 'a', 'ask') ELSE contains(lower(direction), 'long') END GROUP BY 1")
+def f2b(spark, d):
+    f = src.fills(spark, d).withColumn("side", F.when(F.col("symbol") == "ETH", "none").otherwise(F.col("side")))
+    return quality.permissive_sells(f).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("notional"), 4).alias("notional"))
+
+
+@query("a9_dropped_by_month", f"{FILLS}, k AS (SELECT * FROM fills WHERE direction <> 'Close Short'), g AS (SELECT t, lead(ingest_idx) OVER (ORDER BY ingest_idx) - ingest_idx - 1 AS n FROM k) SELECT strftime(make_timestamp(t), '%Y-%m') AS month, sum(n)::bigint AS n_dropped FROM g WHERE n > 0 GROUP BY 1")
+def a9d(spark, d):
+    drops = quality.dropped(src.fills(spark, d).where("direction <> 'Close Short'"))
+    month = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("t") / D).cast("int")), "yyyy-MM")
+    return drops.groupBy(month.alias("month")).agg(F.sum("n_dropped").alias("n_dropped"))
+
+
+@query("m19_gap_ranges", f"{ZERO}, {DENSE[len(COV) + 2:]}, {BARS} SELECT r.symbol, run_start, run_end, round(hours, 6)::double AS hours, round(100 * ln(max(high) / min(low)), 6) AS log_range_pct FROM runs r JOIN bars b ON b.symbol = r.symbol AND b.bar BETWEEN run_start AND run_end WHERE hours >= 0.5 GROUP BY 1, 2, 3, 4")
+def m19(spark, d):
+    return audit.gap_ranges(clock.zero_runs(src.fills(spark, d), P, 0.5), src.bars(src.dense(spark, d)))
+
+
+@query("q6_identifiers", f"{FILLS} SELECT symbol, true AS volume_all_null, (SELECT count(*) FROM (DESCRIBE events) WHERE column_name IN ('tid', 'hash', 'user', 'event_id', 'user_id')) AS n_identifiers, count(DISTINCT t // {D}) FILTER (direction = 'Close Short') AS adl_days, min(t // {D}) FILTER (direction = 'Close Short') AS first_adl_day, max(t // {D}) FILTER (direction = 'Close Short') AS last_adl_day FROM fills GROUP BY symbol")
+def q6(spark, d):
+    n = sum(c in ("tid", "hash", "user", "event_id", "user_id") for c in spark.read.parquet(f"{d}/events.parquet").columns)
+    day = F.when(F.col("direction") == "Close Short", F.floor(F.col("t") / D))
+    volume = src.bars(src.dense(spark, d)).groupBy("symbol").agg(F.bool_and(F.col("volume").isNull()).alias("volume_all_null"))
+    days = src.fills(spark, d).groupBy("symbol").agg(F.lit(n).cast("bigint").alias("n_identifiers"), F.countDistinct(day).alias("adl_days"), F.min(day).alias("first_adl_day"), F.max(day).alias("last_adl_day"))
+    return days.join(volume, "symbol")
+
+
+AUDIT = {"f3_side_check": "bad_side bad_sell bad_buy sell_rows buy_rows", "f4_coverage_bounds": "c0 c1", "a6_duplicate_profile": "n_rows distinct_times shared_rows exact_repeats", "a8_notional_by_side": "sell buy", "q2_grid_gaps": "grid_points missing off_grid max_gap_min", "q3_side_ambiguity": "n_dropped ambiguous_share", "q4_empty_bins": "empty_share", "q5_zero_run_counts": "n_half n_one longest"}
+
+
+@query("q1_audit", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT symbol, '{c}' AS metric, round({c}::double, 4) AS value FROM ({ORACLE[q]})" for q, names in AUDIT.items() for c in names.split()) + ")")
+def q1(spark, d):
+    return audit.long_form([QUERIES[q](spark, d).select("symbol", *names.split()) for q, names in AUDIT.items()]).withColumn("value", F.round("value", 4))
+
+
+def stage_sql(label: str, inclusive: bool, least: int) -> str:
+    frame = f"RANGE BETWEEN {7 * D - 1} PRECEDING AND CURRENT ROW" if inclusive else f"RANGE BETWEEN {7 * D} PRECEDING AND 1 PRECEDING"
+    return f"""WITH {bins_sql(label)}, sp AS (SELECT symbol, min(e) AS a, max(e) AS z FROM bins WHERE n > 0 GROUP BY 1), sb AS (SELECT b.* FROM bins b JOIN sp ON sp.symbol = b.symbol AND e BETWEEN a AND z),
+sr AS (SELECT symbol, e, sum(notional) OVER (PARTITION BY symbol ORDER BY e RANGE BETWEEN {15 * M - 1} PRECEDING AND CURRENT ROW) AS r FROM sb),
+st AS (SELECT *, CASE WHEN count(r) OVER w >= {least} THEN quantile_cont(r, 0.99) OVER w END AS thr FROM sr WINDOW w AS (PARTITION BY symbol ORDER BY e {frame})),
+sg AS (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY symbol ORDER BY e) <= {120 * M} THEN 0 ELSE 1 END AS new FROM st WHERE r > 0 AND r >= thr)"""
+
+
+STEPS = (("left", True, 576), ("right", True, 576), ("right", False, 576), ("right", False, 2016))
+
+
+@query("b10_stage_triggers", f"{stage_sql('right', True, 576)} SELECT symbol, e FROM sg")
+def b10(spark, d):
+    return audit.staged_triggers(src.fills(spark, d), P.but(inclusive=True), 2)
+
+
+@query("a11_waterfall_stages", "WITH w AS (" + " UNION ALL ".join(f"SELECT * FROM ({stage_sql(*s)} SELECT {i}::bigint AS stage, symbol, count(*) AS triggers, sum(new)::bigint AS onsets FROM sg GROUP BY symbol)" for i, s in enumerate(STEPS)) + ") SELECT * FROM w UNION ALL SELECT stage, 'all', sum(triggers)::bigint, sum(onsets)::bigint FROM w GROUP BY stage")
+def a11s(spark, d):
+    return audit.waterfall(src.fills(spark, d), P, 2)
+
+
+KMC = f"{MEAS}, rows_ AS (SELECT klass AS grp, rec_min AS d, rec_event AS ev FROM fin WHERE analysable){KM[len(SURV):]}, st AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY grp ORDER BY d), 1320.0) AS nx FROM km WHERE d < 1320), ar2 AS (SELECT grp, min(d) + sum(s * (nx - d)) AS rmst FROM st GROUP BY grp), att AS (SELECT grp, min(s) AS s FROM km WHERE d <= 1320 GROUP BY grp)"
+
+
+@query("a1_descriptive", f"{KMC}, g AS (SELECT klass, count(*) AS n, 100 * quantile_cont(doi, 0.5) AS median_doi_pct, 100 * quantile_cont(disp, 0.5) AS median_disp_x100, 100 * quantile_cont(p6h, 0.5) AS median_p6h_x100, 100 * quantile_cont(p24h, 0.5) AS median_p24h_x100, count(p24h) AS n_p24h, avg(rec_event::int) AS share_recovered, avg((NOT rec_event AND NOT rec_complete)::int) AS share_incomplete, quantile_cont(r_onset, 0.5) AS median_r_onset FROM fin WHERE analysable GROUP BY 1) SELECT klass, n, {r6('median_doi_pct', 'median_disp_x100', 'median_p6h_x100', 'median_p24h_x100')}, n_p24h, {r6('share_recovered', 'share_incomplete', 'median_r_onset')}, round(coalesce(att.s, 1.0), 6) AS km_unrecovered, round(coalesce(ar2.rmst, 1320.0), 6) AS rmst_min FROM g LEFT JOIN att ON att.grp = g.klass LEFT JOIN ar2 ON ar2.grp = g.klass")
+def a1d(spark, d):
+    return audit.descriptive(staged(_study(spark, d)))
+
+
+EFF = f"{KMC}, cx AS (SELECT * FROM fin WHERE analysable AND klass IN ('contraction', 'limited')), " + "vx AS (" + " UNION ALL ".join(f"SELECT '{n}' AS effect, klass, {c} * {k} AS v FROM cx" for n, c, k in audit.EFFECTS) + "), eff AS (SELECT effect, count(*) FILTER (klass = 'contraction') AS n1, count(*) FILTER (klass = 'limited') AS n2, quantile_cont(v, 0.5) FILTER (klass = 'contraction') - quantile_cont(v, 0.5) FILTER (klass = 'limited') AS est FROM vx WHERE v IS NOT NULL GROUP BY 1 UNION ALL SELECT 'E6', (SELECT count(*) FROM cx WHERE klass = 'contraction'), (SELECT count(*) FROM cx WHERE klass = 'limited'), CASE WHEN (SELECT count(DISTINCT klass) FROM cx) = 2 THEN (SELECT coalesce(max(rmst), 1320.0) FROM ar2 WHERE grp = 'contraction') - (SELECT coalesce(max(rmst), 1320.0) FROM ar2 WHERE grp = 'limited') END)"
+
+
+@query("e_effect_estimates", f"{EFF} SELECT effect, n1, n2, round(est, 6) AS est FROM eff")
+def eff(spark, d):
+    return audit.effect_estimates(staged(_study(spark, d)))
+
+
+@query("a12_effects_row", f"{EFF} SELECT " + ", ".join(f"max({'round(est, 6)' if c == 'est' else c}) FILTER (effect = 'E{i}') AS e{i}_{c}" for i in (1, 3, 4, 5, 6) for c in ("est", "n1", "n2")) + " FROM eff")
+def a12(spark, d):
+    return audit.flattened(audit.effect_estimates(staged(_study(spark, d))))
+
+
+SIGNS = {"E1": -1, "E3": -1, "E4": -1, "E5": -1, "E6": 1}
+
+
+@query("e5_verdicts", f"{EFF} SELECT effect, round(est, 6) AS est, CASE WHEN est IS NULL THEN 'not comparable' WHEN sign(est) = CASE WHEN effect = 'E6' THEN 1 ELSE -1 END THEN 'same sign' WHEN est = 0 THEN 'no effect' ELSE 'other sign' END AS verdict FROM eff")
+def e5(spark, d):
+    return audit.verdicts(audit.effect_estimates(staged(_study(spark, d))), SIGNS)
+
+
+@query("r12_size_diagnostic", f"{MEAS}, a AS (SELECT klass, round(-doi, 9) AS x, round(ln(r_onset), 9) AS y, r_onset FROM fin WHERE analysable AND r_onset > 0), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM a) SELECT (SELECT round(corr(rx, ry), 6) FROM k) AS rho, round(quantile_cont(r_onset, 0.5) FILTER (klass = 'contraction'), 6) AS median_contraction, round(quantile_cont(r_onset, 0.5) FILTER (klass = 'limited'), 6) AS median_limited FROM a")
+def r12(spark, d):
+    return audit.size_diagnostic(staged(_study(spark, d)))
+
+
+@query("m20_ratios", f"{MEAS}, c AS (SELECT symbol, bar // {D} AS d, arg_max(close, bar) AS close FROM bars GROUP BY 1, 2), rr AS (SELECT symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY d)) AS r FROM c), v AS (SELECT symbol, stddev_samp(r) AS vol FROM rr GROUP BY 1) SELECT round(0.0055 / nullif((SELECT quantile_cont(abs(disp), 0.5) FROM fin), 0), 6) AS over_displacement, round(0.0055 / nullif((SELECT avg(vol) FROM v), 0), 6) AS over_volatility")
+def m20r(spark, d):
+    return audit.ratios(study.economic(src.bars(src.dense(spark, d))), _study(spark, d))
+
+
+@query("f8_relabelled", f"{LOUT} SELECT symbol, t0 + {5 * M} AS e0, round(peak_disloc, 6) AS disp, round(doi, 6) AS doi, round(perm_6h, 6) AS p6h, round(coalesce((hit - t0) / {M}.0, 1440.0), 6)::double AS rec_min, hit IS NOT NULL AS rec_event, CASE klass WHEN 'deleverage' THEN 'contraction' WHEN 'churn' THEN 'limited' WHEN 'middle' THEN 'intermediate' ELSE klass END AS klass FROM lout")
+def f8(spark, d):
+    return audit.relabelled(_old(spark, d), P)
+
+
+@query("j10_retained", f"{MEMBER}, lo2 AS (WITH {LOUT} SELECT symbol, t0, peak_disloc FROM lout) SELECT m.symbol, m.legacy_t0, m.status, m.corrected_class, round(l.peak_disloc, 6) AS peak_disloc FROM mem m JOIN lo2 l ON l.symbol = m.symbol AND l.t0 = m.legacy_t0 WHERE m.e0 IS NOT NULL")
+def j10(spark, d):
+    old = _old(spark, d).select("symbol", F.col("t0").alias("legacy_t0"), "peak_disloc")
+    return _members(spark, d).where("e0 is not null").join(old, ["symbol", "legacy_t0"]).select("symbol", "legacy_t0", "status", "corrected_class", "peak_disloc")
+
+
+@query("a7_transitions", f"{MEMBER} SELECT legacy_class, count(*) FILTER (corrected_class = 'contraction') AS contraction, count(*) FILTER (corrected_class = 'limited') AS \"limited\", count(*) FILTER (corrected_class = 'intermediate') AS intermediate, count(*) FILTER (corrected_class = 'unknown') AS \"unknown\", count(*) FILTER (corrected_class IS NULL) AS gone FROM mem WHERE legacy_class IS NOT NULL GROUP BY 1")
+def a7t(spark, d):
+    m = _members(spark, d).where("legacy_class is not null")
+    return m.groupBy("legacy_class").agg(*[F.count_if(F.col("corrected_class") == k).alias(k) for k in ("contraction", "limited", "intermediate", "unknown")], F.count_if(F.col("corrected_class").isNull()).alias("gone"))
+
+

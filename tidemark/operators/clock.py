@@ -6,16 +6,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import DAY, MINUTE, Params
+from ..params import DAY, MINUTE, Study
 from ..sources.driver_tables import coverage
 from ..storage import staged
 from .lookups import in_range
 
 
-def bins(fills: DataFrame, p: Params, side: str | None = "sell") -> DataFrame:
+def bins(fills: DataFrame, p: Study, side: str | None = "sell") -> DataFrame:
     """(symbol, e, notional, n) on a complete grid; e is the bin's end (right labels) or start."""
-    width = p.bin_min * MINUTE
-    shift = width if p.bin_label == "right" else 0
+    width = p.clock.width_min * MINUTE
+    shift = width if p.clock.label == "right" else 0
     key = (F.floor(F.col("t") / width) * width + shift).cast("bigint")
     used = fills if side is None else fills.where(F.col("side") == side)
     sums = used.groupBy("symbol", key.alias("e")).agg(F.sum("notional").alias("v"), F.count("*").alias("n"))
@@ -23,10 +23,10 @@ def bins(fills: DataFrame, p: Params, side: str | None = "sell") -> DataFrame:
     return grid.join(sums, ["symbol", "e"], "left").select("symbol", "e", F.coalesce("v", F.lit(0.0)).alias("notional"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def rolled(b: DataFrame, p: Params) -> DataFrame:
+def rolled(b: DataFrame, p: Study) -> DataFrame:
     """Sum of the last ``roll_bins`` bins; null unless all are there."""
-    w = Window.partitionBy("symbol").orderBy("e").rowsBetween(1 - p.roll_bins, 0)
-    return b.withColumn("r", F.when(F.count("notional").over(w) == p.roll_bins, F.sum("notional").over(w)))
+    w = Window.partitionBy("symbol").orderBy("e").rowsBetween(1 - p.clock.span_bins, 0)
+    return b.withColumn("r", F.when(F.count("notional").over(w) == p.clock.span_bins, F.sum("notional").over(w)))
 
 
 def rolled_partial(b: DataFrame, minutes: int = 15) -> DataFrame:
@@ -35,14 +35,14 @@ def rolled_partial(b: DataFrame, minutes: int = 15) -> DataFrame:
     return b.withColumn("r", F.sum("notional").over(w))
 
 
-def thresholds(r: DataFrame, p: Params, least: int = 1) -> DataFrame:
+def thresholds(r: DataFrame, p: Study, least: int = 1) -> DataFrame:
     """Trailing exact quantile of r over [e - trail, e), or (e - trail, e] with the current bin.
 
     Each span of trail length is a partition of its own that also holds the rows of the span before it, so the
     work of one symbol spreads over its spans; only the span's own rows are kept. A group is two trails of bins,
     whatever the input. An exact percentile over a sliding SQL frame rebuilds its state in each row
     (17 s for 17,280 bins, against 2 s for this ordered one), so this step runs on Arrow batches."""
-    trail = p.trail_days * DAY
+    trail = p.clock.trail_days * DAY
     d = F.floor(F.col("e") / trail)
     dealt = r.withColumn("_d", d).withColumn("_block", F.explode(F.array(d, d + 1)))
     own = r.withColumn("_d", d)
@@ -51,34 +51,34 @@ def thresholds(r: DataFrame, p: Params, least: int = 1) -> DataFrame:
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("e")
         x = pd.Series(g["r"].to_numpy(dtype=float), index=pd.to_datetime(g["e"].to_numpy(), unit="us"))
-        w = x.rolling(f"{p.trail_days}D", closed="right" if p.include_current else "left", min_periods=max(1, least))
-        n = x.rolling(f"{p.trail_days}D", closed="right" if p.include_current else "left", min_periods=0).count()
-        out = pd.DataFrame({"symbol": g["symbol"].to_numpy(), "e": g["e"].to_numpy(), "n_prior": n.fillna(0).to_numpy().astype("int64"), "thr": w.quantile(p.trig_q).to_numpy()})
+        w = x.rolling(f"{p.clock.trail_days}D", closed="right" if p.clock.inclusive else "left", min_periods=max(1, least))
+        n = x.rolling(f"{p.clock.trail_days}D", closed="right" if p.clock.inclusive else "left", min_periods=0).count()
+        out = pd.DataFrame({"symbol": g["symbol"].to_numpy(), "e": g["e"].to_numpy(), "n_prior": n.fillna(0).to_numpy().astype("int64"), "thr": w.quantile(p.clock.quantile).to_numpy()})
         return out[g["_d"].to_numpy() == g["_block"].to_numpy()]
 
     found = dealt.select("symbol", "e", "r", "_d", "_block").groupBy("symbol", "_block").applyInPandas(run, schema)
     return own.drop("_d").join(found.select("symbol", "e", F.nanvl("thr", F.lit(None).cast("double")).alias("thr")), ["symbol", "e"])
 
 
-def triggers(fills: DataFrame, p: Params, masked: DataFrame | None = None) -> DataFrame:
+def triggers(fills: DataFrame, p: Study, masked: DataFrame | None = None) -> DataFrame:
     """(symbol, e, notional, r, thr, eligible, trigger)."""
     b = bins(fills, p) if masked is None else masked
-    if p.missing_zero_run_h and masked is None:
-        b = mask_runs(b, zero_runs(fills, p, p.missing_zero_run_h))
+    if p.clock.masked_run_h and masked is None:
+        b = mask_runs(b, zero_runs(fills, p, p.clock.masked_run_h))
     t = thresholds(rolled(b, p), p)
     first = b.groupBy("symbol").agg(F.min("e").alias("_first"))
-    start = F.col("_first") + (p.roll_bins - 1) * p.bin_min * MINUTE + p.warmup_days * DAY
+    start = F.col("_first") + (p.clock.span_bins - 1) * p.clock.width_min * MINUTE + p.clock.warmup_days * DAY
     t = t.join(first, "symbol").withColumn("eligible", F.col("e") >= start)
     return t.withColumn("trigger", F.coalesce(F.col("eligible") & (F.col("r") > 0) & (F.col("r") >= F.col("thr")), F.lit(False))).drop("_first", "n")
 
 
-def zero_runs(fills: DataFrame, p: Params, hours: float) -> DataFrame:
+def zero_runs(fills: DataFrame, p: Study, hours: float) -> DataFrame:
     """(symbol, run_start, run_end, hours): maximal runs of bins without a row of either side."""
-    width = p.bin_min * MINUTE
-    b = bins(fills, p.with_(bin_label="right"), side=None)
+    width = p.clock.width_min * MINUTE
+    b = bins(fills, p.but(label="right"), side=None)
     w = Window.partitionBy("symbol").orderBy("e")
     empty = b.where("n = 0").withColumn("_i", F.row_number().over(w)).withColumn("_g", F.col("e") - F.col("_i").cast("bigint") * width)
-    runs = empty.groupBy("symbol", "_g").agg((F.min("e") - width).alias("run_start"), F.max("e").alias("run_end"), (F.count("*") * p.bin_min / 60.0).alias("hours"))
+    runs = empty.groupBy("symbol", "_g").agg((F.min("e") - width).alias("run_start"), F.max("e").alias("run_end"), (F.count("*") * p.clock.width_min / 60.0).alias("hours"))
     return runs.where(F.col("hours") >= hours).drop("_g")
 
 
@@ -88,24 +88,24 @@ def mask_runs(b: DataFrame, runs: DataFrame) -> DataFrame:
     return b.join(hit, ["symbol", "e"], "left").withColumn("notional", F.when(F.col("_m").isNull(), F.col("notional"))).drop("_m")
 
 
-def chained(trig: DataFrame, p: Params, by: list[str] | None = None, time: str = "e") -> DataFrame:
+def chained(trig: DataFrame, p: Study, by: list[str] | None = None, time: str = "e") -> DataFrame:
     """Adds ``new`` (more than quiet_min after the trigger before) and ``chain`` (its number)."""
     keys = ["symbol"] if by is None else by
     w = Window.partitionBy(*keys).orderBy(time)
     gap = F.col(time) - F.lag(time).over(w)
-    return trig.withColumn("new", F.coalesce(gap > p.quiet_min * MINUTE, F.lit(True))).withColumn("chain", F.sum(F.col("new").cast("int")).over(w) - 1)
+    return trig.withColumn("new", F.coalesce(gap > p.clock.quiet_min * MINUTE, F.lit(True))).withColumn("chain", F.sum(F.col("new").cast("int")).over(w) - 1)
 
 
-def onsets(table: DataFrame, p: Params) -> DataFrame:
+def onsets(table: DataFrame, p: Study) -> DataFrame:
     """One row a chain, with its statistics and intensities."""
     table = staged(table)
-    post = p.win_post_min * MINUTE
+    post = p.window.after_min * MINUTE
     c = chained(table.where("trigger"), p)
     c = c.withColumn("e0", F.min("e").over(Window.partitionBy("symbol", "chain")))
     agg = c.groupBy("symbol", "chain", "e0").agg(F.max("e").alias("chain_end"), F.count("*").alias("n_triggers_chain"), F.count_if(F.col("e") <= F.col("e0") + post).alias("n_triggers_in_window"), F.min_by("r", "e").alias("r_onset"), F.min_by("thr", "e").alias("thr_onset"), F.max("r").alias("r_trig_max"))
-    agg = agg.withColumn("chain_span_min", (F.col("chain_end") - F.col("e0")) / MINUTE).withColumn("cascade_continues", F.col("chain_span_min") > p.win_post_min)
+    agg = agg.withColumn("chain_span_min", (F.col("chain_end") - F.col("e0")) / MINUTE).withColumn("cascade_continues", F.col("chain_span_min") > p.window.after_min)
     rows = table.select("symbol", "e", "notional", "r")
-    lo, hi = F.col("e0") - p.win_pre_min * MINUTE + 1, F.greatest(F.col("e0") + post, "chain_end")
+    lo, hi = F.col("e0") - p.window.before_min * MINUTE + 1, F.greatest(F.col("e0") + post, "chain_end")
     met = in_range(agg.select("symbol", "e0", "chain_end"), rows, lo, hi, time="e").groupBy("symbol", "e0").agg(F.sum(F.when(F.col("e") <= F.col("e0") + post, F.col("notional"))).alias("notional_w"), F.max(F.when(F.col("e").between(F.col("e0"), F.col("chain_end")), F.col("r"))).alias("r_max_chain"))
     return agg.drop("r_trig_max", "chain").join(met, ["symbol", "e0"], "left")
 

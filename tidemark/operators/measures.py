@@ -5,71 +5,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..params import MINUTE, Params
+from ..params import MINUTE, Study
 from ..storage import staged
 from .lookups import asof, in_range
 
 M = MINUTE
 
 
-def reference(ev: DataFrame, bars: DataFrame, p: Params) -> DataFrame:
-    a, b = (45, 20) if p.ref_mode == "primary" else (35, 10)
+def still(column: str | Column) -> Column:
+    """The mean, exact where all values are equal: a price that did not move then leaves no rounding noise behind."""
+    return F.when(F.min(column) == F.max(column), F.min(column)).otherwise(F.avg(column))
+
+
+def reference(ev: DataFrame, bars: DataFrame, p: Study) -> DataFrame:
+    a, b = p.window.reference
     met = in_range(ev.select("symbol", "e0"), bars.select("symbol", "bar", "close"), F.col("e0") - a * M, F.col("e0") - b * M, time="bar")
-    met = met.groupBy("symbol", "e0").agg(F.count("close").alias("ref_bars"), F.avg("close").alias("_p"))
+    met = met.groupBy("symbol", "e0").agg(F.count("close").alias("ref_bars"), still("close").alias("_p"))
     out = ev.join(met, ["symbol", "e0"], "left").withColumn("ref_bars", F.coalesce("ref_bars", F.lit(0)))
-    return out.withColumn("p_ref", F.when(F.col("ref_bars") >= p.ref_min_bars, F.col("_p"))).drop("_p")
+    return out.withColumn("p_ref", F.when(F.col("ref_bars") >= p.window.reference_bars, F.col("_p"))).drop("_p")
 
 
-def displacement(ev: DataFrame, bars: DataFrame, p: Params) -> DataFrame:
+def displacement(ev: DataFrame, bars: DataFrame, p: Study) -> DataFrame:
     """Lowest low of the window over the reference price, and the first bar that has it."""
-    n = (p.win_pre_min + p.win_post_min) // p.bin_min
-    met = in_range(ev.select("symbol", "e0"), bars.select("symbol", "bar", "low"), F.col("e0") - p.win_pre_min * M, F.col("e0") + (p.win_post_min - p.bin_min) * M, time="bar")
+    n = (p.window.before_min + p.window.after_min) // p.clock.width_min
+    met = in_range(ev.select("symbol", "e0"), bars.select("symbol", "bar", "low"), F.col("e0") - p.window.before_min * M, F.col("e0") + (p.window.after_min - p.clock.width_min) * M, time="bar")
     met = met.groupBy("symbol", "e0").agg(F.count("low").alias("w_bars"), F.min("low").alias("_low"), F.min_by("bar", F.struct("low", "bar")).alias("_trough"))
     ends = bars.groupBy("symbol").agg(F.max("bar_end").alias("data_end"))
     out = ev.join(met, ["symbol", "e0"], "left").join(ends, "symbol").withColumn("w_bars", F.coalesce("w_bars", F.lit(0)))
-    out = out.withColumn("w_ok", (F.col("w_bars") >= n - p.w_max_missing_bars) & (F.col("e0") + p.win_post_min * M <= F.col("data_end")))
+    out = out.withColumn("w_ok", (F.col("w_bars") >= n - p.window.missing_bars) & (F.col("e0") + p.window.after_min * M <= F.col("data_end")))
     ok = F.col("w_ok") & F.col("p_ref").isNotNull()
     return out.withColumn("trough", F.when(ok, F.col("_trough"))).withColumn("disp", F.when(ok, F.log(F.col("_low") / F.col("p_ref")))).drop("_low", "_trough")
 
 
-def oi_response(ev: DataFrame, snaps: DataFrame, p: Params) -> DataFrame:
+def oi_response(ev: DataFrame, snaps: DataFrame, p: Study) -> DataFrame:
     """Trough over baseline mean of as-of open interest on five-minute grids."""
-    step = p.bin_min * M
-    grids = {"base": (F.col("e0") - (p.win_pre_min + p.oi_base_len_min) * M, F.col("e0") - p.win_pre_min * M), "trough": (F.col("e0") - p.win_pre_min * M + step, F.col("e0") + p.win_post_min * M)}
+    step = p.clock.width_min * M
+    grids = {"base": (F.col("e0") - (p.window.before_min + p.interest.base_min) * M, F.col("e0") - p.window.before_min * M), "trough": (F.col("e0") - p.window.before_min * M + step, F.col("e0") + p.window.after_min * M)}
     probes = None
     for name, (lo, hi) in grids.items():
         one = ev.select("symbol", "e0", F.lit(name).alias("part"), F.explode(F.sequence(lo, hi, F.lit(step))).alias("g"))
         probes = one if probes is None else probes.union(one)
-    found = asof(probes, snaps.select("symbol", "t", "oi", *[c for c in ("ingest_idx",) if c in snaps.columns]), ["oi"], p.oi_max_age_min, at="g")
+    found = asof(probes, snaps.select("symbol", "t", "oi", *[c for c in ("ingest_idx",) if c in snaps.columns]), ["oi"], p.interest.stale_min, at="g")
     base, trough = F.when(F.col("part") == "base", F.col("oi")), F.when(F.col("part") == "trough", F.col("oi"))
     met = found.groupBy("symbol", "e0").agg(F.count(base).alias("oi_base_n"), F.count(trough).alias("oi_trough_n"), F.avg(base).alias("_b"), F.min(trough).alias("_t"))
     out = ev.join(met, ["symbol", "e0"], "left")
-    n_base, n_trough = p.oi_base_len_min // p.bin_min + 1, (p.win_pre_min + p.win_post_min) // p.bin_min
-    out = out.withColumn("base_ok", F.col("oi_base_n") >= n_base - p.oi_base_max_missing).withColumn("trough_ok", F.col("oi_trough_n") >= n_trough - p.oi_trough_max_missing)
+    n_base, n_trough = p.interest.base_min // p.clock.width_min + 1, (p.window.before_min + p.window.after_min) // p.clock.width_min
+    out = out.withColumn("base_ok", F.col("oi_base_n") >= n_base - p.interest.base_missing).withColumn("trough_ok", F.col("oi_trough_n") >= n_trough - p.interest.trough_missing)
     return out.withColumn("doi", F.when(F.col("base_ok") & F.col("trough_ok"), (F.col("_t") - F.col("_b")) / F.col("_b"))).drop("_b", "_t")
 
 
-def persistence(ev: DataFrame, bars: DataFrame, p: Params, hours: tuple[int, ...] = (6, 24)) -> DataFrame:
+def persistence(ev: DataFrame, bars: DataFrame, p: Study, hours: tuple[int, ...] = (6, 24)) -> DataFrame:
     probes = ev.select("symbol", "e0", "p_ref", "data_end", F.explode(F.array(*map(F.lit, hours))).alias("h")).withColumn("g", F.col("e0") + F.col("h").cast("bigint") * (60 * M))
-    found = asof(probes, bars.select("symbol", F.col("bar_end").alias("t"), "close"), ["close"], p.horizon_max_age_min, at="g")
+    found = asof(probes, bars.select("symbol", F.col("bar_end").alias("t"), "close"), ["close"], p.outcome.age_min, at="g")
     value = F.when(F.col("g") <= F.col("data_end"), F.log(F.col("close") / F.col("p_ref")))
     met = found.groupBy("symbol", "e0").agg(*[F.max(F.when(F.col("h") == h, value)).alias(f"p{h}h") for h in hours])
     return ev.join(met, ["symbol", "e0"], "left")
 
 
-def followup(ev: DataFrame, bars: DataFrame, p: Params, start: Column, stop: Column) -> DataFrame:
+def followup(ev: DataFrame, bars: DataFrame, p: Study, start: Column, stop: Column) -> DataFrame:
     """Bars of each onset with end in (start, stop], up to the first gap above ``max_gap_min``."""
     seg = in_range(ev.withColumn("_start", start).withColumn("_stop", stop).where("_start < _stop"), bars.select("symbol", "bar_end", "close", "high"), F.col("_start") + 1, F.col("_stop"), time="bar_end")
     w = Window.partitionBy("symbol", "e0").orderBy("bar_end")
     gap = F.col("bar_end") - F.coalesce(F.lag("bar_end").over(w), F.col("_start"))
-    broken = F.sum((gap > p.max_gap_min * M).cast("int")).over(w)
+    broken = F.sum((gap > p.outcome.gap_min * M).cast("int")).over(w)
     return seg.withColumn("_broken", broken).where("_broken = 0").drop("_broken")
 
 
-def first_passage(ev: DataFrame, bars: DataFrame, p: Params, prefix: str, start: Column, origin: Column, column: str = "close") -> DataFrame:
+def first_passage(ev: DataFrame, bars: DataFrame, p: Study, prefix: str, start: Column, origin: Column, column: str = "close") -> DataFrame:
     """Minutes from ``origin`` to the first bar at or above p_ref (1 - kappa), or censored at follow-up's end."""
-    stop = F.col("e0") + p.horizon_h * 60 * M
-    level = F.col("p_ref") * (1 - p.kappa)
+    stop = F.col("e0") + p.outcome.horizon_h * 60 * M
+    level = F.col("p_ref") * (1 - p.outcome.tolerance)
     base = ev.select("symbol", "e0", "p_ref", start.alias("_s"))
     seg = followup(base.where("_s is not null"), bars, p, F.col("_s"), stop)
     met = seg.groupBy("symbol", "e0").agg(F.min(F.when(F.col(column) >= level, F.col("bar_end"))).alias("_hit"), F.max("bar_end").alias("_fu"))
@@ -85,17 +90,18 @@ def first_passage(ev: DataFrame, bars: DataFrame, p: Params, prefix: str, start:
 
 
 def reasons(ev: DataFrame) -> DataFrame:
+    # fixed values: the texts of the reasons
     parts = [F.when(F.col("p_ref").isNull(), "reference_bars"), F.when(~F.col("w_ok"), "window_bars_or_beyond_data"), F.when(~F.col("base_ok"), "oi_baseline"), F.when(~F.col("trough_ok"), "oi_trough")]
     return ev.withColumn("reason", F.concat_ws(";", *parts))
 
 
-def classify(ev: DataFrame, p: Params, labels: tuple[str, str, str, str] = ("contraction", "intermediate", "limited", "unknown")) -> DataFrame:
+def classify(ev: DataFrame, p: Study, labels: tuple[str, str, str, str] = ("contraction", "intermediate", "limited", "unknown")) -> DataFrame:
     """Classes by the quantile of the symbol's earlier responses; unknown rows are no priors."""
     w = Window.partitionBy("symbol").orderBy("e0").rowsBetween(Window.unboundedPreceding, -1)
     doi = F.col("doi")
-    cut = F.lit(p.delev_fixed) if p.classify == "fixed" else F.when(F.count("doi").over(w) >= p.min_prior, F.expr(f"percentile(doi, {p.delev_pct}D)").over(w)).otherwise(F.lit(p.delev_fixed))
+    cut = F.lit(p.classes.cut) if p.classes.rule == "fixed" else F.when(F.count("doi").over(w) >= p.classes.least_prior, F.expr(f"percentile(doi, {p.classes.share}D)").over(w)).otherwise(F.lit(p.classes.cut))
     out = ev.withColumn("contraction_cut", F.when(doi.isNotNull(), cut))
-    return out.withColumn("klass", F.when(doi.isNull(), labels[3]).when(doi <= F.col("contraction_cut"), labels[0]).when(doi > p.churn_cut, labels[2]).otherwise(labels[1]))
+    return out.withColumn("klass", F.when(doi.isNull(), labels[3]).when(doi <= F.col("contraction_cut"), labels[0]).when(doi > p.classes.upper, labels[2]).otherwise(labels[1]))
 
 
 def reversion(ev: DataFrame) -> DataFrame:
@@ -103,20 +109,20 @@ def reversion(ev: DataFrame) -> DataFrame:
     return ev.withColumn("reversion", F.when(ok, F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("p6h") / F.col("disp")))))
 
 
-def intensity(ev: DataFrame, p: Params) -> DataFrame:
-    value = {"onset": F.col("r_onset"), "window_total": F.col("notional_w")}.get(p.intensity, F.lit(None).cast("double"))
+def intensity(ev: DataFrame, p: Study) -> DataFrame:
+    value = {"onset": F.col("r_onset"), "window_total": F.col("notional_w")}.get(p.classes.size, F.lit(None).cast("double"))
     return ev.withColumn("intensity", value).withColumn("analysable", (F.col("reason") == "") & (F.col("klass") != "unknown"))
 
 
-def measured(ev: DataFrame, bars: DataFrame, snaps: DataFrame, p: Params) -> DataFrame:
+def measured(ev: DataFrame, bars: DataFrame, snaps: DataFrame, p: Study) -> DataFrame:
     """All measures of one study, over all symbols at once. Each step joins the onsets with themselves, so they
     are written between steps; else the plan would double with every measure."""
     bars, ev = staged(bars), staged(ev)
-    post = F.col("e0") + p.win_post_min * M
+    post = F.col("e0") + p.window.after_min * M
     ev = staged(displacement(staged(reference(ev, bars, p)), bars, p))
     ev = staged(persistence(staged(oi_response(ev, snaps, p)), bars, p))
     ev = staged(first_passage(ev, bars, p, "rec", post, post))
-    after = F.col("trough") + p.bin_min * M
+    after = F.col("trough") + p.clock.width_min * M
     ev = staged(first_passage(ev, bars, p, "rec_trough_close", after, F.col("e0")))
     ev = staged(first_passage(ev, bars, p, "rec_trough_high", after, F.col("e0"), "high"))
     return intensity(reversion(classify(reasons(ev), p)), p)

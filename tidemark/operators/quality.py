@@ -23,9 +23,17 @@ def side_check(fills: DataFrame) -> DataFrame:
 
 def permissive_sells(fills: DataFrame) -> DataFrame:
     """Sides spelt sell, a or ask; only where a symbol has none of them, directions with 'long'."""
-    plain = F.lower("side").isin("sell", "a", "ask")
-    some = F.sum(F.coalesce(plain, F.lit(False)).cast("int")).over(Window.partitionBy("symbol")) > 0
-    return fills.withColumn("_ok", F.when(some, plain).otherwise(F.lower("direction").contains("long"))).where("_ok").drop("_ok")
+    plain = F.coalesce(F.lower("side").isin("sell", "a", "ask"), F.lit(False))
+    # one row a symbol comes back to the fills: Spark broadcasts it, or splits the join of a hot symbol
+    some = fills.groupBy("symbol").agg(F.bool_or(plain).alias("_some")).withColumnRenamed("symbol", "_s")
+    met = fills.join(some, F.col("symbol") == F.col("_s"))
+    return met.where(F.when(F.col("_some"), plain).otherwise(F.lower("direction").contains("long"))).drop("_s", "_some")
+
+
+def equal_pairs(fills: DataFrame, keys: list[str]) -> DataFrame:
+    """Number of pairs of a sell and a buy with equal keys, from counts of both sides: no pair is formed."""
+    per = fills.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count_if(F.col("side") == "sell").alias("a"), F.count_if(F.col("side") == "buy").alias("b"))
+    return per.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("n"))
 
 
 def dropped(fills: DataFrame, block: int = 1_000_000) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import clock, lookups, measures
-from ..params import DAY, MINUTE, Params
+from ..params import DAY, MINUTE, Study
 from ..sources import driver_tables as src
 from ..storage import staged
 
 
-def build(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def build(spark: SparkSession, sf_dir: str, p: Study) -> DataFrame:
     """Fills to classified onsets, all symbols at once."""
     snaps = staged(src.dense(spark, sf_dir))
     ev = clock.onsets(clock.triggers(src.fills(spark, sf_dir), p), p)
@@ -62,13 +62,13 @@ def effects(spark: SparkSession, ev: DataFrame, draws: int = 199) -> DataFrame:
     return out
 
 
-def legacy_threshold(fills: DataFrame, p: Params) -> DataFrame:
+def legacy_threshold(fills: DataFrame, p: Study) -> DataFrame:
     """Left labels, partial rolling sums, threshold with the current bin and at least seven days of it."""
-    q = p.with_(bin_label="left", include_current=True)
+    q = p.but(label="left", inclusive=True)
     return clock.thresholds(clock.rolled_partial(clock.bins(fills, q)), q, least=2016)
 
 
-def legacy_events(fills: DataFrame, p: Params) -> DataFrame:
+def legacy_events(fills: DataFrame, p: Study) -> DataFrame:
     t = legacy_threshold(fills, p)
     chains = clock.chained(t.where((F.col("r") >= F.col("thr")) & (F.col("r") > 0)), p)
     spans = chains.groupBy("symbol", "chain").agg(F.min("e").alias("t0"), F.max("e").alias("t1"))
@@ -76,20 +76,20 @@ def legacy_events(fills: DataFrame, p: Params) -> DataFrame:
     return met.groupBy("symbol", "t0", "t1").agg(F.max("r").alias("liq_notional"))
 
 
-def overlapping(ev: DataFrame, runs: DataFrame, p: Params) -> DataFrame:
+def overlapping(ev: DataFrame, runs: DataFrame, p: Study) -> DataFrame:
     """Adds ``overlaps``: whether the event's window meets a run, by day buckets of both."""
-    a, b = F.col("e0") - p.win_pre_min * MINUTE, F.col("e0") + p.win_post_min * MINUTE
+    a, b = F.col("e0") - p.window.before_min * MINUTE, F.col("e0") + p.window.after_min * MINUTE
     left = ev.withColumn("_d", F.explode(F.sequence(F.floor(a / DAY), F.floor(b / DAY))))
     right = runs.select(F.col("symbol").alias("_s"), "run_start", "run_end", F.explode(F.sequence(F.floor(F.col("run_start") / DAY), F.floor(F.col("run_end") / DAY))).alias("_rd"))
     hit = left.join(right, (F.col("symbol") == F.col("_s")) & (F.col("_d") == F.col("_rd")) & (F.col("run_start") < b) & (F.col("run_end") > a)).select("symbol", "e0").distinct().withColumn("_h", F.lit(True))
     return ev.join(hit, ["symbol", "e0"], "left").withColumn("overlaps", F.coalesce("_h", F.lit(False))).drop("_h")
 
 
-def grid(fills: DataFrame, p: Params, specs: dict[str, dict]) -> DataFrame:
+def grid(fills: DataFrame, p: Study, specs: dict[str, dict]) -> DataFrame:
     """(spec, symbol, onsets) for each set of changed parameters."""
     out = None
     for name, changes in specs.items():
-        q = p.with_(**changes)
+        q = p.but(**changes)
         one = clock.chained(clock.triggers(fills, q).where("trigger"), q).where("new").groupBy("symbol").agg(F.count("*").alias("onsets")).select(F.lit(name).alias("spec"), "symbol", "onsets")
         out = one if out is None else out.unionByName(one)
     return out

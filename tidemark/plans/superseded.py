@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import clock, lookups, measures
-from ..params import DAY, MINUTE, Params
+from ..params import DAY, MINUTE, Study
 from ..storage import staged
 
 M = MINUTE
@@ -28,7 +28,7 @@ def session(at: Column) -> Column:
     return F.when(hour < 8, "asia").when(hour < 13, "eu").when(hour < 17, "eu_us_overlap").otherwise("us")
 
 
-def outcomes(ev: DataFrame, grid: DataFrame, p: Params, censor_h: int = 24, trough_h: int = 2) -> DataFrame:
+def outcomes(ev: DataFrame, grid: DataFrame, p: Study, censor_h: int = 24, trough_h: int = 2) -> DataFrame:
     """Outcomes and class of each (symbol, t0); events without a bar in the half hour before go.
 
     Two range joins in day buckets: all that lies near the event in one aggregate, then the recovery."""
@@ -36,14 +36,14 @@ def outcomes(ev: DataFrame, grid: DataFrame, p: Params, censor_h: int = 24, trou
     since = lambda c: F.when(F.col("bar") >= t0, c)
     near = lookups.in_range(ev.select("symbol", "t0"), grid.select("symbol", "bar", "close", "low", "oi"), t0 - 60 * M, t0 + trough_h * 60 * M, time="bar")
     met = near.groupBy("symbol", "t0").agg(
-        F.avg(F.when(F.col("bar").between(t0 - 30 * M, t0 - 5 * M), F.col("close"))).alias("p0"),
+        measures.still(F.when(F.col("bar").between(t0 - 30 * M, t0 - 5 * M), F.col("close"))).alias("p0"),
         F.min(since(F.col("low"))).alias("_low"), F.min_by("bar", since(F.struct("low", "bar"))).alias("_trough"),
         F.avg(F.when(F.col("bar") <= t0, F.col("oi"))).alias("_b"), F.min(since(F.col("oi"))).alias("_l"),
     )
     out = staged(ev.join(met.where("p0 is not null"), ["symbol", "t0"]))
     stop = t0 + censor_h * 60 * M
     later = lookups.in_range(out.select("symbol", "t0", "p0", "_trough"), grid.select("symbol", "bar", "high"), F.coalesce("_trough", "t0"), stop, time="bar")
-    hit = later.where(F.col("high") >= F.col("p0") * (1 - p.kappa)).groupBy("symbol", "t0").agg(F.min("bar").alias("_hit"))
+    hit = later.where(F.col("high") >= F.col("p0") * (1 - p.outcome.tolerance)).groupBy("symbol", "t0").agg(F.min("bar").alias("_hit"))
     out = out.join(hit, ["symbol", "t0"], "left")
     closes = grid.select("symbol", F.col("bar").alias("t"), "close")
     for h in (6, 24):
@@ -56,13 +56,13 @@ def outcomes(ev: DataFrame, grid: DataFrame, p: Params, censor_h: int = 24, trou
     return out.withColumnRenamed("doi", "doi_event").drop("_low", "_trough", "_b", "_l", "_hit", "contraction_cut")
 
 
-def prototype_events(grid: DataFrame, p: Params, rows: int = 12, oi_q: float = 0.01, ret_q: float = 0.05, least: int = 2016) -> DataFrame:
+def prototype_events(grid: DataFrame, p: Study, rows: int = 12, oi_q: float = 0.01, ret_q: float = 0.05, least: int = 2016) -> DataFrame:
     """Chains of bars whose hourly change of open interest and return are both in the low tail of their trail,
     the bar itself included; each with its worst values."""
     w = Window.partitionBy("symbol").orderBy("bar")
     g = staged(grid.select("symbol", F.col("bar").alias("e"), (F.col("oi") / F.lag("oi", rows).over(w) - 1).alias("doi"), F.log(F.col("close") / F.lag("close", rows).over(w)).alias("ret")))
     for column, q in (("doi", oi_q), ("ret", ret_q)):
-        cut = clock.thresholds(g.select("symbol", "e", F.col(column).alias("r")), p.with_(include_current=True, trig_q=q), least)
+        cut = clock.thresholds(g.select("symbol", "e", F.col(column).alias("r")), p.but(inclusive=True, quantile=q), least)
         g = staged(g.join(cut.select("symbol", "e", F.col("thr").alias(f"{column}_thr")), ["symbol", "e"]))
     chains = clock.chained(g.where("doi <= doi_thr and ret <= ret_thr"), p).groupBy("symbol", "chain").agg(F.min("e").alias("t0"), F.max("e").alias("t1"))
     met = lookups.in_range(chains.select("symbol", "t0", "t1"), g.select("symbol", "e", "doi", "ret"), F.col("t0"), F.col("t1"), time="e")
@@ -82,19 +82,20 @@ def validators(ev: DataFrame, closing: DataFrame, funding: DataFrame, bars: Data
     return out.withColumn("adl", F.coalesce("_a", F.lit(False))).drop("_a")
 
 
-def membership(old: DataFrame, new: DataFrame, table: DataFrame, p: Params) -> DataFrame:
+def membership(old: DataFrame, new: DataFrame, table: DataFrame, p: Study) -> DataFrame:
     """Each old event (symbol, t0, t1, klass) with the onset of its own bin, else the first one near it, else why
     it is gone; and the onsets no old event meets. Matching holds the symbol too.
 
     One range join finds both kinds of match, as the own bin lies in the near range."""
-    old, new, width = staged(old), staged(new.select("symbol", "e0", "klass", "analysable", "reason")), p.bin_min * M
+    old, new, width = staged(old), staged(new.select("symbol", "e0", "klass", "analysable", "reason")), p.clock.width_min * M
     own = F.col("t0") + width
-    met = lookups.in_range(old.select("symbol", "t0", "t1"), new.withColumnRenamed("klass", "_klass"), F.col("t0") - p.quiet_min * M, F.col("t1") + 2 * width, time="e0")
+    met = lookups.in_range(old.select("symbol", "t0", "t1"), new.withColumnRenamed("klass", "_klass"), F.col("t0") - p.clock.quiet_min * M, F.col("t1") + 2 * width, time="e0")
     best = met.groupBy("symbol", "t0").agg(F.min_by(F.struct("e0", "_klass", "analysable", "reason"), F.struct(F.col("e0") != own, F.col("e0"))).alias("_m"))
     span = lookups.in_range(old.select("symbol", "t0", "t1"), table.select("symbol", "e", "eligible", "trigger"), own, F.col("t1") + width, time="e")
     why = span.groupBy("symbol", "t0").agg(F.bool_or("eligible").alias("_el"), F.bool_or("trigger").alias("_tr"))
     m = staged(old.join(best, ["symbol", "t0"], "left").join(why, ["symbol", "t0"], "left"))
     gone, e0 = F.col("_m").isNull(), F.col("_m.e0")
+    # fixed values: the texts of causes and states
     cause = F.when(~F.coalesce("_el", F.lit(False)), "before full warm-up").when(~F.col("_tr"), "no bin exceeds prior-only threshold").otherwise("absorbed into an earlier corrected chain")
     matched = m.select(
         "symbol", F.col("t0").alias("legacy_t0"), F.col("klass").alias("legacy_class"),

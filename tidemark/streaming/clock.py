@@ -14,30 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..params import DAY, MINUTE, Params
+from ..params import DAY, MINUTE, Study
 from ..storage import shared_dir
 
 
-def right_bins(fills: DataFrame, p: Params, delay: str = "10 minutes") -> DataFrame:
+def right_bins(fills: DataFrame, p: Study, delay: str = "10 minutes") -> DataFrame:
     """(symbol, e, notional, n) of the sell bins that have rows, labelled by their end."""
     sells = fills.where("side = 'sell'").withColumn("ts", F.timestamp_micros("t")).withWatermark("ts", delay)
-    sums = sells.groupBy("symbol", F.window("ts", f"{p.bin_min} minutes").alias("w")).agg(F.sum("notional").alias("notional"), F.count("*").alias("n"))
+    sums = sells.groupBy("symbol", F.window("ts", f"{p.clock.width_min} minutes").alias("w")).agg(F.sum("notional").alias("notional"), F.count("*").alias("n"))
     return sums.select("symbol", F.unix_micros("w.end").alias("e"), "notional", "n")
 
 
-def onset_sessions(triggers: DataFrame, p: Params, delay: str = "10 minutes") -> DataFrame:
+def onset_sessions(triggers: DataFrame, p: Study, delay: str = "10 minutes") -> DataFrame:
     """(symbol, e0, chain_end, n_triggers_chain) of chains that the watermark has closed."""
     timed = triggers.withColumn("ts", F.timestamp_micros("e")).withWatermark("ts", delay)
-    chains = timed.groupBy("symbol", F.session_window("ts", f"{p.quiet_min} minutes").alias("w")).agg(F.min("e").alias("e0"), F.max("e").alias("chain_end"), F.count("*").alias("n_triggers_chain"))
+    chains = timed.groupBy("symbol", F.session_window("ts", f"{p.clock.quiet_min} minutes").alias("w")).agg(F.min("e").alias("e0"), F.max("e").alias("chain_end"), F.count("*").alias("n_triggers_chain"))
     return chains.drop("w")
 
 
-def trailing_triggers(rolled: DataFrame, p: Params) -> DataFrame:
+def trailing_triggers(rolled: DataFrame, p: Study) -> DataFrame:
     """(symbol, e, r, thr, trigger) of bins that arrive in order of time, batch by batch.
 
     State holds one trail of rolling sums a symbol, whatever the stream's length. The threshold is the exact
     quantile of the sums in [e - trail, e); warm-up counts from the first full rolling sum."""
-    trail, warm = p.trail_days * DAY, p.warmup_days * DAY
+    trail, warm = p.clock.trail_days * DAY, p.clock.warmup_days * DAY
     schema = "symbol string, e bigint, r double, thr double, trigger boolean"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -47,7 +47,7 @@ def trailing_triggers(rolled: DataFrame, p: Params) -> DataFrame:
         start, old_e, old_r = state.get if state.exists else (int(g["e"].iloc[0]), [], [])
         e = np.concatenate((np.array(old_e, dtype=np.int64), g["e"].to_numpy(np.int64)))
         r = np.concatenate((np.array(old_r, dtype=float), g["r"].to_numpy(float)))
-        thr = pd.Series(r, index=pd.to_datetime(e, unit="us")).rolling(f"{p.trail_days}D", closed="left", min_periods=1).quantile(p.trig_q).to_numpy()[len(old_e) :]
+        thr = pd.Series(r, index=pd.to_datetime(e, unit="us")).rolling(f"{p.clock.trail_days}D", closed="left", min_periods=1).quantile(p.clock.quantile).to_numpy()[len(old_e) :]
         now, value = e[len(old_e) :], r[len(old_e) :]
         kept = e >= e[-1] - trail
         state.update((start, e[kept].tolist(), r[kept].tolist()))
