@@ -257,6 +257,50 @@ def test_language_model_base_and_lattice(docs, empty):
     assert lm.corpus_scores(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_language_model_scores_match_a_plain_forward_sum(spark, rounds):
+    import numpy as np
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    rows = d.collect()
+    train = Counter(w for r in rows if not lm.held_out(r.doc_id) for w in (r.text or "").encode().lower().split())
+    ends = sum(not lm.held_out(r.doc_id) for r in rows)
+    pieces, prior = lm.vocabulary(path)
+    weight = dict(zip(pieces, prior))
+    longest = max(map(len, pieces))
+
+    def paths(word, p):
+        x = b"\xff" + word
+        a, z = [1.0] + [0.0] * len(x), [0.0] * len(x) + [1.0]
+        scale = 0.0
+        for j in range(1, len(x) + 1):
+            a[j] = sum(a[i] * p.get(x[i:j], 0.0) for i in range(max(0, j - longest), j))
+        for i in range(len(x) - 1, -1, -1):
+            z[i] = sum(p.get(x[i:j], 0.0) * z[j] for j in range(i + 1, min(len(x), i + longest) + 1))
+        return x, a, z, scale
+
+    uses = Counter()
+    for _ in range(rounds):
+        uses = Counter()
+        for w, c in train.items():
+            x, a, z, _ = paths(w, weight)
+            for i in range(len(x)):
+                for j in range(i + 1, min(len(x), i + longest) + 1):
+                    if q := weight.get(x[i:j], 0.0):
+                        uses[x[i:j]] += c * a[i] * q * z[j] / a[-1]
+        whole = sum(uses.values()) + lm.PRIOR_MASS
+        weight = {p: (uses[p] + lm.PRIOR_MASS * prior[i]) / whole for i, p in enumerate(pieces)}
+    mass = lm.PRIOR_MASS + sum(uses.values())
+    share, end = mass / (mass + ends + 1), (ends + 1) / (mass + ends + 1)
+    final = {p: v * share for p, v in weight.items()}
+    got = {r.doc_id: r.score for r in lm.corpus_scores(d, path, rounds=rounds).collect()}
+    for r in rows[:25]:
+        words = (r.text or "").encode().lower().split()
+        if max(map(len, words), default=0) < 60:
+            assert math.isclose(got[r.doc_id], math.log10(end) + sum(np.log10(paths(w, final)[1][-1]) for w in words), rel_tol=1e-6)
+
+
 def test_lattice_sums_all_segmentations():
     import numpy as np
 

@@ -1,9 +1,9 @@
 """Corpus language model on a subword lattice.
 
-The vocabulary's pieces and scores are given and never trained. The file at hand scores pieces by
-merge rank, so a piece's prior weight is Zipf's 1/(rank + 10). One expectation step over the distinct
-words of the training rows (forward-backward on each word's lattice, weighted by the word's count) turns them
-into unigram weights, with the prior kept as pseudo-counts. A word's probability is the sum
+The vocabulary's pieces are given; which pieces there are is never trained. The file at hand scores pieces by
+merge rank, so a piece's prior weight is Zipf's 1/(rank + 10). ``rounds`` steps of expectation-maximisation over the distinct
+words of the training rows (forward-backward on each word's lattice, weighted by the word's count) move the weights
+from that prior, which stays as pseudo-counts; 0 rounds score by the file alone. A word's probability is the sum
 over all its segmentations, by forward recursion in log space; pieces never cross white space, so a
 text's probability is the product over its words and one end symbol. Bytes are pieces, so every word
 has a segmentation.
@@ -202,30 +202,43 @@ def count_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, "word string, c bigint, c_all bigint").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def corpus_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def piece_weights(counts: DataFrame, pieces: list[bytes], prior: np.ndarray, ends: int, rounds: int) -> tuple[np.ndarray, float]:
+    """(natural logs of the pieces' weights, log10 of the end symbol's) after ``rounds`` of expectation-maximisation
+    over ``counts`` (word, c). At most one sum a piece reaches the driver in a round."""
+    sc = counts.sparkSession.sparkContext
+    words = counts.where((F.col("c") > 0) & (F.col("word") != END)).select("word", "c")
+    logs, uses = np.log(prior), None
+    for _ in range(rounds):
+        held = sc.broadcast((tuple(pieces), logs))
+
+        def expect(batches, held=held):
+            names, logs = held.value
+            lattice, sums = _lattice(names), np.zeros(len(names))
+            for batch in batches:
+                sums += lattice.expected([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float), logs)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["piece", "n"])
+
+        got = words.mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+        uses = np.zeros(len(pieces))
+        uses[got["piece"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+        held.unpersist()
+        # the end symbol takes no part in the lattice: its share is set aside below
+        logs = np.log((uses + PRIOR_MASS * prior) / (uses.sum() + PRIOR_MASS))
+    mass = PRIOR_MASS + (0.0 if uses is None else uses.sum())
+    whole = mass + ends + 1
+    return logs + math.log(mass / whole), math.log10((ends + 1) / whole)
+
+
+def corpus_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are log10."""
     sc = docs.sparkSession.sparkContext
     counts = staged(count_words(docs, id_col, text_col))
     row = counts.agg(F.sum("c").alias("n"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("v"), F.sum("c_all").alias("all"), F.sum(F.when(F.col("word") == END, F.col("c")).otherwise(0)).alias("ends")).first()
     total, distinct, everything, ends = (row[k] or 0 for k in ("n", "v", "all", "ends"))
     pieces, prior = vocabulary(vocabulary_path)
-    held = sc.broadcast((tuple(pieces), np.log(prior)))
-
-    def expect(batches):
-        names, logs = held.value
-        lattice, sums = _lattice(names), np.zeros(len(names))
-        for batch in batches:
-            sums += lattice.expected([w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float), logs)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["piece", "n"])
-
-    # at most one row a piece: the vocabulary bounds what comes to the driver
-    got = counts.where((F.col("c") > 0) & (F.col("word") != END)).select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
-    uses = np.zeros(len(pieces))
-    uses[got["piece"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
-    whole = uses.sum() + PRIOR_MASS + ends + 1
-    log_end = math.log10((ends + 1) / whole)
-    model = sc.broadcast((tuple(pieces), np.log((uses + PRIOR_MASS * prior) / whole)))
+    logs, log_end = piece_weights(counts, pieces, prior, ends, rounds)
+    model = sc.broadcast((tuple(pieces), logs))
 
     def score(batches):
         names, logs = model.value
