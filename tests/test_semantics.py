@@ -101,3 +101,65 @@ def test_archive_columns_by_any_name(spark):
 
     raw = spark.createDataFrame([("x", "5", "7", None, "9.5"), ("x", "bad", "7", "1", "2"), ("x", "6", "n/a", "1", "2")], "Coin string, time string, openInterest string, midPx string, MARK_PX string")
     assert [tuple(r) for r in context.asset_context(raw).collect()] == [("x", 5, 7.0, None, 9.5, None)]
+
+
+def test_regression_report_by_hand(spark):
+    import hashlib
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n, draws = 120, 99
+    x = np.column_stack([rng.integers(0, 2, n), rng.normal(size=n), rng.integers(0, 2, n)]).astype(float)
+    cl = rng.integers(0, 12, n)
+    y = 0.3 * x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=n) + rng.normal(size=12)[cl]
+    d = spark.createDataFrame([(float(b), *map(float, a), int(g)) for a, b, g in zip(x, y, cl)] + [(None, 0.0, 0.0, 0.0, 1)], "y double, one double, size double, eth double, cl int")
+    got = stats.regression_report(spark, d, "y", ["one", "size", "eth"], "cl", draws).first()
+    full = np.column_stack([np.ones(n), x])
+    inverse = np.linalg.inv(full.T @ full)
+    groups = sorted(set(cl))
+    spread = lambda u: np.array([(full[cl == g] @ inverse[1]) @ u[cl == g] for g in groups])
+    beta = inverse @ full.T @ y
+    s = spread(y - full @ beta)
+    se = math.sqrt(len(groups) / (len(groups) - 1) * (n - 1) / (n - 4) * (s @ s))
+    assert (got.n, got.g, got.df) == (n, len(groups), len(groups) - 1)
+    assert abs(got.coef - beta[1]) < 1e-9 and abs(got.se_cr1 - se) < 1e-9
+    part = full[:, [0, 2, 3]]
+    fit = part @ np.linalg.lstsq(part, y, rcond=None)[0]
+    six = [-math.sqrt(1.5), -1.0, -math.sqrt(0.5), math.sqrt(0.5), 1.0, math.sqrt(1.5)]
+    t0, hits = abs(beta[1]) / math.sqrt(s @ s), 0
+    for b in range(1, draws + 1):
+        v = np.array([six[int(hashlib.md5(f"7:{b}:{g}".encode()).hexdigest()[:8], 16) % 6] for g in cl])
+        again = fit + v * (y - fit)
+        bb = inverse @ full.T @ again
+        sb = spread(again - full @ bb)
+        hits += abs(bb[1]) / math.sqrt(sb @ sb) >= t0
+    assert abs(got.p_wcr - hits / draws) < 1e-9
+    assert got.lo_wcr < got.coef < got.hi_wcr and got.lo_cr1 < got.coef < got.hi_cr1
+    same = d.withColumn("eth", F.col("one"))
+    none = stats.regression_report(spark, same, "y", ["one", "size", "eth"], "cl", draws).first()
+    assert none.coef is None and none.lo_wcr is None and none.n == n
+    assert stats.regression_report(spark, d.limit(0), "y", ["one"], "cl", draws).first().n == 0
+
+
+def test_student_tail_and_quantile(spark):
+    tail, upper = stats.student(10)
+    assert abs(tail(2.2281388519649385) - 0.05) < 1e-7 and abs(upper(0.05) - 2.2281388519649385) < 1e-6
+    tail, upper = stats.student(1)
+    assert abs(tail(1.0) - 0.5) < 1e-7
+
+
+def test_shuffles_keep_the_values_and_draw_zero(spark):
+    d = spark.createDataFrame([(i, float(i * i), i % 3) for i in range(40)], "id int, v double, w int")
+    got = stats.shuffled(d, "v", 3, 3).collect()
+    assert {(r.id, r.v) for r in got if r.b == 0} == {(i, float(i * i)) for i in range(40)}
+    for b in (1, 2, 3):
+        mine = [(r.id, r.v) for r in got if r.b == b]
+        assert sorted(v for _, v in mine) == [float(i * i) for i in range(40)] and any(v != i * i for i, v in mine)
+    few = stats.spearman_permutation(d.where("id < 14"), "v", "w", 9).first()
+    assert (few.est, few.p, few.n) == (None, None, 14)
+    none = stats.slope_permutation(d.where("id < 0"), "v", "w", "w", 9).first()
+    assert (none.est, none.p, none.n) == (None, None, 0)
+    line = stats.spearman_permutation(d, "v", "id", 19).first()
+    assert abs(line.est - 1) < 1e-12 and abs(line.p - 1 / 20) < 1e-12

@@ -389,7 +389,13 @@ study_query("m9_classify", ["contraction_cut", "klass"], ["contraction_cut"])
 study_query("f9_reasons", ["reason", "analysable"], [])
 
 
-@query("m7_other_passages")
+OTHER = f"""ps AS (SELECT m.symbol, m.e0, m.trough + {W} AS s, b.bar_end, b.close >= m.p_ref * 0.999 AS c_met, b.high >= m.p_ref * 0.999 AS h_met, b.bar_end - coalesce(lag(b.bar_end) OVER (PARTITION BY m.symbol, m.e0 ORDER BY b.bar_end), m.trough + {W}) AS gap FROM m2 m JOIN bars b ON b.symbol = m.symbol AND b.bar_end > m.trough + {W} AND b.bar_end <= m.e0 + {1440 * M}),
+pk AS (SELECT *, sum(CASE WHEN gap > {15 * M} THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, e0 ORDER BY bar_end) AS broken FROM ps),
+pf AS (SELECT symbol, e0, min(bar_end) FILTER (c_met) AS c_hit, min(bar_end) FILTER (h_met) AS h_hit, max(bar_end) AS fu FROM pk WHERE broken = 0 GROUP BY 1, 2),
+m7 AS (SELECT m.symbol, m.e0, """ + ", ".join(f"CASE WHEN p_ref IS NOT NULL AND trough IS NOT NULL THEN {v} END AS rec_trough_{k}_{n}" for k in ("close", "high") for n, v in (("min", f"greatest(0.0, (coalesce({k[0]}_hit, fu, trough + {W}) - m.e0) / {M}.0)"), ("event", f"{k[0]}_hit IS NOT NULL"), ("complete", f"{k[0]}_hit IS NOT NULL OR coalesce(fu, trough + {W}) >= m.e0 + {1440 * M}"))) + " FROM m2 m LEFT JOIN pf ON pf.symbol = m.symbol AND pf.e0 = m.e0)"
+
+
+@query("m7_other_passages", f"{MEAS}, {OTHER} SELECT symbol, e0, rec_trough_close_event, rec_trough_close_complete, rec_trough_high_event, rec_trough_high_complete, {r6('rec_trough_close_min', 'rec_trough_high_min')} FROM m7")
 def m7(spark, d):
     return _study(spark, d).select("symbol", "e0", *[f"rec_trough_{k}_{x}" for k in ("close", "high") for x in ("min", "event", "complete")])
 
@@ -512,7 +518,19 @@ def r2(spark, d):
     return stats.cr1(regression(spark, d), "y", ["x"], "cl").withColumn("g_eff", F.round("g_eff", 4))
 
 
-@query("r4_wild_bootstrap")
+def digest_sql(*parts: str) -> str:
+    return "concat('0x', substr(md5(" + " || ':' || ".join(f"({p})::varchar" for p in parts) + "), 1, 8))::bigint"
+
+
+WILD = f"""{REG}, f AS (SELECT regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, count(*) AS n FROM reg),
+c AS (SELECT cl, sum((x - mx) / sxx * (y - b0 - b1 * x)) AS o, sum((x - mx) / sxx * (y - my)) AS q, sum((1.0 / n - mx * (x - mx) / sxx) * (y - my)) AS q0, sum((x - mx) / sxx) AS w, sum((x - mx) / sxx * x) AS wx FROM reg, f GROUP BY cl),
+v AS (SELECT b, c.*, ([-sqrt(1.5), -1.0, -sqrt(0.5), sqrt(0.5), 1.0, sqrt(1.5)])[{digest_sql('7', 'b', 'cl')} % 6 + 1] AS v FROM c, range(1, 200) z(b)),
+h AS (SELECT b, sum(v * q0) AS d0, sum(v * q) AS d1 FROM v GROUP BY b),
+ts AS (SELECT b, max(d1) / sqrt(sum((v * q - w * d0 - wx * d1) ** 2)) AS t FROM v JOIN h USING (b) GROUP BY b),
+t0 AS (SELECT max(b1) / sqrt(sum(o * o)) AS t0 FROM c, f)"""
+
+
+@query("r4_wild_bootstrap", f"{WILD} SELECT 0.0::double AS beta0, round(t0, 6) AS t0, round(avg((abs(t) >= abs(t0))::int), 6) AS p FROM ts, t0 GROUP BY t0")
 def r4(spark, d):
     return stats.wild_bootstrap(spark, regression(spark, d), "y", ["x"], "cl", 199)
 
@@ -522,8 +540,9 @@ def r5(spark, d):
     return stats.wild_interval(spark, regression(spark, d), "y", ["x"], "cl", 9999)
 
 
-def digest_sql(*parts: str) -> str:
-    return "concat('0x', substr(md5(" + " || ':' || ".join(f"({p})::varchar" for p in parts) + "), 1, 8))::bigint"
+@query("r6_regression_report")
+def r6q(spark, d):
+    return stats.regression_report(spark, regression(spark, d), "y", ["x"], "cl", 9999)
 
 
 BOOT = f"{REG}, s AS (SELECT b, ({digest_sql('11', 'b', 'slot')}) % 41 AS cl FROM range(1, 100) x(b), range(0, 41) z(slot)), q AS (SELECT b, cl, count(*) AS freq FROM s GROUP BY 1, 2), e AS (SELECT b, y, flag FROM reg JOIN q ON q.cl = reg.cl, range(0, freq))"
@@ -545,6 +564,28 @@ def r11(spark, d):
     return study.spearman(regression(spark, d), "x", "y")
 
 
+def dealt_sql(value: str, other: str, draws: int = 49) -> str:
+    """``value`` of the rows of k dealt anew in draws 1 to ``draws`` and kept in draw 0; other columns stay."""
+    return f"pl AS (SELECT b, k.*, row_number() OVER (PARTITION BY b ORDER BY {digest_sql('3', 'b', 'id')}, id) AS place FROM k, range(0, {draws + 1}) z(b)), sh AS (SELECT p.b, {', '.join('p.' + c for c in other.split())}, o.{value} FROM pl p JOIN pl o ON o.b = 0 AND o.place = p.place)"
+
+
+TWO_SIDED = "SELECT round(max(e.d), 6) AS est, round((count(*) FILTER (r.b > 0 AND abs(r.d) >= abs(e.d)) + 1) / count(*), 6) AS p, max(e.n) AS n FROM dr r, dr e WHERE e.b = 0"
+RANKS = "rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry"
+
+
+@query("r11_spearman_permutation", f"{REG}, k AS (SELECT id, {RANKS} FROM reg), {dealt_sql('ry', 'rx')}, dr AS (SELECT b, corr(rx, ry) AS d, count(*) AS n FROM sh GROUP BY b) {TWO_SIDED}")
+def r11p(spark, d):
+    return stats.spearman_permutation(regression(spark, d), "x", "y", 49)
+
+
+SLOPE = "(covar_pop(x, y) * var_pop(c) - covar_pop(x, c) * covar_pop(c, y)) / (var_pop(x) * var_pop(c) - covar_pop(x, c) * covar_pop(x, c))"
+
+
+@query("r10_slope_permutation", f"{REG}, k AS (SELECT id, y, x, flag::int::double AS c FROM reg), {dealt_sql('x', 'y c')}, dr AS (SELECT b, {SLOPE} AS d, count(*) AS n FROM sh GROUP BY b) {TWO_SIDED}")
+def r10s(spark, d):
+    return stats.slope_permutation(regression(spark, d).withColumn("c", F.col("flag").cast("double")), "y", "x", "c", 49)
+
+
 @query("m20_economic", f"{DENSE}, {BARS}, c AS (SELECT symbol, bar // {D} AS d, arg_max(close, bar) AS close FROM bars GROUP BY 1, 2), r AS (SELECT symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY d)) AS r FROM c) SELECT symbol, round(stddev_samp(r), 6) AS vol, round(quantile_cont(abs(r), 0.5), 6) AS median_abs FROM r GROUP BY 1")
 def m20(spark, d):
     return study.economic(src.bars(src.dense(spark, d)))
@@ -829,3 +870,22 @@ def a7t(spark, d):
     return m.groupBy("legacy_class").agg(*[F.count_if(F.col("corrected_class") == k).alias(k) for k in ("contraction", "limited", "intermediate", "unknown")], F.count_if(F.col("corrected_class").isNull()).alias("gone"))
 
 
+@query("e4_recovery_spearman", f"{LOUT}, l2 AS (SELECT symbol || ':' || t0 AS id, round(-doi, 9) AS x, coalesce((hit - t0) / {M}.0, 1440.0)::double AS y FROM lout WHERE doi IS NOT NULL), k AS (SELECT id, {RANKS} FROM l2), {dealt_sql('ry', 'rx', 199)}, dr AS (SELECT b, corr(rx, ry) AS d, count(*) AS n FROM sh GROUP BY b) {TWO_SIDED}")
+def e4(spark, d):
+    old = _old(spark, d).select(F.concat_ws(":", "symbol", "t0").alias("id"), F.round(-F.col("doi_event"), 9).alias("x"), "ttr_min")
+    return stats.spearman_permutation(old, "x", "ttr_min", 199)
+
+
+@query("e2_regression")
+def e2(spark, d):
+    return audit.size_regression(spark, study.clustered(_study(spark, d)), 9999)
+
+
+@query("r12_regression")
+def r12r(spark, d):
+    return audit.response_regression(spark, study.clustered(_study(spark, d)), 9999)
+
+
+@query("g7_curves", f"{MEAS}, rows_ AS (SELECT klass AS grp, rec_min AS d, rec_event AS ev FROM fin WHERE analysable AND klass IN ('contraction', 'limited')){KM[len(SURV):]}, gs AS (SELECT DISTINCT grp FROM rows_), pt AS (SELECT grp, 'step' AS mark, d, s, 0::bigint AS n_censored FROM km UNION ALL SELECT grp, 'start', 0.0, 1.0, 0 FROM gs UNION ALL SELECT grp, 'end', 1320.0, coalesce((SELECT min(s) FROM km WHERE km.grp = gs.grp), 1.0), 0 FROM gs UNION ALL SELECT grp, 'censored', d, coalesce((SELECT min(s) FROM km WHERE km.grp = r.grp AND km.d <= r.d), 1.0), count(*) FROM rows_ r WHERE NOT ev GROUP BY grp, d) SELECT grp AS klass, mark, round(d, 6)::double AS rec_min, round(s, 6) AS s, n_censored FROM pt")
+def g7(spark, d):
+    return audit.curves(staged(_study(spark, d)))

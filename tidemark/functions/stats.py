@@ -191,6 +191,44 @@ def wild_interval(spark: SparkSession, rows: DataFrame, y: str, xs: list[str], c
     return spark.createDataFrame([(est, se, p[0.0], *ends)], kind)
 
 
+def student(df: float):
+    """(two-sided tail of t, upper quantile) of Student's t, by integrating cos^(df - 1) over the angle of t."""
+    import numpy as np
+
+    angle = np.linspace(0.0, math.pi / 2, 100001)
+    y = np.cos(angle) ** (df - 1)
+    area = np.concatenate([[0.0], np.cumsum((y[1:] + y[:-1]) / 2)])
+    area /= area[-1]
+    tail = lambda t: float(1 - np.interp(math.atan(abs(t) / math.sqrt(df)), angle, area))
+    upper = lambda alpha: math.sqrt(df) * math.tan(float(np.interp(1 - alpha, area, angle)))
+    return tail, upper
+
+
+REPORT = "coef double, se_cr1 double, g bigint, df bigint, p_cr1 double, lo_cr1 double, hi_cr1 double, p_wcr double, lo_wcr double, hi_wcr double, g_eff double, n bigint"
+
+
+def regression_report(spark: SparkSession, rows: DataFrame, y: str, xs: list[str], cluster: str, draws: int, seed: int = 7, k: int = 1) -> DataFrame:
+    """One row about coefficient k: CR1 and wild-bootstrap p and 95 % interval, clusters, their effective number, rows.
+
+    Rows with a null go. All but n is null where regressors are collinear, rows are too few or one cluster is left."""
+    import numpy as np
+
+    r = rows.select(y, *xs, cluster).na.drop()
+    names = ["_1", *xs]
+    seen = r.agg(F.count("*").alias("n"), F.countDistinct(cluster).alias("g")).first()
+    full = seen["n"] > len(names) and seen["g"] > 1
+    if full:
+        m = moments(r, y, xs)
+        full = np.linalg.matrix_rank(np.array([[m.get(f"{p}*{q}", m.get(f"{q}*{p}")) for q in names] for p in names], dtype=float)) == len(names)
+    if not full:
+        return spark.createDataFrame([(None,) * 11 + (seen["n"],)], REPORT)
+    e, w = cr1(r, y, xs, cluster, k).first(), wild_interval(spark, r, y, xs, cluster, draws, seed, k=k).first()
+    tail, upper = student(e["g"] - 1)
+    reach = upper(0.05) * e["se"]
+    p = tail(e["coef"] / e["se"]) if e["se"] else None
+    return spark.createDataFrame([(e["coef"], e["se"], e["g"], e["g"] - 1, p, e["coef"] - reach, e["coef"] + reach, w["p"], w["lo"], w["hi"], e["g_eff"], e["n"])], REPORT)
+
+
 def cluster_draws(spark: SparkSession, clusters: DataFrame, cluster: str, draws: int, seed: int = 11) -> DataFrame:
     """(b, cluster, freq): clusters drawn with replacement, as often as there are, in each of ``draws``."""
     names = clusters.select(F.col(cluster).alias("_c")).distinct().withColumn("_i", F.row_number().over(Window.orderBy("_c")) - 1)
@@ -328,3 +366,46 @@ def stratified_log_rank(rows: DataFrame, one: str, size: str, group: str = "grp"
         part = log_rank(rows.where(kept), one, group, time, event).select(F.lit(name).alias("stratum"), "u", "v", "chi2")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def placed(rows: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(b, ``rows``, place): each row's place, from 1, in the digest order of draws 0 to ``draws``.
+
+    Counts of digest buckets tell where each bucket starts; only buckets are ordered, never a whole draw."""
+    dealt = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("_h", draw(seed, F.col("b"), F.col("id"))).withColumn("_k", F.shiftright("_h", 16))
+    starts = dealt.groupBy("b", "_k").agg(F.count("*").alias("_n")).withColumn("_start", F.sum("_n").over(Window.partitionBy("b").orderBy("_k")) - F.col("_n")).drop("_n")
+    order = F.row_number().over(Window.partitionBy("b", "_k").orderBy("_h", "id"))
+    return dealt.join(starts, ["b", "_k"]).withColumn("place", F.col("_start") + order).drop("_h", "_k", "_start")
+
+
+def shuffled(rows: DataFrame, column: str, draws: int, seed: int) -> DataFrame:
+    """``rows`` of (id, ...) once for each draw ``b`` from 0, with ``column`` dealt anew by the draw; in draw 0 each row keeps
+    its own. A row takes the value of the row that had its place in draw 0."""
+    at = staged(placed(rows, draws, seed))
+    own = at.where("b = 0").select("place", F.col(column).alias("_value"))
+    return at.drop(column).join(own, "place").withColumnRenamed("_value", column).drop("place")
+
+
+def _two_sided(reps: DataFrame, least: int) -> DataFrame:
+    """One row (est, p, n) of (b, d, n): draw 0 is the estimate; est and p are null below ``least`` rows."""
+    own = lambda c: F.max(F.when(F.col("b") == 0, F.col(c)))
+    out = reps.agg(own("d").alias("est"), F.coalesce(own("n"), F.lit(0)).alias("n"), F.collect_list(F.when(F.col("b") > 0, F.col("d"))).alias("_d"))
+    met = F.size(F.filter("_d", lambda x: F.abs(x) >= F.abs(F.col("est"))))
+    ok = (F.col("n") >= least) & F.col("est").isNotNull()
+    return out.select(F.when(ok, F.col("est")).alias("est"), F.when(ok, (met + 1) / (F.size("_d") + 1)).alias("p"), "n")
+
+
+def spearman_permutation(rows: DataFrame, x: str, y: str, draws: int, seed: int = 3) -> DataFrame:
+    """One row: rank correlation of rows of (id, x, y), its two-sided permutation p and n; null below 15 rows."""
+    pairs = rows.select("id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
+    ranks = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry").select("id", "rx", "ry")
+    return _two_sided(shuffled(ranks, "ry", draws, seed).groupBy("b").agg(F.corr("rx", "ry").alias("d"), F.count("*").alias("n")), 15)
+
+
+def slope_permutation(rows: DataFrame, y: str, x: str, control: str, draws: int, seed: int = 3) -> DataFrame:
+    """One row: slope of y on a continuous x beside one control, its two-sided p under shuffles of x, and n; null below 15
+    rows. The control is partialled out of both sides, so each draw is one aggregate."""
+    r = rows.select("id", F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(control).cast("double").alias("c")).na.drop()
+    cov, var = F.covar_pop, F.var_pop
+    coef = (cov("x", "y") * var("c") - cov("x", "c") * cov("c", "y")) / F.nullif(var("x") * var("c") - cov("x", "c") * cov("x", "c"), F.lit(0.0))
+    return _two_sided(shuffled(r, "x", draws, seed).groupBy("b").agg(coef.alias("d"), F.count("*").alias("n")), 15)

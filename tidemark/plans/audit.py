@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -117,3 +117,45 @@ def relabelled(old: DataFrame, p: Study) -> DataFrame:
     """Superseded events under the corrected names and classes."""
     names = F.create_map(*[F.lit(x) for pair in (("deleverage", "contraction"), ("churn", "limited"), ("middle", "intermediate")) for x in pair])
     return old.select("symbol", (F.col("t0") + (p.clock.width_min * MINUTE)).alias("e0"), F.col("peak_disloc").alias("disp"), F.col("doi_event").alias("doi"), F.col("perm_6h").alias("p6h"), F.col("ttr_min").alias("rec_min"), (~F.col("censored")).alias("rec_event"), F.coalesce(F.element_at(names, F.col("klass")), F.col("klass")).alias("klass"))
+
+
+def size_regression(spark: SparkSession, ev: DataFrame, draws: int) -> DataFrame:
+    """E2: 100 times the size of the displacement on the class, the logarithm of size and the symbol, by episode; the
+    report is about the class. Nulls where a class has fewer than three events."""
+    c = study.contrast(ev).where("intensity > 0 and disp is not null")
+    rows = c.select((100 * F.abs("disp")).alias("y"), (F.col("klass") == "contraction").cast("double").alias("one"), F.log("intensity").alias("size"), (F.col("symbol") == "ETH").cast("double").alias("eth"), "ep6")
+    n = rows.agg(F.count_if(F.col("one") == 1).alias("a"), F.count_if(F.col("one") == 0).alias("b")).first()
+    if min(n["a"], n["b"]) < 3:
+        return spark.createDataFrame([(None,) * 11 + (n["a"] + n["b"],)], stats.REPORT)
+    return stats.regression_report(spark, rows, "y", ["one", "size", "eth"], "ep6", draws)
+
+
+def response_regression(spark: SparkSession, ev: DataFrame, draws: int) -> DataFrame:
+    """R12: 100 times the size of the displacement on the percentage of open interest lost, beside the logarithm of the
+    window's notional and the symbol, over all analysable events, by episode; the report is about the loss."""
+    a = ev.where("analysable and notional_w > 0")
+    rows = a.select((100 * F.abs("disp")).alias("y"), (-100 * F.col("doi")).alias("lost"), F.log("notional_w").alias("size"), (F.col("symbol") == "ETH").cast("double").alias("eth"), "ep6")
+    return stats.regression_report(spark, rows, "y", ["lost", "size", "eth"], "ep6", draws)
+
+
+def curves(ev: DataFrame, tau: float = 1320.0) -> DataFrame:
+    """(klass, mark, rec_min, s, n_censored): the points of the survival curves of both classes: start, steps, end, and
+    the level at each time at which events are censored."""
+    rows = study.contrast(ev).select(F.col("klass").alias("grp"), F.col("rec_min").alias("d"), F.col("rec_event").alias("ev"))
+    km = stats.kaplan_meier(rows).select("grp", "d", "s")
+    lost = rows.where(~F.col("ev")).groupBy("grp", "d").agg(F.count("*").alias("n_censored"))
+    none = F.lit(0).cast("bigint").alias("n_censored")
+    w = Window.partitionBy("grp").orderBy("d")
+    level = km.select("grp", "d", "s", none).unionByName(lost.withColumn("s", F.lit(1.0))).withColumn("s", F.min("s").over(w))
+    groups = rows.select("grp").distinct()
+    last = groups.join(km.groupBy("grp").agg(F.min("s").alias("s")), "grp", "left")
+    parts = (
+        groups.select("grp", F.lit("start").alias("mark"), F.lit(0.0).alias("d"), F.lit(1.0).alias("s"), none),
+        km.select("grp", F.lit("step").alias("mark"), "d", "s", none),
+        last.select("grp", F.lit("end").alias("mark"), F.lit(tau).alias("d"), F.coalesce("s", F.lit(1.0)).alias("s"), none),
+        level.where("n_censored > 0").select("grp", F.lit("censored").alias("mark"), "d", "s", "n_censored"),
+    )
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out.select(F.col("grp").alias("klass"), "mark", F.col("d").alias("rec_min"), "s", "n_censored")
