@@ -299,8 +299,11 @@ def b14(spark, d):
     return src.bars(src.dense(spark, d)).groupBy("symbol", F.floor(F.col("bar") / D).alias("d")).agg(F.max_by("close", "bar").alias("close"))
 
 
-@query("c1_onsets", f"""{TRIG} SELECT o.symbol, e0, chain_end, n_triggers_chain, (SELECT count(*) FROM ch WHERE ch.symbol = o.symbol AND ch.chain = o.chain AND ch.e <= o.e0 + {120 * M}) AS n_triggers_in_window, {r6('r_onset', 'thr_onset')}, round((chain_end - e0) / {M}.0, 6) AS chain_span_min, (chain_end - e0) > {120 * M} AS cascade_continues,
- round((SELECT sum(notional) FROM trig t WHERE t.symbol = o.symbol AND t.e > o.e0 - {15 * M} AND t.e <= o.e0 + {120 * M}), 6) AS notional_w, round((SELECT max(r) FROM trig t WHERE t.symbol = o.symbol AND t.e BETWEEN o.e0 AND o.chain_end), 6) AS r_max_chain FROM ons o""")
+ONSETS = f"""SELECT o.symbol, e0, chain_end, n_triggers_chain, (SELECT count(*) FROM ch WHERE ch.symbol = o.symbol AND ch.chain = o.chain AND ch.e <= o.e0 + {120 * M}) AS n_triggers_in_window, {r6('r_onset', 'thr_onset')}, round((chain_end - e0) / {M}.0, 6) AS chain_span_min, (chain_end - e0) > {120 * M} AS cascade_continues,
+ round((SELECT sum(notional) FROM trig t WHERE t.symbol = o.symbol AND t.e > o.e0 - {15 * M} AND t.e <= o.e0 + {120 * M}), 6) AS notional_w, round((SELECT max(r) FROM trig t WHERE t.symbol = o.symbol AND t.e BETWEEN o.e0 AND o.chain_end), 6) AS r_max_chain FROM ons o"""
+
+
+@query("c1_onsets", f"{TRIG} {ONSETS}")
 def c1(spark, d):
     return clock.onsets(clock.triggers(src.fills(spark, d), P), P)
 
@@ -400,7 +403,12 @@ def m7(spark, d):
     return _study(spark, d).select("symbol", "e0", *[f"rec_trough_{k}_{x}" for k in ("close", "high") for x in ("min", "event", "complete")])
 
 
-@query("m12_study")
+ALL = """symbol e0 chain_end n_triggers_chain n_triggers_in_window r_onset thr_onset chain_span_min cascade_continues notional_w r_max_chain ref_bars p_ref w_bars data_end w_ok trough disp oi_base_n oi_trough_n doi p6h p24h
+rec_min rec_event rec_complete rec_trough_close_min rec_trough_close_event rec_trough_close_complete rec_trough_high_min rec_trough_high_event rec_trough_high_complete reason contraction_cut klass reversion analysable""".split()
+EXACT = set("symbol e0 chain_end n_triggers_chain n_triggers_in_window cascade_continues ref_bars w_bars data_end w_ok trough oi_base_n oi_trough_n reason klass analysable".split())
+
+
+@query("m12_study", f"{MEAS}, {OTHER}, on12 AS ({ONSETS}), all12 AS (SELECT * FROM (SELECT * EXCLUDE (r_onset) FROM fin) JOIN on12 USING (symbol, e0) JOIN m7 USING (symbol, e0)) SELECT " + ", ".join(c if c in EXACT or c.endswith(("_event", "_complete")) else f"round({c}, 6) AS {c}" for c in ALL) + ", round(r_onset, 6) AS intensity, oi_base_n >= 11 AS base_ok, oi_trough_n >= 24 AS trough_ok FROM all12")
 def m12(spark, d):
     return _study(spark, d)
 
