@@ -652,6 +652,16 @@ def c5(spark, d):
     return superseded.prototype_events(_grid(spark, d)[1], P, oi_q=0.05, ret_q=0.2, least=2000)
 
 
+PROTO_OUT = f"{PROTO}, lo AS (SELECT ps.symbol, t0, t1, min(doi) AS doi_trigger, min(ret) AS ret_trigger FROM ps JOIN pg ON pg.symbol = ps.symbol AND pg.e BETWEEN t0 AND t1 GROUP BY 1, 2, 3), {LOUT[LOUT.index('og AS ('):]}"
+
+
+@query("m14_prototype_outcomes", f"{PROTO_OUT} SELECT symbol, t0, {r6('p0', 'doi_trigger', 'ret_trigger')}, round(doi, 6) AS doi_event, round(peak_disloc, 6) AS peak_disloc, round(coalesce((hit - t0) / {M}.0, 1440.0), 6)::double AS ttr_min, hit IS NULL AS censored, {r6('perm_6h', 'perm_24h')}, round(CASE WHEN perm_6h IS NOT NULL AND peak_disloc <> 0 THEN least(1.0, greatest(0.0, 1 - perm_6h / peak_disloc)) END, 6) AS transitory_share, CASE WHEN {HOUR} < 7 THEN 'asia' WHEN {HOUR} < 13 THEN 'eu' ELSE 'us' END AS session FROM lout JOIN lo USING (symbol, t0)")
+def m14(spark, d):
+    grid = staged(_grid(spark, d)[1])
+    ev = superseded.prototype_events(grid, P, oi_q=0.05, ret_q=0.2, least=2000)
+    return superseded.prototype_outcomes(ev, grid, P).select("symbol", "t0", "p0", "doi_trigger", "ret_trigger", "doi_event", "peak_disloc", "ttr_min", "censored", "perm_6h", "perm_24h", "transitory_share", "session")
+
+
 @query("m16_validators", f"{LEGACY}, {DENSE[len(COV) + 2:]}, {BARS}, lo AS (SELECT symbol, min(e) AS t0 FROM lc GROUP BY symbol, chain), pv AS (SELECT lo.symbol, t0, ln(close / lag(close) OVER (PARTITION BY lo.symbol, t0 ORDER BY bar)) AS r FROM lo JOIN bars b ON b.symbol = lo.symbol AND b.bar BETWEEN t0 + {120 * M} AND t0 + {720 * M}), vol AS (SELECT symbol, t0, CASE WHEN count(r) > 3 THEN stddev_samp(r) END AS v FROM pv GROUP BY 1, 2) SELECT lo.symbol, lo.t0, coalesce((SELECT sum(notional) > 0 FROM fills f WHERE f.symbol = lo.symbol AND f.side = 'buy' AND f.t BETWEEN lo.t0 AND lo.t0 + {120 * M}), false) AS adl, round(1e6 * ((SELECT avg(funding) FROM fills f WHERE f.symbol = lo.symbol AND f.t BETWEEN lo.t0 AND lo.t0 + {120 * M}) - (SELECT avg(funding) FROM fills f WHERE f.symbol = lo.symbol AND f.t BETWEEN lo.t0 - {60 * M} AND lo.t0)), 6) AS funding_swing_ppm, round(v, 6) AS post_vol FROM lo LEFT JOIN vol ON vol.symbol = lo.symbol AND vol.t0 = lo.t0")
 def m16(spark, d):
     f = src.fills(spark, d)

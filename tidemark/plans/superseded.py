@@ -56,6 +56,12 @@ def outcomes(ev: DataFrame, grid: DataFrame, p: Study, censor_h: int = 24, troug
     return out.withColumnRenamed("doi", "doi_event").drop("_low", "_trough", "_b", "_l", "_hit", "contraction_cut")
 
 
+def prototype_outcomes(ev: DataFrame, grid: DataFrame, p: Study) -> DataFrame:
+    """Outcomes of prototype events with the depth of their triggers and three sessions; no classes."""
+    hour = F.floor(F.pmod("t0", F.lit(DAY)) / (60 * M))
+    return outcomes(ev, grid, p).drop("klass").withColumn("session", F.when(hour < 7, "asia").when(hour < 13, "eu").otherwise("us"))
+
+
 def prototype_events(grid: DataFrame, p: Study, rows: int = 12, oi_q: float = 0.01, ret_q: float = 0.05, least: int = 2016) -> DataFrame:
     """Chains of bars whose hourly change of open interest and return are both in the low tail of their trail,
     the bar itself included; each with its worst values."""
