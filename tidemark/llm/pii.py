@@ -239,8 +239,11 @@ def spans_of(hits: Column, weights: dict[str, float] | None, least: float = 0.5)
     def likely(h: Column) -> Column:
         z = F.aggregate(_features(lambda name: h[name]), F.lit(weights[""]), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
         return h["added"] & (1 / (1 + F.exp(-z)) >= least)
-    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.struct(base.alias("base"), F.filter(of(likely), clear).alias("added"))
+    def both(sure: Column) -> Column:
+        clear = lambda s: ~F.exists(sure, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        return F.struct(sure.alias("base"), F.filter(of(likely), clear).alias("added"))
+    # base spans are made once a text, not once a candidate: they are the single element of an outer array
+    return F.element_at(F.transform(F.array(base), both), 1)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
