@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import discard, shared_dir, staged, staged_bytes
 
-__all__ = ["BROADCAST_BYTES", "LOWER", "SPACE", "UPPER", "discard", "fresh", "keyed", "keep_rows", "shared_dir", "staged", "staged_bytes", "table"]
+__all__ = ["BROADCAST_BYTES", "LOWER", "SPACE", "UPPER", "discard", "fresh", "keyed", "keep_rows", "shared_dir", "small", "staged", "staged_bytes", "table", "word_table"]
 
 #: ASCII white space that separates words; the same six bytes ``bytes.split()`` uses.
 SPACE = r"\x20\x09-\x0D"
@@ -16,6 +16,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 4 << 20
 
 
+def word_table(kept: bytes) -> bytes:
+    """For ``bytes.translate``: A-Z become a-z, other ASCII bytes outside ``kept`` become spaces, the rest stays; what
+    ``split()`` then returns are the words of a UTF-8 text."""
+    letters = UPPER.lower().encode() + kept
+    return bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in letters else 32 for c in range(256))
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast where its files are small; else its join shuffles."""
+    return F.broadcast(rows) if staged_bytes(rows) <= BROADCAST_BYTES else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, isomedia, langid, lm, mixing, neardup, pii, suffixdedup, topk, warczip
+from . import bpe, covertree, divergence, isomedia, langid, lm, mixing, neardup, pii, resample, suffixdedup, topk, warczip
 from .common import table
 
 
@@ -66,7 +66,19 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors.where(F.col("id") % 20 == 0), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_langid, langid_pages, op4_neardup, op5_lm, op6_warc, op7_bpe, op8_mix, op9_repeats, op10_topk)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_media, op3_langid, langid_pages, op4_neardup, op5_lm, op6_warc, op7_bpe, op8_mix, op9_repeats, op10_topk, op11_divergence, op12_resample, op13_near_vectors)}
 
 _BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, {5 * b + 1}, 5))::bigint // {32 ** (3 - i)})::bigint % 32 + 1, 1)" for b in range(8) for i in range(4))
 
@@ -92,4 +104,40 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::doub
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS t FROM d),
+k AS (SELECT lang, t, count(*) AS n FROM o GROUP BY lang, t HAVING count(DISTINCT r) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n)::hugeint AS a FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT o.lang, o.source, o.t, count(*) AS n FROM o JOIN k ON k.lang = o.lang AND k.t = o.t GROUP BY 1, 2, 3),
+s AS (SELECT lang, source, sum(n)::hugeint AS a FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.t, coalesce(c.n, 0) AS n, 1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (coalesce(s.a, 0) + 2 * l.v) AS p, 1 + 1000000000::hugeint * (k.n + 2) // (l.a + 2 * l.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f FROM p a JOIN p b ON b.lang = a.lang AND b.t = a.t AND b.source <> a.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.f, 0)::bigint AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, ((p - q) * (p - q) // (p + q))::bigint FROM p WHERE n > 0 AND p > q),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::int AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM n WHERE part = 'pair' OR rank <= 10""",
+    "op12_resample": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+u AS (SELECT DISTINCT w FROM (SELECT unnest(w) AS w FROM d UNION ALL SELECT unnest(w) FROM b)),
+c AS (SELECT w, flatten(list_transform(range(1, strlen(w) + 1), lambda i: [('0x' || substr(hex(w), 2 * i - 1, 2))::bigint, -1, -1, -1, -1, -1, -1, -1, -1])) AS x FROM u),
+k AS (SELECT w, xor(list_reduce(list_prepend(4294967295::bigint, x), lambda h, y: CASE WHEN y >= 0 THEN xor(h, y) ELSE xor(h >> 1, (h & 1) * 3988292384::bigint) END), 4294967295::bigint) % 10000 AS k FROM c),
+s AS (SELECT k, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) JOIN k USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) JOIN k USING (w) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0)::double + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::double + 10000) / ((coalesce(s.n, 0)::double + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::double + 10000))))::bigint AS g FROM s FULL JOIN t USING (k)),
+f AS (SELECT r, count(*) AS n, floor(sum(g)::double / count(*))::bigint AS weight FROM (SELECT r, unnest(w) AS w FROM d) JOIN k USING (w) JOIN g USING (k) GROUP BY r),
+h AS (SELECT d.r, d.doc_id, len(d.w) AS words, coalesce(f.n, 0) AS n_features, coalesce(f.weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint AS h FROM d LEFT JOIN f ON f.r = d.r),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint AS score FROM h),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM x WHERE words >= 20)
+SELECT x.doc_id, x.n_features, x.weight, x.score, o.rank FROM x LEFT JOIN o ON o.r = x.r AND o.rank <= 10 * o.n // 100""",
+    "op13_near_vectors": """
+WITH v AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON b.label = a.label AND b.vec_id <> a.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r AS (WITH RECURSIVE r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a, min(b) AS root FROM r GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, coalesce(r.root, v.vec_id) AS component_id, coalesce(r.root, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN r ON r.a = v.vec_id""",
 }
