@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DAY, MINUTE, Study
-from ..sources.driver_tables import coverage
+from ..sources.driver_tables import bounds
 from ..storage import staged
 from .lookups import in_range
 
 
 def bins(fills: DataFrame, p: Study, side: str | None = "sell") -> DataFrame:
-    """(symbol, e, notional, n) on a complete grid; e is the bin's end (right labels) or start."""
+    """(symbol, e, notional, n) on a complete grid; e is the bin's end (right labels) or start.
+
+    Fills are scanned once: sums by bin are written, and the grid's bounds come from them."""
     width = p.clock.width_min * MINUTE
     shift = width if p.clock.label == "right" else 0
     key = (F.floor(F.col("t") / width) * width + shift).cast("bigint")
-    used = fills if side is None else fills.where(F.col("side") == side)
-    sums = used.groupBy("symbol", key.alias("e")).agg(F.sum("notional").alias("v"), F.count("*").alias("n"))
-    grid = coverage(fills).select("symbol", F.explode(F.sequence(F.col("c0") + shift, F.col("c1") + shift - width, F.lit(width))).alias("e"))
+    used = F.lit(True) if side is None else F.col("side") == side
+    sums = staged(fills.groupBy("symbol", key.alias("e")).agg(F.sum(F.when(used, F.col("notional"))).alias("v"), F.count_if(used).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")))
+    grid = bounds(sums, "t0", "t1").select("symbol", F.explode(F.sequence(F.col("c0") + shift, F.col("c1") + shift - width, F.lit(width))).alias("e"))
     return grid.join(sums, ["symbol", "e"], "left").select("symbol", "e", F.coalesce("v", F.lit(0.0)).alias("notional"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -35,29 +38,31 @@ def rolled_partial(b: DataFrame, minutes: int = 15) -> DataFrame:
     return b.withColumn("r", F.sum("notional").over(w))
 
 
-def thresholds(r: DataFrame, p: Study, least: int = 1) -> DataFrame:
-    """Trailing exact quantile of r over [e - trail, e), or (e - trail, e] with the current bin.
+def thresholds(r: DataFrame, p: Study, least: int = 1, quantiles: tuple[float, ...] | None = None) -> DataFrame:
+    """``r`` with thr, the trailing exact quantile of r over [e - trail, e), or (e - trail, e] with the current bin; with
+    ``quantiles``, thr is an array of them, all from one ordered trail.
 
     Each span of trail length is a partition of its own that also holds the rows of the span before it, so the
     work of one symbol spreads over its spans; only the span's own rows are kept. A group is two trails of bins,
     whatever the input. An exact percentile over a sliding SQL frame rebuilds its state in each row
-    (17 s for 17,280 bins, against 2 s for this ordered one), so this step runs on Arrow batches."""
+    (17 s for 17,280 bins, against 2 s for this ordered one), so this step runs on bounded groups in Arrow."""
     trail = p.clock.trail_days * DAY
     d = F.floor(F.col("e") / trail)
-    dealt = r.withColumn("_d", d).withColumn("_block", F.explode(F.array(d, d + 1)))
-    own = r.withColumn("_d", d)
-    schema = "symbol string, e bigint, n_prior bigint, thr double"
+    dealt = r.withColumn("_own", d).withColumn("_block", F.explode(F.array(d, d + 1)))
+    asked = quantiles or (p.clock.quantile,)
+    kind = pa.list_(pa.float64()) if quantiles else pa.float64()
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("e")
-        x = pd.Series(g["r"].to_numpy(dtype=float), index=pd.to_datetime(g["e"].to_numpy(), unit="us"))
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("e")
+        x = pd.Series(t["r"].to_numpy(zero_copy_only=False).astype(float) if t["r"].null_count == 0 else t["r"].to_pandas().to_numpy(dtype=float), index=pd.to_datetime(t["e"].to_numpy(), unit="us"))
         w = x.rolling(f"{p.clock.trail_days}D", closed="right" if p.clock.inclusive else "left", min_periods=max(1, least))
-        n = x.rolling(f"{p.clock.trail_days}D", closed="right" if p.clock.inclusive else "left", min_periods=0).count()
-        out = pd.DataFrame({"symbol": g["symbol"].to_numpy(), "e": g["e"].to_numpy(), "n_prior": n.fillna(0).to_numpy().astype("int64"), "thr": w.quantile(p.clock.quantile).to_numpy()})
-        return out[g["_d"].to_numpy() == g["_block"].to_numpy()]
+        own = t["_own"].to_numpy() == t["_block"].to_numpy()
+        found = [w.quantile(q).to_numpy()[own] for q in asked]
+        rows = [[None if v != v else v for v in row] for row in zip(*found)]
+        return t.filter(pa.array(own)).drop_columns(["_own", "_block"]).append_column("thr", pa.array(rows if quantiles else [row[0] for row in rows], kind))
 
-    found = dealt.select("symbol", "e", "r", "_d", "_block").groupBy("symbol", "_block").applyInPandas(run, schema)
-    return own.drop("_d").join(found.select("symbol", "e", F.nanvl("thr", F.lit(None).cast("double")).alias("thr")), ["symbol", "e"])
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in r.schema.fields)
+    return dealt.groupBy("symbol", "_block").applyInArrow(run, f"{columns}, thr {'array<double>' if quantiles else 'double'}")
 
 
 def triggers(fills: DataFrame, p: Study, masked: DataFrame | None = None) -> DataFrame:
@@ -88,37 +93,48 @@ def mask_runs(b: DataFrame, runs: DataFrame) -> DataFrame:
     return b.join(hit, ["symbol", "e"], "left").withColumn("notional", F.when(F.col("_m").isNull(), F.col("notional"))).drop("_m")
 
 
-def chained(trig: DataFrame, p: Study, by: list[str] | None = None, time: str = "e") -> DataFrame:
-    """Adds ``new`` (more than quiet_min after the trigger before) and ``chain`` (its number)."""
+def chained(trig: DataFrame, p: Study, by: list[str] | None = None, time: str = "e", quiet: Column | None = None) -> DataFrame:
+    """Adds ``new`` (more than quiet_min after the trigger before; ``quiet``: minutes of each row) and ``chain`` (its number)."""
     keys = ["symbol"] if by is None else by
     w = Window.partitionBy(*keys).orderBy(time)
     gap = F.col(time) - F.lag(time).over(w)
-    return trig.withColumn("new", F.coalesce(gap > p.clock.quiet_min * MINUTE, F.lit(True))).withColumn("chain", F.sum(F.col("new").cast("int")).over(w) - 1)
+    return trig.withColumn("new", F.coalesce(gap > (F.lit(p.clock.quiet_min) if quiet is None else quiet).cast("bigint") * MINUTE, F.lit(True))).withColumn("chain", F.sum(F.col("new").cast("int")).over(w) - 1)
+
+
+def chains(rows: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One row a chain of ``chained`` rows: its ends, its triggers and the sums at its start."""
+    c = rows.withColumn("e0", F.min("e").over(Window.partitionBy(*by, "chain")))
+    return c.groupBy(*by, "chain", "e0").agg(F.max("e").alias("chain_end"), F.count("*").alias("n_triggers_chain"), F.sort_array(F.collect_list("e")).alias("_at"), F.min_by("r", "e").alias("r_onset"), F.min_by("thr", "e").alias("thr_onset")).drop("chain")
+
+
+def enriched(ev: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("symbol", "e0")) -> DataFrame:
+    """Onsets with the statistics of their window, ``before_min`` to ``after_min`` around e0, and of their chain."""
+    post = F.col("e0") + F.col("after_min") * MINUTE
+    ev = ev.withColumn("n_triggers_in_window", F.size(F.filter("_at", lambda x: x <= post)).cast("bigint")).drop("_at")
+    ev = ev.withColumn("chain_span_min", (F.col("chain_end") - F.col("e0")) / MINUTE).withColumn("cascade_continues", F.col("chain_span_min") > F.col("after_min"))
+    lo, hi = F.col("e0") - F.col("before_min") * MINUTE + 1, F.greatest(post, "chain_end")
+    met = in_range(ev.select(*keys, "chain_end", "before_min", "after_min"), table.select("symbol", "e", "notional", "r"), lo, hi, time="e")
+    met = met.groupBy(*keys).agg(F.sum(F.when(F.col("e") <= post, F.col("notional"))).alias("notional_w"), F.max(F.when(F.col("e").between(F.col("e0"), F.col("chain_end")), F.col("r"))).alias("r_max_chain"))
+    return ev.join(met, list(keys), "left")
 
 
 def onsets(table: DataFrame, p: Study) -> DataFrame:
     """One row a chain, with its statistics and intensities."""
     table = staged(table)
-    post = p.window.after_min * MINUTE
-    c = chained(table.where("trigger"), p)
-    c = c.withColumn("e0", F.min("e").over(Window.partitionBy("symbol", "chain")))
-    agg = c.groupBy("symbol", "chain", "e0").agg(F.max("e").alias("chain_end"), F.count("*").alias("n_triggers_chain"), F.count_if(F.col("e") <= F.col("e0") + post).alias("n_triggers_in_window"), F.min_by("r", "e").alias("r_onset"), F.min_by("thr", "e").alias("thr_onset"), F.max("r").alias("r_trig_max"))
-    agg = agg.withColumn("chain_span_min", (F.col("chain_end") - F.col("e0")) / MINUTE).withColumn("cascade_continues", F.col("chain_span_min") > p.window.after_min)
-    rows = table.select("symbol", "e", "notional", "r")
-    lo, hi = F.col("e0") - p.window.before_min * MINUTE + 1, F.greatest(F.col("e0") + post, "chain_end")
-    met = in_range(agg.select("symbol", "e0", "chain_end"), rows, lo, hi, time="e").groupBy("symbol", "e0").agg(F.sum(F.when(F.col("e") <= F.col("e0") + post, F.col("notional"))).alias("notional_w"), F.max(F.when(F.col("e").between(F.col("e0"), F.col("chain_end")), F.col("r"))).alias("r_max_chain"))
-    return agg.drop("r_trig_max", "chain").join(met, ["symbol", "e0"], "left")
-
-
-def islands(times: DataFrame, gap_min: int, time: str = "e0", name: str = "episode") -> DataFrame:
-    """Single linkage over all symbols: a new island after a gap above ``gap_min``. Runs per day first; only one
-    row a day (its first and last time) is ordered globally."""
+    ev = chains(chained(table.where("trigger"), p))
+    ev = ev.withColumn("before_min", F.lit(p.window.before_min).cast("bigint")).withColumn("after_min", F.lit(p.window.after_min).cast("bigint"))
+    return enriched(ev, table).drop("before_min", "after_min")
+
+
+def islands(times: DataFrame, gap_min: int, time: str = "e0", name: str = "episode", by: tuple[str, ...] = ()) -> DataFrame:
+    """Single linkage over all symbols: a new island after a gap above ``gap_min``; of each key ``by`` for itself. Runs per
+    day first; only one row a day (its first and last time) is ordered globally."""
     gap = gap_min * MINUTE
     d = times.withColumn("_d", F.floor(F.col(time) / DAY))
-    w = Window.partitionBy("_d").orderBy(time, "symbol")
+    w = Window.partitionBy(*by, "_d").orderBy(time, "symbol")
     d = d.withColumn("_new", F.coalesce(F.col(time) - F.lag(time).over(w) > gap, F.lit(False)).cast("int")).withColumn("_i", F.sum("_new").over(w))
-    days = d.groupBy("_d").agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.max("_i").alias("_n"))
-    g = Window.orderBy("_d")
+    days = d.groupBy(*by, "_d").agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.max("_i").alias("_n"))
+    g = Window.partitionBy(*by).orderBy("_d") if by else Window.orderBy("_d")
     days = days.withColumn("_cut", F.coalesce(F.col("_first") - F.lag("_last").over(g) > gap, F.lit(False)).cast("int"))
     base = F.sum("_cut").over(g) + F.coalesce(F.sum("_n").over(g.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.join(days.select("_d", base.alias("_base")), "_d").withColumn(name, (F.col("_base") + F.col("_i")).cast("bigint")).drop("_d", "_new", "_i", "_base")
+    return d.join(days.select(*by, "_d", base.alias("_base")), [*by, "_d"]).withColumn(name, (F.col("_base") + F.col("_i")).cast("bigint")).drop("_d", "_new", "_i", "_base")

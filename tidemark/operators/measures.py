@@ -1,4 +1,7 @@
-"""Per-onset measures: reference price, displacement, open interest, persistence, first passage, classes."""
+"""Per-onset measures: reference price, displacement, open interest, persistence, first passage, classes.
+
+Onsets carry their own window (``WINDOW`` columns), so onsets of several settings are measured in one plan. All that
+comes from bars is one range join and windows over the bars of an onset; open interest is another."""
 
 from __future__ import annotations
 
@@ -7,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..params import MINUTE, Study
 from ..storage import staged
-from .lookups import asof, in_range
+from .lookups import in_range
 
 M = MINUTE
+#: Columns that hold an onset's window: minutes before and after it, and the first and last reference bar before it.
+WINDOW = ("before_min", "after_min", "ref_from", "ref_to")
+HOURS = (6, 24)
 
 
 def still(column: str | Column) -> Column:
@@ -17,76 +23,88 @@ def still(column: str | Column) -> Column:
     return F.when(F.min(column) == F.max(column), F.min(column)).otherwise(F.avg(column))
 
 
-def reference(ev: DataFrame, bars: DataFrame, p: Study) -> DataFrame:
-    a, b = p.window.reference
-    met = in_range(ev.select("symbol", "e0"), bars.select("symbol", "bar", "close"), F.col("e0") - a * M, F.col("e0") - b * M, time="bar")
-    met = met.groupBy("symbol", "e0").agg(F.count("close").alias("ref_bars"), still("close").alias("_p"))
-    out = ev.join(met, ["symbol", "e0"], "left").withColumn("ref_bars", F.coalesce("ref_bars", F.lit(0)))
-    return out.withColumn("p_ref", F.when(F.col("ref_bars") >= p.window.reference_bars, F.col("_p"))).drop("_p")
-
-
-def displacement(ev: DataFrame, bars: DataFrame, p: Study) -> DataFrame:
-    """Lowest low of the window over the reference price, and the first bar that has it."""
-    n = (p.window.before_min + p.window.after_min) // p.clock.width_min
-    met = in_range(ev.select("symbol", "e0"), bars.select("symbol", "bar", "low"), F.col("e0") - p.window.before_min * M, F.col("e0") + (p.window.after_min - p.clock.width_min) * M, time="bar")
-    met = met.groupBy("symbol", "e0").agg(F.count("low").alias("w_bars"), F.min("low").alias("_low"), F.min_by("bar", F.struct("low", "bar")).alias("_trough"))
-    ends = bars.groupBy("symbol").agg(F.max("bar_end").alias("data_end"))
-    out = ev.join(met, ["symbol", "e0"], "left").join(ends, "symbol").withColumn("w_bars", F.coalesce("w_bars", F.lit(0)))
-    out = out.withColumn("w_ok", (F.col("w_bars") >= n - p.window.missing_bars) & (F.col("e0") + p.window.after_min * M <= F.col("data_end")))
-    ok = F.col("w_ok") & F.col("p_ref").isNotNull()
-    return out.withColumn("trough", F.when(ok, F.col("_trough"))).withColumn("disp", F.when(ok, F.log(F.col("_low") / F.col("p_ref")))).drop("_low", "_trough")
-
-
-def oi_response(ev: DataFrame, snaps: DataFrame, p: Study) -> DataFrame:
-    """Trough over baseline mean of as-of open interest on five-minute grids."""
-    step = p.clock.width_min * M
-    grids = {"base": (F.col("e0") - (p.window.before_min + p.interest.base_min) * M, F.col("e0") - p.window.before_min * M), "trough": (F.col("e0") - p.window.before_min * M + step, F.col("e0") + p.window.after_min * M)}
-    probes = None
-    for name, (lo, hi) in grids.items():
-        one = ev.select("symbol", "e0", F.lit(name).alias("part"), F.explode(F.sequence(lo, hi, F.lit(step))).alias("g"))
-        probes = one if probes is None else probes.union(one)
-    found = asof(probes, snaps.select("symbol", "t", "oi", *[c for c in ("ingest_idx",) if c in snaps.columns]), ["oi"], p.interest.stale_min, at="g")
-    base, trough = F.when(F.col("part") == "base", F.col("oi")), F.when(F.col("part") == "trough", F.col("oi"))
-    met = found.groupBy("symbol", "e0").agg(F.count(base).alias("oi_base_n"), F.count(trough).alias("oi_trough_n"), F.avg(base).alias("_b"), F.min(trough).alias("_t"))
-    out = ev.join(met, ["symbol", "e0"], "left")
-    n_base, n_trough = p.interest.base_min // p.clock.width_min + 1, (p.window.before_min + p.window.after_min) // p.clock.width_min
-    out = out.withColumn("base_ok", F.col("oi_base_n") >= n_base - p.interest.base_missing).withColumn("trough_ok", F.col("oi_trough_n") >= n_trough - p.interest.trough_missing)
-    return out.withColumn("doi", F.when(F.col("base_ok") & F.col("trough_ok"), (F.col("_t") - F.col("_b")) / F.col("_b"))).drop("_b", "_t")
-
+def windowed(ev: DataFrame, p: Study) -> DataFrame:
+    """``ev`` with the study's window in every row."""
+    values = (p.window.before_min, p.window.after_min, *p.window.reference)
+    return ev.withColumns({name: F.lit(v).cast("bigint") for name, v in zip(WINDOW, values)})
 
-def persistence(ev: DataFrame, bars: DataFrame, p: Study, hours: tuple[int, ...] = (6, 24)) -> DataFrame:
-    probes = ev.select("symbol", "e0", "p_ref", "data_end", F.explode(F.array(*map(F.lit, hours))).alias("h")).withColumn("g", F.col("e0") + F.col("h").cast("bigint") * (60 * M))
-    found = asof(probes, bars.select("symbol", F.col("bar_end").alias("t"), "close"), ["close"], p.outcome.age_min, at="g")
-    value = F.when(F.col("g") <= F.col("data_end"), F.log(F.col("close") / F.col("p_ref")))
-    met = found.groupBy("symbol", "e0").agg(*[F.max(F.when(F.col("h") == h, value)).alias(f"p{h}h") for h in hours])
-    return ev.join(met, ["symbol", "e0"], "left")
 
+def _ago(name: str) -> Column:
+    return F.col("e0") - F.col(name) * M
 
-def followup(ev: DataFrame, bars: DataFrame, p: Study, start: Column, stop: Column) -> DataFrame:
-    """Bars of each onset with end in (start, stop], up to the first gap above ``max_gap_min``."""
-    seg = in_range(ev.withColumn("_start", start).withColumn("_stop", stop).where("_start < _stop"), bars.select("symbol", "bar_end", "close", "high"), F.col("_start") + 1, F.col("_stop"), time="bar_end")
-    w = Window.partitionBy("symbol", "e0").orderBy("bar_end")
-    gap = F.col("bar_end") - F.coalesce(F.lag("bar_end").over(w), F.col("_start"))
-    broken = F.sum((gap > p.outcome.gap_min * M).cast("int")).over(w)
-    return seg.withColumn("_broken", broken).where("_broken = 0").drop("_broken")
 
+def from_bars(ev: DataFrame, bars: DataFrame, p: Study, keys: tuple[str, ...]) -> DataFrame:
+    """Onsets with reference price, displacement, persistence and the three first passages.
 
-def first_passage(ev: DataFrame, bars: DataFrame, p: Study, prefix: str, start: Column, origin: Column, column: str = "close") -> DataFrame:
-    """Minutes from ``origin`` to the first bar at or above p_ref (1 - kappa), or censored at follow-up's end."""
-    stop = F.col("e0") + p.outcome.horizon_h * 60 * M
+    One range join of onsets with the bars from their reference to their horizon (some 300 an onset); windows over an
+    onset's bars find the reference and the trough, mark the bars before the first gap of each follow-up, and one
+    aggregate takes all measures."""
+    width, horizon, e0 = p.clock.width_min * M, p.outcome.horizon_h * 60 * M, F.col("e0")
+    ends = bars.groupBy("symbol").agg(F.max("bar_end").alias("data_end"))
+    ev = ev.join(ends, "symbol")
+    post = e0 + F.col("after_min") * M
+    need = F.floor((F.col("before_min") + F.col("after_min")) / p.clock.width_min) - p.window.missing_bars
+    reach = max(horizon, *[h * 60 * M for h in HOURS])
+    near = in_range(ev.select(*keys, *WINDOW, "data_end"), bars.select("symbol", "bar", "bar_end", "close", "low", "high"), F.least(_ago("before_min"), _ago("ref_from")), F.greatest(e0 + reach, post), time="bar")
+    bar, end, all_bars = F.col("bar"), F.col("bar_end"), Window.partitionBy(*keys)
+    ref = F.when(bar.between(_ago("ref_from"), _ago("ref_to")), F.col("close"))
+    low = F.when(bar.between(_ago("before_min"), post - width) & F.col("low").isNotNull(), F.struct("low", "bar"))
+    over = lambda f: f.over(all_bars)
+    near = near.withColumns({"ref_bars": over(F.count(ref)), "w_bars": over(F.count(low)), "_least": over(F.min(low)), "_mean": F.when(over(F.min(ref)) == over(F.max(ref)), over(F.min(ref))).otherwise(over(F.avg(ref)))})
+    near = near.withColumn("p_ref", F.when(F.col("ref_bars") >= p.window.reference_bars, F.col("_mean"))).withColumn("w_ok", (F.col("w_bars") >= need) & (post <= F.col("data_end")))
+    near = near.withColumn("trough", F.when(F.col("w_ok") & F.col("p_ref").isNotNull(), F.col("_least.bar")))
+    ordered = Window.partitionBy(*keys).orderBy("bar_end")
+    near = near.withColumn("_prev", F.lag("bar_end").over(ordered))
+    stop, starts = e0 + horizon, {"post": post, "trough": F.col("trough") + width}
+    for name, start in starts.items():
+        inside = (end > start) & (end <= stop)
+        gap = end - F.greatest(F.coalesce("_prev", start), start)
+        broken = F.sum((inside & (gap > p.outcome.gap_min * M)).cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+        near = near.withColumn(f"_in_{name}", inside & (broken == 0))
     level = F.col("p_ref") * (1 - p.outcome.tolerance)
-    base = ev.select("symbol", "e0", "p_ref", start.alias("_s"))
-    seg = followup(base.where("_s is not null"), bars, p, F.col("_s"), stop)
-    met = seg.groupBy("symbol", "e0").agg(F.min(F.when(F.col(column) >= level, F.col("bar_end"))).alias("_hit"), F.max("bar_end").alias("_fu"))
-    out = ev.join(met, ["symbol", "e0"], "left").withColumn("_fu", F.coalesce("_fu", start))
-    some = F.col("p_ref").isNotNull() & start.isNotNull()
-    end = F.coalesce("_hit", "_fu")
-    return (
-        out.withColumn(f"{prefix}_min", F.when(some, F.greatest(F.lit(0.0), (end - origin) / M)))
-        .withColumn(f"{prefix}_event", F.when(some, F.col("_hit").isNotNull()))
-        .withColumn(f"{prefix}_complete", F.when(some, F.col("_hit").isNotNull() | (F.col("_fu") >= stop)))
-        .drop("_hit", "_fu")
+    first = lambda where, column: F.min(F.when(F.col(where) & (F.col(column) >= level), end))
+    last = lambda where: F.max(F.when(F.col(where), end))
+    at = lambda h: e0 + h * 60 * M
+    fresh = lambda h: F.max_by("close", F.when(end.between(at(h) - p.outcome.age_min * M, at(h)), end))
+    met = near.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("ref_bars", "w_bars", "p_ref", "trough")], F.max("_least.low").alias("_low"), *[fresh(h).alias(f"_p{h}") for h in HOURS],
+        first("_in_post", "close").alias("_hit_rec"), last("_in_post").alias("_fu_post"), last("_in_trough").alias("_fu_trough"),
+        first("_in_trough", "close").alias("_hit_rec_trough_close"), first("_in_trough", "high").alias("_hit_rec_trough_high"),
     )
+    out = ev.join(met, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ref_bars", "w_bars")})
+    out = out.withColumn("w_ok", (F.col("w_bars") >= need) & (post <= F.col("data_end")))
+    out = out.withColumn("disp", F.when(F.col("trough").isNotNull(), F.log(F.col("_low") / F.col("p_ref"))))
+    out = out.withColumns({f"p{h}h": F.when(at(h) <= F.col("data_end"), F.log(F.col(f"_p{h}") / F.col("p_ref"))) for h in HOURS})
+    for prefix, seg, origin in (("rec", "post", post), ("rec_trough_close", "trough", e0), ("rec_trough_high", "trough", e0)):
+        hit, start = F.col(f"_hit_{prefix}"), starts[seg]
+        some, until = F.col("p_ref").isNotNull() & start.isNotNull(), F.coalesce(f"_fu_{seg}", start)
+        out = out.withColumns({
+            f"{prefix}_min": F.when(some, F.greatest(F.lit(0.0), (F.coalesce(hit, until) - origin) / M)),
+            f"{prefix}_event": F.when(some, hit.isNotNull()),
+            f"{prefix}_complete": F.when(some, hit.isNotNull() | (until >= stop)),
+        })
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
+
+
+def from_interest(ev: DataFrame, snaps: DataFrame, p: Study, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, oi_base_n, oi_trough_n, base_ok, trough_ok, doi): trough over baseline mean of open interest as of five-minute
+    points. A snapshot serves the points that follow it within its largest age; the last one of each point counts."""
+    step, stale, e0 = p.clock.width_min * M, int(p.interest.stale_min * M), F.col("e0")
+    if p.interest.base_min % p.clock.width_min:
+        raise ValueError("the baseline is a whole number of steps")
+    origin, last = _ago("before_min"), e0 + F.col("after_min") * M
+    first = origin - p.interest.base_min * M
+    near = in_range(ev.select(*keys, "before_min", "after_min"), snaps.select("symbol", "t", "oi", *[c for c in ("ingest_idx",) if c in snaps.columns]), first - stale, last, time="t")
+    t = F.col("t")
+    from_, to = origin + F.ceil((t - origin) / step) * step, origin + F.floor((t + stale - origin) / step) * step
+    served = near.where(from_ <= to).withColumn("g", F.explode(F.sequence(from_, to, F.lit(step)))).where(F.col("g").between(first, last))
+    latest = served.groupBy(*keys, "before_min", "g").agg(F.max_by("oi", F.struct("t", *[c for c in ("ingest_idx",) if c in snaps.columns])).alias("oi"))
+    base, trough = F.when(F.col("g") <= origin, F.col("oi")), F.when(F.col("g") > origin, F.col("oi"))
+    met = latest.groupBy(*keys).agg(F.count(base).alias("oi_base_n"), F.count(trough).alias("oi_trough_n"), F.avg(base).alias("_b"), F.min(trough).alias("_t"))
+    out = ev.select(*keys, "before_min", "after_min").join(met, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("oi_base_n", "oi_trough_n")})
+    n_base, n_trough = p.interest.base_min // p.clock.width_min + 1, F.floor((F.col("before_min") + F.col("after_min")) / p.clock.width_min)
+    out = out.withColumn("base_ok", F.col("oi_base_n") >= n_base - p.interest.base_missing).withColumn("trough_ok", F.col("oi_trough_n") >= n_trough - p.interest.trough_missing)
+    return out.withColumn("doi", F.when(F.col("base_ok") & F.col("trough_ok"), (F.col("_t") - F.col("_b")) / F.col("_b"))).drop("_b", "_t", "before_min", "after_min")
 
 
 def reasons(ev: DataFrame) -> DataFrame:
@@ -95,12 +113,14 @@ def reasons(ev: DataFrame) -> DataFrame:
     return ev.withColumn("reason", F.concat_ws(";", *parts))
 
 
-def classify(ev: DataFrame, p: Study, labels: tuple[str, str, str, str] = ("contraction", "intermediate", "limited", "unknown")) -> DataFrame:
-    """Classes by the quantile of the symbol's earlier responses; unknown rows are no priors."""
-    w = Window.partitionBy("symbol").orderBy("e0").rowsBetween(Window.unboundedPreceding, -1)
+def classify(ev: DataFrame, p: Study, labels: tuple[str, str, str, str] = ("contraction", "intermediate", "limited", "unknown"), by: tuple[str, ...] = ("symbol",), fixed: Column | None = None) -> DataFrame:
+    """Classes by the quantile of the symbol's earlier responses; unknown rows are no priors. ``fixed``: rows whose class
+    has the fixed cut instead."""
+    w = Window.partitionBy(*by).orderBy("e0").rowsBetween(Window.unboundedPreceding, -1)
     doi = F.col("doi")
-    cut = F.lit(p.classes.cut) if p.classes.rule == "fixed" else F.when(F.count("doi").over(w) >= p.classes.least_prior, F.expr(f"percentile(doi, {p.classes.share}D)").over(w)).otherwise(F.lit(p.classes.cut))
-    out = ev.withColumn("contraction_cut", F.when(doi.isNotNull(), cut))
+    fixed = F.lit(p.classes.rule == "fixed") if fixed is None else fixed
+    moving = F.when(F.count("doi").over(w) >= p.classes.least_prior, F.expr(f"percentile(doi, {p.classes.share}D)").over(w)).otherwise(F.lit(p.classes.cut))
+    out = ev.withColumn("contraction_cut", F.when(doi.isNotNull(), F.when(fixed, F.lit(p.classes.cut)).otherwise(moving)))
     return out.withColumn("klass", F.when(doi.isNull(), labels[3]).when(doi <= F.col("contraction_cut"), labels[0]).when(doi > p.classes.upper, labels[2]).otherwise(labels[1]))
 
 
@@ -114,15 +134,12 @@ def intensity(ev: DataFrame, p: Study) -> DataFrame:
     return ev.withColumn("intensity", value).withColumn("analysable", (F.col("reason") == "") & (F.col("klass") != "unknown"))
 
 
+def all_measures(ev: DataFrame, bars: DataFrame, snaps: DataFrame, p: Study, keys: tuple[str, ...] = ("symbol", "e0")) -> DataFrame:
+    """Staged onsets with everything that does not depend on classes: two range joins, side by side."""
+    return reasons(from_bars(ev, bars, p, keys).join(from_interest(ev, snaps, p, keys), list(keys)))
+
+
 def measured(ev: DataFrame, bars: DataFrame, snaps: DataFrame, p: Study) -> DataFrame:
-    """All measures of one study, over all symbols at once. Each step joins the onsets with themselves, so they
-    are written between steps; else the plan would double with every measure."""
-    bars, ev = staged(bars), staged(ev)
-    post = F.col("e0") + p.window.after_min * M
-    ev = staged(displacement(staged(reference(ev, bars, p)), bars, p))
-    ev = staged(persistence(staged(oi_response(ev, snaps, p)), bars, p))
-    ev = staged(first_passage(ev, bars, p, "rec", post, post))
-    after = F.col("trough") + p.clock.width_min * M
-    ev = staged(first_passage(ev, bars, p, "rec_trough_close", after, F.col("e0")))
-    ev = staged(first_passage(ev, bars, p, "rec_trough_high", after, F.col("e0"), "high"))
-    return intensity(reversion(classify(reasons(ev), p)), p)
+    """All measures of one study, over all symbols at once."""
+    out = all_measures(staged(windowed(ev, p)), bars, snaps, p).drop(*WINDOW)
+    return intensity(reversion(classify(out, p)), p)

@@ -12,11 +12,12 @@ from ..sources import driver_tables as src
 from ..storage import staged
 
 
-def build(spark: SparkSession, sf_dir: str, p: Study) -> DataFrame:
-    """Fills to classified onsets, all symbols at once."""
-    snaps = staged(src.dense(spark, sf_dir))
+def build(spark: SparkSession, sf_dir: str, p: Study, calm: bool = False) -> DataFrame:
+    """Fills to classified onsets, all symbols at once; written, as most readers use it more than once."""
+    snaps = staged(src.dense(spark, sf_dir, calm))
+    bars = staged(src.bars(snaps))
     ev = clock.onsets(clock.triggers(src.fills(spark, sf_dir), p), p)
-    return measures.measured(ev, src.bars(snaps), snaps, p)
+    return staged(measures.measured(ev, bars, snaps, p))
 
 
 def clustered(ev: DataFrame) -> DataFrame:

@@ -42,20 +42,28 @@ def as_fills(rows: DataFrame) -> DataFrame:
     return rows.select("ingest_idx", "t", "symbol", side.alias("side"), direction.alias("direction"), F.lit(100.0).alias("px"), (F.col("value") / 100).alias("sz"), F.lit(True).alias("is_liquidation"), F.col("value").alias("notional"))
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshots(spark: SparkSession, sf_dir: str, calm: bool = False) -> DataFrame:
+    """Price, open interest and funding from the value of an event. ``calm``: open interest hardly moves in every other
+    half day, so that events of both classes occur at every size of the tables."""
     v = F.col("value")
-    return events(spark, sf_dir).select("ingest_idx", "t", "symbol", (100 + v / 50).alias("px"), (1000 + 10 * v).alias("oi"), ((v - 50) / 1e6).alias("funding"))
+    swing = F.when(F.floor(F.col("t") / (DAY // 2)) % 2 == 0, 10.0).otherwise(0.02) if calm else F.lit(10)
+    return events(spark, sf_dir).select("ingest_idx", "t", "symbol", (100 + v / 50).alias("px"), (1000 + swing * v).alias("oi"), ((v - 50) / 1e6).alias("funding"))
+
+
+def bounds(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """(symbol, c0, c1): midnight before the smallest ``first``, and after the largest ``last``."""
+    day = lambda c: (F.floor(c / DAY) * DAY).cast("bigint")
+    return rows.groupBy("symbol").agg(day(F.min(first)).alias("c0"), (day(F.max(last)) + DAY).alias("c1"))
 
 
 def coverage(rows: DataFrame) -> DataFrame:
     """(symbol, c0, c1): midnight before the first row, and after the last, over all rows."""
-    day = lambda c: (F.floor(c / DAY) * DAY).cast("bigint")
-    return rows.groupBy("symbol").agg(day(F.min("t")).alias("c0"), (day(F.max("t")) + DAY).alias("c1"))
+    return bounds(rows, "t", "t")
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dense(spark: SparkSession, sf_dir: str, calm: bool = False) -> DataFrame:
     """Snapshots on a full one-minute grid, each the last raw one at or before it."""
-    raw = snapshots(spark, sf_dir)
+    raw = snapshots(spark, sf_dir, calm)
     grid = coverage(raw).select("symbol", F.explode(F.sequence("c0", F.col("c1") - MINUTE, F.lit(MINUTE))).alias("t"))
     return asof(grid, raw, ["px", "oi", "funding"]).where("px is not null").select("symbol", "t", "px", "oi", "funding")
 
