@@ -907,3 +907,6 @@ def r12r(spark, d):
 @query("g7_curves", f"{MEAS}, rows_ AS (SELECT klass AS grp, rec_min AS d, rec_event AS ev FROM fin WHERE analysable AND klass IN ('contraction', 'limited')){KM[len(SURV):]}, gs AS (SELECT DISTINCT grp FROM rows_), pt AS (SELECT grp, 'step' AS mark, d, s, 0::bigint AS n_censored FROM km UNION ALL SELECT grp, 'start', 0.0, 1.0, 0 FROM gs UNION ALL SELECT grp, 'end', 1320.0, coalesce((SELECT min(s) FROM km WHERE km.grp = gs.grp), 1.0), 0 FROM gs UNION ALL SELECT grp, 'censored', d, coalesce((SELECT min(s) FROM km WHERE km.grp = r.grp AND km.d <= r.d), 1.0), count(*) FROM rows_ r WHERE NOT ev GROUP BY grp, d) SELECT grp AS klass, mark, round(d, 6)::double AS rec_min, round(s, 6) AS s, n_censored FROM pt")
 def g7(spark, d):
     return audit.curves(staged(_study(spark, d)))
+
+
+from . import effect_queries  # noqa: E402, F401  (registers its queries with the names above)

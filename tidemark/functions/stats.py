@@ -25,12 +25,14 @@ def kaplan_meier(rows: DataFrame, group: str = "grp", time: str = "d", event: st
     return per.withColumn("s", F.product(1 - F.col("deaths") / F.col("at_risk")).over(head)).select(group, time, "at_risk", "deaths", "s")
 
 
-def rmst(km: DataFrame, groups: DataFrame, tau: float, group: str = "grp", time: str = "d") -> DataFrame:
-    """Area under the survival step function up to tau, for each row of ``groups``."""
+def rmst(km: DataFrame, groups: DataFrame, tau: float | str, group: str = "grp", time: str = "d") -> DataFrame:
+    """Area under the survival step function up to tau (a number, or a column of ``groups``), for each row of ``groups``."""
     w = Window.partitionBy(group).orderBy(time)
-    steps = km.where(F.col(time) < tau).withColumn("_next", F.coalesce(F.lead(time).over(w), F.lit(float(tau)))).withColumn("_first", F.min(time).over(Window.partitionBy(group)))
+    end = F.col(tau) if isinstance(tau, str) else F.lit(float(tau))
+    km = km.join(groups.select(group, tau), group) if isinstance(tau, str) else km
+    steps = km.where(F.col(time) < end).withColumn("_next", F.coalesce(F.lead(time).over(w), end)).withColumn("_first", F.min(time).over(Window.partitionBy(group)))
     area = steps.groupBy(group).agg((F.max("_first") + F.sum(F.col("s") * (F.col("_next") - F.col(time)))).alias("_a"))
-    return groups.join(area, group, "left").withColumn("rmst", F.coalesce("_a", F.lit(float(tau)))).drop("_a")
+    return groups.join(area, group, "left").withColumn("rmst", F.coalesce(F.col("_a"), end)).drop("_a")
 
 
 def log_rank(rows: DataFrame, one: str, group: str = "grp", time: str = "d", event: str = "ev") -> DataFrame:
@@ -44,17 +46,18 @@ def log_rank(rows: DataFrame, one: str, group: str = "grp", time: str = "d", eve
     return out.withColumn("chi2", F.when(F.col("v") > 0, F.col("u") * F.col("u") / F.col("v")))
 
 
-def robust_log_rank(rows: DataFrame, one: str, cluster: str, group: str = "grp", time: str = "d", event: str = "ev") -> DataFrame:
-    """One row: U, its cluster-robust variance and chi2: scores of rows summed by cluster."""
+def robust_log_rank(rows: DataFrame, one: str, cluster: str, group: str = "grp", time: str = "d", event: str = "ev", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (of each key ``by``): U, its cluster-robust variance and chi2: scores of rows summed by cluster."""
     z = (F.col(group) == one).cast("double")
-    per = rows.groupBy(time).agg(F.count("*").alias("n_at"), F.sum(z).alias("n1_at"), F.count_if(F.col(event)).alias("dd"))
-    down = Window.orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    per = rows.groupBy(*by, time).agg(F.count("*").alias("n_at"), F.sum(z).alias("n1_at"), F.count_if(F.col(event)).alias("dd"))
+    w = Window.partitionBy(*by) if by else Window
+    down = w.orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
+    up = w.orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     t = per.withColumn("n", F.sum("n_at").over(down)).withColumn("zbar", F.sum("n1_at").over(down) / F.col("n"))
-    t = t.withColumn("h", F.sum(F.col("dd") / F.col("n")).over(up)).withColumn("hz", F.sum(F.col("dd") / F.col("n") * F.col("zbar")).over(up)).select(time, "zbar", "h", "hz")
+    t = t.withColumn("h", F.sum(F.col("dd") / F.col("n")).over(up)).withColumn("hz", F.sum(F.col("dd") / F.col("n") * F.col("zbar")).over(up)).select(*by, time, "zbar", "h", "hz")
     score = F.when(F.col(event), z - F.col("zbar")).otherwise(0.0) - (z * F.col("h") - F.col("hz"))
-    per_cluster = rows.join(t, time).groupBy(cluster).agg(F.sum(score).alias("w"))
-    out = per_cluster.agg(F.sum("w").alias("u"), F.sum(F.col("w") * F.col("w")).alias("v"))
+    per_cluster = rows.join(t, [*by, time]).groupBy(*by, cluster).agg(F.sum(score).alias("w"))
+    out = per_cluster.groupBy(*by).agg(F.sum("w").alias("u"), F.sum(F.col("w") * F.col("w")).alias("v"))
     return out.withColumn("chi2", F.when(F.col("v") > 0, F.col("u") * F.col("u") / F.col("v")))
 
 
@@ -229,13 +232,33 @@ def regression_report(spark: SparkSession, rows: DataFrame, y: str, xs: list[str
     return spark.createDataFrame([(e["coef"], e["se"], e["g"], e["g"] - 1, p, e["coef"] - reach, e["coef"] + reach, w["p"], w["lo"], w["hi"], e["g_eff"], e["n"])], REPORT)
 
 
+def numbered(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, order, number): the distinct values of ``order`` numbered from 0 within their keys. Staged.
+
+    Range partitions are ordered side by side; the sizes of a key's earlier partitions are added. No task holds a key."""
+    spread = [*keys, order]
+    place = staged(rows.select(*spread).distinct().repartitionByRange(*spread).sortWithinPartitions(*spread).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    # a row a key and partition
+    sizes = place.groupBy(*keys, part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    met = place.withColumn("_part", part).join(sizes.drop("_n"), [*keys, "_part"])
+    return staged(met.select(*spread, (F.col("_before") + F.col("_at") - F.col("_first")).alias("number")))
+
+
+def multiplicities(rows: DataFrame, keys: list[str], cluster: str, draws: int, seed: int = 11) -> DataFrame:
+    """(keys, b, cluster, freq): clusters of every key drawn with replacement, as often as the key has them, in each draw."""
+    names = numbered(rows, keys, cluster)
+    sizes = names.groupBy(*keys).agg(F.count("*").alias("_g"))
+    slots = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).repartition(*keys, "b").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_g") - 1)))
+    picked = slots.withColumn("number", draw(seed, F.col("b"), F.col("_slot")) % F.col("_g")).groupBy(*keys, "b", "number").agg(F.count("*").alias("freq"))
+    return picked.join(names, [*keys, "number"]).select(*keys, "b", cluster, "freq")
+
+
 def cluster_draws(spark: SparkSession, clusters: DataFrame, cluster: str, draws: int, seed: int = 11) -> DataFrame:
     """(b, cluster, freq): clusters drawn with replacement, as often as there are, in each of ``draws``."""
-    names = clusters.select(F.col(cluster).alias("_c")).distinct().withColumn("_i", F.row_number().over(Window.orderBy("_c")) - 1)
-    n = names.count()
-    slots = spark.range(draws * n).select((F.floor(F.col("id") / n) + 1).cast("int").alias("b"), (F.col("id") % n).alias("slot"))
-    picked = slots.withColumn("_i", (draw(seed, F.col("b"), F.col("slot")) % n).cast("int")).groupBy("b", "_i").agg(F.count("*").alias("freq"))
-    return picked.join(names, "_i").select("b", F.col("_c").alias(cluster), "freq")
+    return multiplicities(clusters.select(F.lit(0).alias("_all"), cluster), ["_all"], cluster, draws, seed).select("b", cluster, "freq")
 
 
 def bucketed(rows: DataFrame, column: str, buckets: int = 1024) -> DataFrame:

@@ -119,6 +119,13 @@ def relabelled(old: DataFrame, p: Study) -> DataFrame:
     return old.select("symbol", (F.col("t0") + (p.clock.width_min * MINUTE)).alias("e0"), F.col("peak_disloc").alias("disp"), F.col("doi_event").alias("doi"), F.col("perm_6h").alias("p6h"), F.col("ttr_min").alias("rec_min"), (~F.col("censored")).alias("rec_event"), F.coalesce(F.element_at(names, F.col("klass")), F.col("klass")).alias("klass"))
 
 
+def as_effect_events(old: DataFrame, p: Study) -> DataFrame:
+    """Superseded events as an event table of one setting, for the corrected inference: all analysable, follow-up of a day."""
+    ev = relabelled(old, p).join(old.select("symbol", (F.col("t0") + p.clock.width_min * MINUTE).alias("e0"), F.col("perm_24h").alias("p24h"), F.col("transitory_share").alias("reversion"), F.col("liq_notional").alias("intensity")), ["symbol", "e0"])
+    ev = ev.withColumns({"spec": F.lit("legacy"), "analysable": F.lit(True), "sized": F.lit(True), "continuous": F.lit(False), "tau": F.lit(1440.0)})
+    return study.clustered(ev).withColumn("short", F.col("ep6").cast("string")).withColumn("long", F.col("ep24").cast("string"))
+
+
 def size_regression(spark: SparkSession, ev: DataFrame, draws: int) -> DataFrame:
     """E2: 100 times the size of the displacement on the class, the logarithm of size and the symbol, by episode; the
     report is about the class. Nulls where a class has fewer than three events."""

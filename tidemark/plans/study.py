@@ -20,12 +20,12 @@ def build(spark: SparkSession, sf_dir: str, p: Study, calm: bool = False) -> Dat
     return staged(measures.measured(ev, bars, snaps, p))
 
 
-def clustered(ev: DataFrame) -> DataFrame:
-    """Adds episode and calendar clusters; built on all events, to be filtered afterwards."""
+def clustered(ev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds episode and calendar clusters (of each key ``by`` for itself); built on all events, to be filtered afterwards."""
     out = ev = staged(ev)
     for name, hours in (("ep6", 6), ("ep24", 24)):
-        ids = clock.islands(ev.select("symbol", "e0"), hours * 60 + 45, name=name)
-        out = out.join(ids, ["symbol", "e0"])
+        ids = clock.islands(ev.select(*by, "symbol", "e0"), hours * 60 + 45, name=name, by=by)
+        out = out.join(ids, [*by, "symbol", "e0"])
     return calendar(out).withColumn("none", F.concat_ws(":", "symbol", "e0"))
 
 
@@ -77,13 +77,13 @@ def legacy_events(fills: DataFrame, p: Study) -> DataFrame:
     return met.groupBy("symbol", "t0", "t1").agg(F.max("r").alias("liq_notional"))
 
 
-def overlapping(ev: DataFrame, runs: DataFrame, p: Study) -> DataFrame:
+def overlapping(ev: DataFrame, runs: DataFrame, p: Study, keys: tuple[str, ...] = ("symbol", "e0")) -> DataFrame:
     """Adds ``overlaps``: whether the event's window meets a run, by day buckets of both."""
     a, b = F.col("e0") - p.window.before_min * MINUTE, F.col("e0") + p.window.after_min * MINUTE
     left = ev.withColumn("_d", F.explode(F.sequence(F.floor(a / DAY), F.floor(b / DAY))))
     right = runs.select(F.col("symbol").alias("_s"), "run_start", "run_end", F.explode(F.sequence(F.floor(F.col("run_start") / DAY), F.floor(F.col("run_end") / DAY))).alias("_rd"))
-    hit = left.join(right, (F.col("symbol") == F.col("_s")) & (F.col("_d") == F.col("_rd")) & (F.col("run_start") < b) & (F.col("run_end") > a)).select("symbol", "e0").distinct().withColumn("_h", F.lit(True))
-    return ev.join(hit, ["symbol", "e0"], "left").withColumn("overlaps", F.coalesce("_h", F.lit(False))).drop("_h")
+    hit = left.join(right, (F.col("symbol") == F.col("_s")) & (F.col("_d") == F.col("_rd")) & (F.col("run_start") < b) & (F.col("run_end") > a)).select(*keys).distinct().withColumn("_h", F.lit(True))
+    return ev.join(hit, list(keys), "left").withColumn("overlaps", F.coalesce("_h", F.lit(False))).drop("_h")
 
 
 def grid(fills: DataFrame, p: Study, specs: dict[str, dict]) -> DataFrame:
