@@ -181,29 +181,29 @@ def walk(x: np.ndarray, n: np.ndarray, trees: list[Tree], starts: list[int], cos
         inner = same and i == j
         if inner:
             todo += [(k, k) for k in ci[a.last[ci] > a.first[ci]].tolist()]
-        one_j = (b.last[cj] == b.first[cj])[None, :]
+        other, rj, one_j = u[sb + b.center[cj]].T, b.radius[cj], b.last[cj] == b.first[cj]
         for at in range(0, len(ci), 512):
             rows = ci[at : at + 512]
-            d = _apart(u[sa + a.center[rows]], u[sb + b.center[cj]])
-            wide = a.radius[rows][:, None] + b.radius[cj][None, :]
-            near = d <= reach + wide + SLACK
+            dot, ri, one_i = u[sa + a.center[rows]] @ other, a.radius[rows], a.last[rows] == a.first[rows]
+            # distance d is cosine 1 - d^2 / 2: without radii one number bounds the whole matrix
+            bound = reach + SLACK + (ri[:, None] + rj[None, :] if ri.any() or rj.any() else 0.0)
+            r, c = np.nonzero(dot >= 1.0 - bound * bound / 2.0)
             if inner:
-                near &= (np.arange(at, at + len(rows))[:, None] < np.arange(len(cj))[None, :])
-            single = near & (a.last[rows] == a.first[rows])[:, None] & one_j
-            r, c = np.nonzero(single)
-            if len(r):
-                p, q = sa + a.center[rows[r]], sb + b.center[cj[c]]
+                r, c = r[at + r < c], c[at + r < c]
+            single = one_i[r] & one_j[c]
+            if single.any():
+                p, q = sa + a.center[rows[r[single]]], sb + b.center[cj[c[single]]]
                 xp, xq = x[p], x[q]
                 ok = np.einsum("ij,ij->i", xp, xq) / np.sqrt(np.einsum("ij,ij->i", xp, xp) * np.einsum("ij,ij->i", xq, xq)) >= cosine
                 p, q = p[ok], q[ok]
                 np.add.at(links, p, n[q])
                 np.add.at(links, q, n[p])
                 edges.append((p, q))
-            whole = near & ~single & (d + wide <= reach - SLACK)
-            for r, c in np.argwhere(whole).tolist():
-                all_linked(members(a, sa, rows[r]), members(b, sb, cj[c]))
-            r, c = np.nonzero(near & ~single & ~whole)
-            todo += list(zip(rows[r].tolist(), cj[c].tolist()))
+            r, c = r[~single], c[~single]
+            whole = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot[r, c])) + ri[r] + rj[c] <= reach - SLACK
+            for i, j in zip(rows[r[whole]].tolist(), cj[c[whole]].tolist()):
+                all_linked(members(a, sa, i), members(b, sb, j))
+            todo += list(zip(rows[r[~whole]].tolist(), cj[c[~whole]].tolist()))
         if len(edges) > 4096:  # a forest stands for the links so far
             root = _groups(edges, len(x))
             p = np.flatnonzero(root != np.arange(len(x)))
@@ -212,13 +212,14 @@ def walk(x: np.ndarray, n: np.ndarray, trees: list[Tree], starts: list[int], cos
 
 
 def _net(t: pa.Table) -> pa.Table:
-    """Centers of a node's sample: its first point, then each point beyond half the node's radius from all before it."""
+    """Centers of a node's sample, ``most`` at most: its first point, then the point furthest from all before it while that
+    is beyond half the node's radius."""
     x = _matrix(t["v"])
     u = unit(x)
     d = _apart(u, u[:1])[:, 0]
     picked, least = [0], d.copy()
-    r = d.max() / 2
-    while len(picked) < FANOUT and (far := int(least.argmax())) not in picked and (least[far] > r or len(picked) < 2):
+    r, most = d.max() / 2, t["most"][0].as_py()
+    while len(picked) < most and (far := int(least.argmax())) not in picked and (least[far] > r or len(picked) < 2):
         picked.append(far)
         least = np.minimum(least, _apart(u, u[far : far + 1])[:, 0])
     return pa.table({"node": t["node"].take(picked), "v": t["v"].take(picked)})
@@ -261,7 +262,8 @@ def _split(points: DataFrame, cell: int) -> list[DataFrame]:
             discard(big, left)
             return [*parts, last]
         order = Window.partitionBy("node").orderBy(F.xxhash64("c"), "c")
-        sample = wide.select("node", "c", "v").withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= SAMPLE).drop("_i", "c")
+        most = F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.ceil(4 * F.col("size") / cell))).cast("int").alias("most")
+        sample = wide.select("node", "c", "v", most).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= SAMPLE).drop("_i", "c")
         centers = staged(sample.groupBy("node").applyInArrow(_net, "node string, v array<double>"))
         own = wide.withColumn("salt", F.pmod(F.xxhash64("c", F.lit(level)), salts).cast("int")).drop("size")
         copies = centers.join(small(big), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("size")
