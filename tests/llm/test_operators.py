@@ -425,12 +425,24 @@ def test_deep_shallow_orders_and_measures():
         assert lcp[1:] == [suffixdedup._common(s[a], s[b]) for a, b in zip(order, order[1:])]
 
 
+def test_secrets_of_any_length_go_whole(spark):
+    r = random.Random(9)
+    secret = "".join(r.choice("ABCDEFGHabcdefgh0123456789-_.") for _ in range(10_000))
+    mail = "a" * 300 + "[at]" + "b" * 200 + "[dot]com"
+    rows = [(0, f"before token = {secret} after"), (1, f"api_key: '{secret[:480]}'"), (2, f"write to {mail} or {mail}")] + [(i, f"token = {secret[i : i + 24]} and mail x{i}@example.com or y{i}[at]example[dot]com") for i in range(3, 40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    done = {x.doc_id: x.text for x in pii.redact(d).collect()}
+    assert done[0] == "before <secret> after" and secret[:6] not in done[1] and secret[470:480] not in done[1] and "aaaa" not in done[2] and "bbbb" not in done[2]
+    spans = {x.id: x.added for x in pii.find_pii(d).collect()}
+    assert [(s.start, s.end) for s in spans[0]] == [(7, 7 + len("token = ") + 10_000)]
+
+
 def test_top_k_is_exact(spark):
     r = random.Random(6)
-    rows = [(i, [r.choice((0.0, r.uniform(-1, 1))) for _ in range(8)]) for i in range(200)] + [(200, None), (220, [float("nan")] * 8), (240, [1.0, None]), (None, [1.0] * 8), (260, []), (280, [1.0] * 8), (281, [1.0] * 8)]
+    rows = [(i, [r.choice((0.0, r.uniform(-1, 1))) for _ in range(8)]) for i in range(200)] + [(200, None), (220, [float("nan")] * 8), (240, [1.0, None]), (None, [1.0] * 8), (260, []), (261, []), (280, [1.0] * 8), (281, [1.0] * 8)]
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     v = topk.quantised(d)
-    q = {i: [math.floor(64 * x) for x in e] for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)}
+    q = {i: [math.floor(64 * x) for x in e] for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
     got = sorted(tuple(x) for x in topk.exact_top_k(v.where("id % 20 = 0"), v).collect())
     want = []
     for i in q:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.storage import discard, shared_dir, staged, staged_bytes
 
-__all__ = ["BROADCAST_BYTES", "LOWER", "SPACE", "UPPER", "discard", "fresh", "keyed", "keep_rows", "shared_dir", "small", "staged", "staged_bytes", "table", "word_table"]
+__all__ = ["BROADCAST_BYTES", "LOWER", "SPACE", "UPPER", "discard", "fresh", "keyed", "keep_rows", "own_columns", "shared_dir", "small", "staged", "staged_bytes", "table", "word_table"]
 
 #: ASCII white space that separates words; the same six bytes ``bytes.split()`` uses.
 SPACE = r"\x20\x09-\x0D"
@@ -16,6 +16,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_BYTES = 4 << 20
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` as they are, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def word_table(kept: bytes) -> bytes:
     """For ``bytes.translate``: A-Z become a-z, other ASCII bytes outside ``kept`` become spaces, the rest stays; what
     ``split()`` then returns are the words of a UTF-8 text."""

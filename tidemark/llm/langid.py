@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_rows, keyed, staged
+from .common import discard, keep_rows, keyed, own_columns, staged
 
 BITS = 14
 GROUP_BYTES = 1 << 20
@@ -247,7 +247,7 @@ def accepted(docs: DataFrame, text_col: str = "text", declared_col: str = "lang"
     keys of the rejected ones, which come back as an anti-join (broadcast only below a checked size)."""
     rows, key = keyed(docs)
     found = identify(rows, F.col(text_col), F.col(declared_col), F.col(host_col), id_col, key)
-    return keep_rows(rows, key, staged(found.where("rejected").select("k"))).select(*docs.columns)
+    return keep_rows(rows, key, staged(found.where("rejected").select("k"))).select(*own_columns(docs))
 
 
 def _given_from(met: DataFrame, rows: DataFrame, column: str, names: list[str], per: list[Column]) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SPACE, discard, keyed, staged, staged_bytes
+from .common import BROADCAST_BYTES, SPACE, discard, keyed, own_columns, staged, staged_bytes
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLICES = 4096
@@ -193,7 +193,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Texts are read twice, to size and to copy, and neither written nor shuffled while the sources are few enough to
     be broadcast: each row finds its copies from its own figures and its source's decisions."""
     docs, key = keyed(docs)
-    columns = [c for c in docs.columns if c != key]
+    columns = own_columns(docs.drop(key))
     figures = _figures(docs, id_col, text_col, source_col, seed, key)
     rows = staged(docs.select(*figures))
     sources = decisions(rows, share, most, weights)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_rows, keyed, staged
+from .common import discard, keep_rows, keyed, own_columns, staged
 from .components import connected
 
 HASHES = 130
@@ -279,6 +279,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``first``: the one row of the component that stays when rows share ids. ``key``: a column that names rows, if there is one.
 
     Texts cross a shuffle once, to those that may be linked; all else moves ids, signatures and figures."""
+    if abs(100 * threshold - round(100 * threshold)) > 1e-9:
+        raise ValueError("the threshold is a whole percentage")
     if key is None:
         docs, key = keyed(docs)
     rows = staged(sketched(docs, id_col, text_col, width, threshold, key))
@@ -308,4 +310,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     What comes back to the texts is the keys of the rows that go, as an anti-join (broadcast only below a checked size)."""
     rows, key = keyed(docs)
     found = near_duplicates(rows, id_col, text_col, width, threshold, key)
-    return keep_rows(rows, key, staged(found.where(~F.col("first")).select("k"))).select(*docs.columns)
+    return keep_rows(rows, key, staged(found.where(~F.col("first")).select("k"))).select(*own_columns(docs))

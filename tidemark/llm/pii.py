@@ -22,7 +22,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, staged
+from .common import discard, fresh, own_columns, staged
 
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "id")
 BASE_KINDS = KINDS[:4]
@@ -45,12 +45,12 @@ STRICT = {
 _NAMES = "|".join(gazetteer("secrets"))
 #: (rule, kind) -> pattern of the candidates that only the classifier can add.
 OTHER = {
-    ("loose", "email"): r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+)++",
+    ("loose", "email"): r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++",
     ("loose", "ip"): r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
     ("loose", "card"): r"(?<![0-9._/])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9._/])",
     ("loose", "phone"): r"(?<![0-9+.()-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
     ("context", "phone"): r"(?i)(?<=\b(?:tel|phone|mobile|cell|fax|telefon)[.:]{0,2} {0,2})[0-9](?:[ ./-]?[0-9]){5,13}+(?![0-9])",
-    ("named", "secret"): rf"(?i)\b(?:{_NAMES})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?[^\s\"'<>,;]{{6,200}}+[\"']?",
+    ("named", "secret"): rf"(?i)\b(?:{_NAMES})[\"']?\s{{0,3}}(?:=|:=|:|=>)\s{{0,3}}[\"']?[^\s\"'<>,;]{{6,}}+[\"']?",
     ("named", "iban"): r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     ("named", "id"): r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
@@ -277,4 +277,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def block(acc: Column, b: Column) -> Column:
         return F.aggregate(b, start(acc["at"]), put, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
     done = F.aggregate(_blocks(F.col(spans)), start(F.lit(0).cast("bigint")), block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*docs.columns)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*own_columns(docs))

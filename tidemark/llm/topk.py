@@ -5,7 +5,7 @@ pair of blocks is one row of an equi-join. In a pair, every dimension is a term:
 the candidates with a non-zero weight, and each query scatters ``weight * posting`` into a dense
 score array. Partition selection keeps the k best of the pair, and a window merges the pairs.
 
-Vectors that are null, empty or hold null or non-finite components take no part, nor do null ids. Rows
+Vectors that are null or hold null or non-finite components take no part, nor do null ids. An empty vector has score 0 with all. Rows
 that share a query's id count as the query's own. Repeated query rows each give their k results. Ties go
 to the smaller id. Empty tables give no rows; only the id and the vector column are read. Components and scores are 64-bit
 integers: blocks whose scores might pass that are summed in integers of any size, and a component or score that
@@ -33,7 +33,7 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
         scaled = x.cast("double") * F.lit(scale)
         return F.when((scaled >= float(LIMIT)) | (scaled < -float(LIMIT)), F.raise_error(F.lit("a scaled component passes 64 bits")).cast("bigint")).otherwise(F.floor(scaled).cast("bigint"))
 
-    usable = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, finite)
+    usable = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, finite)
     return vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, whole).alias("v"))
 
 
@@ -53,7 +53,7 @@ def _packed(rows: DataFrame, blocks: int, side: str) -> DataFrame:
             order = np.argsort(np.concatenate(ids), kind="stable")
             lens = np.concatenate(lengths)
             start = np.cumsum(lens) - lens
-            wide = np.zeros((len(order), int(lens.max())), dtype=np.int64)
+            wide = np.zeros((len(order), max(1, int(lens.max()))), dtype=np.int64)
             row = np.repeat(np.arange(len(lens)), lens)
             wide[row, np.arange(len(row)) - start[row]] = np.concatenate(values)
             yield pa.RecordBatch.from_arrays(
@@ -104,7 +104,7 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataF
     ``queries`` and ``candidates`` are (id, v) as ``quantised`` returns them. Blocks have a fixed size, so a
     task's memory does not grow with the input; work is queries times candidates, as the search demands."""
     spark = queries.sparkSession
-    sized = lambda rows: rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dims")).first()
+    sized = lambda rows: rows.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.max(F.size("v")), F.lit(1)), F.lit(1)).alias("dims")).first()
     blocks = lambda row, most: max(1, -(-row["n"] // max(1, min(most, BLOCK_BYTES // (8 * row["dims"])))))
     nq, nc = blocks(sized(queries), QUERY_BLOCK), blocks(sized(candidates), CANDIDATE_BLOCK)
     cores = spark.sparkContext.defaultParallelism
