@@ -909,4 +909,4 @@ def g7(spark, d):
     return audit.curves(staged(_study(spark, d)))
 
 
-from . import effect_queries  # noqa: E402, F401  (registers its queries with the names above)
+from . import effect_queries, robustness_queries  # noqa: E402, F401  (they register their queries with the names above)

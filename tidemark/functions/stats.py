@@ -35,14 +35,17 @@ def rmst(km: DataFrame, groups: DataFrame, tau: float | str, group: str = "grp",
     return groups.join(area, group, "left").withColumn("rmst", F.coalesce(F.col("_a"), end)).drop("_a")
 
 
-def log_rank(rows: DataFrame, one: str, group: str = "grp", time: str = "d", event: str = "ev") -> DataFrame:
-    """One row: U, V and chi2 of the two-group log-rank test; ``one`` names the first group."""
+def log_rank(rows: DataFrame, one: str, group: str = "grp", time: str = "d", event: str = "ev", by: tuple[str, ...] = (), lone_deaths: bool = False) -> DataFrame:
+    """One row (of each key ``by``): U, V and chi2 of the two-group log-rank test; ``one`` names the first group.
+    ``lone_deaths``: a death of the last row at risk is observed but not expected, as the superseded form has it."""
     g = (F.col(group) == one).cast("int")
-    per = rows.groupBy(time).agg(F.count("*").alias("n_at"), F.sum(g).alias("n1_at"), F.count_if(F.col(event)).alias("dd"), F.sum(F.when(F.col(event), g).otherwise(0)).alias("d1"))
-    w = Window.orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
+    per = rows.groupBy(*by, time).agg(F.count("*").alias("n_at"), F.sum(g).alias("n1_at"), F.count_if(F.col(event)).alias("dd"), F.sum(F.when(F.col(event), g).otherwise(0)).alias("d1"))
+    w = (Window.partitionBy(*by) if by else Window).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
     t = per.withColumn("n", F.sum("n_at").over(w)).withColumn("n1", F.sum("n1_at").over(w)).where("dd > 0")
     v = F.when(F.col("n") > 1, F.col("dd") * (F.col("n1") / F.col("n")) * (1 - F.col("n1") / F.col("n")) * (F.col("n") - F.col("dd")) / (F.col("n") - 1)).otherwise(0.0)
-    out = t.agg(F.sum(F.col("d1") - F.col("dd") * F.col("n1") / F.col("n")).alias("u"), F.sum(v).alias("v"))
+    expected = F.col("dd") * F.col("n1") / F.col("n")
+    expected = F.when(F.col("n") > 1, expected).otherwise(0.0) if lone_deaths else expected
+    out = t.groupBy(*by).agg(F.sum(F.col("d1") - expected).alias("u"), F.sum(v).alias("v"))
     return out.withColumn("chi2", F.when(F.col("v") > 0, F.col("u") * F.col("u") / F.col("v")))
 
 
@@ -432,3 +435,13 @@ def slope_permutation(rows: DataFrame, y: str, x: str, control: str, draws: int,
     cov, var = F.covar_pop, F.var_pop
     coef = (cov("x", "y") * var("c") - cov("x", "c") * cov("c", "y")) / F.nullif(var("x") * var("c") - cov("x", "c") * cov("x", "c"), F.lit(0.0))
     return _two_sided(shuffled(r, "x", draws, seed).groupBy("b").agg(coef.alias("d"), F.count("*").alias("n")), 15)
+
+
+def slopes_permutation(rows: DataFrame, y: str, x: str, controls: list[str], draws: int, seed: int = 3) -> DataFrame:
+    """One row: slope of y on a continuous x beside any controls, its two-sided p under shuffles of x, and n; null below 15
+    rows. Every draw is one group of ``linear.regressions``: sums and sweeps in columns, nothing is solved on the driver."""
+    from . import linear
+
+    r = rows.select("id", *[F.col(c).cast("double").alias(c) for c in (y, x, *controls)]).na.drop(subset=[y, x, *controls])
+    fits = linear.regressions(shuffled(r, x, draws, seed), ["b"], y, [x, *controls])
+    return _two_sided(fits.select("b", F.col("b1").alias("d"), "n"), 15)
