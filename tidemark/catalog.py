@@ -111,6 +111,11 @@ cls AS (SELECT c.*, r_onset, concat_ws(';', CASE WHEN p_ref IS NULL THEN 'refere
 fin AS (SELECT *, reason = '' AND klass <> 'unknown' AS analysable FROM cls)"""
 
 
+def calm(sql: str) -> str:
+    """``sql`` with the alternating open interest of ``driver_tables.snapshots(calm=True)``, which yields both classes."""
+    return sql.replace("1000 + 10 * value AS oi", f"1000 + CASE WHEN epoch_us(ts) // {D // 2} % 2 = 0 THEN 10.0 ELSE 0.02 END * value AS oi")
+
+
 def r6(*names: str) -> str:
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
 
@@ -372,8 +377,8 @@ def j11(spark, d):
 study_columns = "ref_bars w_bars oi_base_n oi_trough_n".split()
 
 
-def _study(spark, d) -> DataFrame:
-    return study.build(spark, d, P)
+def _study(spark, d, calm: bool = False) -> DataFrame:
+    return study.build(spark, d, P, calm)
 
 
 def study_query(name: str, columns: list[str], doubles: list[str]) -> None:
@@ -418,9 +423,9 @@ def a1(spark, d):
     return study.class_table(_study(spark, d))
 
 
-@query("a3_cluster_summary", f"{MEAS}, ep AS ({ISL.format(n='ep', g=405 * M)}), c AS (SELECT ep, count(*) AS n, count(*) FILTER (klass = 'contraction') AS a, count(*) FILTER (klass = 'limited') AS b FROM fin JOIN ep USING (symbol, e0) WHERE analysable AND klass IN ('contraction', 'limited') GROUP BY 1) SELECT coalesce(sum(n), 0)::bigint AS n, count(*) AS g, count(*) FILTER (a > 0 AND b > 0) AS g_mixed, count(*) FILTER (a > 0) AS g_contraction, count(*) FILTER (b > 0) AS g_limited, max(n) AS max_size, quantile_cont(n, 0.5) AS median_size FROM c")
+@query("a3_cluster_summary", f"{calm(MEAS)}, ep AS ({ISL.format(n='ep', g=405 * M)}), c AS (SELECT ep, count(*) AS n, count(*) FILTER (klass = 'contraction') AS a, count(*) FILTER (klass = 'limited') AS b FROM fin JOIN ep USING (symbol, e0) WHERE analysable AND klass IN ('contraction', 'limited') GROUP BY 1) SELECT coalesce(sum(n), 0)::bigint AS n, count(*) AS g, count(*) FILTER (a > 0 AND b > 0) AS g_mixed, count(*) FILTER (a > 0) AS g_contraction, count(*) FILTER (b > 0) AS g_limited, max(n) AS max_size, quantile_cont(n, 0.5) AS median_size FROM c")
 def a3(spark, d):
-    return study.cluster_summary(study.clustered(_study(spark, d)))
+    return study.cluster_summary(study.clustered(_study(spark, d, calm=True)))
 
 
 @query("a11_waterfall", f"{TRIG} SELECT symbol, count(*) FILTER (trigger) AS triggers, (SELECT count(*) FROM ons WHERE ons.symbol = t.symbol) AS onsets FROM trig t GROUP BY 1")
@@ -837,20 +842,20 @@ KMC = f"{MEAS}, rows_ AS (SELECT klass AS grp, rec_min AS d, rec_event AS ev FRO
 
 @query("a1_descriptive", f"{KMC}, g AS (SELECT klass, count(*) AS n, 100 * quantile_cont(doi, 0.5) AS median_doi_pct, 100 * quantile_cont(disp, 0.5) AS median_disp_x100, 100 * quantile_cont(p6h, 0.5) AS median_p6h_x100, 100 * quantile_cont(p24h, 0.5) AS median_p24h_x100, count(p24h) AS n_p24h, avg(rec_event::int) AS share_recovered, avg((NOT rec_event AND NOT rec_complete)::int) AS share_incomplete, quantile_cont(r_onset, 0.5) AS median_r_onset FROM fin WHERE analysable GROUP BY 1) SELECT klass, n, {r6('median_doi_pct', 'median_disp_x100', 'median_p6h_x100', 'median_p24h_x100')}, n_p24h, {r6('share_recovered', 'share_incomplete', 'median_r_onset')}, round(coalesce(att.s, 1.0), 6) AS km_unrecovered, round(coalesce(ar2.rmst, 1320.0), 6) AS rmst_min FROM g LEFT JOIN att ON att.grp = g.klass LEFT JOIN ar2 ON ar2.grp = g.klass")
 def a1d(spark, d):
-    return audit.descriptive(staged(_study(spark, d)))
+    return audit.descriptive(_study(spark, d))
 
 
-EFF = f"{KMC}, cx AS (SELECT * FROM fin WHERE analysable AND klass IN ('contraction', 'limited')), " + "vx AS (" + " UNION ALL ".join(f"SELECT '{n}' AS effect, klass, {c} * {k} AS v FROM cx" for n, c, k in audit.EFFECTS) + "), eff AS (SELECT effect, count(*) FILTER (klass = 'contraction') AS n1, count(*) FILTER (klass = 'limited') AS n2, quantile_cont(v, 0.5) FILTER (klass = 'contraction') - quantile_cont(v, 0.5) FILTER (klass = 'limited') AS est FROM vx WHERE v IS NOT NULL GROUP BY 1 UNION ALL SELECT 'E6', (SELECT count(*) FROM cx WHERE klass = 'contraction'), (SELECT count(*) FROM cx WHERE klass = 'limited'), CASE WHEN (SELECT count(DISTINCT klass) FROM cx) = 2 THEN (SELECT coalesce(max(rmst), 1320.0) FROM ar2 WHERE grp = 'contraction') - (SELECT coalesce(max(rmst), 1320.0) FROM ar2 WHERE grp = 'limited') END)"
+EFF = f"{calm(KMC)}, cx AS (SELECT * FROM fin WHERE analysable AND klass IN ('contraction', 'limited')), " + "vx AS (" + " UNION ALL ".join(f"SELECT '{n}' AS effect, klass, {c} * {k} AS v FROM cx" for n, c, k in audit.EFFECTS) + "), eff AS (SELECT effect, count(*) FILTER (klass = 'contraction') AS n1, count(*) FILTER (klass = 'limited') AS n2, quantile_cont(v, 0.5) FILTER (klass = 'contraction') - quantile_cont(v, 0.5) FILTER (klass = 'limited') AS est FROM vx WHERE v IS NOT NULL GROUP BY 1 UNION ALL SELECT 'E6', (SELECT count(*) FROM cx WHERE klass = 'contraction'), (SELECT count(*) FROM cx WHERE klass = 'limited'), CASE WHEN (SELECT count(DISTINCT klass) FROM cx) = 2 THEN (SELECT coalesce(max(rmst), 1320.0) FROM ar2 WHERE grp = 'contraction') - (SELECT coalesce(max(rmst), 1320.0) FROM ar2 WHERE grp = 'limited') END)"
 
 
 @query("e_effect_estimates", f"{EFF} SELECT effect, n1, n2, round(est, 6) AS est FROM eff")
 def eff(spark, d):
-    return audit.effect_estimates(staged(_study(spark, d)))
+    return audit.effect_estimates(_study(spark, d, calm=True))
 
 
 @query("a12_effects_row", f"{EFF} SELECT " + ", ".join(f"max({'round(est, 6)' if c == 'est' else c}) FILTER (effect = 'E{i}') AS e{i}_{c}" for i in (1, 3, 4, 5, 6) for c in ("est", "n1", "n2")) + " FROM eff")
 def a12(spark, d):
-    return audit.flattened(audit.effect_estimates(staged(_study(spark, d))))
+    return audit.flattened(audit.effect_estimates(_study(spark, d, calm=True)))
 
 
 SIGNS = {"E1": -1, "E3": -1, "E4": -1, "E5": -1, "E6": 1}
@@ -858,12 +863,12 @@ SIGNS = {"E1": -1, "E3": -1, "E4": -1, "E5": -1, "E6": 1}
 
 @query("e5_verdicts", f"{EFF} SELECT effect, round(est, 6) AS est, CASE WHEN est IS NULL THEN 'not comparable' WHEN sign(est) = CASE WHEN effect = 'E6' THEN 1 ELSE -1 END THEN 'same sign' WHEN est = 0 THEN 'no effect' ELSE 'other sign' END AS verdict FROM eff")
 def e5(spark, d):
-    return audit.verdicts(audit.effect_estimates(staged(_study(spark, d))), SIGNS)
+    return audit.verdicts(audit.effect_estimates(_study(spark, d, calm=True)), SIGNS)
 
 
 @query("r12_size_diagnostic", f"{MEAS}, a AS (SELECT klass, round(-doi, 9) AS x, round(ln(r_onset), 9) AS y, r_onset FROM fin WHERE analysable AND r_onset > 0), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM a) SELECT (SELECT round(corr(rx, ry), 6) FROM k) AS rho, round(quantile_cont(r_onset, 0.5) FILTER (klass = 'contraction'), 6) AS median_contraction, round(quantile_cont(r_onset, 0.5) FILTER (klass = 'limited'), 6) AS median_limited FROM a")
 def r12(spark, d):
-    return audit.size_diagnostic(staged(_study(spark, d)))
+    return audit.size_diagnostic(_study(spark, d))
 
 
 @query("m20_ratios", f"{MEAS}, c AS (SELECT symbol, bar // {D} AS d, arg_max(close, bar) AS close FROM bars GROUP BY 1, 2), rr AS (SELECT symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY d)) AS r FROM c), v AS (SELECT symbol, stddev_samp(r) AS vol FROM rr GROUP BY 1) SELECT round(0.0055 / nullif((SELECT quantile_cont(abs(disp), 0.5) FROM fin), 0), 6) AS over_displacement, round(0.0055 / nullif((SELECT avg(vol) FROM v), 0), 6) AS over_volatility")
@@ -896,17 +901,17 @@ def e4(spark, d):
 
 @query("e2_regression")
 def e2(spark, d):
-    return audit.size_regression(spark, study.clustered(_study(spark, d)), 9999)
+    return audit.size_regression(spark, study.clustered(_study(spark, d, calm=True)), 9999)
 
 
 @query("r12_regression")
 def r12r(spark, d):
-    return audit.response_regression(spark, study.clustered(_study(spark, d)), 9999)
+    return audit.response_regression(spark, study.clustered(_study(spark, d, calm=True)), 9999)
 
 
-@query("g7_curves", f"{MEAS}, rows_ AS (SELECT klass AS grp, rec_min AS d, rec_event AS ev FROM fin WHERE analysable AND klass IN ('contraction', 'limited')){KM[len(SURV):]}, gs AS (SELECT DISTINCT grp FROM rows_), pt AS (SELECT grp, 'step' AS mark, d, s, 0::bigint AS n_censored FROM km UNION ALL SELECT grp, 'start', 0.0, 1.0, 0 FROM gs UNION ALL SELECT grp, 'end', 1320.0, coalesce((SELECT min(s) FROM km WHERE km.grp = gs.grp), 1.0), 0 FROM gs UNION ALL SELECT grp, 'censored', d, coalesce((SELECT min(s) FROM km WHERE km.grp = r.grp AND km.d <= r.d), 1.0), count(*) FROM rows_ r WHERE NOT ev GROUP BY grp, d) SELECT grp AS klass, mark, round(d, 6)::double AS rec_min, round(s, 6) AS s, n_censored FROM pt")
+@query("g7_curves", f"{calm(MEAS)}, rows_ AS (SELECT klass AS grp, rec_min AS d, rec_event AS ev FROM fin WHERE analysable AND klass IN ('contraction', 'limited')){KM[len(SURV):]}, gs AS (SELECT DISTINCT grp FROM rows_), pt AS (SELECT grp, 'step' AS mark, d, s, 0::bigint AS n_censored FROM km UNION ALL SELECT grp, 'start', 0.0, 1.0, 0 FROM gs UNION ALL SELECT grp, 'end', 1320.0, coalesce((SELECT min(s) FROM km WHERE km.grp = gs.grp), 1.0), 0 FROM gs UNION ALL SELECT grp, 'censored', d, coalesce((SELECT min(s) FROM km WHERE km.grp = r.grp AND km.d <= r.d), 1.0), count(*) FROM rows_ r WHERE NOT ev GROUP BY grp, d) SELECT grp AS klass, mark, round(d, 6)::double AS rec_min, round(s, 6) AS s, n_censored FROM pt")
 def g7(spark, d):
-    return audit.curves(staged(_study(spark, d)))
+    return audit.curves(_study(spark, d, calm=True))
 
 
 from . import effect_queries, robustness_queries  # noqa: E402, F401  (they register their queries with the names above)

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import BARS, COV, DENSE, FILLS, LOUT, MEAS, ZERO, D, M, P, W, both_sql, query, r6, trig_sql
+from .catalog import BARS, COV, DENSE, FILLS, LOUT, MEAS, ZERO, D, M, OTHER, P, W, both_sql, calm, query, trig_sql
 from .operators import quality
 from .params import Study
 from .plans import audit, effects, grid, study, superseded
@@ -20,11 +20,6 @@ DRAWS, WILD, QUICK, QUICK_WILD = 4999, 9999, 499, 999
 SHORT_WARMUP, MASKED_H = 3, 1.0
 
 
-def calm(sql: str) -> str:
-    """``sql`` with the alternating open interest of ``driver_tables.snapshots(calm=True)``."""
-    return sql.replace("1000 + 10 * value AS oi", f"1000 + CASE WHEN epoch_us(ts) // {D // 2} % 2 = 0 THEN 10.0 ELSE 0.02 END * value AS oi")
-
-
 # ---- event tables
 
 
@@ -74,8 +69,6 @@ def events_sql(s: grid.Spec) -> str:
         tail = swap(tail, {"CASE WHEN n_prior >= 20 THEN q ELSE -0.025 END": "-0.025"})
     rec, more = "rec_min, rec_event", ""
     if s.passage != "rec":
-        from .catalog import OTHER
-
         more, rec = f", {OTHER}", f"(SELECT {s.passage}_min FROM m7 WHERE m7.symbol = f.symbol AND m7.e0 = f.e0) AS rec_min, (SELECT {s.passage}_event FROM m7 WHERE m7.symbol = f.symbol AND m7.e0 = f.e0) AS rec_event"
     intensity = {"onset": "r_onset", "window_total": f"(SELECT sum(notional) FROM trig t WHERE t.symbol = f.symbol AND t.e > f.e0 - {15 * M} AND t.e <= f.e0 + {w.after_min * M})", "none": "NULL::double"}[size]
     clear = f" AND NOT EXISTS (SELECT 1 FROM long_runs x WHERE x.symbol = f.symbol AND x.run_start < f.e0 + {w.after_min * M} AND x.run_end > f.e0 - {w.before_min * M})" if s.clear_of_runs else ""

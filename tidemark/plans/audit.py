@@ -126,23 +126,30 @@ def as_effect_events(old: DataFrame, p: Study) -> DataFrame:
     return study.clustered(ev).withColumn("short", F.col("ep6").cast("string")).withColumn("long", F.col("ep24").cast("string"))
 
 
+def _controls(rows: DataFrame) -> list[str]:
+    """The controls that the rows have: size where any is known, the symbol where there is more than one."""
+    seen = rows.agg(F.count("size").alias("sizes"), F.count_distinct("eth").alias("symbols")).first()
+    return ["size"] * (seen["sizes"] > 0) + ["eth"] * (seen["symbols"] > 1)
+
+
 def size_regression(spark: SparkSession, ev: DataFrame, draws: int) -> DataFrame:
     """E2: 100 times the size of the displacement on the class, the logarithm of size and the symbol, by episode; the
     report is about the class. Nulls where a class has fewer than three events."""
-    c = study.contrast(ev).where("intensity > 0 and disp is not null")
-    rows = c.select((100 * F.abs("disp")).alias("y"), (F.col("klass") == "contraction").cast("double").alias("one"), F.log("intensity").alias("size"), (F.col("symbol") == "ETH").cast("double").alias("eth"), "ep6")
-    n = rows.agg(F.count_if(F.col("one") == 1).alias("a"), F.count_if(F.col("one") == 0).alias("b")).first()
+    c = study.contrast(ev).where("disp is not null")
+    rows = c.select((100 * F.abs("disp")).alias("y"), (F.col("klass") == "contraction").cast("double").alias("one"), F.when(F.col("intensity") > 0, F.log("intensity")).alias("size"), (F.col("symbol") == "ETH").cast("double").alias("eth"), "ep6")
+    controls = _controls(rows)
+    n = rows.na.drop(subset=controls).agg(F.count_if(F.col("one") == 1).alias("a"), F.count_if(F.col("one") == 0).alias("b")).first()
     if min(n["a"], n["b"]) < 3:
         return spark.createDataFrame([(None,) * 11 + (n["a"] + n["b"],)], stats.REPORT)
-    return stats.regression_report(spark, rows, "y", ["one", "size", "eth"], "ep6", draws)
+    return stats.regression_report(spark, rows, "y", ["one", *controls], "ep6", draws)
 
 
 def response_regression(spark: SparkSession, ev: DataFrame, draws: int) -> DataFrame:
-    """R12: 100 times the size of the displacement on the percentage of open interest lost, beside the logarithm of the
-    window's notional and the symbol, over all analysable events, by episode; the report is about the loss."""
-    a = ev.where("analysable and notional_w > 0")
-    rows = a.select((100 * F.abs("disp")).alias("y"), (-100 * F.col("doi")).alias("lost"), F.log("notional_w").alias("size"), (F.col("symbol") == "ETH").cast("double").alias("eth"), "ep6")
-    return stats.regression_report(spark, rows, "y", ["lost", "size", "eth"], "ep6", draws)
+    """R12: 100 times the size of the displacement on the percentage of open interest lost, beside the logarithm of size
+    and the symbol, over all analysable events, by episode; the report is about the loss."""
+    a = ev.where("analysable")
+    rows = a.select((100 * F.abs("disp")).alias("y"), (-100 * F.col("doi")).alias("lost"), F.when(F.col("intensity") > 0, F.log("intensity")).alias("size"), (F.col("symbol") == "ETH").cast("double").alias("eth"), "ep6")
+    return stats.regression_report(spark, rows, "y", ["lost", *_controls(rows)], "ep6", draws)
 
 
 def curves(ev: DataFrame, tau: float = 1320.0) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import LOUT, D, M, P, dealt_sql, query
-from .effect_queries import FIRST_DAY, calm, swap
+from .catalog import LOUT, D, M, P, calm, dealt_sql, query
+from .effect_queries import FIRST_DAY, swap
 from .functions import stats
 from .plans import robustness, superseded
 from .plans.robustness import TRIGGERS, WINDOWS, Variant
