@@ -230,7 +230,7 @@ def piece_weights(counts: DataFrame, pieces: list[bytes], prior: np.ndarray, end
     return logs + math.log(mass / whole), math.log10((ends + 1) / whole)
 
 
-def corpus_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+def corpus_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are log10."""
     sc = docs.sparkSession.sparkContext
     counts = staged(count_words(docs, id_col, text_col))
