@@ -163,3 +163,40 @@ def test_shuffles_keep_the_values_and_draw_zero(spark):
     assert (none.est, none.p, none.n) == (None, None, 0)
     line = stats.spearman_permutation(d, "v", "id", 19).first()
     assert abs(line.est - 1) < 1e-12 and abs(line.p - 1 / 20) < 1e-12
+
+
+def test_a_rebuilt_table_that_differs_ends_the_job(spark):
+    stored = spark.createDataFrame([("A", 1, 1.0, "x"), ("A", 2, None, "y"), ("B", 1, 3.0, None)], "s string, t int, v double, k string")
+    assert quality.verified(stored.repartition(3), stored, ["s", "t"]).count() == 3
+    assert quality.verified(stored.withColumn("v", F.col("v") + 1e-13), stored, ["s", "t"]).count() == 3
+    cell = stored.withColumn("v", F.when(F.col("s") == "B", 3.0 + 1e-9).otherwise(F.col("v")))
+    with pytest.raises(quality.Mismatch, match="1 cells of v differ, first at B:1"):
+        quality.verified(cell, stored, ["s", "t"])
+    with pytest.raises(quality.Mismatch, match="1 cells of k differ, first at A:2"):
+        quality.verified(stored.withColumn("k", F.when(F.col("t") == 2, None).otherwise(F.col("k"))), stored, ["s", "t"])
+    with pytest.raises(quality.Mismatch, match="1 rows only in the stored table, first B:1"):
+        quality.verified(stored.where("s = 'A'"), stored, ["s", "t"])
+    counts = stored.groupBy("s").agg(F.count("*").alias("n"))
+    assert quality.expected(counts, ["s"], {("A",): {"n": 2}}).count() == 2
+    with pytest.raises(quality.Mismatch, match="n of B is 1, not 2"):
+        quality.expected(counts, ["s"], {("B",): {"n": 2}})
+
+
+def test_bins_may_arrive_out_of_order(spark):
+    from tidemark.params import MONTH
+    from tidemark.storage import shared_dir
+    from tidemark.streaming import clock as live
+
+    hour = 60 * MINUTE
+    rows = [(s, (i + 48) * hour, float((i * 7919 + len(s)) % 97) + (500.0 if i % 131 == 7 else 0.0)) for s in ("A", "BB") for i in range(20 * 24)]
+    d = spark.createDataFrame(rows, "symbol string, e bigint, r double")
+    part = F.floor((F.col("e") / hour + F.pmod(F.xxhash64("symbol", "e"), F.lit(10))) / 48)  # files overlap by some hours
+    path = f"{shared_dir(spark)}/late-bins"
+    for k in range(12):
+        d.where(part == k).orderBy(F.xxhash64("e")).coalesce(1).write.mode("append").parquet(path)
+    files = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = live.drained(live.trailing_triggers(files, MONTH, "12 hours"))
+    whole = live.drained(live.trailing_triggers(live.as_stream(d.coalesce(1).sortWithinPartitions("e")), MONTH))
+    end = got.agg(F.max("e")).first()[0]
+    assert end >= (20 * 24 - 14) * hour and got.where("trigger").count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in whole.collect() if r.e <= end)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import DAY, MINUTE
+from ..storage import staged
 
 LONG_CLOSES = ("Close Long", "Liquidated Cross Long", "Liquidated Isolated Long")
 
@@ -109,3 +110,52 @@ def missing_days(rows: DataFrame) -> DataFrame:
     have = rows.select("symbol", day.alias("d")).distinct()
     want = rows.groupBy("symbol").agg(F.min(day).alias("a"), F.max(day).alias("z")).select("symbol", F.explode(F.sequence("a", "z")).alias("d"))
     return want.join(have, ["symbol", "d"], "left_anti")
+
+
+class Mismatch(ValueError):
+    """A rebuilt table that is not the stored one."""
+
+
+def verified(rebuilt: DataFrame, stored: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """``rebuilt``, written; ends in ``Mismatch`` if its rows or cells are not those of ``stored``.
+
+    The expectations are observed while the table is written: rows that only one side has, and for every column the cells
+    that differ with the smallest key among them. Keys are unique on both sides; nulls equal nulls."""
+    values, kinds = [c for c in rebuilt.columns if c not in keys], dict(rebuilt.dtypes)
+    mine = rebuilt.select(*keys, F.lit(1).alias("_a"), *values)
+    other = stored.select(*keys, F.lit(1).alias("_b"), *[F.col(c).alias(f"_s_{c}") for c in values])
+    met = mine.join(other, keys, "full")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+
+    def differs(c: str):
+        p, q = F.col(c), F.col(f"_s_{c}")
+        far = F.abs(p - q) > tolerance if kinds[c] in ("double", "float") else p != q
+        return both & F.coalesce(far, p.isNull() != q.isNull())
+
+    watch = Observation("verified")
+    found = [F.count_if(F.col("_b").isNull()).alias("only_rebuilt"), F.min(F.when(F.col("_b").isNull(), name)).alias("first_only_rebuilt"), F.count_if(F.col("_a").isNull()).alias("only_stored"), F.min(F.when(F.col("_a").isNull(), name)).alias("first_only_stored")]
+    for i, c in enumerate(values):
+        found += [F.count_if(differs(c)).alias(f"n_{i}"), F.min(F.when(differs(c), name)).alias(f"at_{i}")]
+    out = staged(met.observe(watch, *found).where("_a is not null").select(*rebuilt.columns))
+    got = watch.get
+    faults = [f"{got[n]} rows only in the {side} table, first {got[f'first_{n}']}" for n, side in (("only_rebuilt", "rebuilt"), ("only_stored", "stored")) if got[n]]
+    faults += [f"{got[f'n_{i}']} cells of {c} differ, first at {got[f'at_{i}']}" for i, c in enumerate(values) if got[f"n_{i}"]]
+    if faults:
+        raise Mismatch("; ".join(faults))
+    return out
+
+
+def expected(summary: DataFrame, keys: list[str], values: dict[tuple, dict[str, float]], tolerance: float = 1e-12) -> DataFrame:
+    """``summary`` (few rows: counts, medians, coefficients of groups), ending in ``Mismatch`` if a value is not the published
+    one. ``values``: by the group's key, the figures that must hold."""
+    got = {tuple(r[k] for k in keys): r for r in summary.where(F.array_contains(F.array(*[F.lit("|".join(map(str, k))) for k in values]), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))).collect()}
+    faults = []
+    for key, figures in values.items():
+        for name, want in figures.items():
+            have = None if key not in got else got[key][name]
+            if have is None or abs(have - want) > tolerance:
+                faults.append(f"{name} of {':'.join(map(str, key))} is {have}, not {want}")
+    if faults:
+        raise Mismatch("; ".join(faults))
+    return summary

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .catalog import LOUT, D, M, P, calm, dealt_sql, query
 from .effect_queries import FIRST_DAY, swap
 from .functions import stats
-from .plans import robustness, superseded
+from .operators import quality
+from .plans import robustness, study, superseded
 from .plans.robustness import TRIGGERS, WINDOWS, Variant
 from .sources import driver_tables as src
 from .storage import staged
@@ -129,3 +130,21 @@ def e4_h2a(spark, d):
 @query("e4_h2b", slope_sql("transitory_share", ("abs(peak_disloc)", SIZE, ETH)))
 def e4_h2b(spark, d):
     return _continuous(spark, d, "transitory_share", ["abs_peak", "log_notional", "asset_eth"])
+
+
+# ---- the benchmark check: two builds of one table
+
+FIELDS = ("klass", "doi", "peak_disloc", "ttr_min", "censored", "perm_6h", "perm_24h", "transitory_share")
+
+
+@query("q7_benchmark", f"WITH t AS (WITH {calm(LOUT)} SELECT klass, peak_disloc, doi FROM lout) SELECT klass, count(*) AS n, round(quantile_cont(peak_disloc, 0.5), 6) AS med_peak, round(quantile_cont(doi, 0.5), 6) AS med_doi FROM t GROUP BY 1")
+def q7(spark, d):
+    """The single build is the stored table; the build of variants must give its rows and cells to 1e-12."""
+    snaps = staged(src.dense(spark, d, calm=True))
+    bars = staged(src.bars(snaps))
+    bars_oi, fills = superseded.bars_with_oi(bars, snaps), src.fills(spark, d)
+    stored = superseded.outcomes(study.legacy_events(fills, P), bars_oi, P).withColumnRenamed("doi_event", "doi")
+    again = robustness.built(fills, bars_oi, P, (Variant("base"),)).select("symbol", "t0", *FIELDS)
+    same = quality.verified(again, stored.select("symbol", "t0", *FIELDS), ["symbol", "t0"])
+    median = lambda c, name: F.percentile(c, F.lit(0.5)).alias(name)
+    return same.groupBy("klass").agg(F.count("*").alias("n"), median("peak_disloc", "med_peak"), median("doi", "med_doi"))

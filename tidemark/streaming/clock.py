@@ -32,29 +32,42 @@ def onset_sessions(triggers: DataFrame, p: Study, delay: str = "10 minutes") ->
     return chains.drop("w")
 
 
-def trailing_triggers(rolled: DataFrame, p: Study) -> DataFrame:
-    """(symbol, e, r, thr, trigger) of bins that arrive in order of time, batch by batch.
+def trailing_triggers(rolled: DataFrame, p: Study, delay: str | None = None) -> DataFrame:
+    """(symbol, e, r, thr, trigger) of bins. Without ``delay`` they must arrive in order of time, batch by batch. With it
+    they may come in any order within the delay: bins wait in state until the watermark has passed them, later ones are
+    dropped, and what the watermark has not passed at the end of the input is not given.
 
-    State holds one trail of rolling sums a symbol, whatever the stream's length. The threshold is the exact
-    quantile of the sums in [e - trail, e); warm-up counts from the first full rolling sum."""
+    State holds one trail of rolling sums a symbol, whatever the stream's length, and the bins that wait. The threshold is
+    the exact quantile of the sums in [e - trail, e); warm-up counts from the first full rolling sum."""
     trail, warm = p.clock.trail_days * DAY, p.clock.warmup_days * DAY
     schema = "symbol string, e bigint, r double, thr double, trigger boolean"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        g = pd.concat(list(batches)).dropna(subset=["r"]).sort_values("e")
-        if not len(g):
-            return
-        start, old_e, old_r = state.get if state.exists else (int(g["e"].iloc[0]), [], [])
-        e = np.concatenate((np.array(old_e, dtype=np.int64), g["e"].to_numpy(np.int64)))
-        r = np.concatenate((np.array(old_r, dtype=float), g["r"].to_numpy(float)))
-        thr = pd.Series(r, index=pd.to_datetime(e, unit="us")).rolling(f"{p.clock.trail_days}D", closed="left", min_periods=1).quantile(p.clock.quantile).to_numpy()[len(old_e) :]
-        now, value = e[len(old_e) :], r[len(old_e) :]
-        kept = e >= e[-1] - trail
-        state.update((start, e[kept].tolist(), r[kept].tolist()))
-        fired = (now >= start + warm) & (value > 0) & (value >= thr)
-        yield pd.DataFrame({"symbol": key[0], "e": now, "r": value, "thr": thr, "trigger": fired})
-
-    out = rolled.groupBy("symbol").applyInPandasWithState(step, schema, "start bigint, e array<bigint>, r array<double>", "append", GroupStateTimeout.NoTimeout)
+        start, old_e, old_r, wait_e, wait_r = state.get if state.exists else (None, [], [], [], [])
+        come = [] if state.hasTimedOut else [b[["e", "r"]] for b in batches]
+        come += [pd.DataFrame({"e": np.array(wait_e, dtype=np.int64), "r": np.array(wait_r, dtype=float)})] if len(wait_e) else []
+        g = pd.concat(come).dropna(subset=["r"]).drop_duplicates("e").sort_values("e")
+        if delay is None:
+            now, rest = g, g[:0]
+        else:
+            passed = state.getCurrentWatermarkMs() * 1000
+            now, rest = g[(g["e"] <= passed) & (g["e"] > (old_e[-1] if len(old_e) else -1))], g[g["e"] > passed]
+        start = start if start is not None or not len(now) else int(now["e"].iloc[0])
+        e = np.concatenate((np.array(old_e, dtype=np.int64), now["e"].to_numpy(np.int64)))
+        r = np.concatenate((np.array(old_r, dtype=float), now["r"].to_numpy(float)))
+        kept = e >= (e[-1] if len(e) else 0) - trail
+        state.update((start, e[kept].tolist(), r[kept].tolist(), rest["e"].astype("int64").tolist(), rest["r"].tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(int(rest["e"].iloc[0]) // 1000 + 1)
+        if len(now):
+            thr = pd.Series(r, index=pd.to_datetime(e, unit="us")).rolling(f"{p.clock.trail_days}D", closed="left", min_periods=1).quantile(p.clock.quantile).to_numpy()[len(old_e) :]
+            at, value = e[len(old_e) :], r[len(old_e) :]
+            fired = (at >= start + warm) & (value > 0) & (value >= thr)
+            yield pd.DataFrame({"symbol": key[0], "e": at, "r": value, "thr": thr, "trigger": fired})
+
+    timed = rolled if delay is None else rolled.withColumn("ts", F.timestamp_micros("e")).withWatermark("ts", delay)
+    held = "start bigint, e array<bigint>, r array<double>, wait_e array<bigint>, wait_r array<double>"
+    out = timed.groupBy("symbol").applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout if delay is None else GroupStateTimeout.EventTimeTimeout)
     return out.withColumn("thr", F.nanvl("thr", F.lit(None).cast("double")))
 
 
