@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linear, stats
-from ..storage import discard, staged
+from ..storage import staged, tidied
 
 #: Effects that are differences of medians: measure, factor and whether the clusters are the long ones.
 MEDIANS = (("E1", "disp", 100.0, False), ("E3", "p6h", 100.0, False), ("E4", "p24h", 100.0, True), ("E5", "reversion", 1.0, False))
@@ -188,6 +188,7 @@ def wild(per: DataFrame, fit: DataFrame, errors: DataFrame, draws: int, seed: in
     return sums.groupBy("spec").applyInArrow(ends, "spec string, p double, lo double, hi double")
 
 
+@tidied
 def effects(ev: DataFrame, draws: int = 0, wild_draws: int = 0, seed: int = 11) -> DataFrame:
     """(spec, effect, n1, n2, clusters, est, lo, hi, p, used): a row an effect of every setting that has contrast rows.
 

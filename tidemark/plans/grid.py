@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clock, measures
 from ..params import DAY, MINUTE, Study
-from ..storage import discard, staged
+from ..storage import discard, staged, tidied
 from . import study
 
 
@@ -122,6 +122,7 @@ def fired(t: DataFrame, specs: list[Spec]) -> DataFrame:
     return t.where(F.col("r") > 0).select("symbol", "e", "r", met).select("x.clock", "symbol", "e", "r", F.col("x.cut").alias("thr"), "x.quiet")
 
 
+@tidied
 def events(feeds: dict[str, DataFrame], bars: DataFrame, snaps: DataFrame, specs: list[Spec]) -> DataFrame:
     """Event tables of all settings as one, with the columns that ``effects`` asks for. ``feeds``: fills by name.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import permutation, stats
 from ..operators import clock, lookups, measures
 from ..params import MINUTE, Study
-from ..storage import staged
+from ..storage import staged, tidied
 from .superseded import LABELS
 
 M = MINUTE
@@ -70,6 +70,7 @@ def horizons(ev: DataFrame, grid: DataFrame, p: Study, troughs: tuple[int, ...],
     return staged(out)
 
 
+@tidied
 def built(fills: DataFrame, grid: DataFrame, p: Study, variants: tuple[Variant, ...]) -> DataFrame:
     """Events of all variants (variant, symbol, t0, liq_notional, doi, peak_disloc, perm_6h, perm_24h, transitory_share,
     ttr_min, censored, klass); the union of their onsets is measured once."""
@@ -98,6 +99,7 @@ def prepared(ev: DataFrame) -> DataFrame:
     return ev.withColumns({"abs_peak": F.abs("peak_disloc"), "log_notional": F.log(F.greatest("liq_notional", F.lit(1e-9))), "asset_eth": (F.col("symbol") == "ETH").cast("double"), "oi_destroyed": -F.col("doi")})
 
 
+@tidied
 def headline(cells: DataFrame, keys: list[str], draws: int = 0, seed: int = 0) -> DataFrame:
     """(keys, n_d, n_c, peak_diff, peak_p, tr_diff, tr_p, lr_chi2): medians of displacement and transitory share and the
     log-rank test of recovery, deleverage against churn, for every cell at once. p is null without ``draws``."""
@@ -122,6 +124,7 @@ def cells(ev: DataFrame, p: Study, week: tuple[int, int]) -> DataFrame:
     return ev.select("*", rules).withColumn("klass", F.col("x.now")).withColumn("rule", F.col("x.rule")).drop("x").withColumn("subset", F.explode(subsets)).withColumnRenamed("variant", "trigger")
 
 
+@tidied
 def validators(ev: DataFrame, checks: DataFrame, draws: int = 0, seed: int = 0) -> DataFrame:
     """(measure, n1, n2, est, p): size, forced closing, funding swing and later volatility by class; one label table, and for
     each measure its own rows without a value and its own statistic."""

@@ -9,15 +9,16 @@ from ..functions import stats
 from ..operators import clock, lookups, measures
 from ..params import DAY, MINUTE, Study
 from ..sources import driver_tables as src
-from ..storage import staged
+from ..storage import staged, tidied
 
 
+@tidied
 def build(spark: SparkSession, sf_dir: str, p: Study, calm: bool = False) -> DataFrame:
     """Fills to classified onsets, all symbols at once; written, as most readers use it more than once."""
     snaps = staged(src.dense(spark, sf_dir, calm))
     bars = staged(src.bars(snaps))
     ev = clock.onsets(clock.triggers(src.fills(spark, sf_dir), p), p)
-    return staged(measures.measured(ev, bars, snaps, p))
+    return measures.measured(ev, bars, snaps, p)
 
 
 def clustered(ev: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

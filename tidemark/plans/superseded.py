@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clock, lookups, measures
 from ..params import DAY, MINUTE, Study
-from ..storage import staged
+from ..storage import staged, tidied
 
 M = MINUTE
 LABELS = ("deleverage", "middle", "churn", "unknown")
@@ -28,6 +28,7 @@ def session(at: Column) -> Column:
     return F.when(hour < 8, "asia").when(hour < 13, "eu").when(hour < 17, "eu_us_overlap").otherwise("us")
 
 
+@tidied
 def outcomes(ev: DataFrame, grid: DataFrame, p: Study, censor_h: int = 24, trough_h: int = 2) -> DataFrame:
     """Outcomes and class of each (symbol, t0); events without a bar in the half hour before go.
 
@@ -88,9 +89,11 @@ def validators(ev: DataFrame, closing: DataFrame, funding: DataFrame, bars: Data
     return out.withColumn("adl", F.coalesce("_a", F.lit(False))).drop("_a")
 
 
-def membership(old: DataFrame, new: DataFrame, table: DataFrame, p: Study) -> DataFrame:
+@tidied
+def membership(old: DataFrame, new: DataFrame, table: DataFrame, p: Study, symbol_blind: bool = False) -> DataFrame:
     """Each old event (symbol, t0, t1, klass) with the onset of its own bin, else the first one near it, else why
-    it is gone; and the onsets no old event meets. Matching holds the symbol too.
+    it is gone; and the onsets no old event meets. Matching holds the symbol too; with ``symbol_blind`` an onset is no
+    longer new where an event of any symbol met its time, as the superseded comparison has it.
 
     One range join finds both kinds of match, as the own bin lies in the near range."""
     old, new, width = staged(old), staged(new.select("symbol", "e0", "klass", "analysable", "reason")), p.clock.width_min * M
@@ -109,6 +112,7 @@ def membership(old: DataFrame, new: DataFrame, table: DataFrame, p: Study) -> Da
         e0.alias("e0"), F.col("_m._klass").alias("corrected_class"), F.coalesce("_m.analysable", F.lit(False)).alias("analysable"),
         F.when(gone, cause).otherwise(F.col("_m.reason")).alias("exclusion"), F.when(e0 != own, (e0 - own) / M).alias("shift_min"),
     )
-    fresh = new.join(matched.select("symbol", "e0").where("e0 is not null").distinct(), ["symbol", "e0"], "left_anti")
+    on = ["e0"] if symbol_blind else ["symbol", "e0"]
+    fresh = new.join(matched.where("e0 is not null").select(*on).distinct(), on, "left_anti")
     fresh = fresh.select("symbol", F.lit(None).cast("bigint").alias("legacy_t0"), F.lit(None).cast("string").alias("legacy_class"), F.lit("new in corrected").alias("status"), "e0", F.col("klass").alias("corrected_class"), "analysable", F.col("reason").alias("exclusion"), F.lit(None).cast("double").alias("shift_min"))
     return matched.unionByName(fresh)

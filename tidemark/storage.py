@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables staged by the build that runs now, innermost last.
+_MADE: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("made", default=())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint directory. Where none is set, a local session gets a temporary one; on a
     cluster, whose executors cannot read such a folder, this raises."""
@@ -27,6 +34,8 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _MADE.get():
+        _MADE.get()[-1].append(out)
     return out
 
 
@@ -46,3 +55,25 @@ def staged_bytes(table: DataFrame) -> int:
     """Size of a staged table's files."""
     fs, where = _filesystem(table.sparkSession, table.staged_path)
     return fs.getContentSummary(where).getLength()
+
+
+def tidied(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``build`` with its result written and every other table deleted that it staged on the way."""
+
+    @functools.wraps(build)
+    def call(*args: object, **options: object) -> DataFrame:
+        made: list[DataFrame] = []
+        token = _MADE.set((*_MADE.get(), made))
+        out = None
+        try:
+            out = build(*args, **options)
+            out = out if hasattr(out, "staged_path") else staged(out)
+        finally:
+            _MADE.reset(token)
+            gone = {t.staged_path: t for t in made if out is None or t.staged_path != out.staged_path}
+            discard(*gone.values())
+        if _MADE.get():
+            _MADE.get()[-1].append(out)
+        return out
+
+    return call
