@@ -102,7 +102,7 @@ def test_components_of_plain_edges(spark):
 def test_query_columns(spark):
     from tidemark.llm import queries
 
-    first = {"op1_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op4_neardup": "doc_id n_shingles component_id kept", "op5_lm": "doc_id held_out n_tokens n_known train_tokens base_score score", "op6_warc": "page_id payload_bytes payload_digest record_type refers_to", "op7_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op8_mix": "doc_id size source_size target taken", "op9_repeats": "doc_id n_bytes n_removed n_spans kept_sha256", "op10_topk": "query_id rank vec_id score"}
+    first = {"op1_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op2_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature", "op4_neardup": "doc_id n_shingles component_id kept", "op5_lm": "doc_id held_out n_tokens n_known train_tokens base_score score", "op6_warc": "page_id payload_bytes payload_digest record_type refers_to", "op7_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op8_mix": "doc_id size source_size target taken", "op9_repeats": "doc_id n_bytes n_removed n_spans kept_sha256", "op10_topk": "query_id rank vec_id score", "op11_divergence": "lang source part item value rank", "op12_resample": "doc_id n_features weight score rank", "op13_near_vectors": "vec_id n_links component_id kept"}
     for name, columns in first.items():
         df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert df.columns[: len(columns.split())] == columns.split(), name
