@@ -200,3 +200,42 @@ def test_bins_may_arrive_out_of_order(spark):
     end = got.agg(F.max("e")).first()[0]
     assert end >= (20 * 24 - 14) * hour and got.where("trigger").count() > 0
     assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for r in whole.collect() if r.e <= end)
+
+
+def test_manifest_names_changed_and_missing_files(spark, tmp_path):
+    import hashlib
+
+    for name, data in (("a.bin", b"one"), ("b.bin", b"two"), ("c.bin", b"three")):
+        (tmp_path / name).write_bytes(data)
+    want = [("a.bin", hashlib.sha256(b"one").hexdigest()), ("b.bin", hashlib.sha256(b"2").hexdigest()), ("d.bin", hashlib.sha256(b"four").hexdigest())]
+    expected = spark.createDataFrame(want, "name string, sha256 string")
+    assert sorted(r.name for r in quality.manifest(spark, str(tmp_path), expected).collect()) == ["b.bin", "d.bin"]
+    assert quality.manifest(spark, str(tmp_path), expected.where("name = 'a.bin'")).count() == 0
+
+
+def test_builds_delete_what_they_staged(spark):
+    import os
+
+    from tidemark.storage import shared_dir, staged, tidied
+
+    folder = shared_dir(spark).removeprefix("file:")
+    there = lambda: {x for x in os.listdir(folder) if x.startswith("staged-")}
+
+    @tidied
+    def inner(n):
+        return staged(staged(spark.range(n)).withColumn("a", F.lit(1)))
+
+    @tidied
+    def outer(n):
+        return inner(n).where("id > 2")
+
+    @tidied
+    def broken(n):
+        staged(spark.range(n))
+        raise ValueError("no")
+
+    before = there()
+    out = outer(9)
+    with pytest.raises(ValueError):
+        broken(3)
+    assert out.count() == 6 and len(there() - before) == 1

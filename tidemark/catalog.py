@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import stats
 from .operators import clock, lookups, measures, quality
 from .params import DAY, MINUTE, MONTH
-from .plans import audit, study, superseded
+from .plans import audit, grid, study, superseded
 from .session import ship
 from .sources import context
 from .sources import driver_tables as src
@@ -437,7 +437,8 @@ def a11(spark, d):
 
 @query("g1_quantile_grid", " UNION ALL ".join(f"SELECT * FROM (WITH {trig_sql(q, quiet)} SELECT '{name}' AS spec, symbol, count(*) AS onsets FROM ons GROUP BY symbol)" for name, q, quiet in (("Primary", 0.99, 120), ("S2", 0.95, 120), ("S13a", 0.99, 60), ("S13b", 0.99, 180))))
 def g1(spark, d):
-    return study.grid(src.fills(spark, d), P, {"Primary": {}, "S2": {"quantile": 0.95}, "S13a": {"quiet_min": 60}, "S13b": {"quiet_min": 180}})
+    changes = {"Primary": {}, "S2": {"quantile": 0.95}, "S13a": {"quiet_min": 60}, "S13b": {"quiet_min": 180}}
+    return grid.onset_counts({"base": src.fills(spark, d)}, [grid.Spec(name, P.but(**c)) for name, c in changes.items()])
 
 
 def spec_sql(name: str, where: str = "true", q: float = 0.99, quiet: int = 120, warm: int = 7) -> str:
@@ -682,9 +683,9 @@ FROM leg l LEFT JOIN best b ON b.symbol = l.symbol AND b.t0 = l.t0 LEFT JOIN cor
 UNION ALL SELECT symbol, NULL, NULL, 'new in corrected', e0, klass, analysable, reason, NULL FROM cor c WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.symbol = c.symbol AND b.e0 = c.e0))"""
 
 
-def _members(spark, d) -> DataFrame:
+def _members(spark, d, symbol_blind: bool = False) -> DataFrame:
     table = staged(clock.triggers(src.fills(spark, d), P))
-    return superseded.membership(_old(spark, d).select("symbol", "t0", "t1", "klass"), _study(spark, d), table, P)
+    return superseded.membership(_old(spark, d).select("symbol", "t0", "t1", "klass"), _study(spark, d), table, P, symbol_blind)
 
 
 @query("g6_membership", f"{MEMBER} SELECT * FROM mem")
@@ -692,6 +693,11 @@ def g6(spark, d):
     return _members(spark, d)
 
 
+@query("g6_symbol_blind", f"{MEMBER.replace('b.symbol = c.symbol AND b.e0 = c.e0)', 'b.e0 = c.e0)')} SELECT status, count(*) AS n FROM mem GROUP BY 1")
+def g6b(spark, d):
+    return _members(spark, d, symbol_blind=True).groupBy("status").agg(F.count("*").alias("n"))
+
+
 @query("a7_membership_summary", f"{MEMBER} SELECT status, exclusion, count(*) AS n FROM mem GROUP BY 1, 2")
 def a7(spark, d):
     return _members(spark, d).groupBy("status", "exclusion").agg(F.count("*").alias("n"))
@@ -837,6 +843,11 @@ def a11s(spark, d):
     return audit.waterfall(src.fills(spark, d), P, 2)
 
 
+@query("a11_measured_stage", f"{MEAS}, w AS (SELECT symbol, count(*) AS onsets FROM fin WHERE analysable GROUP BY 1) SELECT 4::bigint AS stage, symbol, onsets FROM w UNION ALL SELECT 4, 'all', coalesce(sum(onsets), 0)::bigint FROM w")
+def a11m(spark, d):
+    return audit.measured_stage(_study(spark, d))
+
+
 KMC = f"{MEAS}, rows_ AS (SELECT klass AS grp, rec_min AS d, rec_event AS ev FROM fin WHERE analysable){KM[len(SURV):]}, st AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY grp ORDER BY d), 1320.0) AS nx FROM km WHERE d < 1320), ar2 AS (SELECT grp, min(d) + sum(s * (nx - d)) AS rmst FROM st GROUP BY grp), att AS (SELECT grp, min(s) AS s FROM km WHERE d <= 1320 GROUP BY grp)"
 
 

@@ -55,6 +55,13 @@ def waterfall(fills: DataFrame, p: Study, first_days: int) -> DataFrame:
     return out.unionByName(out.groupBy("stage").agg(F.lit("all").alias("symbol"), F.sum("triggers").alias("triggers"), F.sum("onsets").alias("onsets")))
 
 
+def measured_stage(ev: DataFrame) -> DataFrame:
+    """(stage, symbol, onsets): the waterfall's last step, onsets that could be measured and classified."""
+    kept = ev.where("analysable").groupBy("symbol").agg(F.count("*").alias("onsets"))
+    both = kept.unionByName(kept.agg(F.lit("all").alias("symbol"), F.coalesce(F.sum("onsets"), F.lit(0)).alias("onsets")))
+    return both.select(F.lit(4).cast("bigint").alias("stage"), "symbol", "onsets")
+
+
 def descriptive(ev: DataFrame, tau: float = 1320.0) -> DataFrame:
     """Counts, medians and recovery of each class of analysable events."""
     a = ev.where("analysable")

@@ -164,6 +164,17 @@ def events(feeds: dict[str, DataFrame], bars: DataFrame, snaps: DataFrame, specs
     return out
 
 
+@tidied
+def onset_counts(feeds: dict[str, DataFrame], specs: list[Spec]) -> DataFrame:
+    """(spec, symbol, onsets) of settings that need no measures: one trail, one pass over the triggers of all clocks."""
+    clocks, names = _ids([s.clock for s in specs]), {}
+    for s in specs:
+        names.setdefault(clocks[s.clock], []).append(F.lit(s.name))
+    new = clock.chained(fired(table(feeds, specs, None), specs), specs[0].study, by=["clock", "symbol"], quiet=F.col("quiet")).where("new")
+    per = new.groupBy("clock", F.substring_index("symbol", ":", -1).alias("symbol")).agg(F.count("*").alias("onsets"))
+    return per.select(F.explode(_choose("clock", names)).alias("spec"), "symbol", "onsets")
+
+
 #: Pairs of cluster columns, short and long, that the clustering sensitivity compares.
 CLUSTERINGS = (("ep6/ep24", "ep6", "ep24"), ("ep24/ep24", "ep24", "ep24"), ("ep6/ep6", "ep6", "ep6"), ("day/day", "day", "day"), ("week/week", "week", "week"), ("none/none", "none", "none"))
 

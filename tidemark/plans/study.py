@@ -54,16 +54,6 @@ def cluster_summary(ev: DataFrame, cluster: str = "ep6") -> DataFrame:
     return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("g"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("g_mixed"), F.count_if(F.col("a") > 0).alias("g_contraction"), F.count_if(F.col("b") > 0).alias("g_limited"), F.max("n").alias("max_size"), F.expr("percentile(n, 0.5D)").alias("median_size"))
 
 
-def effects(spark: SparkSession, ev: DataFrame, draws: int = 199) -> DataFrame:
-    """(effect, est, lo, hi): median differences E1, E3, E4 and E5 of contraction against limited."""
-    c = contrast(clustered(ev))
-    out = None
-    for name, value, cluster in (("E1", F.col("disp") * 100, "ep6"), ("E3", F.col("p6h") * 100, "ep6"), ("E4", F.col("p24h") * 100, "ep24"), ("E5", F.col("reversion"), "ep6")):
-        one = stats.median_difference(spark, c.withColumn("_v", value), "_v", "klass", "contraction", "limited", cluster, draws).select(F.lit(name).alias("effect"), "est", "lo", "hi")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def legacy_threshold(fills: DataFrame, p: Study) -> DataFrame:
     """Left labels, partial rolling sums, threshold with the current bin and at least seven days of it."""
     q = p.but(label="left", inclusive=True)
@@ -87,16 +77,6 @@ def overlapping(ev: DataFrame, runs: DataFrame, p: Study, keys: tuple[str, ...]
     return ev.join(hit, list(keys), "left").withColumn("overlaps", F.coalesce("_h", F.lit(False))).drop("_h")
 
 
-def grid(fills: DataFrame, p: Study, specs: dict[str, dict]) -> DataFrame:
-    """(spec, symbol, onsets) for each set of changed parameters."""
-    out = None
-    for name, changes in specs.items():
-        q = p.but(**changes)
-        one = clock.chained(clock.triggers(fills, q).where("trigger"), q).where("new").groupBy("symbol").agg(F.count("*").alias("onsets")).select(F.lit(name).alias("spec"), "symbol", "onsets")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def lagged_changes(bars: DataFrame, rows: int) -> DataFrame:
     before = F.lag("close", rows).over(Window.partitionBy("symbol").orderBy("bar"))
     return bars.select("symbol", "bar", (F.col("close") / before - 1).alias("pct"), F.log(F.col("close") / before).alias("logret"))

@@ -44,9 +44,11 @@ def trailing_triggers(rolled: DataFrame, p: Study, delay: str | None = None) ->
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, old_e, old_r, wait_e, wait_r = state.get if state.exists else (None, [], [], [], [])
-        come = [] if state.hasTimedOut else [b[["e", "r"]] for b in batches]
+        come = [] if state.hasTimedOut else [b for b in (b[["e", "r"]].dropna(subset=["r"]) for b in batches) if len(b)]
         come += [pd.DataFrame({"e": np.array(wait_e, dtype=np.int64), "r": np.array(wait_r, dtype=float)})] if len(wait_e) else []
-        g = pd.concat(come).dropna(subset=["r"]).drop_duplicates("e").sort_values("e")
+        if not come:
+            return
+        g = pd.concat(come).drop_duplicates("e").sort_values("e")
         if delay is None:
             now, rest = g, g[:0]
         else:
