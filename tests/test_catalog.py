@@ -9,9 +9,9 @@ import pytest
 from tidemark.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = ["f3_side_check", "o7_dropped_rows", "q2_grid_gaps", "a6_duplicate_profile", "b8_zero_runs", "b9_masked_bins", "b3_rolling_partial", "c1_onsets", "c7_episodes", "j1_asof_max_age", "j2_limited_fill", "m9_classify", "k1_kaplan_meier", "k4_robust_logrank", "r2_cr1", "r8_median_diff", "r9_permutation", "r10_ols_permutation", "k3_rmst_difference", "k5_stratified_logrank", "m13_legacy_outcomes", "c5_prototype_events", "m16_validators", "g6_membership", "q1_audit", "a11_waterfall_stages", "b10_stage_triggers", "m19_gap_ranges", "s3_asset_context", "f2_fallback_sells", "e_effect_estimates", "g1_onset_specs", "g1_reinstated_spec", "m7_other_passages", "g7_curves", "r4_wild_bootstrap", "r11_spearman_permutation", "r10_slope_permutation", "e4_recovery_spearman", "m12_study", "m14_prototype_outcomes", "t1s_stream_bins", "t2s_stream_chains", "t3s_stream_triggers", "a12_effects_row", "e5_verdicts", "a3_cluster_summary", "g1_effects", "g2_clusterings", "g3_grid", "g4_windows", "g5_legacy_effects", "e4_h2b", "e3_validator_estimates"]
+CHOSEN = ["f3_side_check", "o7_dropped_rows", "q2_grid_gaps", "a6_duplicate_profile", "b8_zero_runs", "b9_masked_bins", "b3_rolling_partial", "c1_onsets", "c7_episodes", "j1_asof_max_age", "j2_limited_fill", "m9_classify", "k1_kaplan_meier", "k4_logrank", "k4_robust_logrank", "r2_cr1", "r8_median_diff", "r9_permutation", "r10_ols_permutation", "k3_rmst_difference", "k5_stratified_logrank", "m13_legacy_outcomes", "c5_prototype_events", "m16_validators", "g6_membership", "q1_audit", "a11_waterfall_stages", "b10_stage_triggers", "m19_gap_ranges", "s3_asset_context", "f2_fallback_sells", "e_effect_estimates", "g1_onset_specs", "g1_reinstated_spec", "m7_other_passages", "g7_curves", "r4_wild_bootstrap", "r11_spearman_permutation", "r10_slope_permutation", "e4_recovery_spearman", "m12_study", "m14_prototype_outcomes", "t1s_stream_bins", "t2s_stream_chains", "t3s_stream_triggers", "a12_effects_row", "e5_verdicts", "a3_cluster_summary", "g1_effects", "g1_counts", "g2_clusterings", "g3_grid", "g4_windows", "g5_legacy_effects", "e4_h2b", "e3_validator_estimates"]
 #: Queries whose estimates must not be null on any size of the tables.
-KNOWN = {"e_effect_estimates": "est", "a12_effects_row": "e1_est", "g1_effects": "est", "g2_clusterings": "est", "g3_grid": "peak_diff", "g4_windows": "peak_diff", "g5_legacy_effects": "est", "e4_h2b": "est", "e3_validator_estimates": "est"}
+KNOWN = {"g1_counts": "e2_p_cr1", "e_effect_estimates": "est", "a12_effects_row": "e1_est", "g1_effects": "est", "g2_clusterings": "est", "g3_grid": "peak_diff", "g4_windows": "peak_diff", "g5_legacy_effects": "est", "e4_h2b": "est", "e3_validator_estimates": "est"}
 
 
 @pytest.fixture(scope="module")

@@ -160,6 +160,7 @@ def test_regressions_of_many_settings_equal_single_ones(spark):
         r = got[spec]
         assert np.allclose([r.est, r.se, r.g_eff, r.p], [want.coef, want.se_cr1, want.g_eff, want.p_wcr]) and r.clusters == want.g
         assert np.allclose([r.lo, r.hi], [want.lo_wcr, want.hi_wcr], rtol=0.02, atol=0.05 * r.se)
+        assert abs(r.p_cr1 - want.p_cr1) < 1e-6
 
 
 def test_verdicts_ask_for_sign_and_interval(spark):

@@ -42,6 +42,19 @@ def unsigned_zero(sql: str) -> str:
     return sql
 
 
+def chi_square_sql(x: str) -> str:
+    """Tail of chi-square with one degree of freedom, by the series of the incomplete gamma function."""
+    terms = "list_sum([exp(-x_ / 2 + (k + 0.5) * ln(x_ / 2) - lgamma(k + 1.5)) for k in range(400)])"
+    return f"(SELECT CASE WHEN x_ = 0 THEN 1.0 WHEN x_ > 300 THEN 0.0 ELSE 1 - {terms} END FROM (SELECT {x} AS x_))"
+
+
+def student_sql(t: str, df: str) -> str:
+    """Two-sided tail of Student's t with whole degrees of freedom, with the coefficients as ratios of gamma functions."""
+    even = "sin(a) * coalesce(list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(cos(a), 2 * k) for k in range(f // 2)]), 0)"
+    odd = "2 / pi() * (a + sin(a) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow(cos(a), 2 * k + 1) for k in range(f // 2)]), 0))"
+    return f"(SELECT CASE WHEN f < 1 THEN NULL WHEN f % 2 = 1 THEN 1 - {odd} ELSE 1 - {even} END FROM (SELECT f, atan(abs(t) / sqrt(f)) AS a FROM (SELECT {t} AS t, {df} AS f)))"
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         @functools.wraps(f)
@@ -503,14 +516,14 @@ def k2(spark, d):
 LR = f"{SURV}, per AS (SELECT d, count(*) AS c, count(*) FILTER (grp = 'A') AS c1, count(*) FILTER (ev) AS dd, count(*) FILTER (ev AND grp = 'A') AS d1 FROM rows_ GROUP BY 1), t AS (SELECT d, dd, d1, sum(c) OVER (ORDER BY d DESC) AS n, sum(c1) OVER (ORDER BY d DESC) AS n1 FROM per)"
 
 
-@query("k4_logrank", f"{LR}, x AS (SELECT sum(d1 - dd * n1 / n) AS u, sum(CASE WHEN n > 1 THEN dd * (n1 / n) * (1 - n1 / n) * (n - dd) / (n - 1) ELSE 0 END) AS v FROM t WHERE dd > 0) SELECT round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chi2 FROM x")
+@query("k4_logrank", f"{LR}, x AS (SELECT sum(d1 - dd * n1 / n) AS u, sum(CASE WHEN n > 1 THEN dd * (n1 / n) * (1 - n1 / n) * (n - dd) / (n - 1) ELSE 0 END) AS v FROM t WHERE dd > 0) SELECT round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chi2, round({chi_square_sql('u * u / v')}, 6) AS p FROM x")
 def k4(spark, d):
     return stats.log_rank(survival(spark, d), "A")
 
 
-@query("k4_robust_logrank", f"{LR}, h AS (SELECT d, n1 / n AS zbar, sum(dd / n) OVER (ORDER BY d) AS h, sum(dd / n * (n1 / n)) OVER (ORDER BY d) AS hz FROM t), w AS (SELECT cl, sum(CASE WHEN ev THEN (grp = 'A')::int - zbar ELSE 0 END - ((grp = 'A')::int * h - hz)) AS w FROM rows_ JOIN h USING (d) GROUP BY cl) SELECT round(sum(w), 4) AS u, round(sum(w * w), 4) AS v, round(sum(w) * sum(w) / sum(w * w), 4) AS chi2 FROM w")
+@query("k4_robust_logrank", f"{LR}, h AS (SELECT d, n1 / n AS zbar, sum(dd / n) OVER (ORDER BY d) AS h, sum(dd / n * (n1 / n)) OVER (ORDER BY d) AS hz FROM t), w AS (SELECT cl, sum(CASE WHEN ev THEN (grp = 'A')::int - zbar ELSE 0 END - ((grp = 'A')::int * h - hz)) AS w FROM rows_ JOIN h USING (d) GROUP BY cl) SELECT round(sum(w), 4) AS u, round(sum(w * w), 4) AS v, round(sum(w) * sum(w) / sum(w * w), 4) AS chi2, round({chi_square_sql('y')}, 4) AS p FROM w, (SELECT sum(w) * sum(w) / sum(w * w) AS y FROM w) GROUP BY y")
 def k4r(spark, d):
-    return stats.robust_log_rank(survival(spark, d), "A", "cl").select(*[F.round(c, 4).alias(c) for c in ("u", "v", "chi2")])
+    return stats.robust_log_rank(survival(spark, d), "A", "cl").select(*[F.round(c, 4).alias(c) for c in ("u", "v", "chi2", "p")])
 
 
 def regression(spark, d) -> DataFrame:
@@ -739,7 +752,7 @@ def k3(spark, d):
     return stats.rmst_difference(spark, survival(spark, d), "A", "N", "cl", 40.0, 49)
 
 
-@query("k5_stratified_logrank", "r0 AS (SELECT l_returnflag AS grp, l_quantity AS d, l_linestatus = 'F' AS ev, l_extendedprice AS size FROM lineitem WHERE l_returnflag IN ('A', 'N')), r1 AS (SELECT *, CASE WHEN size <= (SELECT quantile_cont(size, 0.5) FROM r0) THEN 'small' ELSE 'large' END AS stratum FROM r0), per AS (SELECT stratum, d, count(*) AS c, count(*) FILTER (grp = 'A') AS c1, count(*) FILTER (ev) AS dd, count(*) FILTER (ev AND grp = 'A') AS d1 FROM r1 GROUP BY 1, 2), t AS (SELECT stratum, d, dd, d1, sum(c) OVER w AS n, sum(c1) OVER w AS n1 FROM per WINDOW w AS (PARTITION BY stratum ORDER BY d DESC)), x AS (SELECT stratum, sum(d1 - dd * n1 / n) AS u, sum(CASE WHEN n > 1 THEN dd * (n1 / n) * (1 - n1 / n) * (n - dd) / (n - 1) ELSE 0 END) AS v FROM t WHERE dd > 0 GROUP BY 1) SELECT stratum, round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chi2 FROM x")
+@query("k5_stratified_logrank", "r0 AS (SELECT l_returnflag AS grp, l_quantity AS d, l_linestatus = 'F' AS ev, l_extendedprice AS size FROM lineitem WHERE l_returnflag IN ('A', 'N')), r1 AS (SELECT *, CASE WHEN size <= (SELECT quantile_cont(size, 0.5) FROM r0) THEN 'small' ELSE 'large' END AS stratum FROM r0), per AS (SELECT stratum, d, count(*) AS c, count(*) FILTER (grp = 'A') AS c1, count(*) FILTER (ev) AS dd, count(*) FILTER (ev AND grp = 'A') AS d1 FROM r1 GROUP BY 1, 2), t AS (SELECT stratum, d, dd, d1, sum(c) OVER w AS n, sum(c1) OVER w AS n1 FROM per WINDOW w AS (PARTITION BY stratum ORDER BY d DESC)), x AS (SELECT stratum, sum(d1 - dd * n1 / n) AS u, sum(CASE WHEN n > 1 THEN dd * (n1 / n) * (1 - n1 / n) * (n - dd) / (n - 1) ELSE 0 END) AS v FROM t WHERE dd > 0 GROUP BY 1) SELECT stratum, round(u, 6) AS u, round(v, 6) AS v, round(u * u / v, 6) AS chi2, round(" + chi_square_sql("u * u / v") + ", 6) AS p FROM x")
 def k5(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet").where(F.col("l_returnflag").isin("A", "N"))
     return stats.stratified_log_rank(li.select(F.col("l_returnflag").alias("grp"), F.col("l_quantity").alias("d"), (F.col("l_linestatus") == "F").alias("ev"), F.col("l_extendedprice").alias("size")), "A", "size")

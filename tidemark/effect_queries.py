@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import BARS, COV, DENSE, FILLS, LOUT, MEAS, ZERO, D, M, OTHER, P, W, both_sql, calm, query, trig_sql
+from .catalog import BARS, COV, DENSE, FILLS, LOUT, MEAS, ZERO, D, M, OTHER, P, W, both_sql, calm, chi_square_sql, query, student_sql, trig_sql
 from .operators import quality
 from .params import Study
 from .plans import audit, effects, grid, study, superseded
@@ -83,7 +83,7 @@ def effects_sql(ev: str) -> str:
     without = lambda z, cols: ", ".join(f"{c} - {z} * coalesce(sum({c} * {z}) OVER w / nullif(sum({z} * {z}) OVER w, 0), 0) AS {c}" for c in cols)
     return f"""{ev}, cx AS (SELECT *, klass = 'contraction' AS one FROM ev WHERE analysable AND klass IN ('contraction', 'limited')),
 cells AS (SELECT * FROM ({cells}) WHERE v IS NOT NULL),
-med AS (SELECT spec, effect, count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2, count(DISTINCT cl) AS clusters, quantile_cont(v, 0.5) FILTER (one) - quantile_cont(v, 0.5) FILTER (NOT one) AS est, NULL::double AS p FROM cells GROUP BY 1, 2),
+med AS (SELECT spec, effect, count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2, count(DISTINCT cl) AS clusters, quantile_cont(v, 0.5) FILTER (one) - quantile_cont(v, 0.5) FILTER (NOT one) AS est, NULL::double AS chi2, NULL::double AS p_cr1, NULL::double AS g_eff FROM cells GROUP BY 1, 2),
 rc AS (SELECT spec, one, long AS cl, rec_min AS d, rec_event AS ev, tau FROM cx WHERE rec_min IS NOT NULL),
 kp AS (SELECT spec, one, tau, d, count(*) AS n, count(*) FILTER (ev) AS deaths FROM rc GROUP BY 1, 2, 3, 4),
 ka AS (SELECT *, sum(n) OVER (PARTITION BY spec, one ORDER BY d DESC) AS at_risk FROM kp),
@@ -95,15 +95,18 @@ lu AS (SELECT *, sum(n_at) OVER dn AS n, sum(n1_at) OVER dn / sum(n_at) OVER dn
 lv AS (SELECT *, sum(dd / n) OVER up AS h, sum(dd / n * zbar) OVER up AS hz FROM lu WINDOW up AS (PARTITION BY spec ORDER BY d)),
 lw AS (SELECT spec, cl, sum(CASE WHEN ev THEN one::int - zbar ELSE 0 END - (one::int * h - hz)) AS w FROM rc JOIN lv USING (spec, d) GROUP BY 1, 2),
 lx AS (SELECT spec, sum(w) * sum(w) / nullif(sum(w * w), 0) AS chi2 FROM lw GROUP BY 1),
-e6 AS (SELECT spec, 'E6' AS effect, (SELECT count(*) FROM rc r WHERE r.spec = k.spec AND one) AS n1, (SELECT count(*) FROM rc r WHERE r.spec = k.spec AND NOT one) AS n2, (SELECT count(DISTINCT cl) FROM rc r WHERE r.spec = k.spec) AS clusters, max(rmst) FILTER (one) - max(rmst) FILTER (NOT one) AS est, (SELECT chi2 FROM lx WHERE lx.spec = k.spec) AS p FROM kr k GROUP BY spec),
+e6 AS (SELECT spec, 'E6' AS effect, (SELECT count(*) FROM rc r WHERE r.spec = k.spec AND one) AS n1, (SELECT count(*) FROM rc r WHERE r.spec = k.spec AND NOT one) AS n2, (SELECT count(DISTINCT cl) FROM rc r WHERE r.spec = k.spec) AS clusters, max(rmst) FILTER (one) - max(rmst) FILTER (NOT one) AS est, (SELECT chi2 FROM lx WHERE lx.spec = k.spec) AS chi2, NULL::double AS p_cr1, NULL::double AS g_eff FROM kr k GROUP BY spec),
 r0 AS (SELECT *, klass = 'contraction' AS one FROM ev WHERE analysable AND (continuous OR klass IN ('contraction', 'limited'))),
-r1 AS (SELECT spec, one, short AS cl, 100 * abs(disp) AS y, CASE WHEN continuous THEN -100 * doi ELSE one::int::double END AS x, CASE WHEN sized THEN CASE WHEN intensity > 0 THEN ln(intensity) END ELSE 0.0 END AS size, CASE WHEN min(symbol) OVER (PARTITION BY spec) < max(symbol) OVER (PARTITION BY spec) THEN (symbol = 'ETH')::int::double ELSE 0.0 END AS eth FROM r0),
+r1 AS (SELECT spec, one, short AS cl, 100 * abs(disp) AS y, CASE WHEN continuous THEN -100 * doi ELSE one::int::double END AS x, CASE WHEN sized THEN CASE WHEN intensity > 0 THEN ln(intensity) END ELSE 0.0 END AS size, CASE WHEN min(symbol) OVER (PARTITION BY spec) < max(symbol) OVER (PARTITION BY spec) THEN (symbol = 'ETH')::int::double ELSE 0.0 END AS eth, 2 + sized::int + (min(symbol) OVER (PARTITION BY spec) < max(symbol) OVER (PARTITION BY spec))::int AS k FROM r0),
 r2 AS (SELECT * FROM r1 WHERE y IS NOT NULL AND x IS NOT NULL AND size IS NOT NULL),
-r3 AS (SELECT spec, one, cl, {centred(('y', 'x', 'size', 'eth'))} FROM r2),
-r4 AS (SELECT spec, one, cl, {without('size', ('y', 'x', 'eth'))} FROM r3 WINDOW w AS (PARTITION BY spec)),
-r5 AS (SELECT spec, one, cl, {without('eth', ('y', 'x'))} FROM r4 WINDOW w AS (PARTITION BY spec)),
-e2 AS (SELECT spec, 'E2' AS effect, count(*) FILTER (one) AS n1, count(*) FILTER (NOT one) AS n2, count(DISTINCT cl) AS clusters, sum(x * y) / sum(x * x) AS est, NULL::double AS p FROM r5 GROUP BY 1),
-eff AS (SELECT e.spec, effect, n1, n2, clusters, CASE WHEN ok THEN est END AS est, CASE WHEN ok THEN p END AS p FROM (SELECT u.*, (effect = 'E2' OR least(n1, n2) >= 3) AND least(a, b) >= 3 AS ok FROM (SELECT * FROM med UNION ALL SELECT * FROM e6 UNION ALL SELECT * FROM e2) u JOIN (SELECT spec, count(*) FILTER (one) AS a, count(*) FILTER (NOT one) AS b FROM cx GROUP BY 1) k ON k.spec = u.spec) e)"""
+r3 AS (SELECT spec, one, cl, k, {centred(('y', 'x', 'size', 'eth'))} FROM r2),
+r4 AS (SELECT spec, one, cl, k, {without('size', ('y', 'x', 'eth'))} FROM r3 WINDOW w AS (PARTITION BY spec)),
+r5 AS (SELECT spec, one, cl, k, {without('eth', ('y', 'x'))} FROM r4 WINDOW w AS (PARTITION BY spec)),
+r6 AS (SELECT *, sum(x * y) OVER w / sum(x * x) OVER w AS b, sum(x * x) OVER w AS sxx FROM r5 WINDOW w AS (PARTITION BY spec)),
+r7 AS (SELECT spec, cl, any_value(b) AS b, any_value(k) AS k, count(*) AS n, count(*) FILTER (one) AS n1, sum(x * (y - b * x) / sxx) AS s, sum(x / sxx) AS w FROM r6 GROUP BY 1, 2),
+r8 AS (SELECT spec, any_value(b) AS b, sum(n)::bigint AS n, sum(n1)::bigint AS n1, count(*) AS g, any_value(k) AS k, sum(s * s) AS ss, count(*) / (1 + var_pop(w * w) / pow(avg(w * w), 2)) AS g_eff FROM r7 GROUP BY 1),
+e2 AS (SELECT spec, 'E2' AS effect, n1, n - n1 AS n2, g AS clusters, b AS est, NULL::double AS chi2, {student_sql('b / sqrt(g / (g - 1) * (n - 1) / (n - k) * ss)', 'g - 1')} AS p_cr1, g_eff FROM r8),
+eff AS (SELECT e.spec, effect, n1, n2, clusters, CASE WHEN ok THEN est END AS est, CASE WHEN ok THEN chi2 END AS chi2, CASE WHEN ok THEN {chi_square_sql('chi2')} END AS p, CASE WHEN ok THEN p_cr1 END AS p_cr1, CASE WHEN ok THEN g_eff END AS g_eff FROM (SELECT u.*, (effect = 'E2' OR least(n1, n2) >= 3) AND least(a, b) >= 3 AS ok FROM (SELECT * FROM med UNION ALL SELECT * FROM e6 UNION ALL SELECT * FROM e2) u JOIN (SELECT spec, count(*) FILTER (one) AS a, count(*) FILTER (NOT one) AS b FROM cx GROUP BY 1) k ON k.spec = u.spec) e)"""
 
 
 def _islands(hours: int) -> str:
@@ -118,11 +121,11 @@ def with_clusters(ev0: str, short: str = "ep6", long: str = "ep24") -> str:
 FIRST_DAY = 19723 * D
 SPECS = grid.declared(P, (FIRST_DAY + 10 * D, FIRST_DAY + 18 * D), SHORT_WARMUP, MASKED_H)
 GRID = effects_sql(with_clusters(" UNION ALL ".join(map(events_sql, SPECS))) + ", ev AS (SELECT *, ep6 AS short, ep24 AS long FROM ev1)")
-ESTIMATES = "spec, effect, n1, n2, clusters, round(est, 6) AS est, round(p, 6) AS chi2"
+ESTIMATES = "spec, effect, n1, n2, clusters, round(est, 6) AS est, round(chi2, 6) AS chi2, round(p, 6) AS p, round(p_cr1, 6) AS p_cr1, round(g_eff, 6) AS g_eff"
 
 
 def estimates(found: DataFrame) -> DataFrame:
-    return found.select("spec", "effect", "n1", "n2", "clusters", "est", F.when(F.col("effect") == "E6", F.col("p")).alias("chi2"))
+    return found.select("spec", "effect", "n1", "n2", "clusters", "est", "chi2", F.when(F.col("effect") == "E6", F.col("p")).alias("p"), "p_cr1", "g_eff")
 
 
 @query("g1_effects", f"{GRID} SELECT {ESTIMATES} FROM eff")
@@ -135,7 +138,7 @@ def g7_forest(spark, d):
     return effects.effects(grid_events(spark, d)).where("effect in ('E1', 'E2') and not startswith(spec, 'S6') and spec <> 'S12'").select("spec", "effect", "est")
 
 
-@query("g1_counts", f"{GRID}, k AS (SELECT spec, short, count(*) FILTER (one) AS a, count(*) FILTER (NOT one) AS b FROM cx GROUP BY 1, 2), k2 AS (SELECT spec, count(DISTINCT long) AS g_long FROM cx GROUP BY 1), wide AS (SELECT spec, " + ", ".join(f"max(est) FILTER (effect = 'E{i}') AS e{i}_est" for i in range(1, 7)) + f", max(p) FILTER (effect = 'E6') AS e6_p FROM eff GROUP BY 1) SELECT k.spec, sum(a)::bigint AS n_contraction, sum(b)::bigint AS n_limited, count(*) AS g_short, count(*) FILTER (a > 0 AND b > 0) AS g_short_mixed, any_value(g_long) AS g_long, (SELECT count(*) FROM ev WHERE ev.spec = k.spec AND analysable) AS n_analysable, {', '.join(f'round(any_value(e{i}_est), 6) AS e{i}_est' for i in range(1, 7))}, round(any_value(e6_p), 6) AS e6_p FROM k JOIN k2 USING (spec) LEFT JOIN wide USING (spec) GROUP BY k.spec")
+@query("g1_counts", f"{GRID}, k AS (SELECT spec, short, count(*) FILTER (one) AS a, count(*) FILTER (NOT one) AS b FROM cx GROUP BY 1, 2), k2 AS (SELECT spec, count(DISTINCT long) AS g_long FROM cx GROUP BY 1), wide AS (SELECT spec, " + ", ".join(f"max(est) FILTER (effect = 'E{i}') AS e{i}_est" for i in range(1, 7)) + f", max(p) FILTER (effect = 'E6') AS e6_p, max(p_cr1) AS e2_p_cr1, max(g_eff) AS e2_g_eff, max(clusters) FILTER (effect = 'E2') AS e2_clusters FROM eff GROUP BY 1) SELECT k.spec, sum(a)::bigint AS n_contraction, sum(b)::bigint AS n_limited, count(*) AS g_short, count(*) FILTER (a > 0 AND b > 0) AS g_short_mixed, any_value(g_long) AS g_long, (SELECT count(*) FROM ev WHERE ev.spec = k.spec AND analysable) AS n_analysable, {', '.join(f'round(any_value(e{i}_est), 6) AS e{i}_est' for i in range(1, 7))}, round(any_value(e6_p), 6) AS e6_p, round(any_value(e2_p_cr1), 6) AS e2_p_cr1, round(any_value(e2_g_eff), 6) AS e2_g_eff, any_value(e2_clusters) AS e2_clusters FROM k JOIN k2 USING (spec) LEFT JOIN wide USING (spec) GROUP BY k.spec")
 def g1_counts(spark, d):
     return _flat(grid_events(spark, d), 0, 0).drop("e2_p", *[f"e{i}_{c}" for i in range(1, 7) for c in ("lo", "hi")])
 

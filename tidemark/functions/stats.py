@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import staged
+from . import tails
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -35,8 +36,14 @@ def rmst(km: DataFrame, groups: DataFrame, tau: float | str, group: str = "grp",
     return groups.join(area, group, "left").withColumn("rmst", F.coalesce(F.col("_a"), end)).drop("_a")
 
 
+def tested(scores: DataFrame) -> DataFrame:
+    """Adds chi2 of u with variance v, and its tail; null without variance."""
+    out = scores.withColumn("chi2", F.when(F.col("v") > 0, F.col("u") * F.col("u") / F.col("v")))
+    return out.withColumn("p", tails.chi_square_tail(F.col("chi2")))
+
+
 def log_rank(rows: DataFrame, one: str, group: str = "grp", time: str = "d", event: str = "ev", by: tuple[str, ...] = (), lone_deaths: bool = False) -> DataFrame:
-    """One row (of each key ``by``): U, V and chi2 of the two-group log-rank test; ``one`` names the first group.
+    """One row (of each key ``by``): U, V, chi2 and its tail p of the two-group log-rank test; ``one`` names the first group.
     ``lone_deaths``: a death of the last row at risk is observed but not expected, as the superseded form has it."""
     g = (F.col(group) == one).cast("int")
     per = rows.groupBy(*by, time).agg(F.count("*").alias("n_at"), F.sum(g).alias("n1_at"), F.count_if(F.col(event)).alias("dd"), F.sum(F.when(F.col(event), g).otherwise(0)).alias("d1"))
@@ -46,11 +53,11 @@ def log_rank(rows: DataFrame, one: str, group: str = "grp", time: str = "d", eve
     expected = F.col("dd") * F.col("n1") / F.col("n")
     expected = F.when(F.col("n") > 1, expected).otherwise(0.0) if lone_deaths else expected
     out = t.groupBy(*by).agg(F.sum(F.col("d1") - expected).alias("u"), F.sum(v).alias("v"))
-    return out.withColumn("chi2", F.when(F.col("v") > 0, F.col("u") * F.col("u") / F.col("v")))
+    return tested(out)
 
 
 def robust_log_rank(rows: DataFrame, one: str, cluster: str, group: str = "grp", time: str = "d", event: str = "ev", by: tuple[str, ...] = ()) -> DataFrame:
-    """One row (of each key ``by``): U, its cluster-robust variance and chi2: scores of rows summed by cluster."""
+    """One row (of each key ``by``): U, its cluster-robust variance, chi2 and its tail p: scores of rows summed by cluster."""
     z = (F.col(group) == one).cast("double")
     per = rows.groupBy(*by, time).agg(F.count("*").alias("n_at"), F.sum(z).alias("n1_at"), F.count_if(F.col(event)).alias("dd"))
     w = Window.partitionBy(*by) if by else Window
@@ -60,8 +67,7 @@ def robust_log_rank(rows: DataFrame, one: str, cluster: str, group: str = "grp",
     t = t.withColumn("h", F.sum(F.col("dd") / F.col("n")).over(up)).withColumn("hz", F.sum(F.col("dd") / F.col("n") * F.col("zbar")).over(up)).select(*by, time, "zbar", "h", "hz")
     score = F.when(F.col(event), z - F.col("zbar")).otherwise(0.0) - (z * F.col("h") - F.col("hz"))
     per_cluster = rows.join(t, [*by, time]).groupBy(*by, cluster).agg(F.sum(score).alias("w"))
-    out = per_cluster.groupBy(*by).agg(F.sum("w").alias("u"), F.sum(F.col("w") * F.col("w")).alias("v"))
-    return out.withColumn("chi2", F.when(F.col("v") > 0, F.col("u") * F.col("u") / F.col("v")))
+    return tested(per_cluster.groupBy(*by).agg(F.sum("w").alias("u"), F.sum(F.col("w") * F.col("w")).alias("v")))
 
 
 def moments(rows: DataFrame, y: str, xs: list[str]) -> dict[str, float]:
@@ -384,12 +390,12 @@ def rmst_difference(spark: SparkSession, rows: DataFrame, one: str, other: str,
 
 
 def stratified_log_rank(rows: DataFrame, one: str, size: str, group: str = "grp", time: str = "d", event: str = "ev") -> DataFrame:
-    """(stratum, u, v, chi2): the log-rank test below or at the exact median size, and above it."""
+    """(stratum, u, v, chi2, p): the log-rank test below or at the exact median size, and above it."""
     found = quantile(rows.withColumn("_all_rows", F.lit(0)), size, "_all_rows", 0.5).first()
     median = found["q"] if found else None
     out = None
     for name, kept in (("small", F.col(size) <= F.lit(median)), ("large", F.col(size) > F.lit(median))):
-        part = log_rank(rows.where(kept), one, group, time, event).select(F.lit(name).alias("stratum"), "u", "v", "chi2")
+        part = log_rank(rows.where(kept), one, group, time, event).select(F.lit(name).alias("stratum"), "u", "v", "chi2", "p")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import linear, stats
+from ..functions import linear, stats, tails
 from ..storage import staged, tidied
 
 #: Effects that are differences of medians: measure, factor and whether the clusters are the long ones.
 MEDIANS = (("E1", "disp", 100.0, False), ("E3", "p6h", 100.0, False), ("E4", "p24h", 100.0, True), ("E5", "reversion", 1.0, False))
-COLUMNS = ("spec", "effect", "n1", "n2", "clusters", "est", "lo", "hi", "p", "used")
+COLUMNS = ("spec", "effect", "n1", "n2", "clusters", "est", "lo", "hi", "p", "used", "p_cr1", "g_eff", "chi2")
 LEAST = 3
 
 
@@ -73,7 +73,7 @@ def median_effects(c: DataFrame, draws: int, seed: int) -> DataFrame:
 
 
 def recovery_effect(c: DataFrame, draws: int, seed: int) -> DataFrame:
-    """E6 of every setting: difference of restricted means to the setting's tau; p holds the robust log-rank's chi2."""
+    """E6 of every setting: difference of restricted means to the setting's tau; chi2 and p are the robust log-rank test's."""
     rows = staged(_keyed(c.where("rec_min is not null").select("spec", F.lit("E6").alias("effect"), "one", F.col("long").alias("cluster"), F.col("rec_min").alias("d"), F.col("rec_event").alias("ev"), "tau")))
     n = rows.groupBy("spec", "effect").agg(F.count_if("one").alias("n1"), F.count_if(~F.col("one")).alias("n2"), F.count_distinct("cluster").alias("clusters"))
     per = rows.groupBy("_cl", "_g", "tau", "d", "ev").agg(F.count("*").alias("n"))
@@ -87,7 +87,7 @@ def recovery_effect(c: DataFrame, draws: int, seed: int) -> DataFrame:
     d = staged(means.groupBy("spec", "effect", "b").agg(_difference("rmst").alias("d")))
     est = d.where("b = 0").select("spec", "effect", F.col("d").alias("est"))
     more = _interval(d.where("b > 0")) if draws else _none(est)
-    test = stats.robust_log_rank(rows.withColumn("grp", F.col("one").cast("string")), "true", "cluster", by=("spec",)).select("spec", F.col("chi2").alias("p"))
+    test = stats.robust_log_rank(rows.withColumn("grp", F.col("one").cast("string")), "true", "cluster", by=("spec",)).select("spec", "chi2", "p")
     return n.join(est, ["spec", "effect"]).join(more, ["spec", "effect"], "left").join(test, "spec", "left")
 
 
@@ -109,7 +109,7 @@ XS = ["x", "size", "eth"]
 
 
 def regression_effect(ev: DataFrame, draws: int, seed: int, at: int = 1) -> DataFrame:
-    """E2 of every setting: the coefficient, its CR1 error, clusters and effective clusters; with ``draws`` the p and the
+    """E2 of every setting: the coefficient, its CR1 error and p (Student's t by clusters), clusters and effective clusters; with ``draws`` the p and the
     interval of the restricted wild cluster bootstrap. Sums by cluster meet the draws, rows never do."""
     rows = staged(regression_rows(ev))
     names, size = [F.lit(1.0), *map(F.col, XS)], len(XS) + 1
@@ -130,6 +130,7 @@ def regression_effect(ev: DataFrame, draws: int, seed: int, at: int = 1) -> Data
         "spec", F.lit("E2").alias("effect"), "n1", (F.col("n") - F.col("n1")).alias("n2"), F.col("g").alias("clusters"), F.when(enough, F.col(f"b{at}")).alias("est"),
         F.when(enough, F.sqrt(c * F.col("_ss"))).alias("se"), (F.col("g") / (1 + F.col("_gv") / (F.col("_gm") ** 2))).alias("g_eff"),
     )
+    out = out.withColumn("p_cr1", tails.student_tail(F.col("est") / F.when(F.col("se") > 0, F.col("se")), F.col("clusters") - 1))
     if not draws:
         return out.join(_none(out), ["spec", "effect"]).withColumn("p", F.lit(None).cast("double"))
     return out.join(wild(per, fit, out.select("spec", "se"), draws, seed, at), "spec", "left").withColumn("used", F.lit(draws).cast("bigint"))
@@ -190,26 +191,29 @@ def wild(per: DataFrame, fit: DataFrame, errors: DataFrame, draws: int, seed: in
 
 @tidied
 def effects(ev: DataFrame, draws: int = 0, wild_draws: int = 0, seed: int = 11) -> DataFrame:
-    """(spec, effect, n1, n2, clusters, est, lo, hi, p, used): a row an effect of every setting that has contrast rows.
+    """(spec, effect, n1, n2, clusters, est, lo, hi, p, used, p_cr1, g_eff, chi2): a row an effect of every setting that has
+    contrast rows.
 
     Estimates and intervals are null where a class has fewer than three events with a value, or fewer than three at
-    all; a setting whose regression is continuous needs both classes too. p: of E2 the bootstrap's, of E6 chi2 of the
-    robust log-rank test. ``used``: draws in which both classes occurred."""
+    all; a setting whose regression is continuous needs both classes too. p: of E2 the bootstrap's, of E6 the robust
+    log-rank test's, whose chi2 is beside it; p_cr1 and g_eff are E2's. ``used``: draws in which both classes occurred."""
     ev = staged(ev)
     c = contrast(ev)
     met = None
-    for one in (median_effects(c, draws, seed), recovery_effect(c, draws, seed), regression_effect(ev, wild_draws, seed).drop("se", "g_eff")):
-        met = one.select(*COLUMNS) if met is None else met.unionByName(one.select(*COLUMNS))
+    for one in (median_effects(c, draws, seed), recovery_effect(c, draws, seed), regression_effect(ev, wild_draws, seed)):
+        one = one.select(*[F.col(c) if c in one.columns else F.lit(None).cast("double").alias(c) for c in COLUMNS])
+        met = one if met is None else met.unionByName(one)
     classes = c.groupBy("spec").agg(F.count_if("one").alias("_a"), F.count_if(~F.col("one")).alias("_b"))
     own = (F.col("effect") == "E2") | (F.least("n1", "n2") >= LEAST)
     ok = own & (F.least("_a", "_b") >= LEAST)
-    return met.join(classes, "spec").select(*[F.when(ok, F.col(c)).alias(c) if c in ("est", "lo", "hi", "p") else c for c in COLUMNS])
+    return met.join(classes, "spec").select(*[F.when(ok, F.col(c)).alias(c) if c in ("est", "lo", "hi", "p", "p_cr1", "g_eff", "chi2") else c for c in COLUMNS])
 
 
 def flat(found: DataFrame, short: DataFrame, long: DataFrame, analysable: DataFrame) -> DataFrame:
-    """One row a setting: counts, clusters, and est, lo and hi of every effect, with both p of the regression's test."""
+    """One row a setting: counts, clusters, and est, lo and hi of every effect; of the regression both p, clusters and
+    effective clusters, of recovery the robust log-rank's p."""
     of = lambda e, c: F.max(F.when(F.col("effect") == e, F.col(c))).alias(f"{e.lower()}_{c}")
-    wide = found.groupBy("spec").agg(*[of(e, c) for e in ("E1", "E2", "E3", "E4", "E5", "E6") for c in ("est", "lo", "hi")], of("E2", "p"), of("E6", "p"))
+    wide = found.groupBy("spec").agg(*[of(e, c) for e in ("E1", "E2", "E3", "E4", "E5", "E6") for c in ("est", "lo", "hi")], of("E2", "p"), of("E2", "p_cr1"), of("E2", "clusters"), of("E2", "g_eff"), of("E6", "p"))
     counts = short.select("spec", F.col("n1").alias("n_contraction"), F.col("n2").alias("n_limited"), F.col("g").alias("g_short"), F.col("g_mixed").alias("g_short_mixed"))
     return counts.join(long.select("spec", F.col("g").alias("g_long")), "spec").join(analysable, "spec").join(wide, "spec", "left")
 

@@ -101,15 +101,16 @@ def prepared(ev: DataFrame) -> DataFrame:
 
 @tidied
 def headline(cells: DataFrame, keys: list[str], draws: int = 0, seed: int = 0) -> DataFrame:
-    """(keys, n_d, n_c, peak_diff, peak_p, tr_diff, tr_p, lr_chi2): medians of displacement and transitory share and the
-    log-rank test of recovery, deleverage against churn, for every cell at once. p is null without ``draws``."""
+    """(keys, n_d, n_c, peak_diff, peak_p, tr_diff, tr_p, lr_chi2, lr_p): medians of displacement and transitory share and the
+    log-rank test of recovery, deleverage against churn, for every cell at once. peak_p and tr_p are null without
+    ``draws``."""
     rows = staged(cells.where(F.col("klass").isin("deleverage", "churn")).withColumn("one", F.col("klass") == "deleverage"))
     values = F.explode(F.array(F.struct(F.lit("peak").alias("measure"), F.abs("peak_disloc").alias("v")), F.struct(F.lit("tr").alias("measure"), F.col("transitory_share").alias("v")))).alias("x")
     tests = permutation.median_tests(rows.select(*keys, "one", values).select(*keys, "one", "x.*"), [*keys, "measure"], "v", "one", draws, seed)
     of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     wide = tests.groupBy(*keys).agg(F.coalesce(of("peak", "n1"), F.lit(0)).alias("n_d"), F.coalesce(of("peak", "n2"), F.lit(0)).alias("n_c"), of("peak", "est").alias("peak_diff"), of("peak", "p").alias("peak_p"), of("tr", "est").alias("tr_diff"), of("tr", "p").alias("tr_p"))
     test = stats.log_rank(rows.select(*keys, "klass", F.col("ttr_min").alias("d"), (~F.col("censored")).alias("ev")), "deleverage", "klass", by=tuple(keys), lone_deaths=True)
-    return wide.join(test.select(*keys, F.col("chi2").alias("lr_chi2")), keys, "left")
+    return wide.join(test.select(*keys, F.col("chi2").alias("lr_chi2"), F.col("p").alias("lr_p")), keys, "left")
 
 
 def fixed_class(p: Study) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import LOUT, D, M, P, calm, dealt_sql, query
+from .catalog import LOUT, D, M, P, calm, chi_square_sql, dealt_sql, query
 from .effect_queries import FIRST_DAY, swap
 from .functions import stats
 from .operators import quality
@@ -37,7 +37,7 @@ hm AS (SELECT {keys}, count(peak) FILTER (one) AS n_d, count(peak) FILTER (NOT o
 hp AS (SELECT {keys}, d, count(*) AS c, count(*) FILTER (one) AS c1, count(*) FILTER (ev) AS dd, count(*) FILTER (ev AND one) AS d1 FROM hc GROUP BY {keys}, d),
 ht AS (SELECT *, sum(c) OVER w AS n, sum(c1) OVER w AS n1 FROM hp WINDOW w AS (PARTITION BY {keys} ORDER BY d DESC)),
 hl AS (SELECT {keys}, sum(d1 - CASE WHEN n > 1 THEN dd * n1 / n ELSE 0 END) AS u, sum(CASE WHEN n > 1 THEN dd * (n1 / n) * (1 - n1 / n) * (n - dd) / (n - 1) ELSE 0 END) AS v FROM ht WHERE dd > 0 GROUP BY {keys})
-SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, n_d, n_c, round(peak_diff, 6) AS peak_diff, round(tr_diff, 6) AS tr_diff, round(CASE WHEN v > 0 THEN u * u / v END, 6) AS lr_chi2 FROM hm a LEFT JOIN hl b ON {on}"""
+SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, n_d, n_c, round(peak_diff, 6) AS peak_diff, round(tr_diff, 6) AS tr_diff, round(CASE WHEN v > 0 THEN u * u / v END, 6) AS lr_chi2, round({chi_square_sql("CASE WHEN v > 0 THEN u * u / v END")}, 6) AS lr_p FROM hm a LEFT JOIN hl b ON {on}"""
 
 
 def _no_p(found):
