@@ -103,3 +103,17 @@ def test_mix_takes_the_first_of_the_order_and_closes_the_gap(spark):
         if rest:
             taken.add(min(rest)[2])
         assert Counter({i: x.copies for i, x in docs}) == Counter({i: (certain + (i in taken)) if x.size else 0 for i, x in docs})
+
+
+def test_hot_keys_meet_their_rows_without_a_shuffle_of_them(spark):
+    from tidemark.llm.common import HOT, having, staged
+
+    rows = [(7, i) for i in range(3000)] + [(100 + i // 2, i) for i in range(5000)] + [(-1 - i, i) for i in range(40)] + [(None, 0)]
+    d = spark.createDataFrame(rows, "key bigint, v bigint")
+    n = d.where("key is not null").groupBy("key").count().where("count > 1").withColumnRenamed("count", "n")
+    marks = staged(n)
+    want = sorted((k, v) for k, v in rows if k is not None and k > 0)
+    met = having(d, marks, ["key"], "n")
+    assert sorted((r.key, r.v) for r in met.collect()) == want and met.columns == ["key", "v", "n"]
+    assert marks.where(f"n * {HOT} > 8000").count() == 1
+    assert having(d, staged(n.where("false")), ["key"], "n").count() == 0 and having(d.where("false"), marks, ["key"], "n").count() == 0

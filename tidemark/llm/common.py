@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import discard, shared_dir, staged, staged_bytes
 
-__all__ = ["BROADCAST_BYTES", "LOWER", "SPACE", "UPPER", "discard", "fresh", "keyed", "keep_rows", "own_columns", "shared_dir", "small", "staged", "staged_bytes", "table", "word_table"]
+__all__ = ["BROADCAST_BYTES", "LOWER", "SPACE", "UPPER", "discard", "fresh", "having", "keyed", "keep_rows", "own_columns", "shared_dir", "small", "staged", "staged_bytes", "table", "word_table"]
 
 #: ASCII white space that separates words; the same six bytes ``bytes.split()`` uses.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Staged keys of at most this many bytes are broadcast; more are shuffled with the rows they select.
 BROADCAST_BYTES = 4 << 20
+#: A key with more than one in HOT of the rows counted is hot; so at most HOT keys are.
+HOT = 1024
 
 
 def own_columns(df: DataFrame) -> list[Column]:
@@ -45,6 +47,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def having(rows: DataFrame, marks: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Rows whose ``keys`` are in ``marks`` (a staged table; keys unique), with what else ``marks`` holds.
+
+    ``n`` of ``marks`` counts the rows of its key, give or take a factor that all keys share. Hot keys, fewer than HOT by
+    what hot means, are broadcast, so their rows stay where they are read; the others meet by a shuffle in which no key is
+    hot. Rows with a null key go, as in any join. ``rows`` is read twice: stage what is dear."""
+    total = marks.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    names = [f"_having_{i}" for i in range(len(keys))]
+    right = marks.select(*[F.col(k).alias(name) for k, name in zip(keys, names)], *[c for c in marks.columns if c not in keys])
+    hot = F.broadcast(right.where(F.col(n) * HOT > total))
+    on = [F.col(k) == F.col(name) for k, name in zip(keys, names)]
+    here = rows.join(hot, on)
+    there = rows.join(hot, on, "left_anti").join(right.where(F.col(n) * HOT <= total), on)
+    return here.unionByName(there).drop(*names)
+
+
 def _is_scan(df: DataFrame) -> bool:
     plan = df._jdf.queryExecution().analyzed()
     while plan.children().size() == 1:

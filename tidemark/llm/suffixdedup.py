@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, staged
+from .common import discard, having, staged
 from .neardup import _IS_SPACE, _mix, _powers, runs
 
 WINDOW, GRAM = 400, 32
@@ -244,15 +244,16 @@ def _find_runs(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "fp binary, key bigint, cls bigint, a int, p int, b int")
 
 
-def _settle(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(repeated runs, open runs with the size m of their anchor's group, staged table) of distinct runs with a weight n."""
+def _settle(items: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(repeated runs, open runs with the size m of their anchor's group, staged tables) of distinct runs with a weight n.
+    Frequent contents and anchors with many contents meet their rows by broadcast (``having``)."""
     kinds = items.groupBy("key", "cls").agg(F.sum("n").alias("n"), F.min(F.struct("fp", "a", "p", "b")).alias("one"))
     kinds = staged(kinds)
-    crowd = kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("_k"), "m")
-    often = kinds.where("n > 1").select(F.col("key").alias("_k"), F.col("cls").alias("_c"))
-    whole = items.join(often, (F.col("key") == F.col("_k")) & (F.col("cls") == F.col("_c"))).select("fp", F.col("a").alias("lo"), (F.col("b") + WINDOW).alias("hi"))
-    left = kinds.join(crowd, F.col("key") == F.col("_k")).select("key", "cls", "m", F.least("n", F.lit(2)).cast("int").alias("n"), "one.*")
-    return whole, left, kinds
+    crowd = staged(kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    often = kinds.where("n > 1").select("key", "cls", F.col("n").alias("times"))
+    whole = having(items, often, ["key", "cls"], "times").select("fp", F.col("a").alias("lo"), (F.col("b") + WINDOW).alias("hi"))
+    left = having(kinds, crowd, ["key"], "m").select("key", "cls", "m", F.least("n", F.lit(2)).cast("int").alias("n"), "one.*")
+    return whole, left, [kinds, crowd]
 
 
 def _fetch(left: DataFrame, packed: DataFrame) -> DataFrame:
@@ -342,21 +343,20 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     # one row a text: equal texts combine before the shuffle
     packed = packed.groupBy("fp").agg(F.first("packed").alias("packed"))
     found = staged(_fetch(left, packed))
-    spent = [items, kinds, found]
+    spent = [items, *kinds, found]
     covers = [whole, _sorted_groups(found.where(F.col("m") <= GROUP))]
     crowded = found.where(F.col("m") > GROUP)
     for size in SLICES:
         if crowded.isEmpty():
             break
         cut = staged(_sliced(crowded, size))
-        kinds = cut.groupBy("key", "cls").agg(F.sum("n").alias("w"))
-        crowd = kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("_k"), F.col("m").cast("int").alias("m"))
-        often = kinds.where("w > 1").select(F.col("key").alias("_k"), F.col("cls").alias("_c"))
-        both = (F.col("key") == F.col("_k")) & (F.col("cls") == F.col("_c"))
-        covers.append(cut.where("n = 1").join(often, both).select("fp", F.col("a").alias("lo"), (F.col("b") + WINDOW).alias("hi")))
+        kinds = staged(cut.groupBy("key", "cls").agg(F.sum("n").alias("w")))
+        crowd = staged(kinds.groupBy("key").agg(F.count("*").cast("int").alias("m")).where("m > 1"))
+        covers.append(having(cut.where("n = 1"), kinds.where("w > 1"), ["key", "cls"], "w").select("fp", F.col("a").alias("lo"), (F.col("b") + WINDOW).alias("hi")))
         one = cut.groupBy("key", "cls").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min(F.struct("fp", "a", "p", "b", "span")).alias("one")).select("key", "cls", "n", "one.*")
-        found = staged(one.join(crowd, F.col("key") == F.col("_k")).drop("_k"))
-        spent += [cut, found]
+        one = staged(one)
+        found = staged(having(one, crowd, ["key"], "m"))
+        spent += [cut, kinds, crowd, one, found]
         covers.append(_sorted_groups(found.where(F.col("m") <= GROUP)))
         crowded = found.where(F.col("m") > GROUP)
     out = covers[0]
@@ -380,8 +380,8 @@ def fingerprint(text: Column) -> Column:
     return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "utf-8")))
 
 
-def shared_anchors(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((f, anchors), staged table to discard): the anchors of each text's passages that another row has too; f is the first
+def shared_anchors(texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """((f, anchors), staged tables to discard): the anchors of each text's passages that another row has too; f is the first
     half of the text's fingerprint. Two texts with one f get both lists, which only makes more windows meet."""
 
     def run(batches):
@@ -400,8 +400,8 @@ def shared_anchors(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int64))], names=["f", "anchor"])
 
     pairs = staged(texts.select("text").mapInArrow(run, "f bigint, anchor bigint"))
-    often = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_a"))
-    return pairs.join(often, F.col("anchor") == F.col("_a")).groupBy("f").agg(F.collect_set("anchor").alias("anchors")), pairs
+    often = staged(pairs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    return having(pairs, often, ["anchor"], "n").groupBy("f").agg(F.collect_set("anchor").alias("anchors")), [pairs, often]
 
 
 def half(fp: bytes) -> int:
@@ -421,7 +421,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if passages:
         anchors, pairs = shared_anchors(rows)
         both = staged(info.join(anchors, "f", "full"))
-        discard(info, pairs)
+        discard(info, *pairs)
         info = both
     else:
         info = info.withColumn("anchors", F.lit(None).cast("array<bigint>"))
@@ -474,6 +474,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # from here on fp is the first half of the fingerprint: texts that share it count as one, with a chance of 2^-64 a pair
     # windows of a text count once; a text with copies is repeated as a whole
     held = done.where(F.size("windows") > 0).select("rid", "fp", "alone", F.explode("windows").alias("w"))
-    shared = held.select("fp", "w").distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w").alias("_w"))
-    counts = held.where("alone = 0").join(shared, F.col("w") == F.col("_w")).groupBy("rid").agg(F.count("*").alias("n")).withColumnRenamed("rid", "_r")
+    shared = staged(held.select("fp", "w").distinct().groupBy("w").agg(F.count("*").alias("n")).where("n > 1"))
+    counts = having(held.where("alone = 0"), shared, ["w"], "n").groupBy("rid").agg(F.count("*").alias("n")).withColumnRenamed("rid", "_r")
     return done.join(counts, F.col("rid") == F.col("_r"), "left").withColumn("n_passages", F.greatest("alone", F.coalesce("n", F.lit(0).cast("bigint")))).drop("rid", "_r", "n", "fp", "windows", "alone")
