@@ -239,3 +239,16 @@ def test_builds_delete_what_they_staged(spark):
     with pytest.raises(ValueError):
         broken(3)
     assert out.count() == 6 and len(there() - before) == 1
+
+
+def test_sizes_are_rounded_as_the_sql_rounds_them(spark):
+    import duckdb
+
+    values = [k / 100 / 100 for k in range(-3000, 30000)] + [0.285, 1.005, 2.675, -1.005, 0.125, 28.5 / 100]
+    d = spark.createDataFrame([(v,) for v in values], "sz double")
+    got = [r.z / 100 for r in d.select("sz", quality.scaled("sz", 2).alias("z")).collect()]
+    con = duckdb.connect()
+    want = [r[0] for r in con.execute("SELECT round(v, 2) FROM (SELECT unnest(?::double[]) AS v)", [values]).fetchall()]
+    assert got == want
+    two = spark.createDataFrame([("sell", 28.5 / 100), ("buy", 0.28), ("buy", 0.29)], "side string, sz double").withColumn("z", quality.scaled("sz", 2))
+    assert quality.equal_pairs(two, ["z"]).first().n == 1

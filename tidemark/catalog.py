@@ -356,7 +356,7 @@ def j2(spark, d):
 
 @query("j4_sell_buy_matches", f"{FILLS} SELECT count(*) AS n FROM fills a JOIN fills b ON a.symbol = b.symbol AND a.t // {60 * M} = b.t // {60 * M} AND a.px = b.px AND round(a.sz, 2) = round(b.sz, 2) WHERE a.side = 'sell' AND b.side = 'buy'")
 def j4(spark, d):
-    f = src.fills(spark, d).select("symbol", F.floor(F.col("t") / (60 * M)).alias("h"), "px", F.round("sz", 2).alias("z"), "side")
+    f = src.fills(spark, d).select("symbol", F.floor(F.col("t") / (60 * M)).alias("h"), "px", quality.scaled("sz", 2).alias("z"), "side")
     return quality.equal_pairs(f, ["symbol", "h", "px", "z"])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import DAY, MINUTE
@@ -31,6 +31,14 @@ def permissive_sells(fills: DataFrame) -> DataFrame:
     return met.where(F.when(F.col("_some"), plain).otherwise(F.lower("direction").contains("long"))).drop("_s", "_some")
 
 
+def scaled(column: str, places: int) -> Column:
+    """A double times 10^places, rounded half away from zero: a key of values that agree to so many places.
+
+    The product is rounded as it is, as SQL engines do. ``F.round`` of the value itself goes by its shortest decimal
+    form, so 0.285 (whose product with 100 lies below 28.5) would get another key."""
+    return F.round(F.col(column) * F.lit(10.0**places), 0)
+
+
 def equal_pairs(fills: DataFrame, keys: list[str]) -> DataFrame:
     """Number of pairs of a sell and a buy with equal keys, from counts of both sides: no pair is formed."""
     per = fills.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.count_if(F.col("side") == "sell").alias("a"), F.count_if(F.col("side") == "buy").alias("b"))
