@@ -1,9 +1,11 @@
 """Edges that the driver tables lack: ties, ages, exact gaps, hand-checked survival."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import stats
+from tidemark.functions import shuffles, stats
 from tidemark.operators import clock, lookups, quality
 from tidemark.params import DAY, MINUTE, Study
 
@@ -252,3 +254,57 @@ def test_sizes_are_rounded_as_the_sql_rounds_them(spark):
     assert got == want
     two = spark.createDataFrame([("sell", 28.5 / 100), ("buy", 0.28), ("buy", 0.29)], "side string, sz double").withColumn("z", quality.scaled("sz", 2))
     assert quality.equal_pairs(two, ["z"]).first().n == 1
+
+
+def _place(seed, b, i):
+    return int(hashlib.md5(f"{seed}:{b}:{i}".encode()).hexdigest()[:8], 16), i
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_shuffled_sums_match_plain_shuffles(spark, monkeypatch, small):
+    if small:  # many blocks, chunks, stretches; windows that miss
+        for name, size in (("LANES", 64), ("CHUNK", 300), ("BLOCK", 128), ("STRETCH", 50), ("WORK", 1000), ("REACH", 0)):
+            monkeypatch.setattr(shuffles, name, size)
+    rows = [(i * 7 - 50, float((i * 7919) % 1013), float(i % 13), (i * i) % 31 / 7.0) for i in range(2000)]
+    d = spark.createDataFrame(rows, "id bigint, x double, y double, z double").repartition(5)
+    dealt = {r.b: (r.y, r.z) for r in shuffles.dealt_sums(d, "x", ["y", "z"], 2000, 4, 3).collect()}
+    named = {r.b: (r.y, r.z) for r in shuffles.labelled_sums(d.drop("x"), ["y", "z"], 700, 2000, 4, 3).collect()}
+    assert set(dealt) == set(range(5)) and set(named) == {1, 2, 3, 4}
+    own = sorted(rows, key=lambda r: _place(3, 0, r[0]))
+    for b in range(5):
+        mine = sorted(rows, key=lambda r: _place(3, b, r[0]))
+        for k in (0, 1):
+            assert dealt[b][k] == pytest.approx(sum(p[1] * q[k + 2] for p, q in zip(own, mine)), rel=1e-12)
+            assert b == 0 or named[b][k] == pytest.approx(sum(r[k + 2] for r in mine[:700]), rel=1e-12)
+
+
+def test_labels_are_whole_where_the_window_misses(spark):
+    # one id for all rows: every digest of a draw is the same, so no window by share holds the last label
+    d = spark.createDataFrame([(5, 1.0)] * 5000, "id bigint, v double")
+    assert [r.v for r in shuffles.labelled_sums(d, ["v"], 1700, 5000, 3, 3).collect()] == [1700.0] * 3
+    assert [r.v for r in shuffles.dealt_sums(d.withColumn("x", F.lit(2.0)), "x", ["v"], 5000, 2, 3).collect()] == [10000.0] * 3
+
+
+def test_digests_of_whole_columns_are_md5(spark):
+    import pyarrow as pa
+
+    ids = [f":{i}" for i in (0, 5, 12, -7, 123456789, 10**18, "x" * 60, "é")] + [""]
+    found = shuffles.Messages(pa.array(ids))
+    for prefix in (b"3:1", b"3:17", b"11:123"):
+        assert found.digests(prefix).tolist() == [int(hashlib.md5(prefix + i.encode()).hexdigest()[:8], 16) for i in ids]
+
+
+def test_permutations_do_not_multiply_rows_by_draws(spark, monkeypatch):
+    # before, each made a row of every row and draw by an explode
+    def never(*_, **__):
+        raise AssertionError("rows met draws")
+
+    for name in ("placed", "relabelled", "shuffled"):
+        monkeypatch.setattr(stats, name, never)
+    d = spark.range(60).selectExpr("id", "cast((id * 37) % 11 as double) as v", "cast((id * 17) % 7 as double) as w", "id % 3 = 0 as one")
+    found = [stats.permutation(spark, d, "v", "one", 9), stats.ols_permutation(d, "v", "one", "w", 9), stats.slope_permutation(d, "v", "w", "id", 9), stats.slopes_permutation(d, "v", "w", ["id"], 9), stats.spearman_permutation(d, "v", "w", 9)]
+    found = [x.first() for x in found]
+    assert all(x.est is not None and 0.1 <= x.p <= 1 for x in found)
+    assert found[2].est == pytest.approx(found[3].est) and found[2].p == found[3].p
+    flat = d.withColumn("w", F.lit(2.0))
+    assert (stats.slope_permutation(flat, "v", "w", "id", 9).first().est, stats.slopes_permutation(flat, "v", "w", ["id"], 9).first().est) == (None, None)

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import staged
-from . import tails
+from ..storage import staged, tidied
+from . import shuffles, tails
 
 
 def draw(seed: int, *parts: Column) -> Column:
@@ -347,31 +347,48 @@ def relabelled(rows: DataFrame, n1: int, draws: int, seed: int) -> DataFrame:
     return sure.unionByName(edge).drop("_h", "_k", "_cut", "_rest")
 
 
+def _far(est: Column, spread: Column) -> Column:
+    """Whether a draw ``d`` is at least as far out as the estimate; rounding does not break ties."""
+    return F.abs("d") >= F.abs(est) - 1e-12 * F.greatest(F.abs(est), spread)
+
+
 def permutation(spark: SparkSession, rows: DataFrame, value: str, flag: str, draws: int, seed: int = 3, stat: str = "avg") -> DataFrame:
     """One row: difference of means or medians between flagged rows and the rest, and its two-sided p;
-    null below three rows a side."""
+    null below three rows a side. Means cost a digest a row and draw; medians multiply rows by draws."""
     r = rows.where(F.col(value).isNotNull()).select("id", F.col(value).alias("v"), F.col(flag).alias("one"))
     f = (lambda c: f"avg(case when {c} then v end)") if stat == "avg" else (lambda c: f"percentile(case when {c} then v end, 0.5D)")
     diff = F.expr(f"{f('one')} - {f('not one')}")
-    e = r.agg(diff.alias("est"), F.count_if(F.col("one")).alias("n1"), F.count_if(~F.col("one")).alias("n2")).first()
-    reps = relabelled(r.drop("one"), e["n1"], draws, seed).groupBy("b").agg(diff.alias("d"))
+    e = r.agg(diff.alias("est"), F.count_if(F.col("one")).alias("n1"), F.count_if(~F.col("one")).alias("n2"), F.count("*").alias("n"), F.avg("v").cast("double").alias("mean"), F.stddev_pop("v").alias("sd")).first()
+    if stat == "avg":
+        centred = r.select("id", (F.col("v").cast("double") - F.lit(e["mean"])).alias("v"))
+        rest = F.lit(centred.agg(F.sum("v")).first()[0]).cast("double")
+        reps = shuffles.labelled_sums(centred, ["v"], e["n1"], e["n"], draws, seed).where(F.lit(e["n"] > 0))
+        reps = reps.select("b", (F.col("v") / F.nullif(F.lit(float(e["n1"])), F.lit(0.0)) - (rest - F.col("v")) / F.nullif(F.lit(float(e["n"] - e["n1"])), F.lit(0.0))).alias("d"))
+    else:
+        reps = relabelled(r.drop("one"), e["n1"], draws, seed).groupBy("b").agg(diff.alias("d"))
     est, ok = F.lit(e["est"]).cast("double"), F.lit(e["n1"] >= 3 and e["n2"] >= 3)
-    return reps.agg(F.when(ok, F.max(est)).alias("est"), F.when(ok, (F.count_if(F.abs("d") >= F.abs(est)) + 1) / (F.count("*") + 1)).alias("p"))
+    return reps.agg(F.when(ok, F.max(est)).alias("est"), F.when(ok, (F.count_if(_far(est, F.lit(e["sd"]))) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def ols_permutation(rows: DataFrame, y: str, flag: str, control: str, draws: int, seed: int = 3) -> DataFrame:
     """One row: coefficient of a dummy beside one control, and its p under shuffles of the dummy.
 
-    Each draw is one aggregate of sums; the control is partialled out of both sides."""
-    r = rows.select("id", F.col(y).alias("y"), F.col(control).alias("c"), F.col(flag).alias("one")).na.drop()
+    The control is partialled out of both sides; a draw costs a digest a row and two sums over its labelled rows."""
+    r = rows.select("id", F.col(y).cast("double").alias("y"), F.col(control).cast("double").alias("c"), F.col(flag).alias("one")).na.drop()
     x = F.col("one").cast("double")
     cov = lambda a, b: F.covar_pop(a, b)
     c, v = F.col("c"), F.col("y")
-    coef = (cov(x, v) * F.var_pop(c) - cov(x, c) * cov(c, v)) / (F.var_pop(x) * F.var_pop(c) - cov(x, c) * cov(x, c))
-    e = r.agg(coef.alias("est"), F.count_if(F.col("one")).alias("n1")).first()
-    reps = relabelled(r.drop("one"), e["n1"], draws, seed).groupBy("b").agg(coef.alias("d"))
+    coef = lambda xv, xc, xx, cv, cc: (xv * cc - xc * cv) / F.nullif(xx * cc - xc * xc, F.lit(0.0))
+    e = r.agg(coef(cov(x, v), cov(x, c), F.var_pop(x), cov(c, v), F.var_pop(c)).alias("est"), F.count_if(F.col("one")).alias("n1"), F.count("*").alias("n"), F.avg("y").alias("my"), F.avg("c").alias("mc"), F.var_pop("y").alias("yy"), F.var_pop("c").alias("cc"), cov(c, v).alias("cv")).first()
+    centred = r.select("id", (v - F.lit(e["my"])).alias("y"), (c - F.lit(e["mc"])).alias("c"))
+    left = centred.agg(F.sum("y").alias("y"), F.sum("c").alias("c")).first()
+    n, share = max(e["n"], 1), e["n1"] / max(e["n"], 1)
+    met = lambda name: (F.col(name) - share * F.lit(left[name]).cast("double")) / n
+    number = lambda name: F.lit(e[name]).cast("double")
+    reps = shuffles.labelled_sums(centred, ["y", "c"], e["n1"], e["n"], draws, seed).where(F.lit(e["n"] > 0))
+    reps = reps.select("b", coef(met("y"), met("c"), F.lit(share * (1 - share)), number("cv"), number("cc")).alias("d"))
     est = F.lit(e["est"]).cast("double")
-    return reps.agg(F.max(est).alias("est"), ((F.count_if(F.abs("d") >= F.abs(est)) + 1) / (F.count("*") + 1)).alias("p"))
+    return reps.agg(F.max(est).alias("est"), ((F.count_if(_far(est, F.sqrt(number("yy")))) + 1) / (F.count("*") + 1)).alias("p"))
 
 
 def rmst_difference(spark: SparkSession, rows: DataFrame, one: str, other: str, cluster: str, tau: float, draws: int, seed: int = 11, group: str = "grp", time: str = "d", event: str = "ev") -> DataFrame:
@@ -422,32 +439,67 @@ def _two_sided(reps: DataFrame, least: int) -> DataFrame:
     """One row (est, p, n) of (b, d, n): draw 0 is the estimate; est and p are null below ``least`` rows."""
     own = lambda c: F.max(F.when(F.col("b") == 0, F.col(c)))
     out = reps.agg(own("d").alias("est"), F.coalesce(own("n"), F.lit(0)).alias("n"), F.collect_list(F.when(F.col("b") > 0, F.col("d"))).alias("_d"))
-    met = F.size(F.filter("_d", lambda x: F.abs(x) >= F.abs(F.col("est"))))
+    met = F.size(F.filter("_d", lambda x: F.abs(x) >= F.abs(F.col("est")) * (1 - 1e-12)))
     ok = (F.col("n") >= least) & F.col("est").isNotNull()
     return out.select(F.when(ok, F.col("est")).alias("est"), F.when(ok, (met + 1) / (F.size("_d") + 1)).alias("p"), "n")
 
 
+def _dealt_products(r: DataFrame, x: str, others: list[str], draws: int, seed: int) -> tuple[dict, DataFrame]:
+    """(moments of ``r``: n, means, var and cov of population by name; (b, others): covariance of x, dealt anew, with each).
+    Only products with x change with the draw."""
+    names = [x, *others]
+    pairs = [(a, c) for i, a in enumerate(names) for c in names[i:]]
+    e = r.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in names], *[F.covar_pop(a, c).alias(f"{a}*{c}") for a, c in pairs]).first().asDict()
+    e |= {f"{c}*{a}": e[f"{a}*{c}"] for a, c in pairs}
+    centred = r.select("id", *[(F.col(c) - F.lit(e[f"m_{c}"])).alias(c) for c in names])
+    sums = shuffles.dealt_sums(centred, x, others, e["n"], draws, seed)
+    return e, sums.select("b", *[(F.col(c) / max(e["n"], 1)).alias(c) for c in others])
+
+
+def _number(e: dict, name: str) -> Column:
+    return F.lit(e[name]).cast("double")
+
+
+@tidied
 def spearman_permutation(rows: DataFrame, x: str, y: str, draws: int, seed: int = 3) -> DataFrame:
     """One row: rank correlation of rows of (id, x, y), its two-sided permutation p and n; null below 15 rows."""
     pairs = rows.select("id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).na.drop()
-    ranks = average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry").select("id", "rx", "ry")
-    return _two_sided(shuffled(ranks, "ry", draws, seed).groupBy("b").agg(F.corr("rx", "ry").alias("d"), F.count("*").alias("n")), 15)
+    ranks = staged(average_ranks(average_ranks(pairs, "x", "rx"), "y", "ry").select("id", "rx", "ry"))
+    e, reps = _dealt_products(ranks, "ry", ["rx"], draws, seed)
+    scale = F.nullif(F.sqrt(_number(e, "rx*rx") * _number(e, "ry*ry")), F.lit(0.0))
+    return _two_sided(reps.select("b", (F.col("rx") / scale).alias("d"), F.lit(e["n"]).alias("n")), 15)
 
 
+@tidied
 def slope_permutation(rows: DataFrame, y: str, x: str, control: str, draws: int, seed: int = 3) -> DataFrame:
     """One row: slope of y on a continuous x beside one control, its two-sided p under shuffles of x, and n; null below 15
-    rows. The control is partialled out of both sides, so each draw is one aggregate."""
+    rows. The control is partialled out of both sides, so each draw is two sums of products."""
     r = rows.select("id", F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), F.col(control).cast("double").alias("c")).na.drop()
-    cov, var = F.covar_pop, F.var_pop
-    coef = (cov("x", "y") * var("c") - cov("x", "c") * cov("c", "y")) / F.nullif(var("x") * var("c") - cov("x", "c") * cov("x", "c"), F.lit(0.0))
-    return _two_sided(shuffled(r, "x", draws, seed).groupBy("b").agg(coef.alias("d"), F.count("*").alias("n")), 15)
+    e, reps = _dealt_products(r, "x", ["y", "c"], draws, seed)
+    xx, cc, cy = (_number(e, k) for k in ("x*x", "c*c", "c*y"))
+    coef = (F.col("y") * cc - F.col("c") * cy) / F.nullif(xx * cc - F.col("c") * F.col("c"), F.lit(0.0))
+    return _two_sided(reps.select("b", coef.alias("d"), F.lit(e["n"]).alias("n")), 15)
 
 
+@tidied
 def slopes_permutation(rows: DataFrame, y: str, x: str, controls: list[str], draws: int, seed: int = 3) -> DataFrame:
     """One row: slope of y on a continuous x beside any controls, its two-sided p under shuffles of x, and n; null below 15
-    rows. Every draw is one group of ``linear.regressions``: sums and sweeps in columns, nothing is solved on the driver."""
+    rows. Every draw is one group of ``linear.solved``: sweeps in columns, nothing is solved on the driver."""
     from . import linear
 
-    r = rows.select("id", *[F.col(c).cast("double").alias(c) for c in (y, x, *controls)]).na.drop(subset=[y, x, *controls])
-    fits = linear.regressions(shuffled(r, x, draws, seed), ["b"], y, [x, *controls])
+    xs = [x, *controls]
+    plain = {name: f"_v{i}" for i, name in enumerate([*xs, y])}
+    r = staged(rows.select("id", *[F.col(c).cast("double").alias(v) for c, v in plain.items()]).na.drop(subset=list(plain.values())))
+    e, reps = _dealt_products(r, plain[x], [v for c, v in plain.items() if c != x], draws, seed)
+    names = [None, *plain.values()]
+
+    def total(a: str | None, c: str | None) -> Column:
+        """Sum of products of two of [1, xs, y]."""
+        mean = lambda v: F.lit(1.0) if v is None else _number(e, f"m_{v}")
+        moved = plain[x] in (a, c) and a != c
+        about = F.lit(0.0) if None in (a, c) else F.col(c if a == plain[x] else a) if moved else _number(e, f"{a}*{c}")
+        return (about + mean(a) * mean(c)) * float(e["n"])
+
+    cells = [total(a, names[j]).alias(linear.cell(i, j)) for i, a in enumerate(names) for j in range(i, len(names))]
+    fits = linear.solved(reps.select("b", F.lit(e["n"]).alias("n"), *cells), len(xs))
     return _two_sided(fits.select("b", F.col("b1").alias("d"), "n"), 15)
