@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, isomedia, langid, lm, mixing, neardup, pii, suffixdedup, topk, warczip
+from tidemark.llm import bpe, isomedia, langid, lm, mixing, neardup, pii, queries, suffixdedup, topk, warczip
 
 LONG = "x1 " * 20_000
 TEXTS = [None, "", " \t\n", "one", "one two", "The Same words here again", "the same WORDS here again", "a" * 30_000, LONG, "1" * 5000 + " +1 (555) 123-4567 a@b.co c@d.e_f@g.hi", "mail bob@x.example.com ip 10.0.0.255 1.2.3.256 card 4111 1111 1111 1111 4111 1111 1111 1112", "héllo wörld 你好 🙂 bob@x.org", "call 988-555-2485 or (988) 555-2485 now"]
@@ -301,6 +301,39 @@ def test_language_model_scores_match_a_plain_forward_sum(spark, rounds):
             assert math.isclose(got[r.doc_id], math.log10(end) + sum(np.log10(paths(w, final)[1][-1]) for w in words), rel_tol=1e-6)
 
 
+def test_whole_words_are_arcs_of_the_lattice(spark, docs, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces = {r.doc_id: r for r in lm.corpus_scores(d, path, rounds=1).collect()}
+    mixed = {r.doc_id: r for r in lm.corpus_scores(d, path, rounds=1, whole_words=True).collect()}
+    train = Counter(w for r in d.collect() if not lm.held_out(r.doc_id) for w in (r.text or "").encode().lower().split() + ["END"])
+    total, theta = sum(train.values()), len(train) + 1
+    word = spark.createDataFrame([(r.doc_id, r.text) for r in d.limit(20).collect()], "doc_id bigint, text string")
+    alone = {}
+    names, prior = lm.vocabulary(path)
+    assert {bytes([b]) for b in range(256)} <= set(names)  # so no score is infinite
+    counts = lm.count_words(d, "doc_id", "text")
+    logs, end = lm.piece_weights(counts, names, prior, train["END"], 1)
+    lattice = lm.Lattice(names)
+    for r in word.collect():
+        words = (r.text or "").encode().lower().split()
+        q = dict(zip(words, lattice.score(words, logs) / math.log(10))) | {"END": end}
+        alone[r.doc_id] = sum(math.log10((train[w] + theta * 10 ** q[w]) / (total + theta)) if train[w] else q[w] + math.log10(theta / (total + theta)) for w in words + ["END"])
+    assert all(math.isclose(mixed[i].score, s, rel_tol=1e-9) for i, s in alone.items())
+    held = [i for i, r in mixed.items() if r.held_out]
+    sums = [sum(x[i].score for i in held) for x in (pieces, mixed)]
+    assert sums[0] < sums[1] and all(math.isfinite(r.score) for r in mixed.values())
+    few = lm.corpus_scores(docs.where("doc_id is not null"), path, rounds=1, whole_words=True).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in few) and lm.corpus_scores(empty, path, whole_words=True).count() == 0
+    none = lm.corpus_scores(spark.createDataFrame([(i, "a b") for i in range(60) if lm.held_out(i)], "doc_id bigint, text string"), path, rounds=1, whole_words=True).collect()
+    assert none and all(math.isfinite(r.score) for r in none)
+
+
+def test_registered_scores_learn_from_the_training_rows(spark):
+    got = queries.QUERIES["op5_lm"](spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "count(*) n", "count(score) m").first()
+    assert got.n == got.m and got.s > 1.25 * got.b  # the vocabulary's own scores give 2.09 times the base's
+
+
 def test_lattice_sums_all_segmentations():
     import numpy as np
 

@@ -8,6 +8,11 @@ over all its segmentations, by forward recursion in log space; pieces never cros
 text's probability is the product over its words and one end symbol. Bytes are pieces, so every word
 has a segmentation.
 
+``whole_words`` adds each training word to the lattice as one arc over the whole word, with its count as weight; the
+pieces share the weight of as many tokens as there are training words (V). With count c, N training tokens and
+lattice probability q, a token then has (c + (V+1) q) / (N + V+1), still a distribution over strings: what was
+learned decides known words, the pieces decide new ones.
+
 The same pass gives a word-unigram base score with add-one counts over all training rows. Words that are
 at least 1/2^18 of all tokens (so at most 2^18 words) are broadcast; the rest reach their counts by a join, in
 which no key is hot. Null or empty text is the end symbol alone. Rows are told apart by position, not
@@ -230,7 +235,7 @@ def piece_weights(counts: DataFrame, pieces: list[bytes], prior: np.ndarray, end
     return logs + math.log(mass / whole), math.log10((ends + 1) / whole)
 
 
-def corpus_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 0) -> DataFrame:
+def corpus_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 0, whole_words: bool = False) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; scores are log10."""
     sc = docs.sparkSession.sparkContext
     counts = staged(count_words(docs, id_col, text_col))
@@ -248,6 +253,9 @@ def corpus_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
             marginal = np.full(len(words), log_end)
             real = [i for i, w in enumerate(words) if w != END]
             marginal[real] = lattice.score([words[i].encode() for i in real], logs) / math.log(10)
+            if whole_words:
+                with np.errstate(divide="ignore"):  # a new word has no arc of its own
+                    marginal = (np.logaddexp(np.log(c), math.log(distinct + 1) + marginal * math.log(10)) - math.log(total + distinct + 1)) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(c > 0), pa.array(np.log10(c + 1.0)), pa.array(marginal)], names=["word", "c_all", "known", "base", "marginal"])
 
     scored = staged(counts.select("word", "c", "c_all").mapInArrow(score, "word string, c_all bigint, known boolean, base double, marginal double"))

@@ -39,7 +39,7 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return lm.corpus_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return lm.corpus_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), rounds=1, whole_words=True)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
