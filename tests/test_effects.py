@@ -151,6 +151,18 @@ def test_effects_of_many_settings(spark):
     assert all(got["few", e].est is None and got["few", e].lo is None for e in ("E1", "E2", "E6") if ("few", e) in got)
 
 
+def test_one_cluster_keeps_the_coefficient_without_an_error(spark):
+    d = spark.createDataFrame(market(4), EVENTS).where("spec <> 'few'")
+    both = d.withColumn("spec", F.concat("spec", F.lit("/one"))).withColumn("short", F.lit("all")).unionByName(d)
+    got = {r.spec: r for r in effects.effects(both, 0, 9, seed=3).where("effect = 'E2'").collect()}
+    names = [k for k in got if not k.endswith("/one")]
+    assert names and any(got[k].est is not None for k in names)
+    for k in names:
+        one = got[f"{k}/one"]
+        assert (one.est is None) == (got[k].est is None) and (one.est is None or abs(one.est - got[k].est) < 1e-9)
+        assert one.clusters == 1 and one.p_cr1 is None and one.p is None and one.lo is None and one.hi is None
+
+
 def test_regressions_of_many_settings_equal_single_ones(spark):
     draws, d = 99, spark.createDataFrame(market(6), EVENTS)
     got = {r.spec: r for r in effects.regression_effect(d, draws, seed=7).collect()}

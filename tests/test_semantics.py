@@ -1,13 +1,14 @@
 """Edges that the driver tables lack: ties, ages, exact gaps, hand-checked survival."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import shuffles, stats
-from tidemark.operators import clock, lookups, quality
-from tidemark.params import DAY, MINUTE, Study
+from tidemark.operators import clock, lookups, measures, quality
+from tidemark.params import DAY, MINUTE, MONTH, Study
 
 
 def test_asof_ties_take_the_last_stored_row_and_age_is_inclusive(spark):
@@ -308,3 +309,31 @@ def test_permutations_do_not_multiply_rows_by_draws(spark, monkeypatch):
     assert found[2].est == pytest.approx(found[3].est) and found[2].p == found[3].p
     flat = d.withColumn("w", F.lit(2.0))
     assert (stats.slope_permutation(flat, "v", "w", "id", 9).first().est, stats.slopes_permutation(flat, "v", "w", ["id"], 9).first().est) == (None, None)
+
+
+def test_a_pattern_that_returns_has_one_response_and_one_class(spark):
+    r = random.Random(5)
+    interest = [1000 + 0.02 * r.uniform(0, 500) for _ in range(40)]
+    interest[20] = 900.0
+    onsets = [(s, 20_000 * DAY + i * 31 * DAY) for i in range(40) for s in ("BTC", "ETH")]
+    rows = [(s, e0 + (5 * k - 75) * MINUTE, v) for s, e0 in onsets for k, v in enumerate(interest)]
+    r.shuffle(rows)
+    ev = measures.windowed(spark.createDataFrame(onsets, "symbol string, e0 bigint"), MONTH)
+    snaps = spark.createDataFrame(rows, "symbol string, t bigint, oi double").repartition(7)
+    # small tables would else be joined into one partition, whose rows happen to be in order
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = measures.classify(measures.from_interest(ev, snaps, MONTH, ("symbol", "e0")), MONTH).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    total = 0.0
+    for v in interest[:13]:
+        total += v
+    assert len(found) == 80 and {x.doi for x in found} == {(900.0 - total / 13) / (total / 13)}
+    assert {x.klass for x in found} == {"contraction"}
+
+
+def test_ordered_means_skip_nulls(spark):
+    d = spark.createDataFrame([("a", 3, 0.3), ("a", 1, 0.1), ("a", 2, 0.2), ("a", 4, None), ("b", 1, None)], "k string, i int, v double")
+    got = {x.k: x.m for x in d.groupBy("k").agg(measures.ordered_mean("v", "i").alias("m")).collect()}
+    assert got == {"a": (0.1 + 0.2 + 0.3) / 3, "b": None}

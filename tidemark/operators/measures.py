@@ -23,6 +23,17 @@ def still(column: str | Column) -> Column:
     return F.when(F.min(column) == F.max(column), F.min(column)).otherwise(F.avg(column))
 
 
+def ordered_mean(column: str | Column, order: str | Column) -> Column:
+    """The mean of a few values, summed by ascending ``order``: equal values give equal bits however rows were shuffled.
+
+    Classes compare a response with a quantile of earlier ones, and a pattern that returns meets itself there; with
+    ``F.avg`` the order in which rows arrive would decide such ties."""
+    value = F.col(column) if isinstance(column, str) else column
+    order = F.col(order) if isinstance(order, str) else order
+    listed = F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(order.alias("at"), value.alias("v")))))
+    return F.when(F.size(listed) > 0, F.aggregate(listed, F.lit(0.0), lambda total, x: total + x["v"]) / F.size(listed))
+
+
 def windowed(ev: DataFrame, p: Study) -> DataFrame:
     """``ev`` with the study's window in every row."""
     values = (p.window.before_min, p.window.after_min, *p.window.reference)
@@ -100,7 +111,7 @@ def from_interest(ev: DataFrame, snaps: DataFrame, p: Study, keys: tuple[str, ..
     served = near.where(from_ <= to).withColumn("g", F.explode(F.sequence(from_, to, F.lit(step)))).where(F.col("g").between(first, last))
     latest = served.groupBy(*keys, "before_min", "g").agg(F.max_by("oi", F.struct("t", *[c for c in ("ingest_idx",) if c in snaps.columns])).alias("oi"))
     base, trough = F.when(F.col("g") <= origin, F.col("oi")), F.when(F.col("g") > origin, F.col("oi"))
-    met = latest.groupBy(*keys).agg(F.count(base).alias("oi_base_n"), F.count(trough).alias("oi_trough_n"), F.avg(base).alias("_b"), F.min(trough).alias("_t"))
+    met = latest.groupBy(*keys).agg(F.count(base).alias("oi_base_n"), F.count(trough).alias("oi_trough_n"), ordered_mean(base, "g").alias("_b"), F.min(trough).alias("_t"))
     out = ev.select(*keys, "before_min", "after_min").join(met, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("oi_base_n", "oi_trough_n")})
     n_base, n_trough = p.interest.base_min // p.clock.width_min + 1, F.floor((F.col("before_min") + F.col("after_min")) / p.clock.width_min)
     out = out.withColumn("base_ok", F.col("oi_base_n") >= n_base - p.interest.base_missing).withColumn("trough_ok", F.col("oi_trough_n") >= n_trough - p.interest.trough_missing)

@@ -109,7 +109,7 @@ XS = ["x", "size", "eth"]
 
 
 def regression_effect(ev: DataFrame, draws: int, seed: int, at: int = 1) -> DataFrame:
-    """E2 of every setting: the coefficient, its CR1 error and p (Student's t by clusters), clusters and effective clusters; with ``draws`` the p and the
+    """E2 of every setting: the coefficient, its CR1 error and p (Student's t by clusters; both null with one cluster, which leaves the coefficient as it is), clusters and effective clusters; with ``draws`` the p and the
     interval of the restricted wild cluster bootstrap. Sums by cluster meet the draws, rows never do."""
     rows = staged(regression_rows(ev))
     names, size = [F.lit(1.0), *map(F.col, XS)], len(XS) + 1
@@ -127,8 +127,8 @@ def regression_effect(ev: DataFrame, draws: int, seed: int, at: int = 1) -> Data
     c = F.col("g") / (F.col("g") - 1) * (F.col("n") - 1) / (F.col("n") - F.col("k"))
     enough = (F.col("g") > 1) & (F.col("n") > F.col("k"))
     out = fit.join(errors, "spec").select(
-        "spec", F.lit("E2").alias("effect"), "n1", (F.col("n") - F.col("n1")).alias("n2"), F.col("g").alias("clusters"), F.when(enough, F.col(f"b{at}")).alias("est"),
-        F.when(enough, F.sqrt(c * F.col("_ss"))).alias("se"), (F.col("g") / (1 + F.col("_gv") / (F.col("_gm") ** 2))).alias("g_eff"),
+        "spec", F.lit("E2").alias("effect"), "n1", (F.col("n") - F.col("n1")).alias("n2"), F.col("g").alias("clusters"), F.col(f"b{at}").alias("est"),
+        F.when(enough, F.sqrt(c * F.col("_ss"))).alias("se"), (F.col("g") / (1 + F.col("_gv") / F.nullif(F.col("_gm") ** 2, F.lit(0.0)))).alias("g_eff"),
     )
     out = out.withColumn("p_cr1", tails.student_tail(F.col("est") / F.when(F.col("se") > 0, F.col("se")), F.col("clusters") - 1))
     if not draws:

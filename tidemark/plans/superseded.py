@@ -39,7 +39,7 @@ def outcomes(ev: DataFrame, grid: DataFrame, p: Study, censor_h: int = 24, troug
     met = near.groupBy("symbol", "t0").agg(
         measures.still(F.when(F.col("bar").between(t0 - 30 * M, t0 - 5 * M), F.col("close"))).alias("p0"),
         F.min(since(F.col("low"))).alias("_low"), F.min_by("bar", since(F.struct("low", "bar"))).alias("_trough"),
-        F.avg(F.when(F.col("bar") <= t0, F.col("oi"))).alias("_b"), F.min(since(F.col("oi"))).alias("_l"),
+        measures.ordered_mean(F.when(F.col("bar") <= t0, F.col("oi")), "bar").alias("_b"), F.min(since(F.col("oi"))).alias("_l"),
     )
     out = staged(ev.join(met.where("p0 is not null"), ["symbol", "t0"]))
     stop = t0 + censor_h * 60 * M
