@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -162,6 +163,78 @@ def test_near_vectors(spark, cosine, cell):
     assert got == plain_links(rows, cosine)
 
 
+def test_near_vectors_in_many_groups_of_blocks(spark):
+    r = np.random.default_rng(8)
+    far = [(int(label), v) for label, v in zip(r.integers(0, 2, 300), r.normal(size=(300, 24)).tolist())]
+    near = [(label, (np.array(v) + 0.1 * r.normal(size=24)).astype(np.float32).tolist()) for label, v in far[:60] for _ in range(3)]
+    zeros = [(0, [0.0, 1.0]), (0, [-0.0, 1.0]), (0, [1e-60, 1.0])]
+    rows = [(i, v, label, "") for i, (label, v) in enumerate(far + near + zeros + near[:9])]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, node string")
+    got = Counter(map(tuple, covertree.near_vectors(d, cell=16, group=1500).collect()))
+    assert got == plain_links(rows, 0.93)
+
+
+def test_each_pair_of_blocks_has_one_task_and_groups_are_bounded(spark):
+    nodes = [f"{root}:8/{i}/{j}" for root in ("30", "31") for i in range(12) for j in range(3)]
+    blocks = spark.createDataFrame([(n, [0.0] * 8, list(range(1 + i % 5))) for i, n in enumerate(nodes)], "node string, center array<double>, c array<bigint>")
+    pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes if a <= b and a[:2] == b[:2]], "i string, j string")
+    tasks = covertree._tasks(blocks, pairs, 100).collect()
+    assert sorted((t.i, t.j) for t in tasks) == sorted(map(tuple, pairs.collect()))
+    assert all(t.p <= t.q and t.p[:2] == t.i[:2] for t in tasks)
+    of = {t.i: t.p for t in tasks if t.i == t.j}
+    assert all({t.p, t.q} == {of[t.i], of[t.j]} for t in tasks)
+    size = Counter()
+    for i, n in enumerate(nodes):
+        size[of[n]] += 8 * (1 + i % 5)
+    assert max(size.values()) <= 100 + 40
+    sent = {(t.p, t.q, node) for t in tasks for node in (t.i, t.j)}
+    assert len(sent) * 4 < 2 * pairs.count()  # one by one, each pair would send two blocks
+
+
+def blocks_of(x, sizes):
+    x = covertree.scaled(x)
+    starts = [0, *np.cumsum(sizes)[:-1].tolist()]
+    return x, starts, [covertree.Tree.build(covertree.unit(x[s : s + n])) for s, n in zip(starts, sizes)]
+
+
+@pytest.mark.parametrize(("step", "tile"), [(1 << 14, 1 << 20), (1, 1 << 20), (1 << 40, 50)])
+@pytest.mark.parametrize("cosine", [0.93, 0.5])
+def test_walk_finds_the_links_of_all_pairs(monkeypatch, step, tile, cosine):
+    monkeypatch.setattr(covertree, "STEP", step)
+    monkeypatch.setattr(covertree, "TILE", tile)
+    r = np.random.default_rng(6)
+    centers = r.normal(size=(8, 16))
+    x = np.concatenate([r.normal(size=(60, 16)), *[c + spread * r.normal(size=(20, 16)) for c in centers for spread in (0.02, 0.2, 0.5)]])
+    sizes = [200, 40, len(x) - 240]
+    x, starts, trees = blocks_of(x[r.permutation(len(x))], sizes)
+    n, u, of = r.integers(1, 4, len(x)), covertree.unit(x), np.repeat(np.arange(3), sizes)
+    pairs = [(0, 0), (0, 1), (1, 2), (2, 2)]
+    ok = (u @ u.T >= cosine) & np.isin(of[:, None] * 3 + of[None, :], [a * 3 + b for i, j in pairs for a, b in ((i, j), (j, i))])
+    np.fill_diagonal(ok, False)
+    root = np.arange(len(x))
+    while (after := np.minimum(root, np.where(ok, root[None, :], len(x)).min(axis=1))).tolist() != root.tolist():
+        root = after
+    links, got = covertree.walk(x, n, trees, starts, cosine, pairs)
+    assert links.tolist() == (ok @ n).tolist() and got.tolist() == root.tolist()
+
+
+def test_walk_of_points_that_no_ball_parts_takes_few_steps():
+    r = np.random.default_rng(7)
+    x = r.normal(size=(3000, 64))
+    x[:30] = x[0] + 0.07 * r.normal(size=(30, 64))
+    x, starts, trees = blocks_of(x[r.permutation(3000)], [1500, 1500])
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        links, _ = covertree.walk(x, np.ones(3000, dtype=np.int64), trees, starts, 0.93)
+    finally:
+        sys.setprofile(None)
+    u = covertree.unit(x)
+    ok = u[:1500] @ u[1500:].T >= 0.93
+    assert links.tolist() == [*ok.sum(axis=1), *ok.sum(axis=0)] and links.any()
+    assert sum(calls.values()) < 2000
+
+
 def test_near_vectors_of_nothing(spark):
     d = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert covertree.near_vectors(d).count() == 0

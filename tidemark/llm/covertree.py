@@ -4,13 +4,15 @@ Vectors of one label and length are points on the unit sphere, where cosine t is
 vectors are one point with a count. A tree nests its centers: a node's center is also the center of its first child, every
 point lies within the node's radius, and radii halve from level to level while centers of one level stay further
 apart than the radius. Two walks go down pairs of nodes: a pair whose balls are further apart than the threshold is
-dropped, a pair whose balls lie wholly within it links all its points at once, what is left is split, and single points are
-compared in double precision.
+dropped, a pair whose balls lie wholly within it links all its points at once, what is left is split. Where balls part
+too little for that to pay (random directions in high dimension), the points of the two nodes meet in one matrix product,
+in single precision with a margin for its rounding; what passes is compared in double precision.
 
 The upper levels are tables of Spark: a node with more than ``CELL`` points is split around centers of a bounded sample,
 by tasks that hold one salted piece of it, until every node is a block of at most that many points. Block
-pairs come from a walk down the node table; the lower levels are built once a block, and a task walks one pair of blocks.
-It returns counts a point and a spanning forest of its links, never the links themselves.
+pairs come from a walk down the node table; the lower levels are built once a block. Neighbouring blocks travel together,
+in groups of bounded size: a task walks all pairs of blocks between two groups. It returns counts a point and a spanning
+forest of its links, never the links themselves.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing. Vectors
 of different length are never linked. Nor do rows without an id link, and they have no component. Repeated rows are
@@ -32,6 +34,12 @@ from .components import connected
 
 #: Points of a block at most; points of a node's sample and children of a node in the upper levels.
 CELL, SAMPLE, FANOUT = 2048, 256, 64
+#: Components of the vectors of a group of blocks, about; a task holds two groups.
+GROUP = 1 << 20
+#: A step down a pair of nodes costs about as much as comparing so many pairs of points in a matrix product.
+STEP = 1 << 14
+#: Pairs of points in a matrix product, and edges held before a forest stands for them.
+TILE = 1 << 20
 #: After so many upper levels a node is cut by digest: its points lie too close together for centers to part them.
 LEVELS = 12
 #: Bounds are widened by more than rounding can move them.
@@ -59,6 +67,11 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ y.T)))
 
 
+def _where(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix; where little is true, numpy finds it several times as fast in one dimension."""
+    return np.divmod(np.flatnonzero(ok), ok.shape[1])
+
+
 class Tree:
     """A cover tree as arrays. Node k has center ``center[k]``, radius ``radius[k]`` (to its furthest point), children
     ``first[k]`` to ``last[k]`` and points ``order[lo[k]:hi[k]]``; a node without children is one point."""
@@ -85,19 +98,22 @@ class Tree:
             while r >= radius[k] > 1e-7:  # levels at which the center alone covers all
                 r /= 2
             split = radius[k] > 1e-7
-            parts = []
-            at, c = 0, int(np.flatnonzero(points == center[k])[0])
+            if split:
+                near = d <= r
+                near[points == center[k]] = True
+                parts, points = [(center[k], points[near], d[near])], points[~near]
+            else:  # points that no level parts: a child each
+                parts, points = [(c, np.array([c]), np.zeros(1)) for c in [center[k], *points[points != center[k]].tolist()]], points[:0]
             while len(points):
-                if not split:  # points that no level parts: a child each
-                    near = np.zeros(len(points), dtype=bool)
-                    near[c] = True
-                else:
-                    d = d if at == 0 else _apart(u[points], u[points[c]][None, :])[:, 0]
-                    near = d <= r
-                    near[c] = True
-                parts.append((int(points[c]), points[near], d[near] if split else np.zeros(1)))
-                points, d = points[~near], d[~near]
-                at, c = at + 1, 0
+                some = points[:64]
+                d, alive = _apart(u[some], u[points]), np.ones(len(points), dtype=bool)
+                for i, c in enumerate(some.tolist()):
+                    if alive[i]:
+                        d[i, i] = 0.0
+                        near = alive & (d[i] <= r)
+                        parts.append((c, points[near], d[i, near]))
+                        alive &= ~near
+                points = points[alive]
             first[k] = len(center)
             for c, members, dist in parts:
                 n = len(center)
@@ -146,69 +162,143 @@ def _groups(edges: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
         root = after
 
 
-def walk(x: np.ndarray, n: np.ndarray, trees: list[Tree], starts: list[int], cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of the points of one block (all pairs in it) or two (pairs across). ``x``: scaled vectors of both, ``n``:
-    copies of each, ``trees`` over ``x[start:]``. Links count copies; root is the smallest point reached."""
+class Links:
+    """Links of points counted with their copies (``n``), and a forest that stands for them: ``root`` is the smallest point
+    that a point reaches by the links closed so far."""
+
+    def __init__(self, n: np.ndarray):
+        self.n, self.count, self.root = n, np.zeros(len(n), dtype=np.int64), np.arange(len(n))
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Points ``p[k]`` and ``q[k]``."""
+        np.add.at(self.count, p, self.n[q])
+        np.add.at(self.count, q, self.n[p])
+        self.join(p, q)
+
+    def within(self, p: np.ndarray) -> None:
+        """All pairs of ``p``."""
+        self.count[p] += self.n[p].sum() - self.n[p]
+        self.join(p, np.full(len(p), p[0]))
+
+    def across(self, p: np.ndarray, q: np.ndarray) -> None:
+        """All pairs of one of ``p`` and one of ``q``."""
+        self.count[p] += self.n[q].sum()
+        self.count[q] += self.n[p].sum()
+        self.join(p, np.full(len(p), q[0]))
+        self.join(q, np.full(len(q), p[0]))
+
+    def matrix(self, p: np.ndarray, q: np.ndarray, ok: np.ndarray) -> None:
+        """Points ``p[r]`` and ``q[c]`` where ``ok[r, c]``."""
+        weight = ok.astype(np.float64)
+        np.add.at(self.count, p, np.rint(weight @ self.n[q]).astype(np.int64))
+        np.add.at(self.count, q, np.rint(self.n[p] @ weight).astype(np.int64))
+        r, c = _where(ok & (self.root[p][:, None] != self.root[q][None, :]))
+        self.join(p[r], q[c])
+
+    def join(self, p: np.ndarray, q: np.ndarray) -> None:
+        new = self.root[p] != self.root[q]
+        if new.any():
+            self.edges.append((p[new], q[new]))
+            self.held += int(new.sum())
+            if self.held > TILE or len(self.edges) > 4096:
+                self.close()
+
+    def close(self) -> None:
+        self.root = _groups([(np.arange(len(self.root)), self.root), *self.edges], len(self.root))
+        self.edges, self.held = [], 0
+
+
+def walk(x: np.ndarray, n: np.ndarray, trees: list[Tree], starts: list[int], cosine: float, pairs: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of the points of blocks. ``x``: their scaled vectors, ``n``: copies of each, ``trees`` over ``x[start:]``;
+    ``pairs`` of trees that are walked (the first with the last, if not given), a tree with itself for all pairs in it.
+    Links count copies; root is the smallest point reached."""
     u = unit(x)
+    low = u.astype(np.float32)
     reach = math.sqrt(2.0 - 2.0 * cosine)
-    a, b = trees[0], trees[-1]
-    same = len(trees) == 1
-    sa, sb = starts[0], starts[-1]
-    links = np.zeros(len(x), dtype=np.int64)
-    edges: list[tuple[np.ndarray, np.ndarray]] = []
-    members = lambda t, s, k: s + t.order[t.lo[k] : t.hi[k]]
+    floor = np.float32(cosine - (x.shape[1] + 8) * 2.0**-23)  # twice what single precision can lose
+    links = Links(n)
     below = lambda t, k: np.arange(t.first[k], t.last[k]) if t.last[k] > t.first[k] else np.array([k])
 
-    def all_linked(p: np.ndarray, q: np.ndarray) -> None:
-        links[p] += n[q].sum()
-        links[q] += n[p].sum()
-        edges.append((p, np.full(len(p), q[0])))
-        edges.append((q, np.full(len(q), p[0])))
-
-    todo = [(0, 0)]
-    while todo:
-        i, j = todo.pop()
-        if same and i == j:
-            if 2 * a.radius[i] <= reach - SLACK:
-                p = members(a, sa, i)
-                if len(p) > 1:
-                    links[p] += n[p].sum() - n[p]
-                    edges.append((p, np.full(len(p), p[0])))
+    def linked(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        ok = np.zeros(len(p), dtype=bool)
+        most = max(1, TILE // x.shape[1])
+        for at in range(0, len(p), most):
+            xp, xq = x[p[at : at + most]], x[q[at : at + most]]
+            ok[at : at + most] = np.einsum("ij,ij->i", xp, xq) / np.sqrt(np.einsum("ij,ij->i", xp, xp) * np.einsum("ij,ij->i", xq, xq)) >= cosine
+        return ok
+
+    def compare(p: np.ndarray, q: np.ndarray, inner: bool) -> None:
+        step = max(1, TILE // len(q))
+        for at in range(0, len(p), step):
+            rows, cols = p[at : at + step], q[at:] if inner else q
+            r, c = _where(low[rows] @ low[cols].T >= floor)
+            if len(r) * 16 <= len(rows) * len(cols):
+                if inner:
+                    r, c = r[r < c], c[r < c]
+                ok = linked(rows[r], cols[c])
+                links.add(rows[r[ok]], cols[c[ok]])
+            else:
+                dot = u[rows] @ u[cols].T
+                ok = dot >= cosine
+                r, c = _where(np.abs(dot - cosine) <= SLACK)
+                ok[r, c] = linked(rows[r], cols[c])
+                links.matrix(rows, cols, np.triu(ok, 1) if inner else ok)
+
+    def down(a: Tree, sa: int, b: Tree, sb: int, same: bool) -> None:
+        points = lambda t, s, k: s + t.order[t.lo[k] : t.hi[k]]
+        apart = 0.0 if same else float(_apart(u[[sa + a.center[0]]], u[[sb + b.center[0]]])[0, 0])
+        if apart > reach + a.radius[0] + b.radius[0] + SLACK:
+            return
+        if not same and apart + a.radius[0] + b.radius[0] <= reach - SLACK:
+            return links.across(points(a, sa, 0), points(b, sb, 0))
+        todo = [(0, 0)]
+        while todo:
+            i, j = todo.pop()
+            inner = same and i == j
+            p, q = points(a, sa, i), points(b, sb, j)
+            if inner and 2 * a.radius[i] <= reach - SLACK:
+                links.within(p)
                 continue
-            if a.last[i] == a.first[i]:
+            ci, cj = below(a, i), below(b, j)
+            size = len(p) * len(q)
+            if size <= STEP or 2 * len(ci) * len(cj) >= size:
+                compare(p, q, inner)
                 continue
-        ci, cj = below(a, i), below(b, j)
-        inner = same and i == j
-        if inner:
-            todo += [(k, k) for k in ci[a.last[ci] > a.first[ci]].tolist()]
-        other, rj, one_j = u[sb + b.center[cj]].T, b.radius[cj], b.last[cj] == b.first[cj]
-        for at in range(0, len(ci), 512):
-            rows = ci[at : at + 512]
-            dot, ri, one_i = u[sa + a.center[rows]] @ other, a.radius[rows], a.last[rows] == a.first[rows]
-            # distance d is cosine 1 - d^2 / 2: without radii one number bounds the whole matrix
-            bound = reach + SLACK + (ri[:, None] + rj[None, :] if ri.any() or rj.any() else 0.0)
-            r, c = np.nonzero(dot >= 1.0 - bound * bound / 2.0)
+            other, rj, one_j = u[sb + b.center[cj]].T, b.radius[cj], b.last[cj] == b.first[cj]
+            found = []
+            for at in range(0, len(ci), 512):
+                ri = a.radius[ci[at : at + 512]]
+                dot = u[sa + a.center[ci[at : at + 512]]] @ other
+                # distance d is cosine 1 - d^2 / 2: without radii one number bounds the whole matrix
+                bound = reach + SLACK + (ri[:, None] + rj[None, :] if ri.any() or rj.any() else 0.0)
+                r, c = _where(dot >= 1.0 - bound * bound / 2.0)
+                found.append((at + r, c, dot[r, c]))
+            r, c, dot = (np.concatenate(part) for part in zip(*found))
             if inner:
-                r, c = r[at + r < c], c[at + r < c]
+                keep = r < c
+                r, c, dot = r[keep], c[keep], dot[keep]
+            ri, one_i = a.radius[ci], a.last[ci] == a.first[ci]
             single = one_i[r] & one_j[c]
-            if single.any():
-                p, q = sa + a.center[rows[r[single]]], sb + b.center[cj[c[single]]]
-                xp, xq = x[p], x[q]
-                ok = np.einsum("ij,ij->i", xp, xq) / np.sqrt(np.einsum("ij,ij->i", xp, xp) * np.einsum("ij,ij->i", xq, xq)) >= cosine
-                p, q = p[ok], q[ok]
-                np.add.at(links, p, n[q])
-                np.add.at(links, q, n[p])
-                edges.append((p, q))
-            r, c = r[~single], c[~single]
-            whole = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot[r, c])) + ri[r] + rj[c] <= reach - SLACK
-            for i, j in zip(rows[r[whole]].tolist(), cj[c[whole]].tolist()):
-                all_linked(members(a, sa, i), members(b, sb, j))
-            todo += list(zip(rows[r[~whole]].tolist(), cj[c[~whole]].tolist()))
-        if len(edges) > 4096:  # a forest stands for the links so far
-            root = _groups(edges, len(x))
-            p = np.flatnonzero(root != np.arange(len(x)))
-            edges = [(p, root[p])]
-    return links, _groups(edges, len(x))
+            if (len(r) - single.sum()) * STEP >= size:
+                compare(p, q, inner)
+                continue
+            s, t = sa + a.center[ci[r[single]]], sb + b.center[cj[c[single]]]
+            ok = linked(s, t)
+            links.add(s[ok], t[ok])
+            r, c, dot = r[~single], c[~single], dot[~single]
+            whole = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dot)) + ri[r] + rj[c] <= reach - SLACK
+            for k, m in zip(ci[r[whole]].tolist(), cj[c[whole]].tolist()):
+                links.across(points(a, sa, k), points(b, sb, m))
+            todo += list(zip(ci[r[~whole]].tolist(), cj[c[~whole]].tolist()))
+            if inner:
+                todo += [(k, k) for k in ci[~one_i].tolist()]
+
+    for i, j in [(0, len(trees) - 1)] if pairs is None else pairs:
+        down(trees[i], starts[i], trees[j], starts[j], i == j)
+    links.close()
+    return links.count, links.root
 
 
 def _net(t: pa.Table) -> pa.Table:
@@ -236,10 +326,11 @@ def _block(t: pa.Table) -> pa.Table:
     x = scaled(_matrix(t["v"]))
     u = unit(x)
     tree = Tree.build(u)
+    short = x.astype(np.float32)  # as most tables hold them: half the bytes, if nothing is lost
     return pa.table({
         "node": t["node"].slice(0, 1), "center": pa.array([u[0].tolist()], pa.list_(pa.float64())), "radius": pa.array([tree.radius[0]]),
         "c": pa.array([t["c"].to_pylist()], pa.list_(pa.int64())), "least": pa.array([t["least"].to_pylist()], pa.list_(pa.int64())), "n": pa.array([t["n"].to_pylist()], pa.list_(pa.int64())),
-        "x": pa.array([x.tobytes()], pa.binary()), "tree": pa.array([tree.pack()], pa.binary()),
+        "x": pa.array([(short if (short == x).all() else x).tobytes()], pa.binary()), "tree": pa.array([tree.pack()], pa.binary()),
     })
 
 
@@ -296,25 +387,42 @@ def _block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
     return pairs
 
 
+def _tasks(blocks: DataFrame, pairs: DataFrame, group: int) -> DataFrame:
+    """(p, q, i, j): the pairs of blocks with their pair of groups. A group is a run of blocks of one root in the order of
+    the tree, of about ``group`` components."""
+    sized = blocks.select("node", F.substring_index("node", "/", 1).alias("root"), (F.size("c") * F.size("center").cast("bigint")).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("root").orderBy("node")) - F.col("size")
+    groups = staged(sized.select("node", F.concat_ws("#", "root", F.floor(before / group)).alias("group")))
+    of = lambda node, name: small(groups).select(F.col("node").alias(node), F.col("group").alias(name))
+    tasks = staged(pairs.join(of("i", "gi"), "i").join(of("j", "gj"), "j").select(F.least("gi", "gj").alias("p"), F.greatest("gi", "gj").alias("q"), "i", "j"))
+    discard(groups)
+    return tasks
+
+
 def _visit(cosine: float):
-    def visit(t: pa.Table) -> pa.Table:
-        xs, ns, trees, starts, cs, leasts = [], [], [], [], [], []
-        for r in t.sort_by("node").to_pylist():
-            starts.append(sum(map(len, cs)))
-            cs.append(np.array(r["c"], dtype=np.int64))
-            leasts.append(np.array(r["least"], dtype=np.int64))
-            ns.append(np.array(r["n"], dtype=np.int64))
-            xs.append(np.frombuffer(r["x"], np.float64).reshape(len(cs[-1]), -1))
-            trees.append(Tree.unpack(r["tree"]))
+    def visit(pairs: pa.Table, blocks: pa.Table) -> pa.Table:
+        xs, ns, trees, starts, cs, leasts, place, at = [], [], [], [], [], [], {}, 0
+        for r in blocks.sort_by("node").to_batches(max_chunksize=1):
+            r = {name: r.column(name)[0] for name in ("node", "c", "least", "n", "x", "tree", "dims")}
+            place[r["node"].as_py()] = len(starts)
+            starts.append(at)
+            cs.append(r["c"].values.to_numpy(zero_copy_only=False))
+            leasts.append(r["least"].values.to_numpy(zero_copy_only=False))
+            ns.append(r["n"].values.to_numpy(zero_copy_only=False))
+            data, cells = r["x"].as_py(), len(cs[-1]) * r["dims"].as_py()
+            xs.append(np.frombuffer(data, np.float64 if len(data) == 8 * cells else np.float32).astype(np.float64).reshape(len(cs[-1]), -1))
+            trees.append(Tree.unpack(r["tree"].as_py()))
+            at += len(cs[-1])
         c, least = np.concatenate(cs), np.concatenate(leasts)
-        links, root = walk(np.concatenate(xs), np.concatenate(ns), trees, starts, cosine)
+        todo = sorted((place[i], place[j]) for i, j in zip(pairs["i"].to_pylist(), pairs["j"].to_pylist()))
+        links, root = walk(np.concatenate(xs), np.concatenate(ns), trees, starts, cosine, todo)
         hit = np.flatnonzero(links)
         return pa.table({"c": c[hit], "links": links[hit], "a": least[hit], "b": least[root[hit]]})
 
     return visit
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, label: str = "label", vector: str = "embedding", id_col: str = "vec_id", cell: int = CELL) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, label: str = "label", vector: str = "embedding", id_col: str = "vec_id", cell: int = CELL, group: int = GROUP) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: the other rows of its label at ``cosine`` or more, and the
     smallest id that links reach from it."""
     if not 0 < cosine < 1:
@@ -333,15 +441,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, label: str = "label",
         dealt = dealt.unionByName(one)
     blocks = staged(dealt.groupBy("node").applyInArrow(_block, "node string, center array<double>, radius double, c array<bigint>, least array<bigint>, n array<bigint>, x binary, tree binary"))
     pairs = _block_pairs(blocks, math.sqrt(2.0 - 2.0 * cosine))
-    tasks = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("node")).join(blocks.drop("center", "radius"), "node")
-    met = staged(tasks.groupBy("i", "j").applyInArrow(_visit(cosine), "c bigint, links bigint, a bigint, b bigint"))
-    discard(blocks, pairs, *parts)
+    tasks = _tasks(blocks, pairs, group)
+    sent = staged(tasks.select("p", "q", F.explode(F.array("i", "j")).alias("node")).distinct())
+    held = blocks.withColumn("dims", F.size("center")).drop("center", "radius").join(small(sent), "node")
+    visits = tasks.groupBy("p", "q").cogroup(held.groupBy("p", "q"))
+    met = staged(visits.applyInArrow(_visit(cosine), "c bigint, links bigint, a bigint, b bigint"))
+    discard(blocks, pairs, tasks, sent, *parts)
     roots = connected(met.select("a", "b"))
     links = met.groupBy("c").agg(F.sum("links").alias("links"))
     known = classes.join(links, "c", "left").join(roots.withColumnRenamed("node", "least"), "least", "left")
     known = staged(known.select("label", "v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "least").alias("component_id")))
     discard(classes, met)
-    hot, cold, key = known.where(F.col("n") * HOT > total), known.where(F.col("n") * HOT <= total), ["label", "v"]
+    key = ["h", "label", "v"]  # sorting meets the digest first, and the components only where it ties
+    known, used = known.withColumn("h", F.xxhash64("v")), used.withColumn("h", F.xxhash64("v"))
+    hot, cold = known.where(F.col("n") * HOT > total), known.where(F.col("n") * HOT <= total)
     linked = used.join(F.broadcast(hot), key).unionByName(used.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)).select("vec_id", "n_links", "component_id")
     lone = rows.where(~usable).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
