@@ -163,12 +163,14 @@ def test_near_vectors(spark, cosine, cell):
     assert got == plain_links(rows, cosine)
 
 
-def test_near_vectors_in_many_groups_of_blocks(spark):
+@pytest.mark.parametrize("broadcast", [4 << 20, 0])
+def test_near_vectors_in_many_groups_of_blocks(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(covertree, "BROADCAST_BYTES", broadcast)  # of vectors that occur twice
     r = np.random.default_rng(8)
     far = [(int(label), v) for label, v in zip(r.integers(0, 2, 300), r.normal(size=(300, 24)).tolist())]
     near = [(label, (np.array(v) + 0.1 * r.normal(size=24)).astype(np.float32).tolist()) for label, v in far[:60] for _ in range(3)]
     zeros = [(0, [0.0, 1.0]), (0, [-0.0, 1.0]), (0, [1e-60, 1.0])]
-    rows = [(i, v, label, "") for i, (label, v) in enumerate(far + near + zeros + near[:9])]
+    rows = [(i, v, label, "") for i, (label, v) in enumerate(far + near + zeros + near[:9] + 300 * near[:1])]
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, node string")
     got = Counter(map(tuple, covertree.near_vectors(d, cell=16, group=1500).collect()))
     assert got == plain_links(rows, 0.93)

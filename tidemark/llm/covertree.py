@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, small, staged
+from .common import BROADCAST_BYTES, discard, having, small, staged, staged_bytes
 from .components import connected
 
 #: Points of a block at most; points of a node's sample and children of a node in the upper levels.
@@ -44,8 +44,6 @@ TILE = 1 << 20
 LEVELS = 12
 #: Bounds are widened by more than rounding can move them.
 SLACK = 1e-6
-#: Classes with more than one in so many rows meet their rows by broadcast: fewer than this many classes.
-HOT = 512
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -339,7 +337,7 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def _split(points: DataFrame, cell: int) -> list[DataFrame]:
-    """(c, least, n, v, node) as staged parts in which every node has about ``cell`` points at most."""
+    """(c, least, n, v, node) as parts in which every node has about ``cell`` points at most: staged ones, or ``points``."""
     parts, left = [], points
     for level in range(LEVELS + 1):
         big = staged(left.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > cell))
@@ -350,7 +348,7 @@ def _split(points: DataFrame, cell: int) -> list[DataFrame]:
         salts = F.ceil(F.col("size") / cell).cast("int")
         if level == LEVELS:
             last = staged(wide.withColumn("node", F.concat_ws("/", "node", F.pmod(F.xxhash64("c"), salts))).select(points.columns))
-            discard(big, left)
+            discard(big, *([left] if level else []))
             return [*parts, last]
         order = Window.partitionBy("node").orderBy(F.xxhash64("c"), "c")
         most = F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.ceil(4 * F.col("size") / cell))).cast("int").alias("most")
@@ -360,7 +358,7 @@ def _split(points: DataFrame, cell: int) -> list[DataFrame]:
         copies = centers.join(small(big), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("size")
         dealt = own.groupBy("node", "salt").cogroup(copies.groupBy("node", "salt")).applyInArrow(_deal, "c bigint, least bigint, n bigint, v array<double>, node string")
         after = staged(dealt.select(points.columns))
-        discard(big, centers, left)
+        discard(big, centers, *([left] if level else []))
         left = after
     raise AssertionError("unreachable")
 
@@ -433,8 +431,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, label: str = "label",
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
     used = rows.where(usable)
     classes = staged(used.groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("c", F.monotonically_increasing_id()))
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    points = staged(classes.select("c", "least", "n", "v", F.concat_ws(":", F.hex("label"), F.size("v")).alias("node")))
+    points = classes.select("c", "least", "n", "v", F.concat_ws(":", F.hex("label"), F.size("v")).alias("node"))
     parts = _split(points, cell)
     dealt = parts[0]
     for one in parts[1:]:
@@ -446,15 +443,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, label: str = "label",
     held = blocks.withColumn("dims", F.size("center")).drop("center", "radius").join(small(sent), "node")
     visits = tasks.groupBy("p", "q").cogroup(held.groupBy("p", "q"))
     met = staged(visits.applyInArrow(_visit(cosine), "c bigint, links bigint, a bigint, b bigint"))
-    discard(blocks, pairs, tasks, sent, *parts)
+    discard(blocks, pairs, tasks, sent, *[part for part in parts if part is not points])
     roots = connected(met.select("a", "b"))
     links = met.groupBy("c").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "c", "left").join(roots.withColumnRenamed("node", "least"), "least", "left")
-    known = staged(known.select("label", "v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "least").alias("component_id")))
+    known = classes.select("c", "least", "n").join(links, "c", "left").join(roots.withColumnRenamed("node", "least"), "least", "left")
+    known = staged(known.select("c", "least", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "least").alias("component_id")))
+    copied = F.col("n") > 1  # other classes are one row, which has the class's least id
+    copies = staged(classes.where(copied).drop("n", "least").join(known.where(copied), "c").select(F.xxhash64("v").alias("h"), "label", "v", "n", "n_links", "component_id"))
     discard(classes, met)
-    key = ["h", "label", "v"]  # sorting meets the digest first, and the components only where it ties
-    known, used = known.withColumn("h", F.xxhash64("v")), used.withColumn("h", F.xxhash64("v"))
-    hot, cold = known.where(F.col("n") * HOT > total), known.where(F.col("n") * HOT <= total)
-    linked = used.join(F.broadcast(hot), key).unionByName(used.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)).select("vec_id", "n_links", "component_id")
+    used, key = used.withColumn("h", F.xxhash64("v")), ["h", "label", "v"]  # sorting meets the digest first
+    met = used.join(F.broadcast(copies), key) if staged_bytes(copies) <= BROADCAST_BYTES else having(used, copies, key, "n")
+    linked = known.where(~copied).select(F.col("least").alias("vec_id"), "n_links", "component_id").unionByName(met.select("vec_id", "n_links", "component_id"))
     lone = rows.where(~usable).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
