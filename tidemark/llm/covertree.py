@@ -192,8 +192,11 @@ class Links:
         weight = ok.astype(np.float64)
         np.add.at(self.count, p, np.rint(weight @ self.n[q]).astype(np.int64))
         np.add.at(self.count, q, np.rint(self.n[p] @ weight).astype(np.int64))
-        r, c = _where(ok & (self.root[p][:, None] != self.root[q][None, :]))
-        self.join(p[r], q[c])
+        while (cross := ok & (self.root[p][:, None] != self.root[q][None, :])).any():  # a link a row and column joins trees
+            r, c = np.flatnonzero(cross.any(axis=1)), np.flatnonzero(cross.any(axis=0))
+            self.join(p[r], q[cross[r].argmax(axis=1)])
+            self.join(p[cross[:, c].argmax(axis=0)], q[c])
+            self.close()
 
     def join(self, p: np.ndarray, q: np.ndarray) -> None:
         new = self.root[p] != self.root[q]
@@ -364,25 +367,31 @@ def _split(points: DataFrame, cell: int) -> list[DataFrame]:
 
 
 def _block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
-    """(i, j) of blocks that may hold a pair within ``reach``, i = j included: a walk down the upper levels, a join a level."""
+    """(i, j) of blocks that may hold a pair within ``reach``, i = j included: a walk down the upper levels, a join a level.
+    Pairs of two blocks are settled; the others go on, dealt to all cores."""
     leaves = blocks.select("node", "center", "radius")
     depth = blocks.agg(F.max(F.size(F.split("node", "/")))).first()[0] or 1
     at = lambda level: F.substring_index("node", "/", level)
-    roots = leaves.select(at(1).alias("i")).distinct()
-    pairs = staged(roots.select("i", F.col("i").alias("j")))
+    roots = leaves.groupBy(at(1).alias("i")).agg(F.max(F.col("node") == at(1)).alias("settled"))
+    steps = [staged(roots.select("i", F.col("i").alias("j"), "settled"))]
     for level in range(2, depth + 1):
         under = leaves.withColumn("up", at(level - 1)).withColumn("k", at(level))
         centers = under.groupBy("up", "k").agg(F.min_by("center", "node").alias("center"))
-        balls = under.select("k", F.col("center").alias("_c"), "radius").join(centers, "k").groupBy("up", "k").agg(F.first("center").alias("center"), F.max(distance(F.col("center"), F.col("_c")) + F.col("radius")).alias("radius"))
-        balls = staged(balls)
-        a = balls.select(F.col("up").alias("i"), F.col("k").alias("a"), F.col("center").alias("ca"), F.col("radius").alias("ra"))
-        b = balls.select(F.col("up").alias("j"), F.col("k").alias("b"), F.col("center").alias("cb"), F.col("radius").alias("rb"))
+        of_k = [F.first("center").alias("center"), F.max(distance(F.col("center"), F.col("_c")) + F.col("radius")).alias("radius"), F.max(F.col("node") == F.col("k")).alias("leaf")]
+        balls = staged(under.select("k", "node", F.col("center").alias("_c"), "radius").join(centers, "k").groupBy("up", "k").agg(*of_k))
+        a = balls.select(F.col("up").alias("i"), F.col("k").alias("a"), F.col("center").alias("ca"), F.col("radius").alias("ra"), F.col("leaf").alias("la"))
+        b = balls.select(F.col("up").alias("j"), F.col("k").alias("b"), F.col("center").alias("cb"), F.col("radius").alias("rb"), F.col("leaf").alias("lb"))
+        pairs = steps[-1].where(~F.col("settled")).repartition(blocks.sparkSession.sparkContext.defaultParallelism, "i", "j")
         met = pairs.join(a, "i").join(b, "j").where((F.col("i") != F.col("j")) | (F.col("a") <= F.col("b")))
         met = met.where((F.col("a") == F.col("b")) | (distance(F.col("ca"), F.col("cb")) <= reach + F.col("ra") + F.col("rb") + SLACK))
-        after = staged(met.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")))
-        discard(pairs, balls)
-        pairs = after
-    return pairs
+        steps.append(staged(met.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), (F.col("la") & F.col("lb")).alias("settled"))))
+        discard(balls)
+    settled = steps[0].where("settled")
+    for step in steps[1:]:
+        settled = settled.unionByName(step.where("settled"))
+    out = staged(settled.select("i", "j"))
+    discard(*steps)
+    return out
 
 
 def _tasks(blocks: DataFrame, pairs: DataFrame, group: int) -> DataFrame:
