@@ -172,23 +172,23 @@ def test_near_vectors_in_many_groups_of_blocks(spark, monkeypatch, broadcast):
     zeros = [(0, [0.0, 1.0]), (0, [-0.0, 1.0]), (0, [1e-60, 1.0])]
     rows = [(i, v, label, "") for i, (label, v) in enumerate(far + near + zeros + near[:9] + 300 * near[:1])]
     d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int, node string")
-    got = Counter(map(tuple, covertree.near_vectors(d, cell=16, group=1500).collect()))
+    got = Counter(map(tuple, covertree.near_vectors(d, cell=16, group=4000).collect()))
     assert got == plain_links(rows, 0.93)
 
 
 def test_each_pair_of_blocks_has_one_task_and_groups_are_bounded(spark):
     nodes = [f"{root}:8/{i}/{j}" for root in ("30", "31") for i in range(12) for j in range(3)]
-    blocks = spark.createDataFrame([(n, [0.0] * 8, list(range(1 + i % 5))) for i, n in enumerate(nodes)], "node string, center array<double>, c array<bigint>")
+    blocks = spark.createDataFrame([(n, [0.0] * (8 if n < "31" else 128), list(range(1 + i % 5))) for i, n in enumerate(nodes)], "node string, center array<double>, c array<bigint>")
     pairs = spark.createDataFrame([(a, b) for a in nodes for b in nodes if a <= b and a[:2] == b[:2]], "i string, j string")
-    tasks = covertree._tasks(blocks, pairs, 100).collect()
+    tasks = covertree._tasks(blocks, pairs, 1200).collect()
     assert sorted((t.i, t.j) for t in tasks) == sorted(map(tuple, pairs.collect()))
     assert all(t.p <= t.q and t.p[:2] == t.i[:2] for t in tasks)
     of = {t.i: t.p for t in tasks if t.i == t.j}
     assert all({t.p, t.q} == {of[t.i], of[t.j]} for t in tasks)
     size = Counter()
     for i, n in enumerate(nodes):
-        size[of[n]] += 8 * (1 + i % 5)
-    assert max(size.values()) <= 100 + 40
+        size[of[n]] += (64 if n < "31" else 128) * (1 + i % 5)
+    assert max(size.values()) <= 1200 + 5 * 128
     sent = {(t.p, t.q, node) for t in tasks for node in (t.i, t.j)}
     assert len(sent) * 4 < 2 * pairs.count()  # one by one, each pair would send two blocks
 

@@ -34,8 +34,8 @@ from .components import connected
 
 #: Points of a block at most; points of a node's sample and children of a node in the upper levels.
 CELL, SAMPLE, FANOUT = 2048, 256, 64
-#: Components of the vectors of a group of blocks, about; a task holds two groups.
-GROUP = 1 << 20
+#: Components of the vectors of a group of blocks, about; a task holds two groups. A short vector counts as one of ``LEAST``.
+GROUP, LEAST = 1 << 20, 64
 #: A step down a pair of nodes costs about as much as comparing so many pairs of points in a matrix product.
 STEP = 1 << 14
 #: Pairs of points in a matrix product, and edges held before a forest stands for them.
@@ -397,7 +397,7 @@ def _block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
 def _tasks(blocks: DataFrame, pairs: DataFrame, group: int) -> DataFrame:
     """(p, q, i, j): the pairs of blocks with their pair of groups. A group is a run of blocks of one root in the order of
     the tree, of about ``group`` components."""
-    sized = blocks.select("node", F.substring_index("node", "/", 1).alias("root"), (F.size("c") * F.size("center").cast("bigint")).alias("size"))
+    sized = blocks.select("node", F.substring_index("node", "/", 1).alias("root"), (F.size("c") * F.greatest(F.size("center"), F.lit(LEAST)).cast("bigint")).alias("size"))
     before = F.sum("size").over(Window.partitionBy("root").orderBy("node")) - F.col("size")
     groups = staged(sized.select("node", F.concat_ws("#", "root", F.floor(before / group)).alias("group")))
     of = lambda node, name: small(groups).select(F.col("node").alias(node), F.col("group").alias(name))
